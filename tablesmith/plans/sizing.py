@@ -1,0 +1,40 @@
+"""Size checks used before choosing a plan shape.
+
+Catalyst keeps a size estimate on every optimized plan (file sizes for
+scans, propagated through filters and projections).  Reading it costs no
+job.  We use it to decide between a one-pass plan whose memory grows with
+the data (fine when small) and a multi-pass plan that stays bounded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Above this estimated size, operators switch to their bounded-memory plan.
+SMALL_PLAN_BYTES = 256 * 1024 * 1024
+
+# Hard ceiling for anything we broadcast ourselves.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` in bytes (no job is run)."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # pragma: no cover - Connect sessions have no JVM handle
+        return 1 << 62
+
+
+def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
+    return estimated_bytes(df) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the estimate proves the side is small.
+
+    Otherwise the DataFrame is returned unchanged and the join falls back to
+    a shuffle join (AQE may still convert it at run time with real sizes).
+    """
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
