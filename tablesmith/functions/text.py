@@ -30,9 +30,8 @@ PUNCT_ONLY_PATTERN = r"^[.;:,()\[\]{}]+$"
 # ---------------------------------------------------------------------------
 
 _UNICODE_STRIP = r"(?U)^\s+|\s+$"
-# A "cased letter" run or a run of anything else; str.title() capitalises the
-# first letter of each cased run and lower-cases the rest.
-_TITLE_RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
+# One character that is not a cased letter (upper, lower or title case).
+_NON_CASED = r"([^\p{Lu}\p{Ll}\p{Lt}])"
 
 
 def _c(col) -> Column:
@@ -45,17 +44,17 @@ def strip_whitespace(col) -> Column:
 
 
 def title_case(col) -> Column:
-    """``str.title()``: capital after any non-letter (``it's`` -> ``It'S``)."""
-    runs = F.regexp_extract_all(_c(col), F.lit(_TITLE_RUNS), 1)
-    cased = F.transform(runs, lambda w: F.concat(_title_char(F.substring(w, 1, 1)),
-                                                 F.lower(F.substring(w, 2, 1 << 30))))
-    return F.when(_c(col).isNotNull(), F.array_join(cased, ""))
+    """``str.title()``: a letter after any non-cased character starts a word
+    (``it's foo-bar`` -> ``It'S Foo-Bar``), the rest of the word is lower case.
 
-
-def _title_char(ch: Column) -> Column:
-    # Titlecase of one character; sharp s has no single-letter capital and
-    # titlecases to "Ss" (Unicode special casing), unlike upper() -> "SS".
-    return F.when(ch == F.lit("ß"), F.lit("Ss")).otherwise(F.upper(ch))
+    ``initcap`` title-cases after spaces only, so a marker space is put after
+    every non-cased character, ``initcap`` runs once over the whole text, and
+    the markers are removed.  A word-initial sharp s titlecases to "Ss".
+    """
+    c = _c(col)
+    marked = F.regexp_replace(c, _NON_CASED, "$1 ")
+    titled = F.regexp_replace(F.initcap(marked), r"(^| )ß", "$1Ss")
+    return F.regexp_replace(titled, _NON_CASED + " ", "$1")
 
 
 def email_valid(col) -> Column:

@@ -53,9 +53,14 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     order = [qcol(c).asc_nulls_first() for c in order_by]
 
     if key is None:
-        # Non-numeric leading order key: contiguous blocks cannot be derived
-        # without a sort, so fill per group with a plain window.
-        return _window_fill(df, cols, order, [qcol(p) for p in partition_by], backward)
+        # Non-numeric leading order key: a distributed range sort, then
+        # monotonically_increasing_id (increasing in sort order) as a numeric
+        # order key.  The labelled table is checkpointed so every branch of
+        # the plan sees the same labels, then the numeric plan runs on it.
+        from ..session import materialize
+        ranked = materialize(df.orderBy(*order).withColumn("__ord", F.monotonically_increasing_id()))
+        out = fill(ranked, cols, ["__ord"], partition_by, backward, rows_per_block)
+        return out.select(*[qcol(c) for c in df.columns])
 
     stats = df.agg(F.min(key).alias("mn"), F.max(key).alias("mx"), F.count(F.lit(1)).alias("n")).first()
     if stats["n"] == 0 or stats["mn"] is None:
@@ -76,7 +81,7 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     local = tmp.withColumns({c: pick(qcol(c), ignorenulls=True).over(w_local) for c in cols})
 
     # Edge value of each block: last (forward) / first (backward) non-NULL in order.
-    ord_key = F.struct(*[qcol(c) for c in order_by])
+    ord_key = qcol(order_by[0]) if len(order_by) == 1 else F.struct(*[qcol(c) for c in order_by])
     edge_fn = F.min_by if backward else F.max_by
     edges = tmp.groupBy(*parts).agg(*[
         edge_fn(qcol(c), F.when(qcol(c).isNotNull(), ord_key)).alias(f"__edge_{i}")

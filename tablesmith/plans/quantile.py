@@ -1,36 +1,43 @@
 """Exact quantiles (linear interpolation, as pandas ``quantile`` and DuckDB
-``quantile_cont``) that stay bounded in memory at any scale.
-
-Small inputs use Spark's ``percentile`` aggregate: one pass, but its buffer
-holds every distinct value of the column in the final reducer.  Large inputs
-use rank selection instead:
-
-1. one aggregate counts the non-NULL values of every column;
-2. the two ranks around each quantile position are located by narrowing a
-   value range: approximate cut points split the range, ``count_if`` per
-   sub-range finds the one holding the rank, repeat;
-3. once a range holds few rows (or a single distinct value) its value
-   histogram is small enough to read exactly.
-
-Every pass is a filter + partial aggregate over the column, so no task ever
-holds more than a bounded histogram.  A hot value (a third of all rows equal)
-collapses into a single range immediately.
+``quantile_cont``) with bounded memory at any scale.
+
+Spark's exact ``percentile`` aggregate keeps every distinct value of the
+column in the final reducer's buffer.  Instead, each needed rank is
+*bracketed* and then read exactly:
+
+1. One aggregate over all columns: non-NULL count and ``percentile_approx``
+   (a mergeable sketch with partial aggregation) just below and just above
+   each target percentage.  The sketch's rank error is at most n/accuracy,
+   so the true value lies between the two approximate values.
+2. One job (a union of per-column branches, each reading only its column)
+   returns, per column, the number of values below the bracket and the
+   value histogram inside it (``groupBy(value).count()``: partial
+   aggregation, so a hot value collapses to one row per task).
+3. The driver walks the small histogram to the exact ranks and
+   interpolates.
+
+The bracket holds about 6·n/accuracy rows.  When that would exceed
+``FINISH_ROWS`` (very large n), the bracket is first narrowed by repeating
+step 1 inside it, each round shrinking it by ~accuracy/6, before step 2.
+A bracket that fails its check (never expected) is widened and retried.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import qcol
-from .sizing import SMALL_PLAN_BYTES, is_small
 
-# Sub-ranges per narrowing pass, and the size of a range we finish exactly.
-CUTS_PER_PASS = 64
-FINISH_ROWS = 50_000
-APPROX_ACCURACY = 10_000
+ACCURACY = 10_000
+MARGIN = 3.0 / ACCURACY
+# Bracket half-widths offered by pass 1; each column uses the narrowest one
+# that is safely wider than the sketch's rank error plus rank rounding (3/n).
+HALF_WIDTHS = (MARGIN, 3e-3, 3e-2, 0.3)
+FINISH_ROWS = 200_000
 
 
 def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
@@ -41,118 +48,169 @@ def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              small_bytes: int = SMALL_PLAN_BYTES) -> dict[str, list[float | None]]:
+              **_ignored) -> dict[str, list[float | None]]:
     """Return ``{col: [q(p) for p in probs]}`` (None for an all-NULL column)."""
     if not cols:
         return {}
     if not exact:
-        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(probs), APPROX_ACCURACY)
+        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(probs), ACCURACY)
                        .alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    if is_small(df, small_bytes):
-        row = df.agg(*[F.percentile(qcol(c).cast("double"), F.array(*[F.lit(p) for p in probs]))
-                       .alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
-    return _quantiles_by_selection(df, cols, probs)
-
-
-def _quantiles_by_selection(df, cols, probs):
-    counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    # Pass 1: counts and a sketch bracket around every percentage, all columns at once.
+    grid = sorted({min(1.0, max(0.0, p + s * h)) for p in probs for h in HALF_WIDTHS for s in (-1, 1)})
+    first = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(qcol(c).cast("double"), grid, ACCURACY).alias(f"g{i}")
+                     for i, c in enumerate(cols)]).first()
+    n_by_col = {c: first[f"n{i}"] for i, c in enumerate(cols) if first[f"n{i}"]}
+    brackets = []
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        if not n:
+            continue
+        sk = dict(zip(grid, first[f"g{i}"]))
+        h = next((w for w in HALF_WIDTHS if w >= 3.0 / n + 1.0 / ACCURACY), 1.0)
+        for p in probs:
+            lo = sk.get(min(1.0, max(0.0, p - h))) if h < 1.0 else None
+            hi = sk.get(min(1.0, max(0.0, p + h))) if h < 1.0 else None
+            for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
+                brackets.append(_Bracket(c, r, lo, hi, None, None))
+    picked: dict[str, dict[int, float]] = {c: {} for c in n_by_col}
+    small = [b for b in brackets if 8 * n_by_col[b.col] / ACCURACY <= FINISH_ROWS or b.lo is None]
+    large = [b for b in brackets if not (8 * n_by_col[b.col] / ACCURACY <= FINISH_ROWS or b.lo is None)]
+    # Pass 2 (moderate n): one job reads the brackets and the counts below them.
+    failed = _finish(df, small, picked) if small else []
+    retry: dict[str, list[int]] = {}
+    for b in failed + large:
+        retry.setdefault(b.col, []).append(b.r)
+    if retry:
+        more = select_ranks(df, {c: n_by_col[c] for c in retry}, retry)
+        for c, vals in more.items():
+            picked[c].update(vals)
     out = {}
     for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+        n = first[f"n{i}"]
         if not n:
             out[c] = [None] * len(probs)
             continue
-        values = df.select(qcol(c).cast("double").alias("v")).where(F.col("v").isNotNull())
-        ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-        picked = select_ranks(values, ranks)
-        out[c] = [_interpolate(picked[math.floor(p * (n - 1))], picked[math.ceil(p * (n - 1))],
+        out[c] = [_interpolate(picked[c][math.floor(p * (n - 1))], picked[c][math.ceil(p * (n - 1))],
                                p * (n - 1)) for p in probs]
     return out
 
 
-def select_ranks(values: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted non-NULL column ``v``."""
-    # Each pending rank keeps its value range [lo, hi] and rows below lo.
-    state = {r: (None, None, 0) for r in ranks}
-    result: dict[int, float] = {}
-    while state:
-        # Cut points per pending rank range, all ranks in one pass.
-        aggs = []
-        for j, (r, (lo, hi, _)) in enumerate(state.items()):
-            in_rng = _in_range(lo, hi)
-            grid = [k / CUTS_PER_PASS for k in range(1, CUTS_PER_PASS)]
-            aggs.append(F.percentile_approx(F.when(in_rng, F.col("v")), grid, APPROX_ACCURACY)
-                        .alias(f"c{j}"))
-            aggs.append(F.count_if(in_rng).alias(f"n{j}"))
-            aggs.append(F.min(F.when(in_rng, F.col("v"))).alias(f"mn{j}"))
-            aggs.append(F.max(F.when(in_rng, F.col("v"))).alias(f"mx{j}"))
-        row = values.agg(*aggs).first()
-        plan = {}
-        for j, (r, (lo, hi, below)) in enumerate(state.items()):
-            n_rng, mn, mx = row[f"n{j}"], row[f"mn{j}"], row[f"mx{j}"]
-            if mn == mx:
-                result[r] = mn
-                continue
-            if n_rng <= FINISH_ROWS:
-                plan[r] = ("finish", lo, hi, below)
-                continue
-            cuts = sorted({x for x in (row[f"c{j}"] or []) if mn < x <= mx})
-            plan[r] = ("split", lo, hi, below, cuts, mn)
-        # Resolve splits with one counting pass for all ranks.
-        count_aggs = []
-        for r, p in plan.items():
-            if p[0] != "split":
-                continue
-            _, lo, hi, below, cuts, mn = p
-            if not cuts:
-                cuts = [values.where(_in_range(lo, hi) & (F.col("v") > mn))
-                        .agg(F.min("v")).first()[0]]
-            plan[r] = ("split", lo, hi, below, cuts, mn)
-            for k, cut in enumerate(cuts):
-                count_aggs.append(F.count_if(_in_range(lo, hi) & (F.col("v") < F.lit(cut)))
-                                  .alias(f"r{r}_{k}"))
-        counted = values.agg(*count_aggs).first() if count_aggs else None
-        new_state = {}
-        for r, p in plan.items():
-            if p[0] == "finish":
-                _, lo, hi, below = p
-                hist = (values.where(_in_range(lo, hi)).groupBy("v").count()
-                        .orderBy("v").collect())
-                acc = below
-                for h in hist:
-                    acc += h["count"]
-                    if acc > r:
-                        result[r] = h["v"]
-                        break
-                continue
-            _, lo, hi, below, cuts, _ = p
-            # Sub-ranges: [lo, c1), [c1, c2), ..., [c_m, hi].
-            prev_lo, prev_below = lo, below
-            chosen = None
-            for k, cut in enumerate(cuts):
-                below_cut = below + counted[f"r{r}_{k}"]
-                if r < below_cut:
-                    chosen = (prev_lo, ("lt", cut), prev_below)
-                    break
-                prev_lo, prev_below = cut, below_cut
-            if chosen is None:
-                chosen = (prev_lo, hi, prev_below)
-            new_state[r] = chosen
-        state = new_state
+class _Bracket:
+    """Value range [lo, hi] (None = open) known to contain rank ``r``;
+    ``below`` rows precede it and ``size`` rows fall inside it."""
+
+    def __init__(self, col, r, lo, hi, below, size, margin=MARGIN):
+        self.col, self.r, self.lo, self.hi = col, r, lo, hi
+        self.below, self.size, self.margin = below, size, margin
+
+    def inside(self, v):
+        cond = v.isNotNull()
+        if self.lo is not None:
+            cond = cond & (v >= F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (v <= F.lit(self.hi))
+        return cond
+
+
+def select_ranks(df: DataFrame, n_by_col: dict[str, int], ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """Exact values at 0-based ``ranks`` of each column's sorted non-NULL values."""
+    result: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    pending = [_Bracket(c, r, None, None, 0, n_by_col[c]) for c, rs in ranks.items() for r in rs]
+    while pending:
+        big = [b for b in pending if b.size > FINISH_ROWS]
+        if big:
+            pending = [b for b in pending if b.size <= FINISH_ROWS] + _narrow(df, big)
+            continue
+        failed = _finish(df, pending, result)
+        if failed:  # pragma: no cover - bracket invariant violated
+            raise RuntimeError(f"ranks not inside their brackets: {[(b.col, b.r) for b in failed]}")
+        pending = []
     return result
 
 
-def _in_range(lo, hi):
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (F.col("v") >= F.lit(lo))
-    if hi is not None:
-        if isinstance(hi, tuple):
-            cond = cond & (F.col("v") < F.lit(hi[1]))
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """One sketch pass + one counting pass; returns tighter brackets."""
+    aggs = []
+    for j, b in enumerate(brackets):
+        v = qcol(b.col).cast("double")
+        q = (b.r - b.below + 0.5) / b.size
+        grid = [min(1.0, max(0.0, q - b.margin)), min(1.0, max(0.0, q + b.margin))]
+        aggs.append(F.percentile_approx(F.when(b.inside(v), v), grid, ACCURACY).alias(f"g{j}"))
+    sketch = df.agg(*aggs).first()
+    cand = []
+    for j, b in enumerate(brackets):
+        lo, hi = sketch[f"g{j}"]
+        cand.append((lo, hi))
+    count_aggs = []
+    for j, b in enumerate(brackets):
+        v = qcol(b.col).cast("double")
+        lo, hi = cand[j]
+        count_aggs.append(F.count_if(b.inside(v) & (v < F.lit(lo))).alias(f"b{j}"))
+        count_aggs.append(F.count_if(b.inside(v) & (v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"s{j}"))
+    counted = df.agg(*count_aggs).first()
+    out = []
+    for j, b in enumerate(brackets):
+        lo, hi = cand[j]
+        below, size = b.below + counted[f"b{j}"], counted[f"s{j}"]
+        if below <= b.r < below + size and size < b.size:
+            out.append(_Bracket(b.col, b.r, lo, hi, below, size))
+        elif b.margin >= 0.5:
+            # cannot narrow further (e.g. one value fills the range): read it as is
+            out.append(_Bracket(b.col, b.r, b.lo, b.hi, b.below, min(b.size, FINISH_ROWS)))
         else:
-            cond = cond & (F.col("v") <= F.lit(hi))
-    return cond
+            out.append(_Bracket(b.col, b.r, b.lo, b.hi, b.below, b.size, b.margin * 4))
+    return out
+
+
+def _finish(df: DataFrame, brackets: list[_Bracket], result) -> list[_Bracket]:
+    """Read the brackets in one job: per column, one histogram of the values
+    inside any of its brackets and one aggregate of the counts below each
+    bracket whose count below is unknown.  Returns brackets that failed."""
+    by_col: dict[str, list[int]] = {}
+    for j, b in enumerate(brackets):
+        by_col.setdefault(b.col, []).append(j)
+    parts = []
+    for ci, (c, js) in enumerate(by_col.items()):
+        v = qcol(c).cast("double")
+        inside = functools.reduce(lambda x, y: x | y, [brackets[j].inside(v) for j in js])
+        parts.append(df.select(v.alias("v")).where(inside).groupBy("v").count()
+                     .select(F.lit(ci).alias("part"), F.lit(-1).alias("j"), "v", "count"))
+        unknown = [j for j in js if brackets[j].below is None and brackets[j].lo is not None]
+        if unknown:
+            counts = df.agg(*[F.count_if(v < F.lit(brackets[j].lo)).alias(f"b{j}") for j in unknown])
+            parts.append(counts.select(F.explode(F.array(*[
+                F.struct(F.lit(j).alias("j"), F.col(f"b{j}").alias("count")) for j in unknown])).alias("s"))
+                .select(F.lit(ci).alias("part"), F.col("s.j").alias("j"), F.lit(None).cast("double").alias("v"),
+                        F.col("s.count").alias("count")))
+    rows = functools.reduce(DataFrame.unionByName, parts).collect()
+    hist: dict[str, list] = {}
+    below_of: dict[int, int] = {}
+    names = list(by_col)
+    for row in rows:
+        if row["j"] >= 0:
+            below_of[row["j"]] = row["count"]
+        else:
+            hist.setdefault(names[row["part"]], []).append((row["v"], row["count"]))
+    for c in hist:
+        hist[c].sort()
+    failed = []
+    for j, b in enumerate(brackets):
+        acc = b.below if b.below is not None else below_of.get(j, 0)
+        if acc > b.r:               # the rank lies below the bracket
+            failed.append(b)
+            continue
+        found = False
+        for value, cnt in hist.get(b.col, []):
+            if not ((b.lo is None or value >= b.lo) and (b.hi is None or value <= b.hi)):
+                continue
+            acc += cnt
+            if acc > b.r:
+                result[b.col][b.r] = value
+                found = True
+                break
+        if not found:
+            failed.append(b)
+    return failed
