@@ -72,3 +72,12 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     if not targets:
         return df
     return df.withColumns({c: F.when(~F.isnan(qcol(c)), qcol(c)) for c in targets})
+
+
+def all_present(cols):
+    """AND of ``IsNotNull`` per column: unlike ``na.drop`` (``atleastnnonnulls``)
+    these predicates are pushed down to the Parquet scan."""
+    import functools
+    import operator
+    conds = [qcol(c).isNotNull() for c in cols]
+    return functools.reduce(operator.and_, conds) if conds else F.lit(True)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import is_integral_type, numeric_columns, qcol, user_columns
+from ..functions.types import all_present, is_integral_type, numeric_columns, qcol, user_columns
 from ..plans import fill as fill_plan
 from ..plans.quantile import quantiles
 from .rowid import order_columns
@@ -18,7 +18,7 @@ def _targets(df: DataFrame, cols) -> list[str]:
 
 def drop_missing(df: DataFrame, cols=None) -> DataFrame:
     """Drop a row if any target column is missing.  Stream-safe."""
-    return df.na.drop(how="any", subset=_targets(df, cols))
+    return df.where(all_present(_targets(df, cols)))
 
 
 def _fill_with_stats(df: DataFrame, stats: dict, nulls: dict) -> DataFrame:

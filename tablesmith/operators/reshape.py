@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import ROW_ID, numeric_columns, qcol, require_columns
+from ..functions.types import ROW_ID, all_present, numeric_columns, qcol, require_columns
 
 PIVOT_MAX_VALUES = 10_000
 
@@ -57,7 +57,11 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
     if fn == "count":
         return F.count(x).cast("bigint")
     if fn == "median":
+        # Exact per-group median (buffer = distinct values of the group);
+        # use "approx_median" for very large groups.
         return F.median(x)
+    if fn == "approx_median":
+        return F.percentile_approx(x, 0.5, 10_000)
     if fn == "std":
         return F.stddev_samp(x)
     if fn == "var":
@@ -84,9 +88,11 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
         # adjusted Fisher-Pearson one: g1 * sqrt(n(n-1)) / (n-2), n >= 3.
         return F.when(n >= 3, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
     if fn == "idxmin":
-        return F.min_by(_rid(), x)
+        # first occurrence of the minimum: order by (value, row label)
+        return F.min_by(_rid(), F.when(x.isNotNull(), F.struct(x, _rid())))
     if fn == "idxmax":
-        return F.max_by(_rid(), x)
+        # first occurrence of the maximum: order by (value, -row label)
+        return F.max_by(_rid(), F.when(x.isNotNull(), F.struct(x, -_rid())))
     raise ValueError(f"unknown aggregate function {fn!r}")
 
 
@@ -107,7 +113,7 @@ def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum") -
         targets = [c for c in numeric_columns(df) if c not in keys]
         if not targets:
             raise ValueError("no numeric column to aggregate")
-    base = df.na.drop(how="any", subset=keys)
+    base = df.where(all_present(keys))
     out = base.groupBy(*[qcol(k) for k in keys]).agg(*[agg_expr(fn, c, df).alias(c) for c in targets])
     return out.orderBy(*[qcol(k).asc() for k in keys])
 
@@ -132,16 +138,12 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
     an index whose every cell is missing disappears."""
     if not all([index, columns, values]):
         raise ValueError("Missing required pivot parameters.")
-    base = df.na.drop(how="any", subset=[index, columns])
+    base = df.where(all_present([index, columns]))
     if pivot_vals is None:
         pivot_vals = pivot_values(base, columns)
     out = base.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(agg_expr(fn, values, df))
     value_cols = [c for c in out.columns if c != index]
     if fn not in ("sum", "count", "size", "nunique") and value_cols:
         out = out.na.drop(how="all", subset=value_cols)
-    if fn == "sum":
-        # A hole is an absent combination: 0 of the column's own type.
-        out = out.na.fill(0, subset=value_cols)
-    else:
-        out = out.na.fill(0, subset=value_cols)
-    return out.orderBy(qcol(index))
+    # A hole (absent combination or all-missing cell) becomes 0 of the column's type.
+    return out.na.fill(0, subset=value_cols).orderBy(qcol(index))

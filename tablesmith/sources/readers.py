@@ -62,7 +62,8 @@ def _infer_and_cast(df: DataFrame) -> DataFrame:
             out.append(v.isin(TRUE_TOKENS).alias(c))
         else:
             out.append(v.alias(c))
-    return nan_to_null(nulled.select(*out))
+    # NaN text is an NA token, so no NaN can come out of the casts.
+    return nulled.select(*out)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = True,
@@ -88,13 +89,18 @@ def read_txt(spark: SparkSession, path: str, sep: str = ",", **kw) -> DataFrame:
     return read_delimited(spark, path, sep, **kw)
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
     """One JSON object per line; Spark's types are kept (``"1"`` stays text, D9)."""
-    return nan_to_null(spark.read.option("mode", "PERMISSIVE").json(path))
+    df = spark.read.option("mode", "PERMISSIVE").json(path)
+    return nan_to_null(df) if nan_as_null else df
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
+    """Parquet as is.  ``nan_as_null`` (D1) turns float NaN into NULL; it wraps
+    float columns in a CASE, so filters on those columns are no longer pushed
+    to the scan - pass False for NaN-free data to keep their pushdown."""
+    df = spark.read.parquet(path)
+    return nan_to_null(df) if nan_as_null else df
 
 
 def _suffix(path: str) -> str:
