@@ -1166,6 +1166,185 @@ def q_histogram(spark, sf):
     return h.select("bin", _r("lower", 6), _r("upper", 6), "count")
 
 
+# --- more coverage: row labels, paging arithmetic, heads, predicates ---------------------
+
+@query("with_row_id_key", f"SELECT o_orderkey AS _row_id, {ORDERS_COLS_SQL} FROM orders")
+def q_with_row_id(spark, sf):
+    o = with_row_id(spark.read.parquet(f"{sf}/orders.parquet"), key="o_orderkey")
+    return _orders_out(o).withColumn(ROW_ID, F.col("o_orderkey"))
+
+
+@query("table_head", f"SELECT {ORDERS_COLS_SQL} FROM orders ORDER BY o_orderkey LIMIT 5")
+def q_table_head(spark, sf):
+    return _orders_out(preview.table_head(_table(spark, sf, "orders", "o_orderkey"), 5))
+
+
+@query("page_count", f"""SELECT CAST(count(*) AS BIGINT) AS total_records,
+  CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM events
+WHERE regexp_matches(event_type, '{EVENTS_FILTER_RE2}', 'i') OR regexp_matches(props, '{EVENTS_FILTER_RE2}', 'i')
+   OR regexp_matches(CAST(event_id AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')
+   OR regexp_matches(strftime(ts, '%Y-%m-%d %H:%M:%S'), '{EVENTS_FILTER_RE2}', 'i')
+   OR regexp_matches(CAST(user_id AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')
+   OR regexp_matches(CAST(value AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')""")
+def q_page_count(spark, sf):
+    e = preview.global_filter(_table(spark, sf, "events", "event_id"), EVENTS_FILTER)
+    total = F.count(F.lit(1))
+    return e.agg(total.cast("bigint").alias("total_records"),
+                 F.greatest(F.lit(1), F.ceil(total / F.lit(50.0))).cast("bigint").alias("pages"))
+
+
+@query("duplicates_removed", _with(DUP_ORDERS_SQL) + """SELECT CAST((SELECT count(*) FROM dup_orders)
+  - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders)) AS BIGINT) AS duplicates_removed""")
+def q_duplicates_removed(spark, sf):
+    d = dup_orders(spark, sf)
+    before = d.count()
+    kept = dedup.drop_duplicates(d)
+    return kept.agg((F.lit(before) - F.count(F.lit(1))).cast("bigint").alias("duplicates_removed"))
+
+
+@query("email_valid", _with(DIRTY_CUSTOMER_SQL) + f"""SELECT c_custkey, email,
+  regexp_full_match(email, '{EMAIL_RE2}') AS valid FROM dirty_customer""")
+def q_email_valid(spark, sf):
+    d = dirty_customer(spark, sf)
+    return d.select("c_custkey", "email", tf.email_valid("email").alias("valid"))
+
+
+@query("format_phone_columns", _with(DIRTY_CUSTOMER_SQL) + f"""SELECT c_custkey, c_name, email,
+  regexp_replace(coalesce(phone, ''), '{PHONE_RE2}', '1(\\1)\\2-\\3', 'g') AS phone, segment, c_acctbal,
+  CAST(c_nationkey AS BIGINT) AS c_nationkey FROM dirty_customer""")
+def q_format_phone_columns(spark, sf):
+    return _customer_out(writers.format_phone_columns(dirty_customer(spark, sf)))
+
+
+@query("calc_backticks", """SELECT c_custkey, round("acct bal" * 2 - c_nationkey, 2) AS "twice bal" FROM
+  (SELECT c_custkey, c_acctbal AS "acct bal", c_nationkey FROM customer)""")
+def q_calc_backticks(spark, sf):
+    c = extras.rename(spark.read.parquet(f"{sf}/customer.parquet"), {"c_acctbal": "acct bal"})
+    c = expr.calculated_column(c, "twice bal", "`acct bal` * 2 - c_nationkey")
+    return c.select("c_custkey", F.round(F.col("`twice bal`"), 2).alias("twice bal"))
+
+
+PAGES_PII_TYPES = ["email", "phone", "ssn", "credit_card", "url", "ip_address", "date"]
+
+
+@query("pii_match_pages", "SELECT page_id, " + ", ".join(
+    f"regexp_matches(html, '{PII_PATTERNS[t]}') AS {t}" for t in PAGES_PII_TYPES) + " FROM pages")
+def q_pii_match_pages(spark, sf):
+    from tablesmith.functions.pii import pii_match
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return p.select("page_id", *[pii_match("html", t).alias(t) for t in PAGES_PII_TYPES])
+
+
+@query("pii_scan_pages", _pii_scan_sql("pages", ["url", "html"], PII_TYPES_RE2_SAFE, threshold=1.0))
+def q_pii_scan_pages(spark, sf):
+    return pii.pii_scan(spark.read.parquet(f"{sf}/pages.parquet"), ["url", "html"], threshold=1.0)
+
+
+@query("iqr_bounds_multi", """SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3,
+  round(q1 - 1.5 * (q3 - q1), 6) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 6) AS upper_bound FROM (
+  SELECT 'user_id' AS "column", quantile_cont(user_id, 0.25) AS q1, quantile_cont(user_id, 0.75) AS q3 FROM events
+  UNION ALL SELECT 'value', quantile_cont(value, 0.25), quantile_cont(value, 0.75) FROM events
+  UNION ALL SELECT 'event_id', quantile_cont(event_id, 0.25), quantile_cont(event_id, 0.75) FROM events)""")
+def q_iqr_bounds_multi(spark, sf):
+    b = outliers.iqr_bounds_frame(_table(spark, sf, "events", "event_id"))
+    return b.select("column", _r("q1", 6), _r("q3", 6), _r("lower_bound", 6), _r("upper_bound", 6))
+
+
+# --- the remaining tables ---------------------------------------------------------------
+
+@query("value_counts_labels", """SELECT CAST(quality AS BIGINT) AS quality, CAST(count(*) AS BIGINT) AS count
+FROM labels GROUP BY quality""")
+def q_value_counts_labels(spark, sf):
+    vc = extras.value_counts(spark.read.parquet(f"{sf}/labels.parquet"), "quality")
+    return vc.select(_big("quality"), "count")
+
+
+@query("pivot_labels", """SELECT CAST(quality AS BIGINT) AS quality,
+  CAST(count(doc_id) FILTER (WHERE toxic = 0) AS BIGINT) AS "0",
+  CAST(count(doc_id) FILTER (WHERE toxic = 1) AS BIGINT) AS "1" FROM labels GROUP BY quality""")
+def q_pivot_labels(spark, sf):
+    out = reshape.pivot(spark.read.parquet(f"{sf}/labels.parquet"), "quality", "toxic", "doc_id", "count")
+    return out.select(_big("quality"), *[_big(c) for c in out.columns if c != "quality"])
+
+
+@query("title_case_benchmark", f"SELECT item_id, {_title_sql('text')} AS text FROM benchmark")
+def q_title_benchmark(spark, sf):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return text.title_case(b, ["text"]).select("item_id", "text")
+
+
+@query("profile_columns_part", """SELECT * FROM (VALUES
+  (0, 'p_partkey', (SELECT count(DISTINCT p_partkey) FROM part), (SELECT CAST(count(*) - count(p_partkey) AS BIGINT) FROM part)),
+  (1, 'p_name', (SELECT count(DISTINCT p_name) FROM part), (SELECT CAST(count(*) - count(p_name) AS BIGINT) FROM part)),
+  (2, 'p_brand', (SELECT count(DISTINCT p_brand) FROM part), (SELECT CAST(count(*) - count(p_brand) AS BIGINT) FROM part)),
+  (3, 'p_type', (SELECT count(DISTINCT p_type) FROM part), (SELECT CAST(count(*) - count(p_type) AS BIGINT) FROM part)),
+  (4, 'p_size', (SELECT count(DISTINCT p_size) FROM part), (SELECT CAST(count(*) - count(p_size) AS BIGINT) FROM part)),
+  (5, 'p_retailprice', (SELECT count(DISTINCT p_retailprice) FROM part), (SELECT CAST(count(*) - count(p_retailprice) AS BIGINT) FROM part)))
+  AS t(position, "column", unique_count, null_count)""")
+def q_profile_part(spark, sf):
+    p = profile.profile_columns(spark.read.parquet(f"{sf}/part.parquet"))
+    return p.select(F.col("position").cast("int"), "column", "unique_count", "null_count")
+
+
+@query("profile_dataset_lineitem", """SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(11 AS BIGINT) AS total_columns,
+  CAST(0 AS BIGINT) AS missing_cells,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows FROM lineitem""")
+def q_profile_lineitem(spark, sf):
+    return profile.profile_dataset(spark.read.parquet(f"{sf}/lineitem.parquet"))
+
+
+@query("table_summary_embeddings", """SELECT * FROM (VALUES
+  (0, 'vec_id', (SELECT count(vec_id) FROM embeddings), 'bigint'),
+  (1, 'embedding', (SELECT count(embedding) FROM embeddings), 'array<float>'),
+  (2, 'label', (SELECT count(label) FROM embeddings), 'int')) AS t(position, "column", non_null, dtype)""")
+def q_summary_embeddings(spark, sf):
+    s = preview.table_summary(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return s.select(F.col("position").cast("int"), "column", F.col("non_null").cast("bigint"), "dtype")
+
+
+@query("distinct_embeddings", """SELECT 'embedding' AS "column", CAST(count(DISTINCT embedding) AS BIGINT) AS unique_count
+FROM embeddings UNION ALL SELECT 'label', CAST(count(DISTINCT label) AS BIGINT) FROM embeddings""")
+def q_distinct_embeddings(spark, sf):
+    from tablesmith.plans.distinct import distinct_counts
+    return distinct_counts(spark.read.parquet(f"{sf}/embeddings.parquet"), ["embedding", "label"])
+
+
+@query("group_by_supplier_nation", """SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey,
+  round(avg(s_acctbal), 4) AS s_acctbal FROM supplier GROUP BY s_nationkey""")
+def q_group_supplier(spark, sf):
+    out = reshape.group_by(spark.read.parquet(f"{sf}/supplier.parquet"), ["s_nationkey"], "s_acctbal", "mean")
+    return out.select(_big("s_nationkey"), _r("s_acctbal", 4))
+
+
+@query("rename_nation_region", """SELECT CAST(n_nationkey AS BIGINT) AS nation, n_name AS name,
+  CAST(n_regionkey AS BIGINT) AS region FROM nation UNION ALL
+  SELECT CAST(r_regionkey AS BIGINT), r_name, NULL FROM region""")
+def q_rename_nation_region(spark, sf):
+    n = extras.rename(spark.read.parquet(f"{sf}/nation.parquet"),
+                      {"n_nationkey": "nation", "n_name": "name", "n_regionkey": "region"})
+    r = extras.rename(spark.read.parquet(f"{sf}/region.parquet"), {"r_regionkey": "nation", "r_name": "name"})
+    return n.select(_big("nation"), "name", _big("region")).unionByName(
+        r.select(_big("nation"), "name", F.lit(None).cast("bigint").alias("region")))
+
+
+# --- streaming: the row-wise cleaners on a Structured Streaming source ----------------------
+
+@query("stream_clean_events", """SELECT event_id, user_id, upper(event_type) AS event_type, value,
+  round(value / 10, 6) AS value_10 FROM events WHERE value IS NOT NULL AND props IS NOT NULL""")
+def q_stream_clean(spark, sf):
+    from tablesmith.streaming import stream
+    src = stream.read_stream(spark, f"{sf}/events.parquet")
+    cleaned = stream.clean_stream(src, [
+        (missing.drop_missing, {"cols": ["value", "props"]}),
+        (text.string_op, {"op": "upper", "cols": ["event_type"]}),
+        (expr.calculated_column, {"name": "value_10", "expression": "round(value / 10, 6)"}),
+    ]).select("event_id", "user_id", "event_type", "value", "value_10")
+    out = scratch_path(spark, "stream-out")
+    q = stream.write_stream(cleaned, out)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---------------------------------------------------------------------------
 
 

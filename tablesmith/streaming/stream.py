@@ -33,12 +33,19 @@ def is_stream_safe(fn: Callable) -> bool:
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream source; the schema defaults to the current files' schema."""
+    """File stream source; the schema defaults to the current files' schema.
+
+    A path to a single file streams its folder, restricted to that file name."""
     if schema is None:
         schema = spark.read.format(fmt).load(path).schema
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hp) and fs.getFileStatus(hp).isFile():
+        return r.option("pathGlobFilter", hp.getName()).load(hp.getParent().toString())
     return r.load(path)
 
 
