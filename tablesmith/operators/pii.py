@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.pii import (HIGH_RISK_TYPES, PII_SAMPLE_SIZE, PII_THRESHOLD_PCT, PII_TYPES,
                              pii_match)
 from ..functions.types import ROW_ID, qcol, text_columns
+from ..plans.sizing import spread
 
 
 def _type_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def _type_counts(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs.append(F.count(qcol(c)).alias(f"t{i}"))
         for j, t in enumerate(PII_TYPES):
             aggs.append(F.count_if(pii_match(qcol(c), t)).alias(f"m{i}_{j}"))
-    wide = df.agg(*aggs)
+    wide = spread(df).agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("pii_type"),
                  F.col(f"m{i}_{j}").cast("bigint").alias("match_count"),

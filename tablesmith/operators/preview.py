@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import format_phone
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, spread
 
 DEFAULT_PAGE_SIZE = 50
 
@@ -41,7 +41,7 @@ def global_filter(df: DataFrame, pattern: str | None, cols: list[str] | None = N
     cols = cols or user_columns(df)
     regex = "(?iu)" + pattern
     conds = [F.coalesce(_as_text(df, c).rlike(regex), F.lit(False)) for c in cols]
-    return df.where(functools.reduce(operator.or_, conds)) if conds else df
+    return spread(df).where(functools.reduce(operator.or_, conds)) if conds else df
 
 
 def column_filter(df: DataFrame, filters: dict[str, str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tf
 from ..functions.types import ROW_ID, qcol, text_columns
+from ..plans.sizing import spread
 
 STRING_OPS = {
     "trim": tf.strip_whitespace,
@@ -29,7 +30,7 @@ def string_op(df: DataFrame, op: str, cols=None) -> DataFrame:
         raise ValueError(f"unknown string operation {op!r}")
     fn = STRING_OPS[op]
     targets = _text_targets(df, cols)
-    return df.withColumns({c: fn(qcol(c)) for c in targets}) if targets else df
+    return spread(df).withColumns({c: fn(qcol(c)) for c in targets}) if targets else df
 
 
 def trim(df, cols=None):
@@ -56,7 +57,7 @@ def find_replace(df: DataFrame, find: str, replace: str = "", cols=None,
         raise ValueError("'Find' value cannot be empty.")
     fn = tf.replace_regex if use_regex else tf.replace_literal
     targets = _text_targets(df, cols)
-    return df.withColumns({c: fn(qcol(c), find, replace, match_case) for c in targets}) if targets else df
+    return spread(df).withColumns({c: fn(qcol(c), find, replace, match_case) for c in targets}) if targets else df
 
 
 def validate_emails(df: DataFrame, cols, action: str = "clear") -> DataFrame:
@@ -83,16 +84,16 @@ def count_invalid_emails(df: DataFrame, cols) -> DataFrame:
 
 def format_phones(df: DataFrame, cols) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.withColumns({c: tf.format_phone(qcol(c)) for c in cols})
+    return spread(df).withColumns({c: tf.format_phone(qcol(c)) for c in cols})
 
 
 def strip_markdown(df: DataFrame, cols) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.withColumns({c: tf.strip_markdown(qcol(c)) for c in cols})
+    return spread(df).withColumns({c: tf.strip_markdown(qcol(c)) for c in cols})
 
 
 def split_segments(df: DataFrame, col: str, keys=None) -> DataFrame:
     """One row per clean segment: ``keys..., segment_no, segment``."""
     keys = [keys] if isinstance(keys, str) else list(keys or ([ROW_ID] if ROW_ID in df.columns else []))
-    return df.select(*[qcol(k) for k in keys],
-                     F.posexplode(tf.split_segments(qcol(col))).alias("segment_no", "segment"))
+    return spread(df).select(*[qcol(k) for k in keys],
+                             F.posexplode(tf.split_segments(qcol(col))).alias("segment_no", "segment"))

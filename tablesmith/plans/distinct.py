@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import qcol
+from .sizing import spread
 
 
 def _as_text(df: DataFrame, name: str):
@@ -34,7 +35,7 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
         return row.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("bigint").alias("unique_count"))
             for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    pairs = df.select(F.explode(F.array(*[
+    pairs = spread(df).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in cols
     ])).alias("p")).select("p.*").where(F.col("value").isNotNull())
     # Entirely-NULL columns produce no row here; callers default them to 0.

@@ -38,3 +38,44 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_MAX_BYTES) -> DataF
     a shuffle join (AQE may still convert it at run time with real sizes).
     """
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+# Spreading adds a shuffle of the input; only worth it for modest inputs.
+SPREAD_MAX_BYTES = 1 << 30
+_NARROW_NODES = {"Project", "Filter", "ColumnarToRow", "FileSourceScan", "Scan parquet", "Scan csv",
+                 "Scan json", "Scan text", "Scan orc"}
+
+
+def _narrow_scan_only(df: DataFrame) -> bool:
+    """True when the physical plan is file scans under projections/filters only."""
+    try:
+        stack = [df._jdf.queryExecution().sparkPlan()]
+        while stack:
+            node = stack.pop()
+            name = node.nodeName()
+            if not (name in _NARROW_NODES or name.startswith("Scan ")):
+                return False
+            kids = node.children()
+            stack.extend(kids.apply(i) for i in range(kids.size()))
+        return True
+    except Exception:  # pragma: no cover - e.g. Connect sessions
+        return False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned input over the cluster before heavy
+    per-row work (regexes over long texts, wide unpivots).
+
+    A Parquet file with one row group is read by one task whatever its size;
+    without this, every expression above the scan runs in that one task.
+    Only a plain scan (plus projections/filters) of fewer files than
+    ``defaultParallelism`` and at most ``SPREAD_MAX_BYTES`` is spread; large
+    inputs with many splits, plans that already shuffle and streaming
+    DataFrames are returned unchanged.
+    """
+    if df.isStreaming or not _narrow_scan_only(df):
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= target or estimated_bytes(df) > SPREAD_MAX_BYTES:
+        return df
+    return df.repartition(target)
