@@ -95,6 +95,35 @@ def split_segments(col) -> Column:
         F.size(parts) > 0, parts).otherwise(F.array(strip_whitespace(text)))
 
 
+# --- Python-style text of values (what ``astype(str)`` shows) ----------------
+
+def python_float_text(col) -> Column:
+    """``str(float)``: plain decimals for 1e-4 <= |x| < 1e16 (``10000000.0``,
+    where Java prints ``1.0E7``), ``1e-05`` / ``1.5e+16`` outside that range."""
+    x = _c(col)
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    java = x.cast("string")
+    mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
+    sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    ax = F.abs(x)
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(x == F.lit(float("inf")), F.lit("inf"))
+            .when(x == F.lit(float("-inf")), F.lit("-inf"))
+            .when(x == 0, java)                      # "0.0" / "-0.0" as Python
+            .when((ax >= F.lit(1e-4)) & (ax < F.lit(1e16)), plain)
+            .otherwise(sci))
+
+
+def python_timestamp_text(col) -> Column:
+    """pandas text of a timestamp: seconds, plus microseconds when non-zero."""
+    x = _c(col)
+    return F.when(F.date_format(x, "SSSSSS") == F.lit("000000"), F.date_format(x, "yyyy-MM-dd HH:mm:ss")) \
+        .otherwise(F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 # --- find / replace -------------------------------------------------------
 
 def java_quote(s: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import format_phone
+from ..functions.text import format_phone, python_float_text, python_timestamp_text
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
 from ..plans.sizing import broadcast_if_small, spread
 
@@ -29,7 +29,9 @@ def _as_text(df: DataFrame, c: str):
     if isinstance(dt, (T.MapType, T.StructType, T.ArrayType)):
         return F.to_json(col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+        return python_timestamp_text(col)
+    if isinstance(dt, T.DoubleType):
+        return python_float_text(col)
     return col.cast("string")
 
 

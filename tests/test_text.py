@@ -121,3 +121,16 @@ def test_string_op_unknown_raises(spark):
     df = spark.createDataFrame([("a",)], "t string")
     with pytest.raises(ValueError):
         text.string_op(df, "reverse")
+
+
+def test_python_float_and_timestamp_text(spark):
+    import datetime
+    vals = [6.55, 10000000.0, 12345678.9, 0.1 + 0.2, 5.0, -0.0, 0.0001, 1e-05, 2.5e-3, 1 / 3, 1.5e16, -2e20,
+            float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(tf.python_float_text(F.col("x"))).collect()]
+    assert got == [None if v is None else str(v) for v in vals]
+    ts = spark.createDataFrame([(datetime.datetime(2024, 1, 2, 3, 4, 5),), (datetime.datetime(2024, 1, 2, 3, 4, 5, 120),)],
+                               "t timestamp")
+    assert [r[0] for r in ts.select(tf.python_timestamp_text(F.col("t"))).collect()] == \
+        ["2024-01-02 03:04:05", "2024-01-02 03:04:05.000120"]
