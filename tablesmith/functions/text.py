@@ -99,14 +99,19 @@ def split_segments(col) -> Column:
 
 def python_float_text(col) -> Column:
     """``str(float)``: plain decimals for 1e-4 <= |x| < 1e16 (``10000000.0``,
-    where Java prints ``1.0E7``), ``1e-05`` / ``1.5e+16`` outside that range."""
+    where Java prints ``1.0E7``), ``1e-05`` / ``1.5e+16`` outside that range.
+
+    Digits come from the JVM's double-to-text conversion; before JDK 19 that
+    is not always the shortest form (e.g. 2**-24), so such rare values show
+    more digits than Python prints."""
     x = _c(col)
     plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
     java = x.cast("string")
     mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
+    digits = F.abs(exp).cast("string")
     sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
+                   F.when(F.abs(exp) < 10, F.concat(F.lit("0"), digits)).otherwise(digits))
     ax = F.abs(x)
     return (F.when(x.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(x), F.lit("nan"))

@@ -1,5 +1,8 @@
 """Distinct counts of many columns in one shuffle.
 
+Values are unpivoted into typed slots (integers, floats, text), so numbers
+are compared as numbers and never rendered as text.
+
 ``count(DISTINCT c1), count(DISTINCT c2), ...`` in one aggregate makes Spark
 plan an n-way ``Expand``.  Unpivoting to (column, value) and grouping on
 both keys does the same work with a narrow row, keeps the partial
@@ -17,15 +20,30 @@ from ..functions.types import qcol
 from .sizing import spread
 
 
-def _as_text(df: DataFrame, name: str):
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType,
+             T.TimestampType, T.TimestampNTZType)
+
+
+def _typed_value(df: DataFrame, name: str):
+    """(long, double, string) slots: each column fills the one slot that
+    holds its values exactly; no text rendering of numbers."""
     dt = df.schema[name].dataType
     c = qcol(name)
-    if isinstance(dt, (T.MapType, T.StructType, T.ArrayType)):
-        return F.to_json(c)
+    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")), none_d, none_s
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("long"), none_d, none_s
+    if isinstance(dt, T.BooleanType):
+        return c.cast("long"), none_d, none_s
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long"), none_d, none_s
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         # -0.0 equals 0.0 as a number; keep them one value.
-        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
-    return c.cast("string")
+        return none_l, F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")), none_s
+    if isinstance(dt, (T.MapType, T.StructType, T.ArrayType)):
+        return none_l, none_d, F.to_json(c)
+    return none_l, none_d, c.cast("string")
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
@@ -35,9 +53,10 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
         return row.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("bigint").alias("unique_count"))
             for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    slots = [(c, *_typed_value(df, c)) for c in cols]
     pairs = spread(df).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in cols
-    ])).alias("p")).select("p.*").where(F.col("value").isNotNull())
+        F.struct(F.lit(c).alias("column"), lv.alias("l"), dv.alias("d"), sv.alias("s")) for c, lv, dv, sv in slots
+    ])).alias("p")).select("p.*").where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
     # Entirely-NULL columns produce no row here; callers default them to 0.
     return pairs.distinct().groupBy("column").agg(
         F.count(F.lit(1)).cast("bigint").alias("unique_count"))
