@@ -719,6 +719,26 @@ WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_order
         _group_query(_fn, _rnd))
 
 
+@query("group_by_median_bracket", _with(DIRTY_ORDERS_SQL) + """SELECT o_orderstatus, o_orderpriority,
+  round(quantile_cont(o_totalprice, 0.5), 4) AS o_totalprice FROM dirty_orders
+WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_orderstatus, o_orderpriority""")
+def q_group_median_bracket(spark, sf):
+    # The per-group bracket plan used above the small-input size, forced here.
+    out = reshape.group_by(dirty_orders(spark, sf), GROUP_KEYS, "o_totalprice", "median", small_bytes=0)
+    return out.select(*GROUP_KEYS, _r("o_totalprice", 4))
+
+
+@query("pivot_median_bracket", _with(DIRTY_ORDERS_SQL) + """SELECT o_orderpriority,
+  round(coalesce(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'F'), 0), 4) AS "F",
+  round(coalesce(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'O'), 0), 4) AS "O",
+  round(coalesce(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'P'), 0), 4) AS "P"
+FROM dirty_orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderpriority""")
+def q_pivot_median_bracket(spark, sf):
+    out = reshape.pivot(dirty_orders(spark, sf), "o_orderpriority", "o_orderstatus", "o_totalprice", "median",
+                        small_bytes=0)
+    return out.select("o_orderpriority", *[_r(c, 4) for c in out.columns if c != "o_orderpriority"])
+
+
 @query("group_by_prod", """SELECT l_returnflag, l_linestatus,
   round(coalesce(product(1 + l_discount / 100), 1), 8) AS factor FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def q_group_prod(spark, sf):

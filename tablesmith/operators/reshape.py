@@ -4,7 +4,9 @@ All aggregates below except ``nunique`` and ``median`` are declarative, so
 Spark computes them partially on the map side: a hot key holding a third of
 the rows is reduced to one partial row per input partition before the
 shuffle.  ``nunique`` is planned by Spark as a two-level aggregate on
-(keys, value), which also splits a hot key.
+(keys, value), which also splits a hot key.  ``median`` on inputs above the
+small-plan size uses the bracketed per-group plan (``plans.group_quantile``)
+instead of a buffer of every distinct value of a group.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ROW_ID, all_present, numeric_columns, qcol, require_columns
+from ..plans.group_quantile import group_quantile
+from ..plans.sizing import SMALL_PLAN_BYTES, is_small
 
 PIVOT_MAX_VALUES = 10_000
 
@@ -57,8 +61,8 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
     if fn == "count":
         return F.count(x).cast("bigint")
     if fn == "median":
-        # Exact per-group median (buffer = distinct values of the group);
-        # use "approx_median" for very large groups.
+        # One-pass exact median; its buffer holds a group's distinct values,
+        # so group_by/pivot use it only for small inputs (see _median_by_group).
         return F.median(x)
     if fn == "approx_median":
         return F.percentile_approx(x, 0.5, 10_000)
@@ -100,7 +104,8 @@ AGG_FUNCTIONS = ["sum", "mean", "min", "max", "count", "median", "std", "var", "
                  "last", "nunique", "size", "prod", "any", "all", "skew", "idxmin", "idxmax"]
 
 
-def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum") -> DataFrame:
+def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum",
+             small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
     """Group on ``keys`` (rows with a NULL key are dropped), aggregate, order by keys."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
@@ -114,10 +119,21 @@ def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum") -
         if not targets:
             raise ValueError("no numeric column to aggregate")
     base = df.where(all_present(keys))
+    if fn == "median" and not is_small(df, small_bytes):
+        return _median_by_group(base, keys, targets).orderBy(*[qcol(k).asc() for k in keys])
     out = base.groupBy(*[qcol(k) for k in keys]).agg(*[agg_expr(fn, c, df).alias(c) for c in targets])
     return out.orderBy(*[qcol(k).asc() for k in keys])
 
 
+def _median_by_group(base: DataFrame, keys: list[str], targets: list[str]) -> DataFrame:
+    """Exact per-group medians through the bracket plan (bounded per group)."""
+    out = None
+    for c in targets:
+        part = group_quantile(base, keys, c, 0.5, name=c)
+        out = part if out is None else out.join(part, keys, "inner")
+    return out
+
+
 def group_by_all_numeric(df: DataFrame, keys, fn: str = "sum") -> DataFrame:
     return group_by(df, keys, None, fn)
 
@@ -132,7 +148,7 @@ def pivot_values(df: DataFrame, columns: str, max_values: int = PIVOT_MAX_VALUES
 
 
 def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
-          pivot_vals: list | None = None) -> DataFrame:
+          pivot_vals: list | None = None, small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
     """pandas ``pivot_table(..., fill_value=0)``: NULL index/column rows dropped,
     holes filled with 0, index sorted; for aggregates other than sum/count/size
     an index whose every cell is missing disappears."""
@@ -141,7 +157,11 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
     base = df.where(all_present([index, columns]))
     if pivot_vals is None:
         pivot_vals = pivot_values(base, columns)
-    out = base.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(agg_expr(fn, values, df))
+    if fn == "median" and not is_small(df, small_bytes):
+        cells = group_quantile(base, [index, columns], values, 0.5, name="__m")
+        out = cells.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(F.first("__m"))
+    else:
+        out = base.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(agg_expr(fn, values, df))
     value_cols = [c for c in out.columns if c != index]
     if fn not in ("sum", "count", "size", "nunique") and value_cols:
         out = out.na.drop(how="all", subset=value_cols)
