@@ -976,8 +976,8 @@ s AS (SELECT greatest(0.0, 100 - miss * 100.0 / (n * 6)) AS c, greatest(0.0, 100
 
 
 @query("quality_score", QUALITY_SQL + """SELECT round((c + u + 85 + 90) / 4, 2) AS overall_score,
-  round(c, 2) AS completeness_score, round(u, 2) AS uniqueness_score, 85.0 AS consistency_score,
-  90.0 AS validity_score,
+  round(c, 2) AS completeness_score, round(u, 2) AS uniqueness_score, CAST(85 AS DOUBLE) AS consistency_score,
+  CAST(90 AS DOUBLE) AS validity_score,
   CASE WHEN round((c + u + 85 + 90) / 4, 2) >= 90 THEN 'excellent' WHEN round((c + u + 85 + 90) / 4, 2) >= 70 THEN 'good'
        WHEN round((c + u + 85 + 90) / 4, 2) >= 50 THEN 'fair' ELSE 'poor' END AS band FROM s""")
 def q_quality_score(spark, sf):
@@ -1119,7 +1119,7 @@ def q_pii_recs(spark, sf):
 
 @query("json_safe", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
   CASE WHEN value > 50 OR value < 5 THEN NULL ELSE value END AS value,
-  CASE WHEN event_type = 'error' THEN NULL ELSE user_id * 1.0 END AS score FROM events""")
+  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS DOUBLE) END AS score FROM events""")
 def q_json_safe(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     # out-of-range readings as +/-Inf and missing scores as NaN, as pandas would hold them
