@@ -835,6 +835,19 @@ def q_calc_floor_mod(spark, sf):
     return o.select("o_orderkey", _big("m"), _big("mn"))
 
 
+@query("calc_sql_helpers", """SELECT o_orderkey, floor((o_custkey - 700) / 7) AS q,
+  (o_custkey - 700) - 7 * floor((o_custkey - 700) / 7) AS m,
+  round(CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_totalprice / (o_custkey % 4) END, 6) AS t,
+  round(atan2(o_totalprice, o_custkey), 8) AS a2 FROM orders""")
+def q_calc_sql_helpers(spark, sf):
+    o = _table(spark, sf, "orders", "o_orderkey")
+    o = expr.calculated_column(o, "q", "floor_div(o_custkey - 700, 7)")
+    o = expr.calculated_column(o, "m", "floor_mod(o_custkey - 700, 7)")
+    o = expr.calculated_column(o, "t", "round(true_div(o_totalprice, o_custkey % 4), 6)")
+    o = expr.calculated_column(o, "a2", "round(arctan2(o_totalprice, o_custkey), 8)")
+    return o.select("o_orderkey", "q", "m", "t", "a2")
+
+
 @query("calc_power", f"""SELECT {LI_KEY_SQL}, round(power(l_quantity, 2), 6) AS q2,
   round(power(l_discount * 10, 0.5), 8) AS d_half FROM lineitem""")
 def q_calc_power(spark, sf):

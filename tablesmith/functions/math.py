@@ -65,3 +65,26 @@ def math_fn(name: str, col) -> Column:
 
 def arctan2(y, x) -> Column:
     return nan_to_null(F.atan2(_c(y), _c(x)))
+
+
+# SQL-bodied temporary functions (inlined by the analyzer: no UDF at run time)
+# so calculated-column expressions can spell Python operator semantics.
+SQL_FUNCTIONS = {
+    "true_div": "(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN try_divide(a, b)",
+    "floor_div": "(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN floor(try_divide(a, b))",
+    "floor_mod": "(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN a - b * floor(try_divide(a, b))",
+    "arcsin": "(x DOUBLE) RETURNS DOUBLE RETURN nullif(asin(x), double('NaN'))",
+    "arccos": "(x DOUBLE) RETURNS DOUBLE RETURN nullif(acos(x), double('NaN'))",
+    "arctan": "(x DOUBLE) RETURNS DOUBLE RETURN atan(x)",
+    "arcsinh": "(x DOUBLE) RETURNS DOUBLE RETURN asinh(x)",
+    "arccosh": "(x DOUBLE) RETURNS DOUBLE RETURN nullif(acosh(x), double('NaN'))",
+    "arctanh": "(x DOUBLE) RETURNS DOUBLE RETURN nullif(atanh(x), double('NaN'))",
+    "arctan2": "(y DOUBLE, x DOUBLE) RETURNS DOUBLE RETURN atan2(y, x)",
+}
+
+def register_sql_functions(spark) -> None:
+    """Register the helpers above in ``spark`` (temporary functions are per session)."""
+    if spark.catalog.functionExists("floor_mod") and spark.catalog.functionExists("arctan2"):
+        return
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

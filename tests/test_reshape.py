@@ -118,3 +118,16 @@ def test_group_and_pivot_median_bracket_plan(spark):
     p_small = sorted(tuple(r) for r in reshape.pivot(df, "g", "c", "v", "median").collect())
     p_big = sorted(tuple(r) for r in reshape.pivot(df, "g", "c", "v", "median", small_bytes=0).collect())
     assert p_small == p_big
+
+
+def test_sql_helpers_in_expressions(spark):
+    df = spark.createDataFrame([(-7, 2), (7, -2), (7, 0)], "a bigint, b bigint")
+    out = expr.calculated_column(df, "q", "floor_div(a, b)")
+    out = expr.calculated_column(out, "m", "floor_mod(a, b)")
+    out = expr.calculated_column(out, "t", "true_div(a, b)")
+    out = expr.calculated_column(out, "s", "arcsin(a / 7.0)")
+    got = [(r.q, r.m, r.t, r.s) for r in out.collect()]
+    assert got[0][:3] == (-4.0, 1.0, -3.5) and got[1][:3] == (-4.0, -1.0, -3.5) and got[2][:3] == (None, None, None)
+    assert got[0][3] == pytest.approx(-math.pi / 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
