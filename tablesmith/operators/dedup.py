@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ROW_ID, qcol, require_columns, user_columns
+from ..plans.duplicates import duplicate_rows
 
 
 def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
@@ -39,10 +40,13 @@ def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
 
 
 def count_duplicates(df: DataFrame, subset=None) -> DataFrame:
-    """One row: rows minus distinct rows (``duplicated().sum()``)."""
+    """One row: rows minus distinct rows (``duplicated().sum()``).
+
+    Exact, via the two-phase hash plan (``plans.duplicates``): only rows whose
+    64-bit row hash repeats are shuffled in full."""
     keys = list(subset) if subset else user_columns(df)
-    return (df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-            .agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")))
+    dups = duplicate_rows(df, keys)
+    return df.agg(F.lit(dups).cast("bigint").alias("duplicate_rows"))
 
 
 def duplicates_removed(before: DataFrame, after: DataFrame) -> int:

@@ -1,8 +1,7 @@
 """Profiling and quality scores.
 
-* ``profile_dataset``: rows, columns, missing cells, duplicate rows - ONE
-  shuffle (group by all columns; a row group's size gives the duplicates,
-  its key's NULLs times its size give the missing cells).
+* ``profile_dataset``: rows, columns and missing cells in one keyless
+  aggregate; duplicate rows through the two-phase row-hash plan.
 * ``profile_columns``: one wide aggregate for counts and moments, one
   unpivoted distinct count, one quantile computation for medians.
 """
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import qcol, user_columns
 from ..plans.distinct import distinct_counts
+from ..plans.duplicates import duplicate_rows
 from ..plans.quantile import quantiles
 
 # ---------------------------------------------------------------------------
@@ -37,23 +37,20 @@ _STAT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DecimalType)
 
 
-def _groupable(df: DataFrame, c: str):
-    dt = df.schema[c].dataType
-    if isinstance(dt, T.MapType) or (isinstance(dt, (T.ArrayType, T.StructType)) and "map<" in dt.simpleString()):
-        return F.to_json(qcol(c)).alias(c)
-    return qcol(c)
-
-
 def profile_dataset(df: DataFrame) -> DataFrame:
-    """One row: total_rows, total_columns, missing_cells, duplicate_rows."""
+    """One row: total_rows, total_columns, missing_cells, duplicate_rows.
+
+    Rows and missing cells are one keyless aggregate; duplicate rows come
+    from the two-phase hash plan, which shuffles only an 8-byte hash per row
+    plus the few rows whose hash repeats."""
     cols = user_columns(df)
-    groups = df.groupBy(*[_groupable(df, c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+    dups = duplicate_rows(df, cols)
     nulls = functools.reduce(operator.add, [qcol(c).isNull().cast("long") for c in cols], F.lit(0).cast("long"))
-    return groups.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("total_rows"),
+    return df.agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_rows"),
         F.lit(len(cols)).cast("bigint").alias("total_columns"),
-        F.coalesce(F.sum(F.col("__n") * nulls), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+        F.coalesce(F.sum(nulls), F.lit(0)).cast("bigint").alias("missing_cells"),
+        F.lit(dups).cast("bigint").alias("duplicate_rows"))
 
 
 def score_band(score) -> "F.Column":

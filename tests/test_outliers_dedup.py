@@ -84,3 +84,17 @@ def test_dedup_partition_count_invariance(spark):
     a = sorted(dedup.drop_duplicates(base.repartition(1), ["g", "t"]).collect())
     b = sorted(dedup.drop_duplicates(base.repartition(8), ["g", "t"]).collect())
     assert a == b and len(a) == 35
+
+
+@pytest.mark.parametrize("broadcast_limit", [2_000_000, 0])
+def test_duplicate_rows_two_phase_exact(spark, broadcast_limit, monkeypatch):
+    from tablesmith.plans import duplicates
+    monkeypatch.setattr(duplicates, "BROADCAST_CANDIDATES", broadcast_limit)
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 30), rng.choice(["a", "b", None]), rng.choice([1.5, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    pdf = pd.DataFrame(rows, columns=["k", "s", "v"])
+    assert duplicates.duplicate_rows(df, ["k", "s", "v"]) == int(pdf.duplicated().sum())
+    assert duplicates.duplicate_rows(df, ["k"]) == int(pdf.duplicated(subset=["k"]).sum())
+    uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
+    assert duplicates.duplicate_rows(uniq, ["id", "t"]) == 0
