@@ -465,6 +465,19 @@ def q_dedup_subset_multi(spark, sf):
     return _orders_out(dedup.drop_duplicates(d, ["o_orderstatus", "o_orderpriority"]))
 
 
+@query("dedup_all_two_phase", _with(DUP_ORDERS_SQL) + f"SELECT DISTINCT {ORDERS_COLS_SQL} FROM dup_orders")
+def q_dedup_all_two_phase(spark, sf):
+    # the large-input plan (hash split, exact de-duplication of repeated hashes only), forced
+    return _orders_out(dedup.drop_duplicates(dup_orders(spark, sf), small_bytes=0))
+
+
+@query("dedup_subset_two_phase", """SELECT doc_id, text, lang, source, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
+def q_dedup_subset_two_phase(spark, sf):
+    d = _table(spark, sf, "documents", "doc_id")
+    return dedup.drop_duplicates(d, ["text"], small_bytes=0).drop(ROW_ID)
+
+
 @query("count_duplicates", _with(DUP_ORDERS_SQL) + """SELECT CAST(
   (SELECT count(*) FROM dup_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders)) AS BIGINT)
   AS duplicate_rows""")

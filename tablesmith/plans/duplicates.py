@@ -48,3 +48,10 @@ def duplicate_rows(df: DataFrame, cols: list[str]) -> int:
     rows = keyed.join(cand_side, HASH, "left_semi")
     exact = rows.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
     return exact.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
+
+
+def candidate_hashes(df: DataFrame, cols: list[str]):
+    """(keyed DataFrame with HASH column, candidate-hash DataFrame, candidate count)."""
+    keyed = df.withColumn(HASH, F.xxhash64(*[_hashable(df, c) for c in cols]))
+    cand = keyed.groupBy(HASH).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(HASH)
+    return keyed, cand, cand.count()

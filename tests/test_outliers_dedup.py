@@ -98,3 +98,15 @@ def test_duplicate_rows_two_phase_exact(spark, broadcast_limit, monkeypatch):
     assert duplicates.duplicate_rows(df, ["k"]) == int(pdf.duplicated(subset=["k"]).sum())
     uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
     assert duplicates.duplicate_rows(uniq, ["id", "t"]) == 0
+
+
+def test_dedup_two_phase_equals_direct(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 40), rng.choice(["a", "b", None])) for i in range(500)]
+    df = with_row_id(spark.createDataFrame(rows, "id int, g int, t string"), key="id")
+    for subset in (["g", "t"], ["g"], None):
+        a = sorted(dedup.drop_duplicates(df, subset).collect())
+        b = sorted(dedup.drop_duplicates(df, subset, small_bytes=0).collect())
+        assert a == b
+    uniq = with_row_id(spark.range(0, 100).selectExpr("cast(id as int) AS id"), key="id")
+    assert dedup.drop_duplicates(uniq, ["id"], small_bytes=0).count() == 100
