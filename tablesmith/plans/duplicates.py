@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import qcol
+from .sizing import SMALL_PLAN_BYTES, is_small
 
 HASH = "__rowhash"
 # Above this many candidate hashes the semi-join stays a shuffle join.
@@ -33,11 +34,17 @@ def _hashable(df: DataFrame, c: str):
     return qcol(c)
 
 
-def duplicate_rows(df: DataFrame, cols: list[str]) -> int:
-    """Number of rows that repeat an earlier row on ``cols`` (NULL equals NULL)."""
+def duplicate_rows(df: DataFrame, cols: list[str], small_bytes: int = SMALL_PLAN_BYTES) -> int:
+    """Number of rows that repeat an earlier row on ``cols`` (NULL equals NULL).
+
+    Small inputs: one partial-aggregated group-by on all columns.  Larger
+    inputs: the two-phase hash plan of this module."""
     if not cols:
         return 0
     keyed = df.select(*[_hashable(df, c).alias(c) for c in cols])
+    if is_small(df, small_bytes):
+        exact = keyed.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+        return exact.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
     keyed = keyed.withColumn(HASH, F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
     per_hash = keyed.groupBy(HASH).agg(F.count(F.lit(1)).alias("__n"))
     cand = per_hash.where(F.col("__n") > 1).select(HASH)

@@ -94,10 +94,11 @@ def test_duplicate_rows_two_phase_exact(spark, broadcast_limit, monkeypatch):
     rows = [(rng.randint(0, 30), rng.choice(["a", "b", None]), rng.choice([1.5, None])) for _ in range(400)]
     df = spark.createDataFrame(rows, "k int, s string, v double")
     pdf = pd.DataFrame(rows, columns=["k", "s", "v"])
-    assert duplicates.duplicate_rows(df, ["k", "s", "v"]) == int(pdf.duplicated().sum())
-    assert duplicates.duplicate_rows(df, ["k"]) == int(pdf.duplicated(subset=["k"]).sum())
-    uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
-    assert duplicates.duplicate_rows(uniq, ["id", "t"]) == 0
+    for small in (0, 1 << 40):
+        assert duplicates.duplicate_rows(df, ["k", "s", "v"], small) == int(pdf.duplicated().sum())
+        assert duplicates.duplicate_rows(df, ["k"], small) == int(pdf.duplicated(subset=["k"]).sum())
+        uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
+        assert duplicates.duplicate_rows(uniq, ["id", "t"], small) == 0
 
 
 def test_dedup_two_phase_equals_direct(spark):
