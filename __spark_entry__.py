@@ -485,6 +485,17 @@ def q_count_duplicates(spark, sf):
     return dedup.count_duplicates(dup_orders(spark, sf))
 
 
+@query("count_duplicates_two_phase", _with(DUP_ORDERS_SQL) + """SELECT CAST(
+  (SELECT count(*) FROM dup_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders)) AS BIGINT)
+  AS duplicate_rows""")
+def q_count_duplicates_two_phase(spark, sf):
+    # the large-input plan (row-hash phase, exact grouping of repeated hashes only), forced
+    from tablesmith.plans.duplicates import duplicate_rows
+    d = dup_orders(spark, sf)
+    cols = [c for c in d.columns if c != ROW_ID]
+    return d.agg(F.lit(duplicate_rows(d, cols, small_bytes=0)).cast("bigint").alias("duplicate_rows"))
+
+
 IQR_SQL = """b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
 bb AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)"""
 
