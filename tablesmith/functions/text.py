@@ -129,6 +129,20 @@ def python_timestamp_text(col) -> Column:
         .otherwise(F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def check_regex(pattern: str) -> str:
+    """Compile ``pattern`` with the JVM's regex engine (the one ``rlike`` and
+    ``regexp_replace`` use) so a bad pattern fails here, not inside a task."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        try:
+            sc._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:  # py4j wraps PatternSyntaxException
+            msg = str(e).splitlines()
+            raise ValueError(f"invalid regular expression {pattern!r}: {msg[1] if len(msg) > 1 else msg[0]}") from None
+    return pattern
+
+
 # --- find / replace -------------------------------------------------------
 
 def java_quote(s: str) -> str:
@@ -194,5 +208,5 @@ def replace_regex(col, pattern: str, repl: str, match_case: bool = False) -> Col
     if not pattern:
         raise ValueError("find value cannot be empty")
     flags = "" if match_case else "(?iu)"
-    return F.regexp_replace(_c(col), flags + python_pattern_to_java(pattern),
+    return F.regexp_replace(_c(col), check_regex(flags + python_pattern_to_java(pattern)),
                             python_template_to_java(repl))

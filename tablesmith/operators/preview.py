@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import format_phone, python_float_text, python_timestamp_text
+from ..functions.text import check_regex, format_phone, python_float_text, python_timestamp_text
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
 from ..plans.sizing import broadcast_if_small, spread
 
@@ -41,7 +41,7 @@ def global_filter(df: DataFrame, pattern: str | None, cols: list[str] | None = N
     if not pattern:
         return df
     cols = cols or user_columns(df)
-    regex = "(?iu)" + pattern
+    regex = check_regex("(?iu)" + pattern)
     conds = [F.coalesce(_as_text(df, c).rlike(regex), F.lit(False)) for c in cols]
     return spread(df).where(functools.reduce(operator.or_, conds)) if conds else df
 

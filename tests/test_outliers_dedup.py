@@ -111,3 +111,13 @@ def test_dedup_two_phase_equals_direct(spark):
         assert a == b
     uniq = with_row_id(spark.range(0, 100).selectExpr("cast(id as int) AS id"), key="id")
     assert dedup.drop_duplicates(uniq, ["id"], small_bytes=0).count() == 100
+
+
+def test_cap_leaves_no_outlier_against_same_bounds(spark):
+    rng = random.Random(21)
+    vals = [rng.gauss(0, 1) * (25 if i % 13 == 0 else 1) for i in range(700)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    _, _, lo, hi = outliers.iqr_bounds(df, ["v"])["v"]
+    capped = [r.v for r in outliers.outliers_cap(df, ["v"]).collect()]
+    assert all(lo <= v <= hi for v in capped) and len(capped) == len(vals)
+    assert outliers.outlier_counts(outliers.outliers_cap(df, ["v"]), {"v": (None, None, lo, hi)})["v"] == (0, 0)

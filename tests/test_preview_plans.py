@@ -40,6 +40,8 @@ def test_global_and_column_filters(spark):
     assert sorted(r.id for r in preview.global_filter(df, "alp").collect()) == [1, 3]
     assert sorted(r.id for r in preview.global_filter(df, "^b").collect()) == [2]
     assert sorted(r.id for r in preview.global_filter(df, "nan|none").collect()) == []     # D2
+    with pytest.raises(ValueError):
+        preview.global_filter(df, "(unclosed")
     assert sorted(r.id for r in preview.column_filter(df, {"a": "ALP", "b": ""}).collect()) == [1]
 
 
