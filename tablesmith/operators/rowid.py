@@ -5,24 +5,60 @@ The reference keeps a pandas index label per row; order-dependent operators
 carry it as an explicit ``_row_id`` BIGINT column.
 
 * With a key column (``key=``) the label is that key: deterministic, no job.
-* Without one, ``monotonically_increasing_id()`` labels rows in file-split
-  order.  It is stable for a given input layout (re-executed tasks get the
-  same ids), needs no shuffle and no single-task window.
+* On a Parquet scan, the label is the row's position in its file
+  (``_metadata.row_index``) with the file's ordinal in the sorted file
+  listing in the high bits: deterministic, and - unlike a nondeterministic
+  expression - it lets Catalyst keep pushing later filters into the scan.
+* Otherwise (CSV, JSON, derived DataFrames) ``monotonically_increasing_id()``
+  labels rows in split order; it needs no shuffle and no single-task window.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ROW_ID, qcol
 
 
+ROW_BITS = 40                 # up to 2**40 rows per file, 2**23 files
+MAX_LITERAL_FILES = 10_000    # above this, the file ordinals come from a broadcast join
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+"
+
+
+def _norm_path(p: str) -> str:
+    return "/" + re.sub(_SCHEME, "", p).lstrip("/")
+
+
+def _parquet_row_id(df: DataFrame):
+    """Deterministic label from Parquet file metadata, or None if unavailable."""
+    try:
+        df.select("_metadata.row_index", "_metadata.file_path").schema
+    except Exception:
+        return None
+    files = sorted({_norm_path(p) for p in df.inputFiles()})
+    pos = F.col("_metadata.row_index").cast("bigint")
+    if len(files) == 1:
+        return df.withColumn(ROW_ID, pos)
+    path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "/")
+    if len(files) <= MAX_LITERAL_FILES:
+        ordinal = F.element_at(F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))]), path)
+        return df.withColumn(ROW_ID, F.shiftleft(ordinal.cast("bigint"), ROW_BITS) + pos)
+    listing = df.sparkSession.createDataFrame(list(enumerate(files)), "__ord bigint, __path string")
+    joined = df.withColumn("__p", path).join(F.broadcast(listing), F.col("__p") == F.col("__path"), "inner")
+    return joined.withColumn(ROW_ID, F.shiftleft(F.col("__ord"), ROW_BITS) + pos).drop("__p", "__path", "__ord")
+
+
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     if ROW_ID in df.columns:
         return df
     if key is not None:
         return df.withColumn(ROW_ID, qcol(key).cast("bigint"))
+    labelled = _parquet_row_id(df)
+    if labelled is not None:
+        return labelled
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 

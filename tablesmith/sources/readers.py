@@ -116,6 +116,12 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, row_id_key: str
                "jsonl": read_json_lines, "parquet": read_parquet}
     if kind not in readers:
         raise ValueError(f"Unsupported file format: .{kind}")
+    if kind == "parquet":
+        # label the raw scan (its hidden file metadata gives a deterministic
+        # row position), then apply the NaN rule
+        nan_as_null = kw.pop("nan_as_null", True)
+        df = with_row_id(spark.read.parquet(path), key=row_id_key)
+        return nan_to_null(df) if nan_as_null else df
     return with_row_id(readers[kind](spark, path, **kw), key=row_id_key)
 
 
