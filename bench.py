@@ -82,17 +82,23 @@ def main():
     spark = get_spark(master=f"local[{CPUS}]", shuffle_partitions=int(CPUS))
     qs = build(spark)
     times = {}
+    failed = {}
     for name, fn in qs.items():
-        fn()  # warm-up (JIT, file listing, codegen cache)
-        runs = []
-        for _ in range(REPS):
-            t0 = time.perf_counter()
-            fn()
-            runs.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(runs), 4)
+        try:
+            fn()  # warm-up (JIT, file listing, codegen cache)
+            runs = []
+            for _ in range(REPS):
+                t0 = time.perf_counter()
+                fn()
+                runs.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(runs), 4)
+        except Exception as e:  # noqa: BLE001 - report, keep measuring the rest
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", SF_DIR)
     out = {"metric": "total_median_sec", "value": round(sum(times.values()), 4), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else SF_DIR, "cpus": int(CPUS)}
+    if failed:
+        out["failed"] = failed
     print(json.dumps(out))
 
 

@@ -73,9 +73,9 @@ def spread(df: DataFrame) -> DataFrame:
     inputs with many splits, plans that already shuffle and streaming
     DataFrames are returned unchanged.
     """
-    if df.isStreaming or not _narrow_scan_only(df):
+    if df.isStreaming or estimated_bytes(df) > SPREAD_MAX_BYTES or not _narrow_scan_only(df):
         return df
     target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target or estimated_bytes(df) > SPREAD_MAX_BYTES:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target)
