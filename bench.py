@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tablesmith.operators import dedup, expr, missing, outliers, preview, profile, reshape, text  # noqa: E402
+from tablesmith.operators import dedup, expr, missing, outliers, pii, preview, profile, reshape, text  # noqa: E402
 from tablesmith.plans.distinct import distinct_counts  # noqa: E402
 from tablesmith.session import get_spark  # noqa: E402
 from tablesmith.sources import readers  # noqa: E402
@@ -58,8 +58,8 @@ def build(spark):
         "calculated_column": lambda: _sink(expr.calculated_column(
             t("lineitem"), "revenue", "l_extendedprice * (1 - l_discount)").select("revenue")),
         # distinct count of every column
-        "distinct_every_column": lambda: distinct_counts(
-            t("lineitem").drop("_row_id"), [c for c in t("lineitem").columns if c != "_row_id"]).collect(),
+        "distinct_every_column": lambda: (lambda li: distinct_counts(li, li.columns).collect())(
+            t("lineitem").drop("_row_id")),
         # literal, case-insensitive find/replace over whole texts
         "replace_literal": lambda: _sink(text.find_replace(t("documents"), "the", "THE", ["text"])
                                          .select("text")),
@@ -73,8 +73,7 @@ def build(spark):
             t("events").withColumn("value", F.when(F.col("event_id") % 4 == 0, F.col("value"))),
             ["value"], order_by="event_id")),
         "profile_dataset": lambda: profile.profile_dataset(t("orders")).collect(),
-        "pii_scan_documents": lambda: __import__("tablesmith.operators.pii", fromlist=["pii_scan"])
-            .pii_scan(t("documents"), ["text"]).collect(),
+        "pii_scan_documents": lambda: pii.pii_scan(t("documents"), ["text"]).collect(),
     }
 
 
