@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import check_regex, format_phone, python_float_text, python_timestamp_text
+from ..functions.text import (check_regex, format_phone, python_float_text, python_pattern_to_java,
+                              python_timestamp_text)
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
 from ..plans.sizing import broadcast_if_small, spread
 
@@ -32,6 +33,8 @@ def _as_text(df: DataFrame, c: str):
         return python_timestamp_text(col)
     if isinstance(dt, T.DoubleType):
         return python_float_text(col)
+    if isinstance(dt, T.BooleanType):
+        return F.when(col, F.lit("True")).when(~col, F.lit("False"))
     return col.cast("string")
 
 
@@ -41,7 +44,7 @@ def global_filter(df: DataFrame, pattern: str | None, cols: list[str] | None = N
     if not pattern:
         return df
     cols = cols or user_columns(df)
-    regex = check_regex("(?iu)" + pattern)
+    regex = check_regex("(?iu)" + python_pattern_to_java(pattern))
     conds = [F.coalesce(_as_text(df, c).rlike(regex), F.lit(False)) for c in cols]
     return spread(df).where(functools.reduce(operator.or_, conds)) if conds else df
 

@@ -42,6 +42,9 @@ def test_global_and_column_filters(spark):
     assert sorted(r.id for r in preview.global_filter(df, "nan|none").collect()) == []     # D2
     with pytest.raises(ValueError):
         preview.global_filter(df, "(unclosed")
+    flags = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, b boolean")
+    assert [r.id for r in preview.global_filter(flags, "^True$").collect()] == [1]
+    assert sorted(r.id for r in preview.global_filter(df, "(?P<x>alp)").collect()) == [1, 3]
     assert sorted(r.id for r in preview.column_filter(df, {"a": "ALP", "b": ""}).collect()) == [1]
 
 
