@@ -43,3 +43,29 @@ def test_entry_contract(spark):
 def test_selected_queries_run_at_sf001(spark, name):
     import __spark_entry__ as E
     assert E.queries()[name](spark, SF01).count() > 0
+
+
+def test_stream_safe_text_operators_match_batch(spark, tmpdir_path):
+    from tablesmith.operators import preview
+    from tablesmith.sources.writers import format_phone_columns
+    src = os.path.join(tmpdir_path, "cust")
+    base = spark.read.parquet(f"{SF01}/customer.parquet").select(
+        "c_custkey", "c_name", F.concat(F.lit("user"), F.col("c_custkey").cast("string"),
+                                        F.when(F.col("c_custkey") % 3 == 0, F.lit(" at mail"))
+                                        .otherwise(F.lit("@mail.example.com"))).alias("email"),
+        F.concat(F.lit("919555"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")).alias("phone"))
+    base.write.parquet(src)
+    steps = [
+        (preview.global_filter, {"pattern": "customer#0000001"}),
+        (text.find_replace, {"find": "customer", "replace": "client", "cols": ["c_name"]}),
+        (text.validate_emails, {"cols": ["email"], "action": "clear"}),
+        (format_phone_columns, {}),
+    ]
+    out = os.path.join(tmpdir_path, "out")
+    q = stream.write_stream(stream.clean_stream(stream.read_stream(spark, src), steps), out,
+                            checkpoint=os.path.join(tmpdir_path, "ck"))
+    q.awaitTermination(120)
+    batch = base
+    for fn, kw in steps:
+        batch = fn(batch, **kw)
+    assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
