@@ -21,7 +21,7 @@ from tablesmith.functions.types import ROW_ID
 from tablesmith.operators import (dedup, expr, extras, missing, outliers, pii, preview, profile,
                                   reshape, text)
 from tablesmith.operators.rowid import with_row_id
-from tablesmith.session import ensure_checkpoint_dir, scratch_path
+from tablesmith.session import scratch_path
 from tablesmith.sources import readers, store, writers
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -1412,4 +1412,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["entry", "queries", "oracle_sql", "ensure_checkpoint_dir"]
+__all__ = ["entry", "queries", "oracle_sql"]
