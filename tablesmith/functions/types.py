@@ -36,10 +36,13 @@ def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ID]
 
 
-def numeric_columns(df: DataFrame, cols: list[str] | None = None) -> list[str]:
+def numeric_columns(df: DataFrame, cols: list[str] | None = None, include_intervals: bool = False) -> list[str]:
+    """Numeric columns (never booleans).  Durations count as numbers in pandas
+    but no statistic here applies to them, so they are left out by default."""
     wanted = set(cols) if cols else None
     return [f.name for f in df.schema.fields
             if f.name != ROW_ID and is_numeric_type(f.dataType)
+            and (include_intervals or not isinstance(f.dataType, T.DayTimeIntervalType))
             and (wanted is None or f.name in wanted)]
 
 

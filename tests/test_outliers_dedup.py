@@ -121,3 +121,11 @@ def test_cap_leaves_no_outlier_against_same_bounds(spark):
     capped = [r.v for r in outliers.outliers_cap(df, ["v"]).collect()]
     assert all(lo <= v <= hi for v in capped) and len(capped) == len(vals)
     assert outliers.outlier_counts(outliers.outliers_cap(df, ["v"]), {"v": (None, None, lo, hi)})["v"] == (0, 0)
+
+
+def test_interval_columns_are_skipped_by_numeric_defaults(spark):
+    from tablesmith.operators import missing
+    df = spark.sql("SELECT id, CAST(id AS DOUBLE) AS v, make_dt_interval(0, 0, 0, id) AS d FROM range(20)")
+    assert set(outliers.iqr_bounds(df)) == {"id", "v"}
+    assert outliers.outliers_cap(df).count() == 20
+    assert missing.fill_mean(df).count() == 20
