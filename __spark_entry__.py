@@ -1397,7 +1397,9 @@ def q_stream_clean(spark, sf):
     ]).select("event_id", "user_id", "event_type", "value", "value_10")
     out = scratch_path(spark, "stream-out")
     q = stream.write_stream(cleaned, out)
-    q.awaitTermination()
+    if not q.awaitTermination(900):
+        q.stop()
+        raise TimeoutError("stream_clean_events did not finish its available input")
     return spark.read.parquet(out)
 
 
