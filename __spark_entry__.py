@@ -290,6 +290,14 @@ def q_page(spark, sf):
     return _dirty_orders_out(preview.page(view, 3, 50))
 
 
+@query("page_orders_deep", _with(DIRTY_ORDERS_SQL) + f"""SELECT {DIRTY_ORDERS_COLS_SQL} FROM dirty_orders
+ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 12450""")
+def q_page_deep(spark, sf):
+    # the deep-page plan (range sort, checkpoint, per-partition counts), forced
+    view = preview.sort_view(dirty_orders(spark, sf), "o_totalprice", "desc")
+    return _dirty_orders_out(preview.page(view, 250, 50, topk_max_rows=0))
+
+
 @query("preview_orders", _with(DIRTY_ORDERS_SQL) + f"""SELECT o_orderkey AS original_index,
   {DIRTY_ORDERS_COLS_SQL} FROM dirty_orders
 WHERE regexp_matches(o_orderpriority, '1-urgent', 'i') OR regexp_matches(o_orderstatus, '1-urgent', 'i')

@@ -80,11 +80,42 @@ def sort_view(df: DataFrame, sort_by: str | None, order: str = "asc") -> DataFra
     return df.orderBy(key, *ties)
 
 
-def page(df: DataFrame, page_no: int = 1, limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """1-based page of an ordered DataFrame (top-k with offset)."""
+# Pages ending beyond this many rows are cut from a range-sorted table instead
+# of a top-k, whose per-task buffer and final merge grow with the offset.
+TOPK_MAX_ROWS = 100_000
+_PART_SHIFT = 33          # monotonically_increasing_id: partition id in the upper bits
+
+
+def page(df: DataFrame, page_no: int = 1, limit: int = DEFAULT_PAGE_SIZE,
+         topk_max_rows: int = TOPK_MAX_ROWS) -> DataFrame:
+    """1-based page of an ordered DataFrame.
+
+    Shallow pages are a top-k with offset (``TakeOrderedAndProject``).  Deep
+    pages: the ordered data is range-partitioned and labelled with
+    ``monotonically_increasing_id`` (increasing in sort order), checkpointed to
+    the shared checkpoint folder so every pass sees the same partitions, the
+    per-partition row counts (one number per partition) locate the page, and
+    one filter cuts it out - no task ever holds more than its partition.
+    """
     page_no = max(1, int(page_no))
     start = (page_no - 1) * limit
-    return df.offset(start).limit(limit) if start else df.limit(limit)
+    if start + limit <= topk_max_rows:
+        return df.offset(start).limit(limit) if start else df.limit(limit)
+    from ..session import materialize
+    ranked = materialize(df.withColumn("__pos", F.monotonically_increasing_id()))
+    counts = sorted((r["p"], r["n"]) for r in ranked.groupBy(F.shiftright("__pos", _PART_SHIFT).alias("p"))
+                    .agg(F.count(F.lit(1)).alias("n")).collect())
+    conds, seen = [], 0
+    for pid, n in counts:
+        lo, hi = max(start, seen), min(start + limit, seen + n)
+        if lo < hi:
+            base = pid << _PART_SHIFT
+            conds.append(F.col("__pos").between(base + (lo - seen), base + (hi - seen) - 1))
+        seen += n
+    if not conds:
+        return ranked.where(F.lit(False)).drop("__pos")
+    cut = ranked.where(functools.reduce(operator.or_, conds))
+    return cut.orderBy("__pos").drop("__pos")
 
 
 def preview(df: DataFrame, page_no: int = 1, limit: int = DEFAULT_PAGE_SIZE,

@@ -112,3 +112,11 @@ def test_keyless_parquet_load_keeps_pushdown_and_labels(spark, tmpdir_path):
     # deterministic: a second load gives the same label to the same row
     again = {r.o_orderkey: r._row_id for r in readers.load(spark, out).select("o_orderkey", "_row_id").collect()}
     assert again == {r.o_orderkey: r._row_id for r in m.select("o_orderkey", "_row_id").collect()}
+
+
+@pytest.mark.parametrize("page_no", [1, 3, 7, 300, 301])
+def test_deep_page_equals_top_k(spark, page_no):
+    view = preview.sort_view(orders(spark), "o_totalprice", "desc")
+    a = [r.o_orderkey for r in preview.page(view, page_no, 50).collect()]
+    b = [r.o_orderkey for r in preview.page(view, page_no, 50, topk_max_rows=0).collect()]
+    assert a == b and len(a) == (50 if page_no <= 300 else 0)
