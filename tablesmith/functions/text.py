@@ -52,8 +52,8 @@ def title_case(col) -> Column:
     the markers are removed.  A word-initial sharp s titlecases to "Ss".
     """
     c = _c(col)
-    marked = F.regexp_replace(c, _NON_CASED, "$1 ")
-    titled = F.regexp_replace(F.initcap(marked), r"(^| )ß", "$1Ss")
+    marked = F.initcap(F.regexp_replace(c, _NON_CASED, "$1 "))
+    titled = F.when(F.instr(marked, "ß") > 0, F.regexp_replace(marked, r"(^| )ß", "$1Ss")).otherwise(marked)
     return F.regexp_replace(titled, _NON_CASED + " ", "$1")
 
 
