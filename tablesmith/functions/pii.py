@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ HIGH_RISK_TYPES = ("ssn", "credit_card")
 
 PII_TYPES = list(PII_PATTERNS)
 
+# Literals every match of a pattern must contain (read off the patterns): a
+# cheap ``instr`` test skips the regex on values that cannot match.
+REQUIRED_LITERALS = {
+    "email": ["@"],
+    "url": ["http"],
+    "ssn": ["-"],
+    "ip_address": ["."],
+    "date": ["/", "-"],
+}
+
 
 def java_pattern(pii_type: str) -> str:
     # Python's \d, \s and \b are Unicode-aware; (?U) makes Java's the same.
@@ -35,4 +48,9 @@ def java_pattern(pii_type: str) -> str:
 
 def pii_match(col, pii_type: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return c.rlike(java_pattern(pii_type))
+    match = c.rlike(java_pattern(pii_type))
+    needs = REQUIRED_LITERALS.get(pii_type)
+    if not needs:
+        return match
+    possible = functools.reduce(operator.or_, [F.instr(c, lit) > 0 for lit in needs])
+    return F.when(possible, match).otherwise(F.when(c.isNotNull(), F.lit(False)))
