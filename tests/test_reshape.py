@@ -131,3 +131,27 @@ def test_sql_helpers_in_expressions(spark):
     assert got[0][3] == pytest.approx(-math.pi / 2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    from tablesmith.operators import extras
+    rng = random.Random(4)
+    vals = [rng.uniform(-10, 30) for _ in range(997)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = extras.histogram(df, "v", 7).collect()
+    counts, edges = np.histogram([v for v in vals if v is not None], bins=7)
+    assert [r["count"] for r in got] == list(counts)
+    assert [r.lower for r in got] == pytest.approx(list(edges[:-1]))
+    assert [r.upper for r in got] == pytest.approx(list(edges[1:]))
+
+
+def test_value_counts_matches_pandas(spark):
+    from tablesmith.operators import extras
+    rng = random.Random(8)
+    vals = [rng.choice(["a", "b", "c", "d", None]) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [(r.s, r["count"]) for r in extras.value_counts(df, "s").collect()]
+    exp = pd.Series(vals).value_counts()
+    assert dict(got) == exp.to_dict()
+    assert [c for _, c in got] == sorted(exp.tolist(), reverse=True)
