@@ -24,7 +24,9 @@ from ..functions.types import ROW_ID, qcol
 
 
 ROW_BITS = 40                 # up to 2**40 rows per file, 2**23 files
-MAX_LITERAL_FILES = 10_000    # above this, the file ordinals come from a broadcast join
+# A literal map is scanned linearly per row; beyond a few files the ordinals
+# come from a broadcast hash join against the listing (one row per file).
+MAX_LITERAL_FILES = 16
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+"
 
 
