@@ -66,6 +66,10 @@ def _drop_duplicates_direct(df: DataFrame, subset=None, order_by=None) -> DataFr
         if not subset:
             return df.dropDuplicates()
         raise ValueError("keep-first on a subset needs order_by or a row label")
+    if rest == order and len(order) == 1:
+        # the only non-key column is the order itself: a hash-aggregated min
+        first = df.groupBy(*[qcol(k) for k in keys]).agg(F.min(qcol(order[0])).alias(order[0]))
+        return first.select(*[qcol(c) for c in df.columns])
     ord_key = F.struct(*[qcol(c) for c in order]) if len(order) > 1 else qcol(order[0])
     picked = df.groupBy(*[qcol(k) for k in keys]).agg(
         F.min_by(F.struct(*[qcol(c) for c in rest]), ord_key).alias("__first"))
