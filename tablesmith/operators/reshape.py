@@ -101,7 +101,8 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
 
 
 AGG_FUNCTIONS = ["sum", "mean", "min", "max", "count", "median", "std", "var", "sem", "first",
-                 "last", "nunique", "size", "prod", "any", "all", "skew", "idxmin", "idxmax"]
+                 "last", "nunique", "size", "prod", "any", "all", "skew", "idxmin", "idxmax",
+                 "approx_median"]
 
 
 def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum",

@@ -155,3 +155,13 @@ def test_value_counts_matches_pandas(spark):
     exp = pd.Series(vals).value_counts()
     assert dict(got) == exp.to_dict()
     assert [c for _, c in got] == sorted(exp.tolist(), reverse=True)
+
+
+def test_approx_median_close_to_exact(spark):
+    rows = [(i % 3, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    exact = {r.g: r.v for r in reshape.group_by(df, ["g"], "v", "median").collect()}
+    approx = {r.g: r.v for r in reshape.group_by(df, ["g"], "v", "approx_median").collect()}
+    assert set(exact) == set(approx)
+    assert all(abs(exact[k] - approx[k]) <= 3000 / 10_000 * 3 + 3 for k in exact)
+    assert set(reshape.AGG_FUNCTIONS) >= {"median", "approx_median", "idxmax"}
