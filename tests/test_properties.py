@@ -76,3 +76,21 @@ def test_dedup_keep_first_property(spark, rows):
             seen.add(key)
             exp.append(i)
     assert got == exp
+
+
+TEMPLATE_PARTS = st.lists(st.sampled_from(["x", "Y", " ", "$", "$1", "\\1", "\\2", "\\g<1>", "\\g<w>", "\\\\",
+                                           "\\n", "-", "{", "}"]), max_size=6).map("".join)
+
+
+@SETTINGS
+@given(TEMPLATE_PARTS, st.lists(st.text(alphabet=st.sampled_from(list("abcAB -$\\\\")), max_size=15),
+                                min_size=1, max_size=10))
+def test_regex_replacement_templates_match_python(spark, template, values):
+    import re
+    pattern = r"(?P<w>[ab])(B)?"
+    try:
+        expected = [re.sub(pattern, template, v) for v in values]
+    except (re.error, IndexError):
+        return          # Python rejects the template (e.g. group 2 unmatched is fine, bad escapes are not)
+    got = run(spark, values, lambda c: tf.replace_regex(c, pattern, template, match_case=True))
+    assert got == expected
