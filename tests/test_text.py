@@ -68,28 +68,35 @@ def test_replace_regex_python_templates(spark):
     assert got == [re.sub(pat, repl, v) for v in vals]
 
 
-def _py_strip_markdown(t):
+def _py(pattern: str) -> str:
+    """Our constants carry Java flags; Python's re is Unicode-aware by default."""
+    return pattern.replace("(?mU)", "(?m)").replace("(?U)", "")
+
+
+# (kind, pattern, replacement) applied in order, then a whitespace strip
+MD_STEPS = [("re", tf.MD_CHARS_PATTERN, ""), ("re", _py(tf.BULLET_LINE_PATTERN), ""),
+            ("text", "\r\n", "\n"), ("text", "\r", "\n"),
+            ("re", tf.SPACE_BEFORE_NEWLINE_PATTERN, "\n"), ("re", r"\n{3,}", "\n\n")]
+
+
+def _py_strip_markdown(value):
     import re
-    t = re.sub(r"(\*\*|\*|`|_{1,2})", "", t)
-    t = re.sub(r"^\s*[-•]\s+", "", t, flags=re.M)
-    t = t.replace("\r\n", "\n").replace("\r", "\n")
-    t = re.sub(r"[ \t]+\n", "\n", t)
-    return re.sub(r"\n{3,}", "\n\n", t).strip()
+    for kind, pat, rep in MD_STEPS:
+        value = re.sub(pat, rep, value) if kind == "re" else value.replace(pat, rep)
+    return value.strip()
 
 
 def _py_segments(raw):
     import re
-    text_ = _py_strip_markdown(raw)
-    split = re.compile(r"(?:\n+|(?<=\.)\s+(?=[A-Z(])|(?<=:)\s+|(?<=;)\s+|\s+(?=\d+[\.)]\s))")
-    out = []
-    for p in [p for p in split.split(text_) if p and not p.isspace()]:
-        p = p.strip(" \n\t-•–—")
-        if not p:
-            continue
-        p = re.sub(r"^\s*\(?\d+[\.)]\s*", "", p).strip()
-        if p and not re.fullmatch(r"[.;:,()\[\]{}]+", p):
-            out.append(p)
-    return out or [text_.strip()]
+    plain = _py_strip_markdown(raw)
+
+    def tidy(piece):
+        piece = piece.strip(tf.SEGMENT_STRIP_CHARS)
+        return re.sub(_py(tf.NUMBER_PREFIX_PATTERN), "", piece).strip() if piece else ""
+
+    tidied = (tidy(p) for p in re.split(_py(tf.INLINE_SPLIT_PATTERN), plain) if p and not p.isspace())
+    kept = [p for p in tidied if p and not re.fullmatch(tf.PUNCT_ONLY_PATTERN, p)]
+    return kept or [plain.strip()]
 
 
 MD_SAMPLES = ["**Bold** and _it_ and `code`\n- item one\n* item two\n\n\n\nEnd.  \nNext",
