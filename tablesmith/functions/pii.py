@@ -26,6 +26,11 @@ PII_THRESHOLD_PCT = 5.0
 PII_SAMPLE_SIZE = 100
 # Types that make a column high-risk.
 HIGH_RISK_TYPES = ("ssn", "credit_card")
+# Recommendation texts, in the order they are listed.
+PII_REC_DETECTED = "PII data detected in your dataset"
+PII_REC_HIGH_RISK = "High-risk PII detected in columns: "
+PII_REC_ANONYMIZE = "Consider anonymizing or removing these columns"
+PII_REC_COMPLIANCE = "Review data privacy compliance requirements"
 # ---------------------------------------------------------------------------
 
 PII_TYPES = list(PII_PATTERNS)

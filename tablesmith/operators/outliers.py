@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.types import ROW_ID, is_integral_type, numeric_columns, qcol
 from ..plans.quantile import quantiles
 
+# ---------------------------------------------------------------------------
+# IQR fence factor and z-score limit.
 IQR_FACTOR = 1.5
 ZSCORE_LIMIT = 3.0
+# ---------------------------------------------------------------------------
 
 
 def iqr_bounds(df: DataFrame, cols=None, exact: bool = True) -> dict[str, tuple]:

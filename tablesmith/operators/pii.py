@@ -14,8 +14,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import (HIGH_RISK_TYPES, PII_SAMPLE_SIZE, PII_THRESHOLD_PCT, PII_TYPES,
-                             pii_match)
+from ..functions.pii import (HIGH_RISK_TYPES, PII_REC_ANONYMIZE, PII_REC_COMPLIANCE, PII_REC_DETECTED,
+                             PII_REC_HIGH_RISK, PII_SAMPLE_SIZE, PII_THRESHOLD_PCT, PII_TYPES, pii_match)
 from ..functions.types import ROW_ID, qcol, text_columns
 from ..plans.sizing import spread
 
@@ -82,10 +82,9 @@ def pii_recommendations(summary: DataFrame) -> DataFrame:
     agg = summary.agg(F.count(F.lit(1)).alias("n"),
                       F.sort_array(F.collect_list(F.when(F.col("high_risk"), F.col("column")))).alias("hr"))
     recs = F.array_compact(F.array(
-        F.when(F.col("n") > 0, F.lit("PII data detected in your dataset")),
-        F.when(F.size("hr") > 0, F.concat(F.lit("High-risk PII detected in columns: "),
-                                         F.array_join("hr", ", "))),
-        F.when(F.size("hr") > 0, F.lit("Consider anonymizing or removing these columns")),
-        F.lit("Review data privacy compliance requirements")))
+        F.when(F.col("n") > 0, F.lit(PII_REC_DETECTED)),
+        F.when(F.size("hr") > 0, F.concat(F.lit(PII_REC_HIGH_RISK), F.array_join("hr", ", "))),
+        F.when(F.size("hr") > 0, F.lit(PII_REC_ANONYMIZE)),
+        F.lit(PII_REC_COMPLIANCE)))
     return agg.select((F.col("n") > 0).alias("pii_detected"), F.col("n").cast("bigint").alias("total_pii_columns"),
                       recs.alias("recommendations"))

@@ -21,7 +21,10 @@ from ..functions.text import (check_regex, format_phone, python_float_text, pyth
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
 from ..plans.sizing import broadcast_if_small, spread
 
+# ---------------------------------------------------------------------------
+# Default page size of the preview.
 DEFAULT_PAGE_SIZE = 50
+# ---------------------------------------------------------------------------
 
 
 def _as_text(df: DataFrame, c: str):
