@@ -53,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     A cluster sets ``spark.checkpoint.dir`` to storage every executor can
-    reach; we use it as given.  Only when it is unset (a local session in
-    tests) do we create a private scratch folder for this process.
+    reach; we use it as given.  Only a local session (tests, the bench) with
+    the setting unset gets a private scratch folder; on a cluster an unset
+    setting is an error rather than a machine-local folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
@@ -62,6 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    master = sc.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} is not set: on a cluster it must name shared storage "
+                           "that every executor can reach")
     local = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)
