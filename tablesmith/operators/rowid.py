@@ -35,11 +35,7 @@ def _norm_path(p: str) -> str:
 
 
 def _parquet_row_id(df: DataFrame):
-    """Deterministic label from Parquet file metadata, or None if unavailable."""
-    try:
-        df.select("_metadata.row_index", "_metadata.file_path").schema
-    except Exception:
-        return None
+    """Deterministic label from the file metadata of a raw Parquet scan."""
     files = sorted({_norm_path(p) for p in df.inputFiles()})
     pos = F.col("_metadata.row_index").cast("bigint")
     if len(files) == 1:
@@ -53,14 +49,15 @@ def _parquet_row_id(df: DataFrame):
     return joined.withColumn(ROW_ID, F.shiftleft(F.col("__ord"), ROW_BITS) + pos).drop("__p", "__path", "__ord")
 
 
-def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
+def with_row_id(df: DataFrame, key: str | None = None, parquet_scan: bool = False) -> DataFrame:
+    """Add ``_row_id``.  ``parquet_scan=True`` says ``df`` is a raw
+    ``spark.read.parquet`` result, whose hidden file metadata gives the label."""
     if ROW_ID in df.columns:
         return df
     if key is not None:
         return df.withColumn(ROW_ID, qcol(key).cast("bigint"))
-    labelled = _parquet_row_id(df)
-    if labelled is not None:
-        return labelled
+    if parquet_scan:
+        return _parquet_row_id(df)
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 

@@ -120,7 +120,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, row_id_key: str
         # label the raw scan (its hidden file metadata gives a deterministic
         # row position), then apply the NaN rule
         nan_as_null = kw.pop("nan_as_null", True)
-        df = with_row_id(spark.read.parquet(path), key=row_id_key)
+        df = with_row_id(spark.read.parquet(path), key=row_id_key, parquet_scan=True)
         return nan_to_null(df) if nan_as_null else df
     return with_row_id(readers[kind](spark, path, **kw), key=row_id_key)
 
