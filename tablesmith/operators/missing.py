@@ -3,6 +3,8 @@ forward and backward fill, drop sparse columns."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,18 @@ def handle_missing(df: DataFrame, method: str = "remove", cols=None, fill_value_
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
     """Most frequent non-missing value per column, ties -> smallest.
 
-    Per column: a partial-aggregated ``groupBy(value).count()`` then a top-1
-    (a hot value collapses map-side; no task holds a whole column)."""
-    out = {}
-    for c in cols:
-        top = (df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("v")).count()
-               .orderBy(F.desc("count"), F.asc("v")).limit(1).collect())
-        out[c] = top[0]["v"] if top else None
-    return out
+    One job: per column a partial-aggregated ``groupBy(value).count()`` and a
+    top-1 on (count desc, value asc), all columns as branches of one union
+    (values travel as text and are cast back to the column type by the
+    caller).  A hot value collapses map-side; no task holds a whole column."""
+    if not cols:
+        return {}
+    parts = [df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("v")).count()
+             .orderBy(F.desc("count"), F.asc("v")).limit(1)
+             .select(F.lit(c).alias("column"), F.col("v").cast("string").alias("v")) for c in cols]
+    rows = functools.reduce(DataFrame.unionByName, parts).collect()
+    found = {r["column"]: r["v"] for r in rows}
+    return {c: found.get(c) for c in cols}
 
 
 def fill_mode(df: DataFrame, cols=None) -> DataFrame:
