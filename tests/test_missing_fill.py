@@ -112,3 +112,12 @@ def test_fill_with_text_order_key(spark):
     got = [r.v for r in missing.forward_fill(df, ["v"], order_by="k", rows_per_block=9).orderBy("k").collect()]
     exp = pd.Series([v for _, v in rows]).ffill().tolist()
     assert got == pytest.approx(exp, nan_ok=True)
+
+
+def test_fill_mode_typed_columns(spark):
+    import datetime
+    t1, t2 = datetime.datetime(2024, 1, 2, 3, 4, 5, 678000), datetime.datetime(2024, 5, 6)
+    rows = [(1, 0.1 + 0.2, t1), (2, 0.1 + 0.2, t1), (3, 2.5, t2), (4, None, None)]
+    df = frame(spark, rows, "id int, d double, t timestamp")
+    got = missing.fill_mode(df, ["d", "t"]).orderBy("id").collect()
+    assert got[3].d == 0.1 + 0.2 and got[3].t == t1
