@@ -141,3 +141,11 @@ def test_python_float_and_timestamp_text(spark):
                                "t timestamp")
     assert [r[0] for r in ts.select(tf.python_timestamp_text(F.col("t"))).collect()] == \
         ["2024-01-02 03:04:05", "2024-01-02 03:04:05.000120"]
+
+
+def test_named_groups_and_backreferences_translate(spark):
+    import re
+    vals = ["aab abab xx yy", "no match", "aaaa"]
+    for pat, repl in [(r"(?P<x>a)(?P=x)", r"<\g<x>>"), (r"(?P<w>\w)(?P=w)", r"\g<w>!"), (r"(a)(b)", r"\2\1")]:
+        got = one(spark, vals, lambda c: tf.replace_regex(c, pat, repl, match_case=True))
+        assert got == [re.sub(pat, repl, v) for v in vals], pat
