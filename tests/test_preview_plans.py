@@ -133,3 +133,10 @@ def test_row_labels_through_listing_join(spark, tmpdir_path, monkeypatch):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     by_join = {r.o_orderkey: r._row_id for r in joined.select("o_orderkey", "_row_id").collect()}
     assert by_map == by_join and len(set(by_join.values())) == 15000
+
+
+def test_title_label_rule():
+    # underscores become spaces; an ASCII word character after a word boundary is upper-cased
+    cases = {"order_id": "Order Id", "a-b": "A-B", "ship_mode_2x": "Ship Mode 2x", "é_x": "é X",
+             "already Title": "Already Title", "__x": "  X"}
+    assert {k: preview.title_label(k) for k in cases} == cases
