@@ -82,19 +82,20 @@ def outlier_counts(df: DataFrame, bounds: dict) -> dict[str, tuple[int, int]]:
     return out
 
 
-def outliers_nullify(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
-    """Outlier cells become NULL; columns are independent (one bounds job)."""
-    bounds = iqr_bounds(df, cols, exact)
+def outliers_nullify(df: DataFrame, cols=None, exact: bool = True, bounds: dict | None = None) -> DataFrame:
+    """Outlier cells become NULL; columns are independent (one bounds computation)."""
+    bounds = bounds if bounds is not None else iqr_bounds(df, cols, exact)
     updates = {c: F.when(~_mask(c, lo, hi) | qcol(c).isNull(), qcol(c))
                for c, (_, _, lo, hi) in bounds.items() if lo is not None}
     return df.withColumns(updates) if updates else df
 
 
-def outliers_cap(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
+def outliers_cap(df: DataFrame, cols=None, exact: bool = True, bounds: dict | None = None,
+                 counts: dict | None = None) -> DataFrame:
     """Winsorise to the bounds.  An integer column stays integer unless a
     fractional bound is actually written into it (then it becomes double)."""
-    bounds = iqr_bounds(df, cols, exact)
-    counts = outlier_counts(df, bounds)
+    bounds = bounds if bounds is not None else iqr_bounds(df, cols, exact)
+    counts = counts if counts is not None else outlier_counts(df, bounds)
     updates = {}
     for c, (_, _, lo, hi) in bounds.items():
         if lo is None:
@@ -120,8 +121,10 @@ def handle_outliers(df: DataFrame, method: str = "remove", cols=None, exact: boo
     if method not in ("nullify", "cap"):
         raise ValueError(f"unknown outlier method {method!r}")
     bounds = iqr_bounds(df, cols, exact)
-    affected = sum(a + b for a, b in outlier_counts(df, bounds).values())
-    out = outliers_nullify(df, cols, exact) if method == "nullify" else outliers_cap(df, cols, exact)
+    counts = outlier_counts(df, bounds)
+    affected = sum(a + b for a, b in counts.values())
+    out = (outliers_nullify(df, bounds=bounds) if method == "nullify"
+           else outliers_cap(df, bounds=bounds, counts=counts))
     return out, affected
 
 

@@ -129,3 +129,18 @@ def test_interval_columns_are_skipped_by_numeric_defaults(spark):
     assert set(outliers.iqr_bounds(df)) == {"id", "v"}
     assert outliers.outliers_cap(df).count() == 20
     assert missing.fill_mean(df).count() == 20
+
+
+def test_handle_outliers_dispatch_counts(spark):
+    vals = [1.0, 2.0, 3.0, 4.0, 100.0, -50.0, None]
+    df = with_row_id(spark.createDataFrame(list(enumerate(vals)), "id int, v double"), key="id")
+    capped, n_cap = outliers.handle_outliers(df, "cap", ["v"])
+    nulled, n_null = outliers.handle_outliers(df, "nullify", ["v"])
+    removed, n_rem = outliers.handle_outliers(df, "remove", ["v"])
+    s = pd.Series(vals)
+    q1, q3 = s.quantile(0.25), s.quantile(0.75)
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    expected = int(((s < lo) | (s > hi)).sum())
+    assert n_cap == n_null == n_rem == expected
+    assert sorted(r.v for r in capped.collect() if r.v is not None) == sorted(s.dropna().clip(lo, hi))
+    assert removed.count() == len(vals) - expected
