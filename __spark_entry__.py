@@ -1411,6 +1411,22 @@ def q_stream_clean(spark, sf):
     return spark.read.parquet(out)
 
 
+# --- training-data operators: an optional subpackage ----------------------------------------
+
+try:
+    import corpus_pipeline
+    from tablesmith.llm import queries as llm_queries
+except ModuleNotFoundError as e:  # the folder may be left out; a broken import inside it still shows
+    if e.name not in ("corpus_pipeline", "tablesmith.llm"):
+        raise
+else:
+    Q.update(llm_queries.Q)
+    SQL.update(llm_queries.SQL)
+    Q["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # ---------------------------------------------------------------------------
 
 
