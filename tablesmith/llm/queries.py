@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality
+from . import packing, quality
+from .common import stored
 
 Q: dict = {}
 SQL: dict = {}
@@ -23,6 +24,22 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# --- 1: best-fit packing ---------------------------------------------------------------------
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = stored(packing.tokenized(docs, tokenizer_path("word_bpe_49k.json")), "pack-pieces")
+    digests = pieces.select("row_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digests).drop("row_id")
+
+
 # --- 4: quality rules ------------------------------------------------------------------------
 
 def _rules_sql(rules) -> str:
