@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from ..session import scratch_path
+from . import archives, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -79,3 +80,19 @@ def op4(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                        "n_repeat_words", "base_failed", "kept")
+
+
+# --- 6: legacy archive converter -------------------------------------------------------------
+
+@query("op6_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""")
+def op6(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    archives.pages_to_warc(_read(spark, sf_dir, "pages"), path)
+    return archives.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                  "refers_to")
