@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, packing, quality
+from . import archives, minhash, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -96,3 +96,10 @@ def op6(spark, sf_dir):
     archives.pages_to_warc(_read(spark, sf_dir, "pages"), path)
     return archives.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
                                                   "refers_to")
+
+
+# --- 8: b-bit MinHash near-duplicates --------------------------------------------------------
+
+@query("op8_minhash_near_dedup")
+def op8(spark, sf_dir):
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
