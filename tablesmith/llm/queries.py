@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, minhash, packing, quality
+from . import archives, minhash, mixing, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -103,3 +103,49 @@ def op6(spark, sf_dir):
 @query("op8_minhash_near_dedup")
 def op8(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 9: hierarchical mixing ------------------------------------------------------------------
+
+def _mixing_sql(t: mixing.Targets = mixing.TARGETS) -> str:
+    def weight(level):
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in getattr(t, level).items())
+        return f"CASE {level} {cases} ELSE 1 END" if cases else "1"
+
+    ctes, parents = [], []
+    for level in mixing.LEVELS:
+        names = [*parents, level]
+        by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+        up = f"JOIN b_{parents[-1]} USING ({', '.join(parents)})" if parents else "CROSS JOIN b_root"
+        ctes.append(f"""
+n_{level} AS (SELECT {', '.join(names)}, cap, b, w FROM (SELECT {', '.join(names)}, sum(cap) AS cap,
+    {weight(level)} AS w FROM leaf GROUP BY {', '.join(names)}) {up}),
+f_{level} AS (SELECT *, cap * coalesce(sum(w) OVER ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level}
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
+    + w * sum(cap) OVER ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS UNBOUNDED PRECEDING) <= b * w AS is_full
+  FROM n_{level}),
+b_{level} AS (SELECT {', '.join(names)}, CASE WHEN is_full THEN cap ELSE least(cap,
+    (b - coalesce(sum(cap) FILTER (is_full) OVER ({by}), 0)) * w
+      // sum(w) FILTER (NOT is_full) OVER ({by})) END AS b FROM f_{level})""")
+        parents = names
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    {mixing.DOMAIN_SQL.format(source='source')} AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens,
+    CAST(sum(n_tokens) * {t.max_epochs} AS HUGEINT) AS cap FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+b_root AS (SELECT sum(tokens) * {t.percent} // 100 AS b FROM leaf),{','.join(ctes)},
+e AS (SELECT domain, lang, source, b // tokens AS epochs, b % tokens AS rest
+      FROM leaf JOIN b_source USING (domain, lang, source)),
+o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('{t.seed}|' || epochs || '|' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN e USING (domain, lang, source))
+SELECT * FROM (SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o) WHERE copies > 0"""
+
+
+@query("op9_mixing", _mixing_sql())
+def op9(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return mixing.mixed(docs.withColumn("n", mixing.n_tokens("text")).drop("text"), mixing.TARGETS,
+                        mixing.domain_of(), tokens=F.col("n")).drop("n")
