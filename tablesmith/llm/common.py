@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +13,38 @@ from ..session import scratch_path
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
+_OPEN: list = []  # paths of the tables stored in each open scratch() scope
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor rereads the table instead of recomputing
-    it) and costs one computation, unlike an eager checkpoint.  The caller of
-    a long-lived session may delete the folder once its results are written.
+    it) and costs one computation, unlike an eager checkpoint.  The innermost
+    scratch() scope deletes the table, or with ``keep`` the scope around it;
+    outside of any, the caller may once its results are written.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    level = len(_OPEN) - 1 - keep
+    if level >= 0:
+        _OPEN[level].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at the end, but for those stored with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

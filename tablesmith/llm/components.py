@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 HOT_SHARE = 1000  # a key is hot beyond total/HOT_SHARE rows, so there are at most HOT_SHARE hot keys
 
@@ -54,16 +54,17 @@ def _state(links: DataFrame):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b), the component being its smallest node."""
-    links = (links.where("a <> b")
-             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = stored(links, "links")
-    state = _state(links)
-    while state[0]:
-        links = stored(_star(links, 2 * state[0], large=True), "links")
-        links = stored(_star(links, links.count(), large=False), "links")
-        new = _state(links)
-        if new == state:
-            break
-        state = new
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    with scratch(links.sparkSession):
+        links = (links.where("a <> b")
+                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        links = stored(links, "links")
+        state = _state(links)
+        while state[0]:
+            links = stored(_star(links, 2 * state[0], large=True), "links")
+            links = stored(_star(links, links.count(), large=False), "links")
+            new = _state(links)
+            if new == state:
+                break
+            state = new
+        return stored(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components", keep=True)

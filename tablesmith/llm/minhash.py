@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, similar
-from .common import stored
+from .common import scratch, stored
 from .components import join_by_key
 
 WORDS = 5
@@ -44,20 +44,21 @@ PLAN = similar.Plan(word_shingles, bands=32, rows=4, percent=PERCENT)
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of ``docs`` (doc_id, text)."""
     items = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = stored(similar.features(items, PLAN), "features")
-    slim = rows.select("id", "n_shingles", "set_hash")
-    sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
-    groups = similar.grouped(rows, items, PLAN).join(sizes, "set_hash")
-    found = join_by_key(slim, stored(groups, "groups"), "set_hash", slim.count())
-    alone = slim.where("set_hash IS NULL").withColumn("component_id", F.col("id"))
-    return found.unionByName(alone).select(
-        F.col("id").alias("doc_id"), "n_shingles", "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scratch(docs.sparkSession):
+        rows = stored(similar.features(items, PLAN), "features")
+        slim = rows.select("id", "n_shingles", "set_hash")
+        sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
+        groups = stored(similar.grouped(rows, items, PLAN).drop("shared").join(sizes, "set_hash"), "sized")
+        found = join_by_key(slim, groups, "set_hash", slim.count())
+        alone = slim.where("set_hash IS NULL").withColumn("component_id", F.col("id"))
+        return stored(found.unionByName(alone).select(
+            F.col("id").alias("doc_id"), "n_shingles", "component_id",
+            F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, with the input's columns (of repeated rows of it, one)."""
-    found = stored(near_duplicates(docs), "near")
+    found = near_duplicates(docs)
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, minhash, mixing, packing, quality
+from . import archives, line_dedup, minhash, mixing, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -149,3 +149,10 @@ def op9(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return mixing.mixed(docs.withColumn("n", mixing.n_tokens("text")).drop("text"), mixing.TARGETS,
                         mixing.domain_of(), tokens=F.col("n")).drop("n")
+
+
+# --- 10: fuzzy line dedup --------------------------------------------------------------------
+
+@query("op10_line_dedup")
+def op10(spark, sf_dir):
+    return line_dedup.line_report(_read(spark, sf_dir, "documents").select("doc_id", "text"))

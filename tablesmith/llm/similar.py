@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import hashing
-from .common import partitions, slices, stored
+from .common import partitions, scratch, slices, stored
 from .components import components, join_by_key
 
 BITS = 4  # retained low bits of each minimum
@@ -44,6 +44,21 @@ class Plan:
     rows: int
     percent: int  # link when 100 * intersection >= percent * union
     seed: int = 1
+    identity: Callable | None = None  # 16 bytes that tell texts apart (data, offsets); None: their sets'
+
+    def sets(self, data, offsets, distinct: bool = True):
+        """A batch's sets, their bounds, 16 bytes that identify each, and which have members.
+
+        Without ``distinct`` members may repeat, where the identity does not need the sets.
+        """
+        values, bounds = self.shingle(data, offsets)
+        if distinct or self.identity is None:
+            values, bounds = distinct_sorted(values, bounds)
+        if self.identity is None:
+            hashes = set_hash(values, bounds)
+        else:
+            hashes = self.identity(data, offsets)
+        return values, bounds, hashes, np.flatnonzero(np.diff(bounds))
 
     @property
     def minima(self):
@@ -64,13 +79,13 @@ def distinct_sorted(values, bounds):
 
 
 def set_hash(values, bounds):
-    """16 bytes per group that depend on the set only, and whether the group has members."""
+    """16 bytes per group that depend on the set only."""
     full = np.flatnonzero(np.diff(bounds))
     out = np.zeros((len(bounds) - 1, 2), np.uint64)
     for k in range(2):
         if len(full):
             out[full, k] = np.add.reduceat(hashing.mix(values ^ hashing.ORDER[40 + k]), bounds[:-1][full])
-    return out, full
+    return out
 
 
 def _pack(minima):
@@ -117,8 +132,7 @@ def features(items: DataFrame, plan: Plan, full: bool = True) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 data, offsets = hashing.texts(part.column(1))
-                values, bounds = distinct_sorted(*plan.shingle(data, offsets))
-                hashes, has = set_hash(values, bounds)
+                values, bounds, hashes, has = plan.sets(data, offsets, distinct=False)
                 empty = np.ones(len(hashes), bool)
                 empty[has] = False
                 null = pa.array(empty)
@@ -222,8 +236,7 @@ def _of_nodes(items: DataFrame, found: DataFrame, nodes: DataFrame, plan: Plan,
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 data, offsets = hashing.texts(part.column(0))
-                values, bounds = distinct_sorted(*plan.shingle(data, offsets))
-                hashes, has = set_hash(values, bounds)
+                values, bounds, hashes, has = plan.sets(data, offsets)
                 bounds = np.append(bounds[:-1][has], len(values))
                 if len(has):
                     yield pa.RecordBatch.from_arrays([_binary(hashes[has]), make(values, bounds)],
@@ -322,26 +335,28 @@ def _second_look(met: DataFrame, comps: DataFrame, items: DataFrame, found: Data
 
 def linked_classes(items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """(node, component) of every class linked to another; ``items`` (id, text), ``found`` of classes()."""
-    met = buckets(found)
-    pairs = stored(estimated(met.select("a", "b").distinct(), found, plan), "pairs")
-    links = stored(verified(pairs, items, found, plan), "links")
-    comps = components(links)
-    more = stored(_second_look(met, comps, items, found, plan), "pairs")
-    new = stored(verified(more, items, found, plan), "links")
-    if new.isEmpty():
-        return comps
-    # the components so far are stars already; the new links join some of them
-    return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+    with scratch(items.sparkSession):
+        met = buckets(found)
+        pairs = stored(estimated(met.select("a", "b").distinct(), found, plan), "pairs")
+        links = stored(verified(pairs, items, found, plan), "links")
+        comps = components(links)
+        more = stored(_second_look(met, comps, items, found, plan), "pairs")
+        new = stored(verified(more, items, found, plan), "links")
+        # the components so far are stars already; the new links join some of them
+        return stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                                 .unionByName(new)), "components", keep=True)
 
 
 def grouped(rows: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
-    """(set_hash, component_id, __n): each class's smallest linked id, and the rows of the class.
+    """Stored (set_hash, component_id, shared): each class's smallest linked id, and whether other classes share it.
 
     ``rows`` are features() with keys; ``items`` gives texts again for the classes to be verified.
     """
-    found = classes(rows)
-    comps = linked_classes(items, found, plan)
-    mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
-    mine = mine.withColumn("component", F.coalesce("component", "node"))
-    smallest = mine.groupBy("component").agg(F.min("id").alias("component_id"))
-    return mine.join(smallest, "component").select("set_hash", "component_id")
+    with scratch(items.sparkSession):
+        found = classes(rows)
+        comps = linked_classes(items, found, plan)
+        mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
+        mine = mine.withColumn("component", F.coalesce("component", "node"))
+        smallest = mine.where("component IS NOT NULL").groupBy("component").agg(
+            F.min("id").alias("component_id"), (F.count("*") > 1).alias("shared"))
+        return stored(mine.join(smallest, "component").select("set_hash", "component_id", "shared"), "groups", keep=True)
