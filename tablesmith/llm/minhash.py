@@ -59,10 +59,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, with the input's columns (of repeated rows of it, one)."""
     found = near_duplicates(docs)
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    again = repeated.select(F.col("doc_id").alias("__again"))
+    kept = found.where("kept").select(F.col("doc_id").alias("__kept"))
+    repeated = kept.groupBy("__kept").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__kept").alias("__again"))
+    rest = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    if repeated.isEmpty():
+        return rest
     same = F.col("doc_id").eqNullSafe(F.col("__again"))
-    return rest.join(again, same, "left_anti").unionByName(
-        rest.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return rest.join(repeated, same, "left_anti").unionByName(
+        rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
