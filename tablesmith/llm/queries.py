@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, line_dedup, minhash, mixing, packing, quality
+from . import archives, html_text, line_dedup, minhash, mixing, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -156,3 +156,10 @@ def op9(spark, sf_dir):
 @query("op10_line_dedup")
 def op10(spark, sf_dir):
     return line_dedup.line_report(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 3: main text of pages -------------------------------------------------------------------
+
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    return html_text.extracted(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
