@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, html_text, line_dedup, minhash, mixing, packing, quality
+from . import archives, embeddings, html_text, line_dedup, minhash, mixing, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -163,3 +163,17 @@ def op10(spark, sf_dir):
 @query("op3_html_extraction")
 def op3(spark, sf_dir):
     return html_text.extracted(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+# --- 5: near-duplicate vectors ---------------------------------------------------------------
+
+@query("op5_embedding_near_dedup", f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {embeddings.COSINE}),
+r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+c AS (SELECT n, min(c) AS c FROM r GROUP BY n), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.c AS component_id, vec_id = c.c AS kept
+FROM v JOIN c ON c.n = vec_id LEFT JOIN d ON d.a = vec_id""")
+def op5(spark, sf_dir):
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
