@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, embeddings, html_text, line_dedup, minhash, mixing, packing, quality
+from . import archives, debruijn, embeddings, html_text, line_dedup, minhash, mixing, packing, quality
 from .common import stored
 
 Q: dict = {}
@@ -177,3 +177,23 @@ SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.c AS component_id,
 FROM v JOIN c ON c.n = vec_id LEFT JOIN d ON d.a = vec_id""")
 def op5(spark, sf_dir):
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# --- 7: repeated word spans ------------------------------------------------------------------
+
+@query("op7_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) > 19)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(g) ORDER BY doc_id, i) AS k FROM g)
+      WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+      FROM p ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""")
+def op7(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return debruijn.without_repeats(docs).select("doc_id", "n_words", "n_removed",
+                                                 F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
