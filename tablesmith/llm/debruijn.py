@@ -76,7 +76,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 last = np.minimum(first + GRAM, n)
                 grams = words.hashes(first, last)[0].view(np.uint64)
                 text_end = np.repeat(words.bounds[1:], np.diff(words.bounds))
-                start, count, minimizer, group = repeats.minimizer_runs(
+                start, count, minimizer, _, group = repeats.minimizer_runs(
                     grams, first + GRAM <= text_end, words.bounds, WORDS, GRAM)
                 h1, h2 = words.hashes(start, start + count + WORDS - 1)
                 doc, mark = part.column(0).to_numpy(), part.column(1).to_numpy()

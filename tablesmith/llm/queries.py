@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, debruijn, embeddings, html_text, line_dedup, minhash, mixing, packing, quality
+from . import archives, debruijn, embeddings, html_text, line_dedup, minhash, mixing, packing, quality, suffix_dedup
 from .common import stored
 
 Q: dict = {}
@@ -197,3 +197,12 @@ def op7(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return debruijn.without_repeats(docs).select("doc_id", "n_words", "n_removed",
                                                  F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 2: repeated byte strings ----------------------------------------------------------------
+
+@query("op2_suffix_array_dedup")
+def op2(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans",
+                                                     F.sha2("kept", 256).alias("kept_sha256"))

@@ -33,8 +33,8 @@ def minimizer_runs(grams, valid_grams, bounds, size: int, gram: int):
     """Runs of windows of ``size`` symbols with one minimizer (a gram of ``gram`` symbols).
 
     ``grams`` has a hash for each symbol position (of the gram that starts there), ``valid_grams``
-    tells which lie inside their group, ``bounds`` are the groups' symbol bounds.  Returns the
-    first window of each run, its count of windows, its minimizer's hash and its group.
+    tells which lie inside their group, ``bounds`` are the groups' symbol bounds.  Returns the first
+    window of each run, its count of windows, its minimizer's hash and place, and its group.
     """
     n = len(grams)
     index = np.arange(n, dtype=np.uint64)
@@ -50,13 +50,13 @@ def minimizer_runs(grams, valid_grams, bounds, size: int, gram: int):
     group = np.repeat(np.arange(len(counts)), per)
     if not len(group):
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), z
+        return z, z, np.zeros(0, np.uint64), z, z
     window = np.arange(len(group)) - np.repeat(np.cumsum(per) - per, per) + bounds[group]
     at = (least[window] & ((np.uint64(1) << _INDEX_BITS) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = (at[1:] != at[:-1]) | (group[1:] != group[:-1])
     first = np.flatnonzero(new)
-    return window[first], np.diff(np.append(first, len(window))), grams[at[first]], group[first]
+    return window[first], np.diff(np.append(first, len(window))), grams[at[first]], at[first], group[first]
 
 
 def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataFrame:
@@ -69,7 +69,7 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
     """
     spread = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
     names = rows.columns
-    at = [names.index(c) for c in order[:same]]
+    at = [names.index(c) for c in order]
 
     def run(batches):
         import pyarrow as pa
@@ -81,18 +81,24 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
         def alone(batch, i):
             return out(batch.slice(i, 1), [False], [True])
 
-        before = None  # the contents of the row before
+        before = None  # the keys of the row before
         waiting = None  # the last first, while its company or its end is not known
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             keys = [batch.column(i).to_numpy() for i in at]
-            differs = np.ones((same, n), bool)
-            for d, k, previous in zip(differs, keys, before or [None] * same):
+            differs = np.ones((len(at), batch.num_rows), bool)
+            for d, k, previous in zip(differs, keys, before or [None] * len(at)):
                 d[1:] = k[1:] != k[:-1]
                 d[0] = previous is None or k[0] != previous
-            new_content = differs.any(axis=0)
+            # the same place of a row that is repeated in full counts once
+            once = differs.any(axis=0)
+            first_batch, before = before is None, [k[-1] for k in keys]
+            batch, differs = batch.filter(pa.array(once)), differs[:, once]
+            n = batch.num_rows
+            if not n:
+                continue
+            new_content = differs[:same].any(axis=0)
             new_group = differs[:outer].any(axis=0) if outer else np.zeros(n, bool)
             firsts = np.flatnonzero(new_content)
             take, edge = ~new_content, np.zeros(n, bool)
@@ -104,11 +110,10 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
                     yield waiting
             if len(firsts):
                 waiting = None if take[firsts[-1]] else alone(batch, firsts[-1])
-            if before is None:  # the partition's first row
+            if first_batch:  # the partition's first row
                 take[0] = edge[0] = True
                 if firsts[-1] == 0 and outer:
                     waiting = None
-            before = [k[-1] for k in keys]
             kept = np.flatnonzero(take)
             if len(kept):
                 yield out(batch.take(pa.array(kept)), ~new_content[kept], edge[kept])
@@ -119,7 +124,7 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
 
 
 def compared_runs(runs: DataFrame) -> DataFrame:
-    """Runs (minimizer, h1, h2, doc, place, n): ``later`` ones repeat an earlier run as a whole; the others
+    """Runs (minimizer, h1, h2, doc, place, ...): ``later`` ones repeat an earlier run as a whole; the others
     are the first of each content where a minimizer has (or may have) several contents."""
     return _streamed(runs, ["minimizer", "h1", "h2", "doc", "place"], 1, 3)
 
