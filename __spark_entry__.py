@@ -268,7 +268,8 @@ WHERE regexp_matches(event_type, '{EVENTS_FILTER_RE2}', 'i') OR regexp_matches(p
    OR regexp_matches(CAST(value AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')""")
 def q_count_matching(spark, sf):
     e = _table(spark, sf, "events", "event_id")
-    return preview.global_filter(e, EVENTS_FILTER).agg(F.count(F.lit(1)).cast("bigint").alias("total_records"))
+    n = preview.count_matching(preview.global_filter(e, EVENTS_FILTER))
+    return spark.createDataFrame([(n,)], "total_records bigint")
 
 
 @query("column_filter_orders", f"""SELECT {ORDERS_COLS_SQL} FROM orders
@@ -476,14 +477,14 @@ def q_dedup_subset_multi(spark, sf):
 @query("dedup_all_two_phase", _with(DUP_ORDERS_SQL) + f"SELECT DISTINCT {ORDERS_COLS_SQL} FROM dup_orders")
 def q_dedup_all_two_phase(spark, sf):
     # the large-input plan (hash split, exact de-duplication of repeated hashes only), forced
-    return _orders_out(dedup.drop_duplicates(dup_orders(spark, sf), small_bytes=0))
+    return _orders_out(dedup.drop_duplicates(dup_orders(spark, sf)))
 
 
 @query("dedup_subset_two_phase", """SELECT doc_id, text, lang, source, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
 def q_dedup_subset_two_phase(spark, sf):
     d = _table(spark, sf, "documents", "doc_id")
-    return dedup.drop_duplicates(d, ["text"], small_bytes=0).drop(ROW_ID)
+    return dedup.drop_duplicates(d, ["text"]).drop(ROW_ID)
 
 
 @query("count_duplicates", _with(DUP_ORDERS_SQL) + """SELECT CAST(
@@ -501,7 +502,7 @@ def q_count_duplicates_two_phase(spark, sf):
     from tablesmith.plans.duplicates import duplicate_rows
     d = dup_orders(spark, sf)
     cols = [c for c in d.columns if c != ROW_ID]
-    return d.agg(F.lit(duplicate_rows(d, cols, small_bytes=0)).cast("bigint").alias("duplicate_rows"))
+    return d.agg(F.lit(duplicate_rows(d, cols)).cast("bigint").alias("duplicate_rows"))
 
 
 IQR_SQL = """b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
@@ -545,9 +546,7 @@ def q_outliers_cap(spark, sf):
 FROM events, bb WHERE value < lo OR value > hi""")
 def q_outliers_affected(spark, sf):
     e = _table(spark, sf, "events", "event_id")
-    lo, hi = outliers.iqr_bounds(e, ["value"])["value"][2:]
-    return e.agg(F.count_if((F.col("value") < F.lit(lo)) | (F.col("value") > F.lit(hi)))
-                 .cast("bigint").alias("outliers_affected"))
+    return spark.createDataFrame([(outliers.handle_outliers(e, "cap", ["value"])[1],)], "outliers_affected bigint")
 
 
 @query("iqr_outliers", "WITH " + IQR_SQL + """ SELECT event_id AS _row_id, value, round(lo, 6) AS lower_bound,
@@ -756,7 +755,7 @@ WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_order
 WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_orderstatus, o_orderpriority""")
 def q_group_median_bracket(spark, sf):
     # The per-group bracket plan used above the small-input size, forced here.
-    out = reshape.group_by(dirty_orders(spark, sf), GROUP_KEYS, "o_totalprice", "median", small_bytes=0)
+    out = reshape.group_by(dirty_orders(spark, sf), GROUP_KEYS, "o_totalprice", "median")
     return out.select(*GROUP_KEYS, _r("o_totalprice", 4))
 
 
@@ -766,8 +765,7 @@ def q_group_median_bracket(spark, sf):
   round(coalesce(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'P'), 0), 4) AS "P"
 FROM dirty_orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderpriority""")
 def q_pivot_median_bracket(spark, sf):
-    out = reshape.pivot(dirty_orders(spark, sf), "o_orderpriority", "o_orderstatus", "o_totalprice", "median",
-                        small_bytes=0)
+    out = reshape.pivot(dirty_orders(spark, sf), "o_orderpriority", "o_orderstatus", "o_totalprice", "median")
     return out.select("o_orderpriority", *[_r(c, 4) for c in out.columns if c != "o_orderpriority"])
 
 
@@ -1251,19 +1249,16 @@ WHERE regexp_matches(event_type, '{EVENTS_FILTER_RE2}', 'i') OR regexp_matches(p
    OR regexp_matches(CAST(user_id AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')
    OR regexp_matches(CAST(value AS VARCHAR), '{EVENTS_FILTER_RE2}', 'i')""")
 def q_page_count(spark, sf):
-    e = preview.global_filter(_table(spark, sf, "events", "event_id"), EVENTS_FILTER)
-    total = F.count(F.lit(1))
-    return e.agg(total.cast("bigint").alias("total_records"),
-                 F.greatest(F.lit(1), F.ceil(total / F.lit(50.0))).cast("bigint").alias("pages"))
+    n = preview.count_matching(preview.global_filter(_table(spark, sf, "events", "event_id"), EVENTS_FILTER))
+    return spark.createDataFrame([(n, preview.page_count(n))], "total_records bigint, pages bigint")
 
 
 @query("duplicates_removed", _with(DUP_ORDERS_SQL) + """SELECT CAST((SELECT count(*) FROM dup_orders)
   - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders)) AS BIGINT) AS duplicates_removed""")
 def q_duplicates_removed(spark, sf):
     d = dup_orders(spark, sf)
-    before = d.count()
-    kept = dedup.drop_duplicates(d)
-    return kept.agg((F.lit(before) - F.count(F.lit(1))).cast("bigint").alias("duplicates_removed"))
+    return spark.createDataFrame([(dedup.duplicates_removed(d, dedup.drop_duplicates(d)),)],
+                                 "duplicates_removed bigint")
 
 
 @query("email_valid", _with(DIRTY_CUSTOMER_SQL) + f"""SELECT c_custkey, email,
@@ -1411,6 +1406,96 @@ def q_stream_clean(spark, sf):
     return spark.read.parquet(out)
 
 
+# --- inputs that real tables hold: odd numbers as text, line ends, wide headers ---------------
+
+
+@query("with_row_id_file", f"""SELECT {ORDERS_COLS_SQL}, row_number() OVER () - 1 AS _row_id FROM orders""")
+def q_with_row_id_file(spark, sf):
+    o = readers.load(spark, f"{sf}/orders.parquet")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", _ts("o_orderdate"), "o_orderpriority",
+                    ROW_ID)
+
+
+@query("read_csv_letters", """SELECT o_orderkey, concat(CAST(o_orderkey % 100 AS VARCHAR), 'D') AS code,
+  CAST(o_orderkey % 7 AS DOUBLE) / 4 AS part FROM orders""")
+def q_read_csv_letters(spark, sf):
+    path = scratch_path(spark, "letters")
+    k = F.col("o_orderkey")
+    writers.write_csv(spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey", F.concat((k % 100).cast("string"), F.lit("D")).alias("code"),
+        ((k % 7).cast("double") / 4).alias("part")), path)
+    return readers.read_csv(spark, path)
+
+
+@query("pivot_discount_header", "SELECT l_returnflag, " + ", ".join(
+    f"""round(coalesce(sum(l_quantity) FILTER (WHERE l_discount = {d / 100}), 0), 4) AS "d{d:02d}" """
+    for d in range(11)) + " FROM lineitem GROUP BY l_returnflag")
+def q_pivot_discount_header(spark, sf):
+    out = reshape.pivot(_table(spark, sf, "lineitem"), "l_returnflag", "l_discount", "l_quantity", "sum")
+    return out.select("l_returnflag", *[_r(f"`{c}`", 4, f"d{round(float(c) * 100):02d}")
+                                        for c in out.columns if c != "l_returnflag"])
+
+
+@query("group_by_any_boolean", """SELECT o_orderstatus, bool_or(o_totalprice > 300000) AS big_any,
+  bool_and(o_totalprice > 300000) AS big_all, CAST(count_if(o_totalprice > 300000) AS BIGINT) AS big_sum,
+  true AS text_any FROM orders GROUP BY o_orderstatus""")
+def q_group_by_any_boolean(spark, sf):
+    o = expr.calculated_column(_table(spark, sf, "orders", "o_orderkey"), "big", "o_totalprice > 300000")
+    flags = reshape.group_by(o, ["o_orderstatus"], "big", ["any", "all", "sum"])
+    return flags.join(reshape.group_by(o, ["o_orderstatus"], "o_orderpriority", "any"), "o_orderstatus").select(
+        "o_orderstatus", "big_any", "big_all", _big("big_sum"), F.col("o_orderpriority").alias("text_any"))
+
+
+@query("apply_edits_repeat", f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_ts_sql('o_orderdate')},
+  CASE WHEN o_orderstatus = 'P' THEN 'SECOND' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def q_apply_edits_repeat(spark, sf):
+    o = _table(spark, sf, "orders", "o_orderkey")
+    edits = o.where(F.col("o_orderstatus") == "P").select(ROW_ID, F.explode(F.array(
+        F.struct(F.lit(1).alias("edit_no"), F.lit("ZZZ").alias("o_orderpriority")),
+        F.struct(F.lit(2).alias("edit_no"), F.lit("SECOND").alias("o_orderpriority")))).alias("e"))
+    return _orders_out(preview.apply_edits(o, edits.select(ROW_ID, "e.*")))
+
+
+@query("replace_regex_unicode", r"""SELECT doc_id, regexp_replace(text, '[\p{L}\p{M}\p{N}_]+', '#', 'g') AS text
+FROM documents""")
+def q_replace_regex_unicode(spark, sf):
+    d = _table(spark, sf, "documents", "doc_id")
+    return text.find_replace(d, r"\w+", "#", ["text"], use_regex=True).select("doc_id", "text")
+
+
+@query("email_crlf", f"""SELECT c_custkey, regexp_full_match(concat('user', CAST(c_custkey AS VARCHAR), '@mail.example.com',
+  CASE WHEN c_custkey % 2 = 0 THEN chr(13) ELSE '' END), '{EMAIL_RE2}') AS valid FROM customer""")
+def q_email_crlf(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com"),
+                    F.when(F.col("c_custkey") % 2 == 0, F.lit("\r")).otherwise(F.lit("")))
+    return c.select("c_custkey", tf.email_valid(mail).alias("valid"))
+
+
+@query("global_filter_small_double", """SELECT o_orderkey FROM orders
+WHERE contains(CAST(1.0 / CAST(o_orderkey + 1 AS DOUBLE) AS VARCHAR), '33335')""")
+def q_global_filter_small_double(spark, sf):
+    o = expr.calculated_column(_table(spark, sf, "orders", "o_orderkey"), "inverse", "1.0D / (o_orderkey + 1)")
+    return preview.global_filter(o, "33335", ["inverse"]).select("o_orderkey")
+
+
+@query("floor_div_large", """SELECT o_orderkey, CAST((9007199254740993 + o_orderkey) // 2 AS BIGINT) AS q,
+  CAST(-(((o_orderkey + 2) // 3)) AS BIGINT) AS down FROM orders""")
+def q_floor_div_large(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k = F.col("o_orderkey").cast("bigint")
+    return o.select("o_orderkey", fm.floor_div(F.lit(9007199254740993) + k, 2).alias("q"),
+                    fm.floor_div(-k, 3).cast("bigint").alias("down"))
+
+
+@query("calc_sql_domain", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN NULL
+  ELSE round(sqrt(CAST(o_orderkey AS DOUBLE)), 6) END AS y FROM orders""")
+def q_calc_sql_domain(spark, sf):
+    o = _table(spark, sf, "orders", "o_orderkey")
+    y = "sqrt(CASE WHEN o_orderkey % 2 = 0 THEN -1D - o_orderkey ELSE CAST(o_orderkey AS DOUBLE) END)"
+    return expr.calculated_column(o, "y", y).select("o_orderkey", _r("y", 6))
+
+
 # --- training-data operators: an optional subpackage ----------------------------------------
 
 try:

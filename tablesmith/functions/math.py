@@ -18,6 +18,9 @@ def _c(x) -> Column:
     return F.lit(x)
 
 
+INTEGRAL_TYPES = ["tinyint", "smallint", "int", "bigint"]
+
+
 def nan_to_null(col) -> Column:
     c = _c(col)
     return F.when(~F.isnan(c), c)
@@ -29,8 +32,17 @@ def true_div(a, b) -> Column:
 
 
 def floor_div(a, b) -> Column:
-    """Python ``//``: rounds toward minus infinity (``-7 // 2 == -4``)."""
-    return F.floor(true_div(a, b))
+    """Python ``//``: rounds toward minus infinity (``-7 // 2 == -4``).
+
+    Two integers divide as integers (exact beyond 2**53); anything else as
+    doubles.  The types are known when the plan is analyzed, so the choice
+    costs nothing per row."""
+    a, b = _c(a), _c(b)
+    ai, bi = a.try_cast("bigint"), b.try_cast("bigint")
+    down = F.when((ai % bi != 0) & ((ai < 0) != (bi < 0)), F.lit(1)).otherwise(F.lit(0))
+    whole = F.when(bi != 0, F.call_function("div", ai, bi) - down)
+    integers = F.typeof(a).isin(INTEGRAL_TYPES) & F.typeof(b).isin(INTEGRAL_TYPES)
+    return F.when(integers, whole).otherwise(F.floor(true_div(a, b)))
 
 
 def floor_mod(a, b) -> Column:

@@ -19,7 +19,7 @@ PHONE_PATTERN = r"(?U)\b(?:\+?1?[-.\s]?)?\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4
 PHONE_REPLACEMENT = "1($1)$2-$3"
 # Markdown clean-up: emphasis/code marks, bullet prefixes, spaces before newlines.
 MD_CHARS_PATTERN = r"(\*\*|\*|`|_{1,2})"
-BULLET_LINE_PATTERN = r"(?mU)^\s*[-•]\s+"
+BULLET_LINE_PATTERN = r"(?mdU)^\s*[-•]\s+"
 SPACE_BEFORE_NEWLINE_PATTERN = r"[ \t]+\n"
 # Segment splitting: newlines, sentence ends before a capital or '(', after ':' or ';',
 # and before numbered items; number prefixes and punctuation-only parts are dropped.
@@ -29,7 +29,8 @@ SEGMENT_STRIP_CHARS = " \n\t-•–—"
 PUNCT_ONLY_PATTERN = r"^[.;:,()\[\]{}]+$"
 # ---------------------------------------------------------------------------
 
-_UNICODE_STRIP = r"(?U)^\s+|\s+$"
+# str.strip() also takes the separators U+001C to U+001F
+_UNICODE_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 # One character that is not a cased letter (upper, lower or title case).
 _NON_CASED = r"([^\p{Lu}\p{Ll}\p{Lt}])"
 
@@ -58,7 +59,8 @@ def title_case(col) -> Column:
 
 
 def email_valid(col) -> Column:
-    return _c(col).rlike(EMAIL_PATTERN)
+    # only \n ends a line for Python; Java's (?d) says the same
+    return _c(col).rlike("(?d)" + EMAIL_PATTERN)
 
 
 def format_phone(col) -> Column:
@@ -105,8 +107,13 @@ def python_float_text(col) -> Column:
     is not always the shortest form (e.g. 2**-24), so such rare values show
     more digits than Python prints."""
     x = _c(col)
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
     java = x.cast("string")
+    # plain digits as the JVM prints them; below 1e-3 and from 1e7 it prints an exponent, which a decimal
+    # wide enough for all 17 digits undoes
+    wide = F.when(F.abs(x) < 1, java.try_cast("decimal(38,30)").cast("string")).otherwise(
+        java.try_cast("decimal(38,18)").cast("string"))
+    unscaled = F.regexp_replace(F.regexp_replace(wide, "0+$", ""), r"\.$", ".0")
+    plain = F.when(java.contains("E"), unscaled).otherwise(java)
     mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
     exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
     digits = F.abs(exp).cast("string")
@@ -207,6 +214,7 @@ def replace_literal(col, find: str, repl: str, match_case: bool = False) -> Colu
 def replace_regex(col, pattern: str, repl: str, match_case: bool = False) -> Column:
     if not pattern:
         raise ValueError("find value cannot be empty")
-    flags = "" if match_case else "(?iu)"
+    # Python classes are Unicode and only \n ends a line
+    flags = "(?dU)" if match_case else "(?idU)"
     return F.regexp_replace(_c(col), check_regex(flags + python_pattern_to_java(pattern)),
                             python_template_to_java(repl))

@@ -1,9 +1,8 @@
 """Duplicate rows: keep-first removal and counts.
 
-Above the small-input size, rows are first split by a 64-bit hash of their
-key: keys whose hash occurs once cannot repeat and pass straight through
-(anti-join against a broadcast of the repeated hashes - no shuffle of those
-rows); only the rest go through the exact plan below.
+Rows are first split by a 64-bit hash of their key: keys whose hash occurs
+once cannot repeat and pass straight through (anti-join against the repeated
+hashes, a stored table); only the rest go through the exact plan below.
 
 Keep-first on a subset is ``groupBy(subset).agg(min_by(struct(rest), order))``:
 ``min_by`` has a partial aggregate, so a hot subset value is reduced map-side
@@ -17,37 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ROW_ID, qcol, require_columns, user_columns
-from ..plans.duplicates import BROADCAST_CANDIDATES, HASH, candidate_hashes, duplicate_rows
-from ..plans.sizing import SMALL_PLAN_BYTES, is_small
-from ..session import materialize
+from ..plans.duplicates import HASH, candidate_hashes, duplicate_rows
 
 
-def drop_duplicates(df: DataFrame, subset=None, order_by=None, small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
+def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """Keep the first row (in ``order_by``, default row label) of each duplicate set.
     Missing equals missing.  ``subset`` None or empty = all columns.
 
-    Large inputs use the two-phase hash plan: rows whose key hash is unique
-    pass through without any shuffle; only rows sharing a key hash (the real
-    duplicates, plus rare collisions) are de-duplicated exactly."""
-    if not is_small(df, small_bytes):
-        out = _drop_duplicates_two_phase(df, subset, order_by)
-        if out is not None:
-            return out
-    return _drop_duplicates_direct(df, subset, order_by)
-
-
-def _drop_duplicates_two_phase(df: DataFrame, subset, order_by) -> DataFrame | None:
+    Rows whose key hash is unique pass through; only rows sharing a key hash
+    (the real duplicates, plus rare collisions) are de-duplicated exactly."""
     keys = list(subset) if subset else user_columns(df)
-    keyed, cand, n_cand = candidate_hashes(df, keys)
-    if n_cand > BROADCAST_CANDIDATES:
-        return None          # mostly duplicates: the direct plan is the better shuffle
-    if n_cand == 0:
-        return df
-    # bounded (<= BROADCAST_CANDIDATES hashes): write it once to the shared
-    # checkpoint folder so both branches read the same small table
-    cand = materialize(cand)
-    unique_rows = keyed.join(F.broadcast(cand), HASH, "left_anti").drop(HASH)
-    dup_rows = keyed.join(F.broadcast(cand), HASH, "left_semi").drop(HASH)
+    require_columns(df, keys)
+    keyed, cand = candidate_hashes(df, keys)
+    # the stored candidates' size is known: Spark broadcasts them if they are few and else joins by shuffle
+    unique_rows = keyed.join(cand, HASH, "left_anti").drop(HASH)
+    dup_rows = keyed.join(cand, HASH, "left_semi").drop(HASH)
     return unique_rows.unionByName(_drop_duplicates_direct(dup_rows, subset, order_by))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import register_sql_functions
+from ..functions.types import is_fractional_type
 
 
 def calculated_column(df: DataFrame, name: str, expression) -> DataFrame:
@@ -24,4 +25,7 @@ def calculated_column(df: DataFrame, name: str, expression) -> DataFrame:
     if not isinstance(expression, Column):
         register_sql_functions(df.sparkSession)
     col = expression if isinstance(expression, Column) else F.expr(expression)
-    return df.withColumn(name, col)
+    out = df.withColumn(name, col)
+    if is_fractional_type(out.schema[name].dataType):
+        out = df.withColumn(name, F.when(~F.isnan(col), col))   # out-of-domain results are missing (D1)
+    return out

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from ..functions.text import (check_regex, format_phone, python_float_text, python_pattern_to_java,
                               python_timestamp_text)
 from ..functions.types import ROW_ID, is_text_type, qcol, user_columns
-from ..plans.sizing import broadcast_if_small, spread
 
 # ---------------------------------------------------------------------------
 # Default page size of the preview.
@@ -27,6 +26,9 @@ DEFAULT_PAGE_SIZE = 50
 # ---------------------------------------------------------------------------
 
 
+EDIT_ORDER = "edit_no"
+
+
 def _as_text(df: DataFrame, c: str):
     dt = df.schema[c].dataType
     col = qcol(c)
@@ -47,9 +49,9 @@ def global_filter(df: DataFrame, pattern: str | None, cols: list[str] | None = N
     if not pattern:
         return df
     cols = cols or user_columns(df)
-    regex = check_regex("(?iu)" + python_pattern_to_java(pattern))
+    regex = check_regex("(?idU)" + python_pattern_to_java(pattern))
     conds = [F.coalesce(_as_text(df, c).rlike(regex), F.lit(False)) for c in cols]
-    return spread(df).where(functools.reduce(operator.or_, conds)) if conds else df
+    return df.where(functools.reduce(operator.or_, conds)) if conds else df
 
 
 def column_filter(df: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -148,16 +150,21 @@ def edit_cell(df: DataFrame, row_id: int, column: str, value) -> DataFrame:
 
 
 def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
-    """Batch edits: ``edits`` has ``_row_id`` plus the columns to overwrite
-    (NULL = keep).  Left join on the row label; the edits side is broadcast
-    only when its size estimate is small."""
-    cols = [c for c in edits.columns if c != ROW_ID]
+    """Batch edits: ``edits`` has ``_row_id``, the columns to overwrite (NULL =
+    keep) and optionally ``edit_no``.  Several edits of one label become one
+    row first: per column the last non-NULL value by ``edit_no`` (without it,
+    the greatest value), so no row is multiplied."""
+    cols = [c for c in edits.columns if c not in (ROW_ID, EDIT_ORDER)]
     for c in cols:
         if c not in df.columns:
             raise ValueError(f"unknown column {c!r}")
-    e = edits.select(F.col(ROW_ID).alias("__eid"),
-                     *[qcol(c).try_cast(df.schema[c].dataType).alias(f"__e_{i}") for i, c in enumerate(cols)])
-    joined = df.join(broadcast_if_small(e), F.col(ROW_ID) == F.col("__eid"), "left")
+    typed = edits.select(F.col(ROW_ID).alias("__eid"),
+                         (F.col(EDIT_ORDER) if EDIT_ORDER in edits.columns else F.lit(0)).alias("__no"),
+                         *[qcol(c).try_cast(df.schema[c].dataType).alias(f"__e_{i}") for i, c in enumerate(cols)])
+    e = typed.groupBy("__eid").agg(*[
+        F.max(F.when(F.col(f"__e_{i}").isNotNull(), F.struct("__no", F.col(f"__e_{i}").alias("v")))).getField("v")
+        .alias(f"__e_{i}") for i, _ in enumerate(cols)])
+    joined = df.join(e, F.col(ROW_ID) == F.col("__eid"), "left")
     out = joined.withColumns({c: F.coalesce(F.col(f"__e_{i}"), qcol(c)) for i, c in enumerate(cols)})
     return out.select(*[qcol(c) for c in df.columns])
 

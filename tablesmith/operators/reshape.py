@@ -4,21 +4,22 @@ All aggregates below except ``nunique`` and ``median`` are declarative, so
 Spark computes them partially on the map side: a hot key holding a third of
 the rows is reduced to one partial row per input partition before the
 shuffle.  ``nunique`` is planned by Spark as a two-level aggregate on
-(keys, value), which also splits a hot key.  ``median`` on inputs above the
-small-plan size uses the bracketed per-group plan (``plans.group_quantile``)
-instead of a buffer of every distinct value of a group.
+(keys, value), which also splits a hot key.  ``median`` ranks the values of
+all groups in one range sort (``plans.group_quantile``) instead of a buffer of
+every distinct value of a group.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import ROW_ID, all_present, numeric_columns, qcol, require_columns
-from ..plans.group_quantile import group_quantile
-from ..plans.sizing import SMALL_PLAN_BYTES, is_small
-
-PIVOT_MAX_VALUES = 10_000
+from ..plans.group_quantile import group_quantiles
 
 
 def sort(df: DataFrame, cols, ascending: bool | list[bool] = True) -> DataFrame:
@@ -39,6 +40,16 @@ def sort(df: DataFrame, cols, ascending: bool | list[bool] = True) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def _truth(x: Column, df: DataFrame | None, c: str) -> Column:
+    """Python's truth of a value: a boolean itself, text if not empty, a number if not zero."""
+    dt = df.schema[c].dataType if df is not None else None
+    if isinstance(dt, T.BooleanType):
+        return x
+    if isinstance(dt, T.StringType):
+        return F.length(x) > 0
+    return x != 0
+
+
 def _rid():
     return F.col(ROW_ID)
 
@@ -46,6 +57,8 @@ def _rid():
 def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
     """The pandas named aggregate ``fn`` of column ``c`` as a Spark aggregate."""
     x = qcol(c)
+    if fn in ("sum", "mean") and df is not None and isinstance(df.schema[c].dataType, T.BooleanType):
+        x = x.cast("bigint")   # pandas adds booleans as 0 and 1
     if fn == "sum":
         # pandas: all-missing group sums to 0.
         zero = F.lit(0)
@@ -61,8 +74,7 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
     if fn == "count":
         return F.count(x).cast("bigint")
     if fn == "median":
-        # One-pass exact median; its buffer holds a group's distinct values,
-        # so group_by/pivot use it only for small inputs (see _median_by_group).
+        # one buffer of a group's distinct values: group_by and pivot use group_quantiles instead
         return F.median(x)
     if fn == "approx_median":
         return F.percentile_approx(x, 0.5, 10_000)
@@ -83,9 +95,9 @@ def agg_expr(fn: str, c: str, df: DataFrame | None = None) -> Column:
     if fn == "prod":
         return F.coalesce(F.product(x), F.lit(1.0))
     if fn == "any":
-        return F.coalesce(F.bool_or(x != 0), F.lit(False))
+        return F.coalesce(F.bool_or(_truth(x, df, c)), F.lit(False))
     if fn == "all":
-        return F.coalesce(F.bool_and(x != 0), F.lit(True))
+        return F.coalesce(F.bool_and(_truth(x, df, c)), F.lit(True))
     if fn == "skew":
         n = F.count(x)
         # Spark's skewness is the biased estimator; pandas reports the
@@ -105,9 +117,10 @@ AGG_FUNCTIONS = ["sum", "mean", "min", "max", "count", "median", "std", "var", "
                  "approx_median"]
 
 
-def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum",
-             small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
-    """Group on ``keys`` (rows with a NULL key are dropped), aggregate, order by keys."""
+def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str | list[str] = "sum") -> DataFrame:
+    """Group on ``keys`` (rows with a NULL key are dropped), aggregate, order by keys.
+
+    A list of functions gives one column per target and function, ``<target>_<function>``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
         raise ValueError("No group columns specified.")
@@ -120,36 +133,36 @@ def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str = "sum",
         if not targets:
             raise ValueError("no numeric column to aggregate")
     base = df.where(all_present(keys))
-    if fn == "median" and not is_small(df, small_bytes):
-        return _median_by_group(base, keys, targets).orderBy(*[qcol(k).asc() for k in keys])
-    out = base.groupBy(*[qcol(k) for k in keys]).agg(*[agg_expr(fn, c, df).alias(c) for c in targets])
-    return out.orderBy(*[qcol(k).asc() for k in keys])
-
-
-def _median_by_group(base: DataFrame, keys: list[str], targets: list[str]) -> DataFrame:
-    """Exact per-group medians through the bracket plan (bounded per group)."""
+    wanted = [(c, f, c if isinstance(fn, str) else f"{c}_{f}") for c in targets
+              for f in ([fn] if isinstance(fn, str) else fn)]
+    plain = [(c, f, name) for c, f, name in wanted if f != "median"]
+    medians = {c: name for c, f, name in wanted if f == "median"}
     out = None
-    for c in targets:
-        part = group_quantile(base, keys, c, 0.5, name=c)
-        out = part if out is None else out.join(part, keys, "inner")
-    return out
+    if plain or not medians:
+        out = base.groupBy(*[qcol(k) for k in keys]).agg(*[agg_expr(f, c, df).alias(name) for c, f, name in plain])
+    if medians:
+        part = group_quantiles(base, keys, medians, 0.5)
+        out = part if out is None else out.join(part, [k for k in keys], "inner")
+    out = out.select(*[qcol(k) for k in keys], *[qcol(name) for _, _, name in wanted])
+    return out.orderBy(*[qcol(k).asc() for k in keys])
 
 
 def group_by_all_numeric(df: DataFrame, keys, fn: str = "sum") -> DataFrame:
     return group_by(df, keys, None, fn)
 
 
-def pivot_values(df: DataFrame, columns: str, max_values: int = PIVOT_MAX_VALUES) -> list:
-    """Sorted distinct pivot values (one small job); refuses unbounded widths."""
-    vals = (df.select(qcol(columns)).where(qcol(columns).isNotNull()).distinct()
-            .orderBy(qcol(columns)).limit(max_values + 1).collect())
-    if len(vals) > max_values:
+def pivot_values(df: DataFrame, columns: str, max_values: int | None = None) -> list:
+    """Sorted distinct pivot values (one job): they become the result's columns, so their number is
+    the width of every row.  ``max_values`` refuses wider results; there is no limit by default."""
+    vals = df.select(qcol(columns)).where(qcol(columns).isNotNull()).distinct().orderBy(qcol(columns))
+    vals = (vals.limit(max_values + 1) if max_values else vals).collect()
+    if max_values and len(vals) > max_values:
         raise ValueError(f"pivot column {columns!r} has more than {max_values} distinct values")
     return [r[0] for r in vals]
 
 
 def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
-          pivot_vals: list | None = None, small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
+          pivot_vals: list | None = None, max_values: int | None = None) -> DataFrame:
     """pandas ``pivot_table(..., fill_value=0)``: NULL index/column rows dropped,
     holes filled with 0, index sorted; for aggregates other than sum/count/size
     an index whose every cell is missing disappears."""
@@ -157,14 +170,16 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
         raise ValueError("Missing required pivot parameters.")
     base = df.where(all_present([index, columns]))
     if pivot_vals is None:
-        pivot_vals = pivot_values(base, columns)
-    if fn == "median" and not is_small(df, small_bytes):
-        cells = group_quantile(base, [index, columns], values, 0.5, name="__m")
-        out = cells.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(F.first("__m"))
+        pivot_vals = pivot_values(base, columns, max_values)
+    if fn == "median":
+        cells = group_quantiles(base, [index, columns], {values: "__m"}, 0.5)
+        out = cells.groupBy(qcol(index)).pivot(f"`{columns}`", pivot_vals).agg(F.first("__m"))
     else:
-        out = base.groupBy(qcol(index)).pivot(columns, pivot_vals).agg(agg_expr(fn, values, df))
+        out = base.groupBy(qcol(index)).pivot(f"`{columns}`", pivot_vals).agg(agg_expr(fn, values, df))
     value_cols = [c for c in out.columns if c != index]
     if fn not in ("sum", "count", "size", "nunique") and value_cols:
-        out = out.na.drop(how="all", subset=value_cols)
+        out = out.where(functools.reduce(operator.or_, [qcol(c).isNotNull() for c in value_cols]))
     # A hole (absent combination or all-missing cell) becomes 0 of the column's type.
-    return out.na.fill(0, subset=value_cols).orderBy(qcol(index))
+    zero = [F.coalesce(qcol(c), F.lit(0).try_cast(out.schema[c].dataType)).alias(c)
+            if isinstance(out.schema[c].dataType, T.NumericType) else qcol(c) for c in value_cols]
+    return out.select(qcol(index), *zero).orderBy(qcol(index))

@@ -24,9 +24,6 @@ from ..functions.types import ROW_ID, qcol
 
 
 ROW_BITS = 40                 # up to 2**40 rows per file, 2**23 files
-# A literal map is scanned linearly per row; beyond a few files the ordinals
-# come from a broadcast hash join against the listing (one row per file).
-MAX_LITERAL_FILES = 16
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+"
 
 
@@ -35,17 +32,17 @@ def _norm_path(p: str) -> str:
 
 
 def _parquet_row_id(df: DataFrame):
-    """Deterministic label from the file metadata of a raw Parquet scan."""
+    """Deterministic label from the file metadata of a raw Parquet scan.
+
+    The files' ordinals come from a join against the listing (one row per file);
+    Spark picks a broadcast only if the listing's size allows it."""
     files = sorted({_norm_path(p) for p in df.inputFiles()})
     pos = F.col("_metadata.row_index").cast("bigint")
     if len(files) == 1:
         return df.withColumn(ROW_ID, pos)
     path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "/")
-    if len(files) <= MAX_LITERAL_FILES:
-        ordinal = F.element_at(F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))]), path)
-        return df.withColumn(ROW_ID, F.shiftleft(ordinal.cast("bigint"), ROW_BITS) + pos)
     listing = df.sparkSession.createDataFrame(list(enumerate(files)), "__ord bigint, __path string")
-    joined = df.withColumn("__p", path).join(F.broadcast(listing), F.col("__p") == F.col("__path"), "inner")
+    joined = df.withColumn("__p", path).join(listing, F.col("__p") == F.col("__path"), "inner")
     return joined.withColumn(ROW_ID, F.shiftleft(F.col("__ord"), ROW_BITS) + pos).drop("__p", "__path", "__ord")
 
 

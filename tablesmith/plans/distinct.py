@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import qcol
-from .sizing import spread
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType,
@@ -30,8 +29,10 @@ def _typed_value(df: DataFrame, name: str):
     dt = df.schema[name].dataType
     c = qcol(name)
     none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")), none_d, none_s
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c), none_d, none_s
+    if isinstance(dt, T.TimestampNTZType):
+        return none_l, none_d, c.cast("string")  # wall-clock text: no zone merges or splits its values
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long"), none_d, none_s
     if isinstance(dt, T.BooleanType):
@@ -54,7 +55,7 @@ def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> Dat
             F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("bigint").alias("unique_count"))
             for i, c in enumerate(cols)])).alias("s")).select("s.*")
     slots = [(c, *_typed_value(df, c)) for c in cols]
-    pairs = spread(df).select(F.explode(F.array(*[
+    pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), lv.alias("l"), dv.alias("d"), sv.alias("s")) for c, lv, dv, sv in slots
     ])).alias("p")).select("p.*").where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
     # Entirely-NULL columns produce no row here; callers default them to 0.

@@ -7,8 +7,8 @@ Counting duplicates by grouping on every column shuffles every row in full
    shuffle carries 8 bytes per row plus a count, and partial aggregation
    collapses repeated rows map-side.
 2. Only rows whose hash occurs more than once can be duplicates.  They are
-   selected with a semi-join on the hash - broadcast when the candidate set
-   is small, which is the usual case - and grouped exactly on all columns.
+   selected with a semi-join on the hash (stored, so Spark knows whether it
+   is small enough to broadcast) and grouped exactly on all columns.
    Distinct rows that merely share a hash are separated here, so the count
    is exact.
 """
@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import qcol
-from .sizing import SMALL_PLAN_BYTES, is_small
+from ..session import stored_table
 
 HASH = "__rowhash"
-# Above this many candidate hashes the semi-join stays a shuffle join.
-BROADCAST_CANDIDATES = 2_000_000
 
 
 def _hashable(df: DataFrame, c: str):
@@ -34,31 +32,18 @@ def _hashable(df: DataFrame, c: str):
     return qcol(c)
 
 
-def duplicate_rows(df: DataFrame, cols: list[str], small_bytes: int = SMALL_PLAN_BYTES) -> int:
-    """Number of rows that repeat an earlier row on ``cols`` (NULL equals NULL).
-
-    Small inputs: one partial-aggregated group-by on all columns.  Larger
-    inputs: the two-phase hash plan of this module."""
+def duplicate_rows(df: DataFrame, cols: list[str]) -> int:
+    """Number of rows that repeat an earlier row on ``cols`` (NULL equals NULL), by the plan above."""
     if not cols:
         return 0
-    keyed = df.select(*[_hashable(df, c).alias(c) for c in cols])
-    if is_small(df, small_bytes):
-        exact = keyed.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
-        return exact.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
-    keyed = keyed.withColumn(HASH, F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    per_hash = keyed.groupBy(HASH).agg(F.count(F.lit(1)).alias("__n"))
-    cand = per_hash.where(F.col("__n") > 1).select(HASH)
-    n_cand = cand.count()
-    if n_cand == 0:
-        return 0
-    cand_side = F.broadcast(cand) if n_cand <= BROADCAST_CANDIDATES else cand
-    rows = keyed.join(cand_side, HASH, "left_semi")
+    keyed, cand = candidate_hashes(df.select(*[_hashable(df, c).alias(c) for c in cols]), cols)
+    rows = keyed.join(cand, HASH, "left_semi")
     exact = rows.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
     return exact.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
 
 
 def candidate_hashes(df: DataFrame, cols: list[str]):
-    """(keyed DataFrame with HASH column, candidate-hash DataFrame, candidate count)."""
+    """(keyed DataFrame with HASH column, stored table of the hashes that repeat)."""
     keyed = df.withColumn(HASH, F.xxhash64(*[_hashable(df, c) for c in cols]))
     cand = keyed.groupBy(HASH).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(HASH)
-    return keyed, cand, cand.count()
+    return keyed, stored_table(cand, "repeated-hashes")

@@ -1,24 +1,16 @@
-"""Exact per-group quantiles (linear interpolation) without holding a group's
-distinct values in one aggregation buffer.
-
-Spark's ``median`` / ``percentile`` per group keeps every distinct value of a
-group in one in-memory buffer: a group holding a third of the rows puts a
-third of the column's distinct values into one task.  This plan brackets
-each group's target ranks instead, all as one lazy DataFrame:
-
-1. per group: non-NULL count and ``percentile_approx`` sketches at several
-   bracket widths (partial aggregation; a group's sketch is bounded by the
-   accuracy, not by its size);
-2. join the rows to their group's bracket (a small table; AQE's skew-join
-   handling splits a hot group's partition) and keep
-   * the count of values below the bracket, and
-   * the histogram (value, count) inside it - about 6·n/accuracy rows;
-3. a window per group over that histogram only gives cumulative ranks; the
-   values at ranks floor/ceil(p·(n-1)) are picked and interpolated.
-
-A group whose ranks fall outside its bracket (never expected; the sketch's
-rank error is bounded) is answered by a window over all of that group's
-values, which is correct at any size.
+"""Exact per-group quantiles (linear interpolation) of several columns at once.
+
+Spark's ``median`` / ``percentile`` keep every distinct value of a group in one
+in-memory buffer.  Here no task holds a group:
+
+1. one pass unpivots the columns and counts equal (group, column, value)
+   rows (partial aggregation collapses repeated values map-side);
+2. the counts are range-partitioned by (group, column, value), so a hot group
+   spreads over as many partitions as its values need, and stored with
+   their partition's number;
+3. cumulative counts inside a partition plus the totals of the partitions
+   before (one row per partition and group) give every value its ranks;
+4. the values at ranks floor/ceil(p * (n - 1)) are picked and interpolated.
 """
 
 from __future__ import annotations
@@ -27,68 +19,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import all_present, qcol
+from ..session import stored_table
 
-ACCURACY = 10_000
-HALF_WIDTHS = (3.0 / ACCURACY, 3e-3, 3e-2, 0.3)
 
-
-def group_quantile(df: DataFrame, keys: list[str], col: str, p: float = 0.5,
-                   name: str | None = None) -> DataFrame:
-    """DataFrame (keys..., name) with the exact p-quantile of ``col`` per group.
+def group_quantiles(df: DataFrame, keys: list[str], columns: dict[str, str], p: float = 0.5) -> DataFrame:
+    """(keys..., one column per name in ``columns``): the exact p-quantile of each column per group.
     Groups whose values are all NULL get NULL; rows with a NULL key are dropped."""
-    name = name or col
-    k = [qcol(c) for c in keys]
-    v = qcol(col).cast("double")
-    base = df.where(all_present(keys)).select(*k, v.alias("__v"))
-    present = base.where(F.col("__v").isNotNull())
-
-    grid = sorted({min(1.0, max(0.0, p + s * h)) for h in HALF_WIDTHS for s in (-1, 1)})
-    sk = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                    F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
-    n = F.col("__n")
-    pos = F.lit(p) * (n - 1)
-    # narrowest half-width safely above the sketch error plus rank rounding
-    lo_e, hi_e = None, None
-    for h in HALF_WIDTHS:
-        ok = F.lit(h) >= F.lit(3.0) / n + F.lit(1.0 / ACCURACY)
-        lo_i = grid.index(min(1.0, max(0.0, p - h))) + 1
-        hi_i = grid.index(min(1.0, max(0.0, p + h))) + 1
-        lo_e = (F.when(ok, F.element_at("__g", lo_i)) if lo_e is None else lo_e.when(ok, F.element_at("__g", lo_i)))
-        hi_e = (F.when(ok, F.element_at("__g", hi_i)) if hi_e is None else hi_e.when(ok, F.element_at("__g", hi_i)))
-    brackets = sk.select(*keys, "__n", F.floor(pos).alias("__rlo"), F.ceil(pos).alias("__rhi"), pos.alias("__pos"),
-                         F.coalesce(lo_e, F.lit(float("-inf"))).alias("__lo"),
-                         F.coalesce(hi_e, F.lit(float("inf"))).alias("__hi"))
-
-    joined = present.join(brackets, keys, "inner")
-    below = joined.where(F.col("__v") < F.col("__lo")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__below"))
-    hist = (joined.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-            .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    picked = _pick(hist.join(brackets, keys, "inner").join(below, keys, "left")
-                   .withColumn("__below", F.coalesce("__below", F.lit(0))), keys)
-
-    # fallback for groups whose ranks were not inside the bracket
-    done = picked.where(F.col("__vlo").isNotNull() & F.col("__vhi").isNotNull())
-    missing = brackets.join(done.select(*keys), keys, "left_anti")
-    full = present.join(missing.select(*keys, "__n", "__rlo", "__rhi", "__pos"), keys, "inner") \
-        .groupBy(*keys, "__v", "__n", "__rlo", "__rhi", "__pos").agg(F.count(F.lit(1)).alias("__c")) \
-        .withColumn("__below", F.lit(0).cast("long"))
-    retried = _pick(full, keys)
-
-    both = done.unionByName(retried)
-    value = F.when(F.col("__rlo") == F.col("__rhi"), F.col("__vlo")).otherwise(
-        (F.col("__rhi") - F.col("__pos")) * F.col("__vlo") + (F.col("__pos") - F.col("__rlo")) * F.col("__vhi"))
-    result = both.select(*keys, value.alias(name))
-    # groups with no non-NULL value at all
-    groups = base.select(*keys).distinct()
-    return groups.join(result, keys, "left")
-
-
-def _pick(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Values at ranks __rlo / __rhi from a per-group (value, count) histogram."""
-    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("__end", F.col("__below") + F.sum("__c").over(w))   # ranks [end - c, end - 1]
-    start = F.col("__end") - F.col("__c")
-    has = lambda r: (start <= F.col(r)) & (F.col(r) <= F.col("__end") - 1)
-    return cum.groupBy(*keys, "__rlo", "__rhi", "__pos").agg(
-        F.max(F.when(has("__rlo"), F.col("__v"))).alias("__vlo"),
-        F.max(F.when(has("__rhi"), F.col("__v"))).alias("__vhi"))
+    k = [f"__k{i}" for i in range(len(keys))]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), qcol(c).cast("double").alias("v"))
+                                for i, c in enumerate(columns)])).alias("cell")
+    rows = (df.where(all_present(keys)).select(*[qcol(c).alias(a) for c, a in zip(keys, k)], cells)
+            .select(*k, F.col("cell.c").alias("__c"), F.col("cell.v").alias("__v")))
+    counts = rows.groupBy(*k, "__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored_table(counts.repartitionByRange(n, *k, "__c", "__v").withColumn("__part", F.spark_partition_id()),
+                          "quantile-counts")
+
+    group = [*k, "__c"]
+    present = counts.where(F.col("__v").isNotNull())
+    totals = present.groupBy(*group, "__part").agg(F.sum("__n").alias("__in"))
+    parts = Window.partitionBy(*group)
+    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "__part", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before"),
+                           F.sum("__in").over(parts).alias("__all"))
+    inside = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (present.withColumn("__end", F.sum("__n").over(inside)).join(totals, [*group, "__part"])
+              .withColumn("__end", F.col("__end") + F.col("__before")))
+    at = F.lit(p) * (F.col("__all") - 1)
+    start = F.col("__end") - F.col("__n")
+    value_at = lambda rank: F.max(F.when((start <= rank) & (rank < F.col("__end")), F.col("__v")))
+    picked = ranked.groupBy(*group, at.alias("__at")).agg(value_at(F.floor(at)).alias("__lo"),
+                                                          value_at(F.ceil(at)).alias("__hi"))
+    low, high = F.floor("__at"), F.ceil("__at")
+    value = F.when(low == high, F.col("__lo")).otherwise(
+        (high - F.col("__at")) * F.col("__lo") + (F.col("__at") - low) * F.col("__hi"))
+    values = picked.select(*group, value.alias("__q"))
+    # every group, those without any value included
+    groups = counts.select(*k).distinct()
+    wide = values.groupBy(*k).agg(*[F.max(F.when(F.col("__c") == i, F.col("__q"))).alias(f"__q{i}")
+                                    for i, _ in enumerate(columns)])
+    out = groups.join(wide, k, "left")
+    return out.select(*[F.col(a).alias(c) for c, a in zip(keys, k)],
+                      *[F.col(f"__q{i}").alias(name) for i, name in enumerate(columns.values())])

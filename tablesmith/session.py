@@ -64,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
     master = sc.master or ""
-    if not master.startswith("local"):
+    if not (master == "local" or master.startswith("local[")):   # local-cluster[...] has separate executors
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set: on a cluster it must name shared storage "
                            "that every executor can reach")
     local = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
@@ -79,6 +79,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back:
+    cuts lineage like a checkpoint, but computes the plan once and keeps its size known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

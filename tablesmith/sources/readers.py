@@ -12,6 +12,7 @@ cast.  Nothing is collected except one row of flags.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # Boolean spellings recognised when inferring a column as boolean.
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
+# Text read as a number; the JVM's casts also take type suffixes ("12D"), which are text.
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 # File suffixes the loader accepts.
 SUPPORTED_SUFFIXES = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".parquet")
 # ---------------------------------------------------------------------------
@@ -43,8 +47,8 @@ def _infer_and_cast(df: DataFrame) -> DataFrame:
         v = qcol(c)
         present = v.isNotNull()
         checks += [
-            F.count_if(present & v.try_cast("bigint").isNull()).alias(f"notint{i}"),
-            F.count_if(present & v.try_cast("double").isNull()).alias(f"notdbl{i}"),
+            F.count_if(present & (~v.rlike(INTEGER_PATTERN) | v.try_cast("bigint").isNull())).alias(f"notint{i}"),
+            F.count_if(present & ~v.rlike(NUMBER_PATTERN)).alias(f"notdbl{i}"),
             F.count_if(present & ~v.isin(bool_tokens)).alias(f"notbool{i}"),
             F.count_if(present).alias(f"n{i}"),
         ]
@@ -66,14 +70,18 @@ def _infer_and_cast(df: DataFrame) -> DataFrame:
     return nulled.select(*out)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = True,
-                   infer: bool = True) -> DataFrame:
-    """Header + RFC-4180 quoting (``""`` inside quotes).  ``multiline=True``
-    allows quoted newlines; it makes each file one split, so for very large
-    single files without embedded newlines pass ``multiline=False``."""
-    raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-           .option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False,
+                   infer: bool = True, schema=None) -> DataFrame:
+    """Header + RFC-4180 quoting (``""`` inside quotes).  Files are split at
+    line ends; ``multiline=True`` allows newlines inside quotes, at the price of
+    one task per file.  With a ``schema`` the text is parsed once, without the
+    inference pass."""
+    reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
+              .option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
+              .option("mode", "PERMISSIVE"))
+    if schema is not None:
+        return nan_to_null(reader.schema(schema).csv(path))
+    raw = reader.csv(path)
     return _infer_and_cast(raw) if infer else raw
 
 
@@ -108,14 +116,32 @@ def _suffix(path: str) -> str:
     return os.path.splitext(base)[1].lower()
 
 
+def _listed_suffix(spark: SparkSession, path: str) -> str:
+    """The one data suffix of the files in a folder (names starting with _ or . are not data)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = fs.globStatus(where)
+    if listed is None or not len(listed):
+        raise ValueError(f"nothing to read at {path!r}")
+    found = set()
+    for status in listed:
+        for item in fs.listStatus(status.getPath()):
+            name = item.getPath().getName()
+            if not name.startswith(("_", ".")) and not item.isDirectory():
+                found.add(_suffix(re.sub(r"\.(gz|bz2|zst|snappy|lz4)$", "", name)))
+    if len(found) != 1:
+        raise ValueError(f"{path!r} holds files of {sorted(found) or 'no'} formats: pass fmt=")
+    return found.pop()
+
+
 def load(spark: SparkSession, path: str, fmt: str | None = None, row_id_key: str | None = None,
          **kw) -> DataFrame:
     """Dispatch on format or lower-cased file suffix; adds ``_row_id``."""
-    kind = (fmt or _suffix(path)).lower().lstrip(".")
+    kind = (fmt or _suffix(path) or _listed_suffix(spark, path)).lower().lstrip(".")
     readers = {"csv": read_csv, "tsv": read_tsv, "txt": read_txt, "json": read_json_lines,
                "jsonl": read_json_lines, "parquet": read_parquet}
     if kind not in readers:
-        raise ValueError(f"Unsupported file format: .{kind}")
+        raise ValueError(f"cannot tell how to read {path!r}: format {kind!r} is not one of {sorted(readers)}")
     if kind == "parquet":
         # label the raw scan (its hidden file metadata gives a deterministic
         # row position), then apply the NaN rule

@@ -86,31 +86,28 @@ def test_dedup_partition_count_invariance(spark):
     assert a == b and len(a) == 35
 
 
-@pytest.mark.parametrize("broadcast_limit", [2_000_000, 0])
-def test_duplicate_rows_two_phase_exact(spark, broadcast_limit, monkeypatch):
+def test_duplicate_rows_exact(spark):
     from tablesmith.plans import duplicates
-    monkeypatch.setattr(duplicates, "BROADCAST_CANDIDATES", broadcast_limit)
     rng = random.Random(5)
     rows = [(rng.randint(0, 30), rng.choice(["a", "b", None]), rng.choice([1.5, None])) for _ in range(400)]
     df = spark.createDataFrame(rows, "k int, s string, v double")
     pdf = pd.DataFrame(rows, columns=["k", "s", "v"])
-    for small in (0, 1 << 40):
-        assert duplicates.duplicate_rows(df, ["k", "s", "v"], small) == int(pdf.duplicated().sum())
-        assert duplicates.duplicate_rows(df, ["k"], small) == int(pdf.duplicated(subset=["k"]).sum())
-        uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
-        assert duplicates.duplicate_rows(uniq, ["id", "t"], small) == 0
+    assert duplicates.duplicate_rows(df, ["k", "s", "v"]) == int(pdf.duplicated().sum())
+    assert duplicates.duplicate_rows(df, ["k"]) == int(pdf.duplicated(subset=["k"]).sum())
+    uniq = spark.range(0, 1000).selectExpr("id", "cast(id as string) AS t")
+    assert duplicates.duplicate_rows(uniq, ["id", "t"]) == 0
 
 
-def test_dedup_two_phase_equals_direct(spark):
+def test_dedup_hash_plan_equals_direct(spark):
     rng = random.Random(9)
     rows = [(i, rng.randint(0, 40), rng.choice(["a", "b", None])) for i in range(500)]
     df = with_row_id(spark.createDataFrame(rows, "id int, g int, t string"), key="id")
     for subset in (["g", "t"], ["g"], None):
         a = sorted(dedup.drop_duplicates(df, subset).collect())
-        b = sorted(dedup.drop_duplicates(df, subset, small_bytes=0).collect())
+        b = sorted(dedup._drop_duplicates_direct(df, subset).collect())
         assert a == b
     uniq = with_row_id(spark.range(0, 100).selectExpr("cast(id as int) AS id"), key="id")
-    assert dedup.drop_duplicates(uniq, ["id"], small_bytes=0).count() == 100
+    assert dedup.drop_duplicates(uniq, ["id"]).count() == 100
 
 
 def test_cap_leaves_no_outlier_against_same_bounds(spark):

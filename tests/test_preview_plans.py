@@ -122,17 +122,15 @@ def test_deep_page_equals_top_k(spark, page_no):
     assert a == b and len(a) == (50 if page_no <= 300 else 0)
 
 
-def test_row_labels_through_listing_join(spark, tmpdir_path, monkeypatch):
+def test_row_labels_through_listing_join(spark, tmpdir_path):
     import os
-    from tablesmith.operators import rowid
     out = os.path.join(tmpdir_path, "many.parquet")
     spark.read.parquet(f"{SF01}/orders.parquet").repartition(5).write.parquet(out)
-    by_map = {r.o_orderkey: r._row_id for r in readers.load(spark, out).select("o_orderkey", "_row_id").collect()}
-    monkeypatch.setattr(rowid, "MAX_LITERAL_FILES", 1)
+    again = {r.o_orderkey: r._row_id for r in readers.load(spark, out).select("o_orderkey", "_row_id").collect()}
     joined = readers.load(spark, out)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     by_join = {r.o_orderkey: r._row_id for r in joined.select("o_orderkey", "_row_id").collect()}
-    assert by_map == by_join and len(set(by_join.values())) == 15000
+    assert again == by_join and len(set(by_join.values())) == 15000
 
 
 def test_title_label_rule():

@@ -106,18 +106,17 @@ def test_group_and_pivot_median_bracket_plan(spark):
              None if rng.random() < 0.1 else float(rng.randint(-50, 50))) for i in range(3000)]
     rows.append((9999, "solo", "x", None))
     df = with_row_id(spark.createDataFrame(rows, "id int, g string, c string, v double"), key="id")
-    small = {r.g: r.v for r in reshape.group_by(df, ["g"], "v", "median").collect()}
-    big = {r.g: r.v for r in reshape.group_by(df, ["g"], "v", "median", small_bytes=0).collect()}
+    got = {r.g: r.v for r in reshape.group_by(df, ["g"], "v", "median").collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "c", "v"])
     exp = pdf.dropna(subset=["g"]).groupby("g")["v"].median().to_dict()
     for k, e in exp.items():
         if pd.isna(e):
-            assert small[k] is None and big[k] is None
+            assert got[k] is None
         else:
-            assert small[k] == e and big[k] == e
-    p_small = sorted(tuple(r) for r in reshape.pivot(df, "g", "c", "v", "median").collect())
-    p_big = sorted(tuple(r) for r in reshape.pivot(df, "g", "c", "v", "median", small_bytes=0).collect())
-    assert p_small == p_big
+            assert got[k] == e
+    wide = pdf.dropna(subset=["g"]).pivot_table(index="g", columns="c", values="v", aggfunc="median", fill_value=0)
+    pivoted = {r.g: (r.x, r.y) for r in reshape.pivot(df, "g", "c", "v", "median").collect()}
+    assert pivoted == {g: (row.x, row.y) for g, row in wide.iterrows()}
 
 
 def test_sql_helpers_in_expressions(spark):
