@@ -1191,6 +1191,66 @@ def q_history(spark, sf):
     return _orders_out(h.revert(v1))
 
 
+@query("session_load_history", f"""SELECT {ORDERS_COLS_SQL} FROM orders""")
+def q_session_load_history(spark, sf):
+    path, h = scratch_path(spark, "session"), store.History(spark, scratch_path(spark, "history"))
+    store.save_session(_table(spark, sf, "orders", "o_orderkey"), path, "orders")
+    h.log("Load", "an older table", spark.read.parquet(f"{sf}/region.parquet"))
+    store.load_session(spark, path, h)
+    return _orders_out(h.snapshot(1))
+
+
+@query("history_list", """SELECT CAST(version AS BIGINT) AS version, action, has_snapshot, rows FROM (VALUES
+  (1, 'Load', true, (SELECT count(*) FROM orders)), (2, 'Note', false, NULL),
+  (3, 'Clean', true, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')),
+  (4, 'Revert', true, (SELECT count(*) FROM orders))) v(version, action, has_snapshot, rows)""")
+def q_history_list(spark, sf):
+    h = store.History(spark, scratch_path(spark, "history"))
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    h.log("Load", "orders", o)
+    h.log("Note", "nothing kept")
+    h.log("Clean", "finished ones", o.where(F.col("o_orderstatus") == "F"))
+    h.revert(1)
+    kept = [h.snapshot(v) for v in range(1, 5)]
+    sizes = spark.createDataFrame([(v, s.count() if s is not None else None) for v, s in enumerate(kept, 1)],
+                                  "version bigint, rows bigint")
+    return h.list().join(sizes, "version").select("version", "action", "has_snapshot", "rows")
+
+
+@query("history_export_import", """SELECT CAST(version AS BIGINT) AS version, action, false AS has_snapshot
+FROM (VALUES (1, 'Load'), (2, 'Note')) v(version, action)""")
+def q_history_export_import(spark, sf):
+    h = store.History(spark, scratch_path(spark, "history"))
+    h.log("Load", "orders", spark.read.parquet(f"{sf}/orders.parquet"))
+    h.log("Note", "nothing kept")
+    other = store.History(spark, scratch_path(spark, "history"))
+    other.log("Old", "to be cleared")
+    other.import_(h.export())
+    return other.list().select("version", "action", "has_snapshot")
+
+
+@query("forward_fill_null_key", """SELECT event_id, last_value(v IGNORE NULLS) OVER (
+  ORDER BY k NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS k,
+  CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events)""")
+def q_forward_fill_null_key(spark, sf):
+    e = _table(spark, sf, "events", "event_id").select(
+        "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("k"),
+        F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("v"), ROW_ID)
+    return missing.forward_fill(e, ["v"], order_by=["k", "event_id"], rows_per_block=1000).select("event_id", "v")
+
+
+@query("forward_fill_sentinel", """SELECT event_id, last_value(v IGNORE NULLS) OVER (
+  ORDER BY k, event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id,
+  CASE WHEN event_id = 1 THEN 4000000000000000 ELSE event_id END AS k,
+  CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events)""")
+def q_forward_fill_sentinel(spark, sf):
+    e = _table(spark, sf, "events", "event_id").select(
+        "event_id", F.when(F.col("event_id") == 1, F.lit(4000000000000000)).otherwise(F.col("event_id")).alias("k"),
+        F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("v"), ROW_ID)
+    return missing.forward_fill(e, ["v"], order_by=["k", "event_id"], rows_per_block=1000).select("event_id", "v")
+
+
 # --- 2.11 extras --------------------------------------------------------------------------
 
 @query("rename", "SELECT c_custkey AS customer_key, c_name AS name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
@@ -1399,7 +1459,7 @@ def q_stream_clean(spark, sf):
         (expr.calculated_column, {"name": "value_10", "expression": "round(value / 10, 6)"}),
     ]).select("event_id", "user_id", "event_type", "value", "value_10")
     out = scratch_path(spark, "stream-out")
-    q = stream.write_stream(cleaned, out)
+    q = stream.write_stream(cleaned, out, scratch_path(spark, "stream-ckpt"))
     if not q.awaitTermination(900):
         q.stop()
         raise TimeoutError("stream_clean_events did not finish its available input")

@@ -4,9 +4,11 @@ forward and backward fill, drop sparse columns."""
 from __future__ import annotations
 
 import functools
+import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import all_present, is_integral_type, numeric_columns, qcol, user_columns
 from ..plans import fill as fill_plan
@@ -100,26 +102,42 @@ def handle_missing(df: DataFrame, method: str = "remove", cols=None, fill_value_
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
     """Most frequent non-missing value per column, ties -> smallest.
 
-    One job: per column a partial-aggregated ``groupBy(value).count()`` and a
-    top-1 on (count desc, value asc), all columns as branches of one union
-    (values travel as text and are cast back to the column type by the
-    caller).  A hot value collapses map-side; no task holds a whole column."""
+    One scan and one shuffle for all columns: the columns are unpivoted into a
+    typed struct with one field set, counted by (column, value) with partial
+    aggregation, and the greatest (count, then smallest value) of each column
+    is a partial aggregate too.  Values keep their types; maps, which
+    have no order, have no mode."""
+    cols = [c for c in cols if "map<" not in df.schema[c].dataType.simpleString()]
     if not cols:
         return {}
-    parts = [df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("v")).count()
-             .orderBy(F.desc("count"), F.asc("v")).limit(1)
-             .select(F.lit(c).alias("column"), F.col("v").cast("string").alias("v")) for c in cols]
-    rows = functools.reduce(DataFrame.unionByName, parts).collect()
-    found = {r["column"]: r["v"] for r in rows}
+    none = {c: F.lit(None).cast(df.schema[c].dataType) for c in cols}
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.struct(*[(qcol(x) if x == c else none[x]).alias(f"v{j}")
+                                                 for j, x in enumerate(cols)]).alias("v"))
+        for i, c in enumerate(cols)])).alias("cell")
+    present = functools.reduce(operator.or_, [F.col(f"v.v{j}").isNotNull() for j, _ in enumerate(cols)])
+    counts = (df.select(cells).select("cell.*").where(present).groupBy("c", "v")
+              .agg((-F.count(F.lit(1))).alias("n")))
+    rows = counts.groupBy("c").agg(F.min(F.struct("n", "v")).alias("top")).collect()
+    found = {cols[r["c"]]: r["top"]["v"][r["c"]] for r in rows}
     return {c: found.get(c) for c in cols}
 
 
 def fill_mode(df: DataFrame, cols=None) -> DataFrame:
     targets = _targets(df, cols)
     modes = mode_values(df, targets)
-    updates = {c: F.coalesce(qcol(c), F.lit(v).try_cast(df.schema[c].dataType))
-               for c, v in modes.items() if v is not None}
-    return df.withColumns(updates) if updates else df
+    values = {c: v for c, v in modes.items() if v is not None}
+    if not values:
+        return df
+    # one literal row of the columns' own types (arrays and structs have no literal of their own)
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in values])
+    row = df.sparkSession.createDataFrame([tuple(values.values())], schema).select(
+        F.to_json(F.struct(*[qcol(c) for c in values]), {"ignoreNullFields": "false"})).first()[0]
+    complex_ = (T.ArrayType, T.StructType)
+    typed = F.from_json(F.lit(row), schema)
+    updates = {c: F.coalesce(qcol(c), typed.getField(c) if isinstance(df.schema[c].dataType, complex_)
+                             else F.lit(v).cast(df.schema[c].dataType)) for c, v in values.items()}
+    return df.withColumns(updates)
 
 
 def drop_missing_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,9 +2,11 @@
 
 A window with no PARTITION BY sends every row to one task.  Instead:
 
-1. Cut the order key into contiguous *blocks* of about ``rows_per_block``
-   rows (block = floor((key - min) / width); min/max/count come from one
-   small aggregate).  A hot partition group is spread over many blocks.
+1. Range-partition the rows by the order (NULLs first, the row label as tie
+   breaker) into *blocks* of about ``rows_per_block`` rows.  The cuts come
+   from a sample of the rows, so blocks have equal row counts whatever the
+   key's values: far sentinels, NULL keys and repeated keys do not swell
+   one.  The blocks are stored, so every later step sees the same ones.
 2. Fill inside each (group, block) with an ordinary window.
 3. Per (group, block) take the last non-NULL value (``max_by``, which has a
    partial aggregate) - a table of #groups x #blocks rows.
@@ -18,30 +20,21 @@ answer (tested), but no task holds more than one block.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.types import qcol
+from ..functions.types import ROW_ID, qcol
+from ..session import stored_table
 
 BLOCK = "__blk"
 DEFAULT_ROWS_PER_BLOCK = 1 << 20
 
 
-def _key_as_number(df: DataFrame, name: str):
-    dt = df.schema[name].dataType
-    c = qcol(name)
-    if isinstance(dt, T.TimestampType) or isinstance(dt, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")), True
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c), True
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return c.cast("long"), True
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.cast("double"), False
-    return None, False
+def in_blocks(df: DataFrame, order_by: list[str], rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+    """``df`` with its block number in BLOCK, stored; blocks ascend in the order."""
+    blocks = max(1, -(-df.count() // rows_per_block))
+    order = [qcol(c).asc_nulls_first() for c in order_by]
+    return stored_table(df.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id()), "fill-blocks")
 
 
 def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list[str] | None = None,
@@ -49,29 +42,10 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     partition_by = list(partition_by or [])
     if not cols:
         return df
-    key, integral = _key_as_number(df, order_by[0])
+    order_by = order_by + ([ROW_ID] if ROW_ID in df.columns and ROW_ID not in order_by else [])
     order = [qcol(c).asc_nulls_first() for c in order_by]
+    tmp = in_blocks(df, order_by, rows_per_block)
 
-    if key is None:
-        # Non-numeric leading order key: a distributed range sort, then
-        # monotonically_increasing_id (increasing in sort order) as a numeric
-        # order key.  The labelled table is checkpointed so every branch of
-        # the plan sees the same labels, then the numeric plan runs on it.
-        from ..session import materialize
-        ranked = materialize(df.orderBy(*order).withColumn("__ord", F.monotonically_increasing_id()))
-        out = fill(ranked, cols, ["__ord"], partition_by, backward, rows_per_block)
-        return out.select(*[qcol(c) for c in df.columns])
-
-    stats = df.agg(F.min(key).alias("mn"), F.max(key).alias("mx"), F.count(F.lit(1)).alias("n")).first()
-    if stats["n"] == 0 or stats["mn"] is None:
-        return _window_fill(df, cols, order, [qcol(p) for p in partition_by], backward)
-    span = float(stats["mx"]) - float(stats["mn"])
-    width = max(span + (1 if integral else 0), 1e-300) * rows_per_block / stats["n"]
-    if integral:
-        width = max(1, int(math.ceil(width)))
-    blk = F.coalesce(F.floor((key - F.lit(stats["mn"])) / F.lit(width)).cast("long"), F.lit(-1))
-
-    tmp = df.withColumn(BLOCK, blk)
     parts = [qcol(p) for p in partition_by] + [F.col(BLOCK)]
     if backward:
         w_local = Window.partitionBy(*parts).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
@@ -80,8 +54,8 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     pick = F.first if backward else F.last
     local = tmp.withColumns({c: pick(qcol(c), ignorenulls=True).over(w_local) for c in cols})
 
-    # Edge value of each block: last (forward) / first (backward) non-NULL in order.
-    ord_key = qcol(order_by[0]) if len(order_by) == 1 else F.struct(*[qcol(c) for c in order_by])
+    # Edge value of each block: last (forward) / first (backward) non-NULL in order, NULL keys first.
+    ord_key = F.struct(*[x for c in order_by for x in (qcol(c).isNotNull(), qcol(c))])
     edge_fn = F.min_by if backward else F.max_by
     edges = tmp.groupBy(*parts).agg(*[
         edge_fn(qcol(c), F.when(qcol(c).isNotNull(), ord_key)).alias(f"__edge_{i}")
@@ -99,12 +73,3 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     joined = local.join(carry, cond, "left")
     filled = joined.withColumns({c: F.coalesce(qcol(c), F.col(f"__carry_{i}")) for i, c in enumerate(cols)})
     return filled.select(*[qcol(c) for c in df.columns])
-
-
-def _window_fill(df, cols, order, parts, backward):
-    w = Window.partitionBy(*parts).orderBy(*order) if parts else Window.orderBy(*order)
-    if backward:
-        w = w.rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns({c: F.first(qcol(c), ignorenulls=True).over(w) for c in cols})
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(qcol(c), ignorenulls=True).over(w) for c in cols})

@@ -155,7 +155,10 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
     for j, b in enumerate(brackets):
         lo, hi = cand[j]
         below, size = b.below + counted[f"b{j}"], counted[f"s{j}"]
-        if below <= b.r < below + size and size < b.size:
+        if lo == hi and below <= b.r < below + size:
+            # one value holds the rank, however many rows it has: its histogram is one row
+            out.append(_Bracket(b.col, b.r, lo, hi, below, min(size, FINISH_ROWS)))
+        elif below <= b.r < below + size and size < b.size:
             out.append(_Bracket(b.col, b.r, lo, hi, below, size))
         elif b.margin >= 0.5:
             # cannot narrow further (e.g. one value fills the range): read it as is

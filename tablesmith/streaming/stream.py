@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import expr, missing, preview, text
-from ..session import scratch_path
 from ..sources.writers import format_phone_columns
 
 # Operators that are pure per-row projections or filters.
@@ -59,11 +58,9 @@ def clean_stream(df: DataFrame, steps: list[tuple[Callable, dict]]) -> DataFrame
     return out
 
 
-def write_stream(df: DataFrame, path: str, fmt: str = "parquet", checkpoint: str | None = None,
-                 available_now: bool = True):
-    """Start an append-mode file sink; the checkpoint defaults to a fresh folder
-    under the cluster's shared ``spark.checkpoint.dir``."""
-    ckpt = checkpoint or scratch_path(df.sparkSession, "stream-ckpt")
-    w = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", ckpt).outputMode("append")
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True):
+    """Start an append-mode file sink.  ``checkpoint`` is the stream's own folder on shared
+    storage: a restart with the same one goes on where the stream stopped."""
+    w = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
