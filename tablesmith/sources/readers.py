@@ -135,8 +135,16 @@ def _listed_suffix(spark: SparkSession, path: str) -> str:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, row_id_key: str | None = None,
-         **kw) -> DataFrame:
-    """Dispatch on format or lower-cased file suffix; adds ``_row_id``."""
+         partitions: int | None = None, **kw) -> DataFrame:
+    """Dispatch on format or lower-cased file suffix (of a folder: its files'); adds ``_row_id``.
+
+    A file with one row group is read by one task; ``partitions`` deals the labelled rows out to
+    that many tasks, for heavy work per row.  Their order is then only in ``_row_id``."""
+    df = _loaded(spark, path, fmt, row_id_key, **kw)
+    return df.repartition(partitions) if partitions else df
+
+
+def _loaded(spark: SparkSession, path: str, fmt: str | None, row_id_key: str | None, **kw) -> DataFrame:
     kind = (fmt or _suffix(path) or _listed_suffix(spark, path)).lower().lstrip(".")
     readers = {"csv": read_csv, "tsv": read_tsv, "txt": read_txt, "json": read_json_lines,
                "jsonl": read_json_lines, "parquet": read_parquet}
