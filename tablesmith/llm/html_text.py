@@ -43,7 +43,10 @@ FURNITURE_WORDS = set(
     "advertising adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup "
     "modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
     "recommendations breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond widget "
-    "toolbar copyright legal skip hidden alert complementary contentinfo".split())
+    "toolbar copyright legal skip hidden alert complementary contentinfo disclaimer announcement toast adbox adslot "
+    "adunit adsbygoogle optin paywall".split())
+FURNITURE_STARTS = tuple("comment advert cookie breadcrumb sidebar footer newsletter sponsor promo popup navbar masthead "
+                         "subscri".split())
 ARTICLE_WORDS = set("article content post entry story main articlebody".split())
 
 _ATTRIBUTE = r"""(?:"[^"]*"|'[^']*'|[^'">])*+"""
@@ -177,7 +180,8 @@ def _marks(name: str, attributes: str):
             hidden |= not v or v.strip("\"'").lower() in ("hidden", "until-found")
         else:
             words.update(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower()))
-    furniture = name in FURNITURE or hidden or bool(words & FURNITURE_WORDS)
+    furniture = (name in FURNITURE or hidden or bool(words & FURNITURE_WORDS)
+                 or any(w.startswith(FURNITURE_STARTS) for w in words))
     return furniture, bool(words & ARTICLE_WORDS) and not furniture
 
 

@@ -72,6 +72,7 @@ def test_pages_without_an_article():
     page = f"<body><ul>{menu}</ul><h2>Heading</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><p><a href='x'>more</a></p></body>"
     assert one(page) == f"Heading {LONG.strip()} Short one. {LONG.strip()}"
     assert one(f"<main><p>In main.</p></main><p>{LONG}</p>") == "In main."
+    assert one(f"<article><p>In.</p><ol class='commentlist'><li>{LONG}</li></ol><p class=disclaimer>x</p></article>") == "In."
     assert one(f"<div id='content'><p>In.</p><div class='sidebar'>{LONG}</div></div><p>{LONG}</p>") == "In."
 
 
