@@ -70,12 +70,17 @@ def _infer_and_cast(df: DataFrame) -> DataFrame:
     return nulled.select(*out)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False,
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None,
                    infer: bool = True, schema=None) -> DataFrame:
-    """Header + RFC-4180 quoting (``""`` inside quotes).  Files are split at
-    line ends; ``multiline=True`` allows newlines inside quotes, at the price of
-    one task per file.  With a ``schema`` the text is parsed once, without the
-    inference pass."""
+    """Header + RFC-4180 quoting (``""`` inside quotes).
+
+    Newlines inside quotes (``multiline=True``) cost one task per file, so by
+    default a distributed look at the lines tells whether there are any: a line
+    with an odd number of quotes.  Without, files are split at line ends.  With a
+    ``schema`` the text is parsed once, without the inference pass."""
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
               .option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
               .option("mode", "PERMISSIVE"))
