@@ -9,11 +9,13 @@ by broadcast, the others by a shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
 
+ONE_TASK = 1 << 20  # links (16 MB) that one task may unite
 HOT_SHARE = 1000  # a key is hot beyond total/HOT_SHARE rows, so there are at most HOT_SHARE hot keys
 
 
@@ -52,14 +54,42 @@ def _state(links: DataFrame):
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def unite(roots, p, q):
+    """Union of the pairs (p, q) in the forest ``roots`` (each entry points at its root, the smallest)."""
+    while True:
+        a, b = roots[p], roots[q]
+        if (a == b).all():
+            return roots
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+
+
+def _forest(batches):
+    """Each node of a bounded table of links with its component."""
+    import pyarrow as pa
+
+    parts = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    if parts:
+        nodes, index = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = index.reshape(2, -1)
+        roots = unite(np.arange(len(nodes)), a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b), the component being its smallest node."""
+    """Stored (node, component) for every node of ``links`` (longs a, b), its component's smallest node.
+
+    Links that fit ONE_TASK are united by one task; any more go through star steps.
+    """
     with scratch(links.sparkSession):
         links = (links.where("a <> b")
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         links = stored(links, "links")
+        if links.count() <= ONE_TASK:
+            return stored(links.coalesce(1).mapInArrow(_forest, "node long, component long"), "components", keep=True)
         state = _state(links)
-        while state[0]:
+        while True:
             links = stored(_star(links, 2 * state[0], large=True), "links")
             links = stored(_star(links, links.count(), large=False), "links")
             new = _state(links)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import scratch, slices, stored
-from .components import components, join_by_key
+from .components import components, join_by_key, unite
 
 COSINE = 0.95
 TABLES, HASHES, PROBES = 6, 3, 4  # a pair at 0.95 in 64 dimensions misses all tables with probability 4e-4
@@ -130,17 +130,6 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, schema)
 
 
-def _unite(roots, p, q):
-    """Union of the pairs (p, q) in the forest ``roots`` (each entry points at its root)."""
-    while True:
-        a, b = roots[p], roots[q]
-        if (a == b).all():
-            return roots
-        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
-        while (roots[roots] != roots).any():
-            roots = roots[roots]
-
-
 def _first_here(keys_p, keys_q, key):
     """Whether ``key`` is the first key that the pairs have in common (by table, then by value)."""
     a = keys_p.reshape(len(keys_p), TABLES, PROBES, 1)
@@ -190,7 +179,7 @@ def links(keyed: DataFrame, cosine: float = COSINE) -> DataFrame:
                     a, b = a[here], b[here]
                     np.add.at(n, a, w[b])
                     np.add.at(n, b, w[a])
-                    roots = _unite(roots, a, b)
+                    roots = unite(roots, a, b)
         out = n > 0
         return pa.table({"node": node[out], "n": n[out], "root": node[roots[out]]})
 

@@ -107,8 +107,9 @@ def test_estimate_follows_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed,one_task", [(0, 0), (1, 0), (2, 1 << 20)])
+def test_components(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(seed)
     n = 120
     pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)] + [
