@@ -10,9 +10,10 @@ binary search on prefix polynomial hashes (seven steps for 100 bytes) and then l
 at one byte.  Neighbours with 100 bytes in common are verified byte by byte against
 collisions; the earliest of equal windows stays, bytes of the others go.
 
-Minimizers with more than ``SORTED_RUNS`` contents are not sorted in one task:
-their windows are range-sorted by Spark, compared by two independent hashes.  Whole runs are
-brought together by one hash and verified by a second one as well.
+Minimizers with more than ``SORTED_RUNS`` contents are not sorted in one task: their
+runs are cut once more by 80-byte minimizers and settled as above, and the
+windows that are left are range-sorted by Spark.  There, and for whole runs,
+one hash brings equals together and an independent second one verifies them.
 
 Texts are taken as UTF-8.  Defined cases: a null text is empty; documents
 of fewer than 100 bytes lose nothing; rows repeated in full (same
@@ -34,7 +35,8 @@ from .components import join_by_key
 
 BYTES = 100
 GRAM = 32
-SORTED_RUNS = 256
+LONG_GRAM = 80
+SORTED_RUNS = 4096  # their windows (at most 283,000) and what sorts them take about 30 MB
 SLICE_BYTES = 1 << 20
 RUN = "minimizer long, h1 long, h2 long, doc long, place long, n int, lead int"
 
@@ -244,6 +246,36 @@ def _sorted_spans(runs: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "doc long, place long, length long")
 
 
+def _cut_again(runs: DataFrame) -> DataFrame:
+    """``runs`` with contents cut into runs of windows with one long minimizer, with their contents."""
+    rows = runs.select("doc", "place", "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 2, SLICE_BYTES):
+                data, bounds = hashing.texts(part.column(2))
+                prefixes = hashing.Prefix(data), hashing.Prefix(data, _SECOND)
+                first = np.arange(len(data))
+                grams = hashing.mix(prefixes[0].spans(first, np.minimum(first + LONG_GRAM, len(data))))
+                inside = first + LONG_GRAM <= np.repeat(bounds[1:], np.diff(bounds))
+                start, n, minimizer, _, group = repeats.minimizer_runs(grams, inside, bounds, BYTES, LONG_GRAM)
+                size = n + BYTES - 1
+                h1, h2 = _hashes(prefixes, start, start + size)
+                ends = np.cumsum(size)
+                take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+                content = pa.Array.from_buffers(pa.binary(), len(start), [
+                    None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[take])])
+                doc, place = part.column(0).to_numpy(), part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x) for x in (minimizer.view(np.int64), h1, h2, doc[group],
+                                             place[group] + start - bounds[group], n.astype(np.int32))), content],
+                    names=["minimizer", "h1", "h2", "doc", "place", "n", "content"])
+
+    return rows.mapInArrow(run, "minimizer long, h1 long, h2 long, doc long, place long, n int, content binary")
+
+
 def _windows(runs: DataFrame) -> DataFrame:
     """The single windows (h1, h2, doc, place) of ``runs`` with contents."""
     rows = runs.select("doc", "place", "n", "content")
@@ -268,15 +300,17 @@ def _windows(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, length): byte spans, each covered by windows that start earlier elsewhere."""
     with scratch(docs.sparkSession):
-        found = stored(repeats.compared_runs(_runs(docs)).select("minimizer", "doc", "place", "n", "lead", "later"), "runs")
+        found = stored(repeats.compared_runs(_runs(docs)).select("minimizer", "doc", "place", "n", "lead", "later"), "runs", large=True)
         differing = found.where("NOT later").drop("later").distinct()
         sizes = stored(differing.groupBy("minimizer").agg(F.count("*").alias("__n")).where("__n > 1").withColumn(
             "hot", F.col("__n") > SORTED_RUNS), "sizes")
         differing = join_by_key(differing, sizes, "minimizer", found.count())
-        runs = stored(_contents(docs, differing), "contents")
+        runs = stored(_contents(docs, differing), "contents", large=True)
         by_sort = _sorted_spans(runs.where("NOT hot"))
-        by_hash = repeats.later_windows(_windows(runs.where("hot"))).withColumn("length", F.lit(BYTES).cast("long"))
-        spans = found.where("later").select("doc", "place", (F.col("n") + BYTES - 1).cast("long").alias("length"))
+        cut = stored(repeats.compared_runs(_cut_again(runs.where("hot"))), "cut-runs")
+        by_hash = repeats.later_windows(_windows(cut.where("NOT later"))).withColumn("length", F.lit(BYTES).cast("long"))
+        whole = found.select("doc", "place", "n", "later").unionByName(cut.select("doc", "place", "n", "later"))
+        spans = whole.where("later").select("doc", "place", (F.col("n") + BYTES - 1).cast("long").alias("length"))
         return stored(spans.unionByName(by_sort).unionByName(by_hash), "spans", keep=True)
 
 
