@@ -117,7 +117,7 @@ def _edges(docs: DataFrame, paths: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, length): spans of words, each covered by windows that start earlier elsewhere."""
     with scratch(docs.sparkSession):
-        found = stored(repeats.compared_runs(_runs(docs)), "paths")
+        found = stored(repeats.compared_runs(_runs(docs)), "paths", large=True)
         branching = found.where("NOT later").select("doc", "place", "n").distinct()
         edges = repeats.later_windows(_edges(docs, branching))
         spans = found.where("later").select("doc", "place", (F.col("n") + WORDS - 1).alias("length")).unionByName(

@@ -72,7 +72,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     with scratch(docs.sparkSession):
         groups = similar.grouped(similar.features(lines, PLAN), lines, PLAN)
-        slim = stored(similar.features(lines, PLAN, full=False).select("id", "set_hash"), "lines")
+        slim = stored(similar.features(lines, PLAN, full=False).select("id", "set_hash"), "lines", large=True)
         # lines that stand alone need no decision: only classes of several lines or with links count
         sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
         several = groups.join(sizes, "set_hash").where("shared OR __n > 1").drop("shared")

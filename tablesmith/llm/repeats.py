@@ -131,7 +131,7 @@ def compared_runs(runs: DataFrame) -> DataFrame:
 
 def later_windows(windows: DataFrame) -> DataFrame:
     """(doc, place) of the windows (h1, h2, doc, place) that an equal one precedes."""
-    found = stored(_streamed(windows, ["h1", "h2", "doc", "place"], 0, 2), "windows")
+    found = stored(_streamed(windows, ["h1", "h2", "doc", "place"], 0, 2), "windows", large=True)
     edges = found.where("edge")  # at most two a partition
     least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
     over = edges.join(F.broadcast(least), ["h1", "h2"]).where(F.struct("doc", "place") != F.col("first"))
