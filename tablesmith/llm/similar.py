@@ -32,7 +32,7 @@ from .common import partitions, scratch, slices, stored
 from .components import components, join_by_key
 
 BITS = 4  # retained low bits of each minimum
-SKETCH = 1024  # one-bit minima of the second look
+SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
 
 
@@ -157,7 +157,7 @@ def classes(rows: DataFrame) -> DataFrame:
     found = (rows.where("set_hash IS NOT NULL").groupBy("set_hash")
              .agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "keys", "bits")).alias("f"))
              .select(F.monotonically_increasing_id().alias("node"), "set_hash", "id", "f.*"))
-    return stored(found, "classes")
+    return stored(found, "classes", large=True)
 
 
 BUCKET_PAIRS = "key long, a long, b long, edge boolean"
@@ -196,7 +196,7 @@ def buckets(found: DataFrame) -> DataFrame:
                                               pa.array([None], pa.int64()), pa.array([True])],
                                              names=["key", "a", "b", "edge"])
 
-    met = stored(rows.mapInArrow(stream, BUCKET_PAIRS), "buckets")
+    met = stored(rows.mapInArrow(stream, BUCKET_PAIRS), "buckets", large=True)
     # parts of one bucket in neighbouring partitions: at most two edges a partition
     edges = met.where("edge")
     first = edges.groupBy("key").agg(F.min("a").alias("p"))
@@ -207,7 +207,7 @@ def buckets(found: DataFrame) -> DataFrame:
 
 def _agreeing(a: str, b: str, minima: int) -> F.Column:
     """Minima whose retained bits agree, counted on packed words."""
-    ones = int("1" * (64 // BITS), 2 ** BITS) if BITS < 4 else int("1" * 16, 16)
+    ones = sum(1 << BITS * k for k in range(64 // BITS))  # the lowest bit of each retained group
     fold = "x" + "".join(f" | shiftrightunsigned(x, {k})" for k in range(1, BITS))
     diff = f"transform(zip_with({a}, {b}, (x, y) -> x ^ y), x -> ({fold}) & {ones}L)"
     return F.expr(f"{minima} - aggregate({diff}, 0, (s, x) -> s + CAST(bit_count(x) AS INT))")
@@ -223,67 +223,50 @@ def estimated(pairs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     return p.where(j >= plan.slack(plan.minima, BITS)).select("a", "b")
 
 
-def _of_nodes(items: DataFrame, found: DataFrame, nodes: DataFrame, plan: Plan, make, ddl: str) -> DataFrame:
-    """Run ``make(values, bounds)`` on the sets of ``nodes`` (node), from their representatives' texts."""
-    wanted = found.join(nodes, "node", "left_semi").select("node", "set_hash", "id")
-    texts = items.join(wanted.select("id").distinct().withColumnRenamed("id", "__id"),
-                       F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(batches):
-        import pyarrow as pa
+def node_texts(items: DataFrame, found: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Stored (node, text) of the classes ``nodes`` (node), from the rows of their ids."""
+    wanted = found.join(nodes, "node", "left_semi").select("node", "set_hash", F.col("id").alias("__id"))
+    rows = items.join(wanted, F.col("id").eqNullSafe(F.col("__id"))).select("node", "set_hash", "text")
 
+    def own(batches):
+        # an id that is repeated brings other texts as well: only those of the class stay
         for batch in batches:
-            for part in slices(batch, 0, 2 << 20):
-                data, offsets = hashing.texts(part.column(0))
-                values, bounds, hashes, has = plan.sets(data, offsets)
-                bounds = np.append(bounds[:-1][has], len(values))
-                if len(has):
-                    yield pa.RecordBatch.from_arrays([_binary(hashes[has]), make(values, bounds)],
-                                                     names=["set_hash", "made"])
+            for part in slices(batch, 2, 2 << 20):
+                hashes = plan.sets(*hashing.texts(part.column(2)), distinct=False)[2]
+                yield part.filter(pc.equal(_binary(hashes), part.column(1))).select([0, 2])
 
-    made = texts.mapInArrow(run, f"set_hash binary, made {ddl}")
-    # repeated ids bring several sets; each class keeps one copy of its own
-    return stored(made.join(wanted, "set_hash").groupBy("node").agg(F.first("made").alias("made")), "sets")
+    import pyarrow.compute as pc
+    return stored(rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts", large=True)
 
 
-def _set_binary(values, bounds):
-    import pyarrow as pa
-
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
-        None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(values)])
-
-
-def verified(pairs: DataFrame, items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (stored table a, b) that reach the threshold on their full sets."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _of_nodes(items, found, nodes, plan, _set_binary, "binary")
-    joined = (pairs.join(sets.select(F.col("node").alias("b"), F.col("made").alias("set_b")), "b")
-              .join(sets.select(F.col("node").alias("a"), F.col("made").alias("set_a")), "a")
-              .select("a", "b", "set_a", "set_b"))
+    joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+              .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+              .select("a", "b", "text_a", "text_b"))
     percent = plan.percent
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sa, sb = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(sa[i].as_buffer(), np.uint64)
-                y = np.frombuffer(sb[i].as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            for part in slices(batch, 2, 1 << 20):
+                keep = np.zeros(part.num_rows, bool)
+                (va, ba), (vb, bb) = (plan.sets(*hashing.texts(part.column(c)))[:2] for c in (2, 3))
+                for i in range(part.num_rows):
+                    x, y = va[ba[i]:ba[i + 1]], vb[bb[i]:bb[i + 1]]
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = 100 * common >= percent * (len(both) - common)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _second_look(met: DataFrame, comps: DataFrame, items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """Pairs across components inside buckets, by one-bit sketches, at the sketch's slack."""
     members = met.select("key", F.col("a").alias("node")).unionByName(met.select("key", F.col("b").alias("node")))
     members = (members.distinct().join(comps.withColumnRenamed("component", "comp"), "node", "left")
@@ -302,31 +285,43 @@ def _second_look(met: DataFrame, comps: DataFrame, items: DataFrame, found: Data
     rows = stored(rows, "rows")
     hasher = hashing.MinHasher(SKETCH, plan.seed + 1)
 
-    def sketch(values, bounds):
-        low = (hasher.minima(values, bounds).T & np.uint32(1)).astype(np.uint8)
-        return _binary(np.packbits(low, axis=1))
+    def sketch(batches):
+        import pyarrow as pa
 
-    sketches = _of_nodes(items, found, rows.select("node").distinct(), plan, sketch, "binary")
-    rows = rows.join(sketches, "node")
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                values, bounds = plan.sets(*hashing.texts(part.column(1)), distinct=False)[:2]
+                low = (hasher.minima(values, bounds).T & np.uint32(1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(np.packbits(low, axis=1))],
+                                                 names=["node", "made"])
+
+    members = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sketches = stored(members.mapInArrow(sketch, "node long, made binary"), "sketches")
+    rows = rows.join(sketches.join(found.select("node", "keys"), "node"), "node")
     least_agree = int(np.ceil(SKETCH * (1 + plan.slack(SKETCH, 1)) / 2))
 
     def compare(group):
         import pyarrow as pa
 
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        keys = np.array(group.column("keys").combine_chunks().flatten()).reshape(group.num_rows, -1)
         node, comp, block = (group.column(c).to_numpy() for c in ("node", "comp", "block"))
         made = group.column("made").combine_chunks()
         bits = np.frombuffer(b"".join(made.to_pylist()), np.uint64).reshape(len(node), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
-        for at in range(0, len(left), 64):
-            x = left[at:at + 64]
+        for at in range(0, len(left), 16):
+            x = left[at:at + 16]
             differ = np.bitwise_count(bits[x][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int32)
             close = (SKETCH - differ >= least_agree) & (comp[x][:, None] != comp[right][None, :])
             if i == j:
                 close &= node[x][:, None] < node[right][None, :]
             p, q = np.nonzero(close)
-            out.append(np.stack([node[x[p]], node[right[q]]]))
+            p, q = x[p], right[q]
+            # a pair that shares several bands counts in the first
+            first = (keys[p] == keys[q]).argmax(axis=1)
+            here = keys[p, first] == key
+            out.append(np.stack([node[p[here]], node[q[here]]]))
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
 
@@ -337,11 +332,12 @@ def linked_classes(items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """(node, component) of every class linked to another; ``items`` (id, text), ``found`` of classes()."""
     with scratch(items.sparkSession):
         met = buckets(found)
+        nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+        texts = node_texts(items, found, nodes, plan)
         pairs = stored(estimated(met.select("a", "b").distinct(), found, plan), "pairs")
-        links = stored(verified(pairs, items, found, plan), "links")
-        comps = components(links)
-        more = stored(_second_look(met, comps, items, found, plan), "pairs")
-        new = stored(verified(more, items, found, plan), "links")
+        comps = components(verified(pairs, texts, plan))
+        more = stored(_second_look(met, comps, texts, found, plan), "pairs")
+        new = verified(more, texts, plan)
         # the components so far are stars already; the new links join some of them
         return stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
                                  .unionByName(new)), "components", keep=True)
