@@ -141,4 +141,7 @@ def clean_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes every rule, with the input's columns."""
     j = judged(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                          F.col(f"`{text}`").alias("__text")), "__text")
-    return j.where("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    # a filter is not pushed below a row number: pushed down, it would hold every measure's whole
+    # expression wherever one refers to another
+    j = j.withColumn("__row_no", F.monotonically_increasing_id())
+    return j.where(F.col("kept") & (F.col("__row_no") >= 0)).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
