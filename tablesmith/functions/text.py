@@ -19,7 +19,7 @@ PHONE_PATTERN = r"(?U)\b(?:\+?1?[-.\s]?)?\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4
 PHONE_REPLACEMENT = "1($1)$2-$3"
 # Markdown clean-up: emphasis/code marks, bullet prefixes, spaces before newlines.
 MD_CHARS_PATTERN = r"(\*\*|\*|`|_{1,2})"
-BULLET_LINE_PATTERN = r"(?mdU)^\s*[-•]\s+"
+BULLET_LINE_PATTERN = r"(?mU)^\s*[-•]\s+"
 SPACE_BEFORE_NEWLINE_PATTERN = r"[ \t]+\n"
 # Segment splitting: newlines, sentence ends before a capital or '(', after ':' or ';',
 # and before numbered items; number prefixes and punctuation-only parts are dropped.
@@ -71,7 +71,7 @@ def format_phone(col) -> Column:
 def strip_markdown(col) -> Column:
     """Remove emphasis/code marks and bullets, normalise newlines, strip."""
     c = F.regexp_replace(_c(col), MD_CHARS_PATTERN, "")
-    c = F.regexp_replace(c, BULLET_LINE_PATTERN, "")
+    c = F.regexp_replace(c, "(?d)" + BULLET_LINE_PATTERN, "")
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     c = F.regexp_replace(c, SPACE_BEFORE_NEWLINE_PATTERN, "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
