@@ -116,6 +116,16 @@ class MinHasher:
         return out
 
 
+def mix32(x):
+    """Finalizer of murmur3 on 32-bit numbers: every input bit moves every output bit.
+
+    Low bits of a minimum as it is depend on low bits of its member alone, in every function.
+    """
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 def band_keys(minima, rows: int):
     """64-bit bucket keys, one row per band of ``rows`` minima."""
     bands = len(minima) // rows

@@ -31,7 +31,7 @@ from . import hashing
 from .common import partitions, scratch, slices, stored
 from .components import components, join_by_key
 
-BITS = 4  # retained low bits of each minimum
+BITS = 4  # retained bits of each mixed minimum
 SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
 
@@ -89,14 +89,19 @@ def set_hash(values, bounds):
 
 
 def _pack(minima):
-    """Low BITS of the minima, packed into 64-bit words, one row per group."""
-    low = (minima.T & np.uint32((1 << BITS) - 1)).astype(np.uint64)
+    """BITS of the mixed minima, packed into 64-bit words, one row per group."""
+    low = (hashing.mix32(minima).T & np.uint32((1 << BITS) - 1)).astype(np.uint64)
     per = 64 // BITS
     pad = -low.shape[1] % per
     low = np.pad(low, ((0, 0), (0, pad))).reshape(len(low), -1, per)
     return (low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
+def _sketch(minima):
+    """One bit of each mixed minimum, packed into bytes, one row per group."""
+    return np.packbits((hashing.mix32(minima).T & np.uint32(1)).astype(np.uint8), axis=1)
+
+
 def _binary(rows):
     """Arrow binary array of the rows of a 2-d array."""
     import pyarrow as pa
@@ -291,8 +296,7 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 values, bounds = plan.sets(*hashing.texts(part.column(1)), distinct=False)[:2]
-                low = (hasher.minima(values, bounds).T & np.uint32(1)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), _binary(np.packbits(low, axis=1))],
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(_sketch(hasher.minima(values, bounds)))],
                                                  names=["node", "made"])
 
     members = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")

@@ -74,6 +74,39 @@ def test_families_and_copies(spark, monkeypatch):
     assert got(minhash.near_duplicates(docs)) == brute(rows)
 
 
+def short_families(seed, families=60, variants=14):
+    """Families of short texts (6 to 30 shingles) that differ in words at both ends: about one shingle a word."""
+    rng, out = random.Random(seed), []
+    for f in range(families):
+        base = [f"f{f}w{k}" for k in range(rng.randint(10, 34))]
+        for v in range(variants):
+            w, most = list(base), max(1, len(base) // 8)
+            for k in (*range(rng.randint(0, most)), *(-1 - k for k in range(rng.randint(0, most)))):
+                w[k] = f"v{v}x{k}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_short_families(spark):
+    rows = list(enumerate(short_families(4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(docs)) == brute(rows)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    plan, n = minhash.PLAN, 200
+    hasher = hashing.MinHasher(similar.SKETCH, plan.seed + 1)
+    least = similar.SKETCH * (1 + plan.slack(similar.SKETCH, 1)) / 2
+    for common, a, b in ((6, 1, 1), (9, 1, 2), (12, 2, 2), (18, 3, 3)):
+        sets = []
+        for _ in range(n):
+            x = rng.integers(1, 1 << 63, common + a + b, dtype=np.uint64) * np.uint64(2)
+            sets += [x[:common + a], np.delete(x, slice(common, common + a))]
+        made = similar._sketch(hasher.minima(np.concatenate(sets), np.cumsum([0, *map(len, sets)])))
+        assert (similar.SKETCH - np.bitwise_count(made[::2] ^ made[1::2]).sum(axis=1, dtype=int) >= least).all()
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"),
             (8, "éa É b c d e"), (9, "éa É b c d e"), (9, "éa É b c d e"), (10, "a b c d e f g h " * 5000),
