@@ -1,6 +1,8 @@
 import random
 
-from tablesmith.llm import line_dedup
+import numpy as np
+
+from tablesmith.llm import hashing, line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +83,13 @@ def test_counts_and_empty(spark):
     assert left == {1: ("a common line here\nown", 22), 2: ("other one line", 14)}
     none = docs.where("doc_id > 5")
     assert line_dedup.line_report(none).collect() == [] and line_dedup.without_repeated_lines(none).collect() == []
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng, plan, sets = np.random.default_rng(3), line_dedup.PLAN, []
+    for _ in range(2000):
+        x = rng.integers(1, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+        sets += [x[:35], np.delete(x, slice(30, 35))]  # 30 of 40 in common
+    minima = hashing.MinHasher(plan.minima, plan.seed).minima(np.concatenate(sets), np.arange(4001) * 35)
+    keys = hashing.band_keys(minima, plan.rows)
+    assert (keys[:, ::2] == keys[:, 1::2]).any(axis=0).all()
