@@ -111,6 +111,12 @@ LABELLED = """
 0  0 0   6   0   90   0   3   0  1
 0  0 0   4   0   28   0  30   0  1
 0  0 0   9   0    2   0  45   0  1
+0  0 0 400   0   30 100   0   0  1
+0  0 0 150   2   12  90   3   0  1
+0  0 0  90   0   40 100  20 100  1
+0  0 0  60   5    3 100   4 100  1
+0  0 0 300   0    8  60  25   0  1
+0  0 0  45   0   10 100   0   0  1
 0  0 1   5   0    1 100  60   0  1
 0  0 1   3   0   45   0  70   0  1
 0  0 1   9   0    0   0  30   0  1
@@ -124,6 +130,31 @@ LABELLED = """
 0  0 0   3   0    4   0   2 100  0
 0  0 0   6   0    2 100   0   0  0
 0  0 0   5   0    1 100   3   0  0
+0  0 0   6 100  400   0   0   0  0
+0  0 0   8 100  120   0   4 100  0
+0  0 0   5  90  200   0   6   0  0
+0  0 0   2   0  300   0  20   0  1
+0  0 0   5   0  150   0   0   0  1
+0  0 0  12   0   10   0  12   0  1
+0  0 0  15   0   12   0   0   0  1
+0  0 0  14   0   30   0  10   0  1
+0  0 0   8   0    9   0   9   0  1
+0  0 0  10   0    0   0  14   0  1
+0  0 0   7   0    7   0   7   0  1
+0  0 0   7   0   60   0   2 100  1
+0  0 0  12   8   40  20   3  60  1
+0  0 1   1   0    0   0  60   0  1
+0  0 1   4   0    0   0  35   0  1
+0  0 0  60   0    0   0   0   0  1
+0  0 0 300   0    0   0   5   0  1
+0  0 0  20   0    0   0   3   0  1
+0  0 0  11   0    0   0   0   0  1
+0  0 0  15   0    8 100  28   0  1
+0  0 0   8   0    3 100  30   0  1
+0  0 0   3   0   20 100   0   0  0
+0  0 0   8   0   30 100   0   0  0
+0  0 0   5   0   25  90   4 100  0
+0  0 0  10   0   20 100   3 100  0
 0  0 1   2   0    3   0   2 100  0
 0  0 1   2   0    2 100   4   0  0
 """

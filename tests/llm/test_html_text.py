@@ -76,6 +76,22 @@ def test_pages_without_an_article():
     assert one(f"<div id='content'><p>In.</p><div class='sidebar'>{LONG}</div></div><p>{LONG}</p>") == "In."
 
 
+def test_one_paragraph_after_links():
+    menu = "<ul><li><a href='/'>Home</a><li><a href='/n'>News and more</a></ul>"
+    crumbs = "<p><a href='/'>Home</a> <a href='/a'>All parts of it</a></p>"
+    for before in ("", menu, crumbs):
+        for after in ("", "<p><a href='/'>more</a></p>", crumbs):
+            for text in (LONG, LONG * 6):
+                assert one(f"<body>{before}<p>{text}</p>{after}</body>") == text.strip()
+    links = "".join(f"<a href='/{k}'>item {k}</a> " for k in range(12))
+    assert one(f"<body><h2>Heading</h2><p>{LONG}</p><p>{links}</p><p>Made by us</p></body>") == f"Heading {LONG.strip()}"
+
+
+def test_short_paragraphs_alone():
+    texts = [f"This is the short paragraph with number {k} of the page." for k in range(5)]
+    assert one("<body>" + "".join(f"<p>{t}</p>" for t in texts) + "</body>") == " ".join(texts)
+
+
 def test_broken_markup():
     assert one("") == "" and one("   ") == "" and one("<") == one("<p") == ""
     assert one("<article><p>x<script>never closed <p>y") == "x"
