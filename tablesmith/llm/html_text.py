@@ -8,7 +8,8 @@ one space, white space inside a block turned into one space, character
 references decoded.
 
 Defined cases: a null page is an empty one and gives an empty text; markup
-that never closes (comments, scripts, tags) runs to the page's end; pages
+that never closes (comments, scripts, tags) runs to the page's end, but for
+drawings, menus and players; options end at the next tag; pages
 without an article element are judged by length and links alone; repeated
 rows give repeated rows; extra columns pass through, but for ``text`` and ``n_chars``,
 which are replaced; an empty table gives an empty result.
@@ -28,11 +29,14 @@ from .common import slices
 
 # --- fixed values: HTML's vocabulary ---------------------------------------------------------
 
-# elements whose content is no text
-SILENT = "script style noscript template title textarea select option button svg math iframe object canvas audio video"
+# elements whose content is no text, if never closed to the page's end
+SILENT = "script style noscript template title textarea iframe"
+# those that, if never closed, are no more than their tag
+BOUNDED = "select svg canvas audio video"
 # elements that do not break a block of text
 INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-          "small span strike strong sub sup time tt u var wbr").split()
+          "small span strike strong sub sup time tt u var wbr button object math mrow mi mn mo ms mtext mspace mfrac "
+          "msqrt mroot mstyle msub msup msubsup munder mover munderover semantics annotation").split()
 # elements without content
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
@@ -54,10 +58,13 @@ _SILENT = "|".join(SILENT.split())
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))"  # a comment
     rf"|<(?P<silent>{_SILENT})(?=[\s/>]){_ATTRIBUTE}>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"|<option(?=[\s/>]){_ATTRIBUTE}>[^<]*(?:</option\s*>)?"  # an option holds text only, its end tag may lack
+    rf"|<(?P<bounded>{'|'.join(BOUNDED.split())})(?=[\s/>])(?P<attributes3>{_ATTRIBUTE})>"
     rf"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>{_ATTRIBUTE})>"
     r"|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*)(?P<attributes2>[^>]*)>"  # with a quote left open
     r"|<[!?/][^>]*>|<[a-z/!?][^>]*\Z",  # declarations, and a tag cut off at the end
     re.IGNORECASE | re.DOTALL)
+BOUNDED_END = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in BOUNDED.split()}
 NAMED = re.compile(r"""\b(class|id|role|itemprop|style|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
@@ -235,7 +242,8 @@ def blocks(html: str):
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(html):
+    open_ended = set()  # BOUNDED names without a later end tag
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             text = html[at:m.start()]
             parts.append(text)
@@ -244,6 +252,12 @@ def blocks(html: str):
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
+            name = (m["bounded"] or "").lower()
+            if name and name not in open_ended and not (name == "svg" and m["attributes3"].endswith("/")):
+                if end := BOUNDED_END[name].search(html, at):
+                    at = end.end()
+                else:
+                    open_ended.add(name)
             continue
         name, closing = name.lower(), bool(m["close"] or m["close2"])
         if name in VOID:

@@ -92,6 +92,15 @@ def test_short_paragraphs_alone():
     assert one("<body>" + "".join(f"<p>{t}</p>" for t in texts) + "</body>") == " ".join(texts)
 
 
+def test_elements_without_end_tags():
+    for before in ("<datalist><option value='a'><option value='b'></datalist>", "<svg class='icon'/>", "<math/>", "<option>x<b></b>",
+                   "<select><option>a<option>b</select>", "<svg><title>t</title><path d=''/></svg>", "<svg>", "<video src=x>",
+                   "<canvas><canvas>", "<object data=x>", "<button>"):
+        assert one(f"{before}<article><p>In {before}it.</p></article>") == "In it.", before
+    assert one("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <button>press</button> <object>or</object> b</p>"
+               "</article>") == "a x=1 press or b"
+
+
 def test_broken_markup():
     assert one("") == "" and one("   ") == "" and one("<") == one("<p") == ""
     assert one("<article><p>x<script>never closed <p>y") == "x"
