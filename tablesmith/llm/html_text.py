@@ -51,6 +51,15 @@ FURNITURE_WORDS = set(
     "adunit adsbygoogle optin paywall".split())
 FURNITURE_STARTS = tuple("comment advert cookie breadcrumb sidebar footer newsletter sponsor promo popup navbar masthead "
                          "subscri".split())
+# words that only begin like one of these
+CONTENT_WORDS = set("commentary commentaries commentator commentators subscript subscripts promontory".split())
+# a name that says whether the page has a part or in what state it is, not what the element is
+LAYOUT_NAME = re.compile(r"(?:^|-)(?:has|have|no|not|with|without)-.*|.*-(?:enabled|disabled)$")
+# what stands beside furniture words in an id; other words make it the id of a heading's text
+PART_WORDS = set(
+    "list box wrap wrapper container section area block bar row column col panel group holder inner outer top bottom left "
+    "right main site page global primary secondary tertiary content form item items unit slot banner text title button "
+    "buttons icon icons links link posts post articles article stories story count meta info the".split())
 ARTICLE_WORDS = set("article content post entry story main articlebody".split())
 
 _ATTRIBUTE = r"""(?:"[^"]*"|'[^']*'|[^'">])*+"""
@@ -206,31 +215,38 @@ def train():
 
 
 def _marks(name: str, attributes: str):
-    """Whether an element is furniture, and whether its names say that it holds the article."""
+    """Whether an element is furniture, whether it is hidden, and whether its names say that it holds the article."""
     if not attributes.strip(" /"):
-        return name in FURNITURE, False
-    words, hidden = set(), False
+        return name in FURNITURE, False, False
+    words, hidden, marked = set(), False, False
     for k, v in NAMED.findall(attributes):
         k = k.lower()
         if k == "style":
             hidden |= bool(HIDDEN_STYLE.search(v))
         elif k == "hidden":
             hidden |= not v or v.strip("\"'").lower() in ("hidden", "until-found")
-        else:
-            words.update(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower()))
-    furniture = (name in FURNITURE or hidden or bool(words & FURNITURE_WORDS)
-                 or any(w.startswith(FURNITURE_STARTS) for w in words))
-    return furniture, bool(words & ARTICLE_WORDS) and not furniture
+        elif k != "id" or name not in HEADINGS:
+            for part in v.strip("\"'").split():
+                part = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower().replace("_", "-")
+                if LAYOUT_NAME.match(part):
+                    continue
+                own = set(re.split(r"[^a-z]+", part)) - {""}
+                words |= own
+                mine = {w for w in own if w in FURNITURE_WORDS or w.startswith(FURNITURE_STARTS) and w not in CONTENT_WORDS}
+                marked |= bool(mine) and (k != "id" or own - mine <= PART_WORDS)
+    furniture = name in FURNITURE or hidden or marked
+    return furniture, hidden, bool(words & ARTICLE_WORDS) and not furniture
 
 
 def blocks(html: str):
-    """(text, words, words in links, heading, furniture, article kind) of each block in page order.
+    """(text, words, words in links, heading, furniture, article kind, furniture around the article) of each block.
 
-    The article kind is 3 inside <article>, 2 inside <main>, 1 inside an element named like one, 0 elsewhere.
+    Blocks are in page order. Furniture around the article counts the furniture elements that hold the
+    article element (0: none, or the block is furniture by elements inside or hidden ones). The article kind is 3 inside <article>, 2 inside <main>, 1 inside an element named like one, 0 elsewhere.
     """
     out, open_, parts = [], [], []
     links = linked = at = 0
-    state = (False, 0, False)  # furniture, article kind, inside the head
+    state = (False, 0, False, 0, 0, False)  # furniture, article kind, inside the head, furniture so far, around the article, hidden
     heading = False
 
     def flush():
@@ -238,7 +254,8 @@ def blocks(html: str):
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text and not state[2]:
-                out.append((text, text.count(" ") + 1, linked, heading, state[0], state[1]))
+                around = state[4] if state[3] == state[4] and not state[5] else 0
+                out.append((text, text.count(" ") + 1, linked, heading, state[0], state[1], around))
             parts.clear()
         linked = 0
 
@@ -273,7 +290,7 @@ def blocks(html: str):
             if name != "span" or closing and not any(x[0] == "span" for x in open_):
                 continue
         if not closing:
-            furniture, named = _marks(name, m["attributes"] or m["attributes2"] or "")
+            furniture, hidden, named = _marks(name, m["attributes"] or m["attributes2"] or "")
             if name == "span" and not furniture:
                 open_.append((name, state, heading))
                 continue
@@ -288,13 +305,16 @@ def blocks(html: str):
                     _, state, heading = open_.pop()
             open_.append((name, state, heading))
             kind = {"article": 3, "main": 2}.get(name, 1 if named else 0)
+            own = furniture and name in ("article", "main")
             if name in ("html", "body", "article", "main"):
                 furniture = False
             if name == "body":
-                state = (False, 0, False)
+                state = (False, 0, False, 0, 0, False)
             if name == "header" and state[1] >= 2:  # the article's own header: its headings count
                 furniture = False
-            state = (state[0] or furniture, max(state[1], kind), state[2] or name == "head")
+            marks = state[3] + (furniture or own)
+            state = (state[0] or furniture, max(state[1], kind), state[2] or name == "head", marks,
+                     marks if kind and not state[1] and not own else state[4], state[5] or hidden)
             heading = heading or name in HEADINGS
         else:
             if name not in INLINE:
@@ -313,15 +333,25 @@ def blocks(html: str):
     return out
 
 
+def _reset(page):
+    """``page`` without the furniture around its article, if the article is more than all outside of furniture."""
+    if any(b[5] and not b[4] for b in page) or not (least := min((b[6] for b in page if b[5] and b[6]), default=0)):
+        return page
+    inside = [b[4] and b[5] > 0 and b[6] == least for b in page]
+    if sum(b[1] - b[2] for b, x in zip(page, inside) if x) <= sum(b[1] - b[2] for b in page if not b[4]):
+        return page
+    return [(*b[:4], b[4] and not x, *b[5:]) for b, x in zip(page, inside)]
+
+
 def main_texts(pages: list[str], tree) -> list[str]:
     """The main text of each page of a batch."""
-    found = [blocks(p) for p in pages]
+    found = [_reset(blocks(p)) for p in pages]
     rows = []
     for page in found:
         best = max((b[5] for b in page if not b[4]), default=0)
         words = [0] + [b[1] for b in page] + [0]
         links = [0] + [100 * b[2] / b[1] for b in page] + [0]
-        for k, (_, _, _, heading, furniture, kind) in enumerate(page, 1):
+        for k, (_, _, _, heading, furniture, kind, _) in enumerate(page, 1):
             article = 0 if not best else 1 if kind >= best else -1
             rows.append((furniture, article, heading, words[k], links[k], words[k - 1], links[k - 1], words[k + 1],
                          links[k + 1]))

@@ -101,6 +101,22 @@ def test_elements_without_end_tags():
                "</article>") == "a x=1 press or b"
 
 
+def test_names_of_layout_and_headings():
+    text = LONG.strip()
+    for a, b in (("<div class='page has-sidebar'><article>", "</article></div>"), ("<div id='content' class='no-comments'>", "</div>"),
+                 ("<section class='post share-enabled'>", "</section>"), ("<article><section id='header-files'>", "</section></article>"),
+                 ("<article><div class='commentary'>", "</div></article>"), ("<div class='sidebar layout'><article>", "</article></div>"),
+                 ("<form id=all><div class='widget'><main>", "</main></div></form>")):
+        assert one(f"<body><nav>Menu</nav>{a}<p>{LONG}</p>{b}<p class='legal'>x</p></body>") == text, a
+    assert one(f"<article><h2 id='related-work'>Related work</h2><p>{LONG}</p><h3 id=search>Search</h3></article>") == (
+        f"Related work {text} Search")
+    more = f"<section id='comments'><article><p>{LONG}</p></article></section><div id='related-posts'><p>{LONG}</p></div>"
+    assert one(f"<div class='sidebar layout'><article><p>In.</p></article>{more}</div>") == "In."
+    assert one(f"<article><p>In.</p></article>{more}") == one(f"<article><p>In.</p>{more}</article>") == "In."
+    assert one(f"<p>{LONG}</p><p>{LONG}</p><aside><div class='content'>Widget.</div></aside>") == f"{text} {text}"
+    assert one(f"<div hidden><article><p>{LONG}</p></article></div>") == ""
+
+
 def test_broken_markup():
     assert one("") == "" and one("   ") == "" and one("<") == one("<p") == ""
     assert one("<article><p>x<script>never closed <p>y") == "x"
