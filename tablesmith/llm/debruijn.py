@@ -1,11 +1,12 @@
 r"""Repeated word spans by compaction of a de Bruijn graph of word k-mers.
 
 Every window of 20 words is an edge of the graph from its first 19 words to
-its last 19.  Edges in a row with the same minimizer (an 8-word gram) lie on
-one path without branches inside; each such path of a document becomes one
-row with its source coordinate, so a document of n words gives about n/7
-rows.  Equal paths meet by minimizer, and all but the first are repeats as a
-whole.  Where paths with one minimizer differ, there the graph branches: the
+its last 19.  Minimizer runs replace the compaction of paths without
+branches: no node degrees are computed and no edges are joined to their
+successors.  Edges of a document in a row with the same minimizer (an 8-word
+gram) become one path, a row with its source coordinate, wherever the graph
+branches; so a document of n words gives about n/7 rows.  Equal paths meet by minimizer, and all but the first are repeats as a
+whole.  Where paths with one minimizer differ, documents part inside them: the
 edges of the first path of each content are compared one by one, and the
 first of equal edges stays.  Repeated paths and edges that follow each other in a
 document are joined into its long spans by their coordinates.
