@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archives, debruijn, embeddings, html_text, line_dedup, minhash, mixing, packing, quality, suffix_dedup
+from . import (archives, debruijn, embeddings, exact_dedup, html_text, line_dedup, minhash, mixing, packing, quality,
+               suffix_dedup)
 from .common import stored
 
 Q: dict = {}
@@ -206,3 +207,13 @@ def op2(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans",
                                                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 12: exact duplicates --------------------------------------------------------------------
+
+@query("op12_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
+  doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""")
+def op12(spark, sf_dir):
+    return exact_dedup.duplicate_report(_read(spark, sf_dir, "documents").select("doc_id", "text"))
