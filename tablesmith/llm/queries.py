@@ -227,15 +227,15 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVE
 m AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
     100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > least] AS f,
     coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM w LEFT JOIN labels USING (doc_id)),
-c AS (SELECT part, f, good, toxic, count(*) AS n, len(list_filter(f, x -> x)) AS fails FROM m GROUP BY ALL),
+c AS (SELECT part, f, good, toxic, count(*) AS n, len(list_filter(f, lambda x: x)) AS fails FROM m GROUP BY ALL),
 l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
 o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
       WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
 s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
 k AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own,
-        list_transform(range(1, step), x -> ascii(filter_order[x]) - 64) AS prior FROM s),
+        list_transform(range(1, step), lambda x: ascii(filter_order[x]) - 64) AS prior FROM s),
 j AS (SELECT part, filter_order, step, n, good, toxic, fails, f[own] AS hit,
-        len(list_filter(prior, x -> f[x])) > 0 AS gone FROM c, k)
+        len(list_filter(prior, lambda x: f[x])) > 0 AS gone FROM c, k)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step,
   CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
   CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
@@ -243,7 +243,7 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
   CAST(coalesce(sum(n) FILTER (hit AND fails = 1), 0) AS BIGINT) AS unique_fails,
   CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS BIGINT) AS good_lost,
   CAST(coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS BIGINT) AS toxic_lost,
-  CAST(coalesce(sum(n * 120 // fails) FILTER (hit), 0) AS BIGINT) AS shapley
+  CAST(coalesce(sum(n * 120 // nullif(fails, 0)) FILTER (hit), 0) AS BIGINT) AS shapley
 FROM j GROUP BY part, filter_order, step""")
 def op13(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("part"), "text")
