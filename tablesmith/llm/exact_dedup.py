@@ -80,7 +80,8 @@ def _members(texts: DataFrame, several: DataFrame, total: int, by: list[str], *a
     """
     hot = F.col("size") * 1000 > F.lit(total)
     is_hot = F.broadcast(several.where(hot).select("key"))  # at most 1,000 keys
-    few = texts.join(is_hot, "key", "left_anti").join(several.where(~hot).select("key"), "key")
+    # always by a shuffle, so that small and large inputs take one plan
+    few = texts.join(is_hot, "key", "left_anti").join(several.where(~hot).select("key").hint("merge"), "key")
     many = texts.join(is_hot, "key")
     return many.groupBy(*by).agg(*aggregates).unionByName(few.groupBy(*by).agg(*aggregates))
 
