@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (archives, debruijn, embeddings, exact_dedup, filter_audit, html_text, line_dedup, minhash, mixing,
-               packing, quality, suffix_dedup)
+from . import (archives, debruijn, embeddings, exact_dedup, filter_audit, hard_negatives, html_text, line_dedup,
+               minhash, mixing, packing, quality, suffix_dedup)
 from .common import stored
 
 Q: dict = {}
@@ -248,3 +248,24 @@ FROM j GROUP BY part, filter_order, step""")
 def op13(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("part"), "text")
     return filter_audit.audit(filter_audit.masks(docs), _read(spark, sf_dir, "labels"))
+
+
+# --- 11: hard negatives ----------------------------------------------------------------------
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b
+  ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same),
+n AS (SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS k
+  FROM p JOIN s USING (anchor_id) WHERE p.k <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE k <= 5""")
+def op11(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved))
