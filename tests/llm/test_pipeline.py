@@ -39,8 +39,8 @@ def test_every_stage(spark):
     assert rows_of(alone, *names) == [r for r in rows_of(short, *names) if r[0] in kept]
 
     mix = stage["source mixing"](spark, alone, SF).cache()
-    table = alone.toPandas()
-    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM table")
+    unmixed = alone.toPandas()  # noqa: F841 (read by DuckDB)
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM unmixed")
     copies = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, copies FROM ({queries.SQL['op9_mixing']})").fetchall()}
     assert rows_of(mix, *names) == sorted([r for r in rows_of(alone, *names) for _ in range(copies.get(r[0], 0))], key=str)
 
