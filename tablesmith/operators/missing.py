@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import all_present, is_integral_type, numeric_columns, qcol, user_columns
 from ..plans import fill as fill_plan
-from ..plans.quantile import quantiles
+from ..plans.quantile import from_sketches, quantiles, sketches
 from .rowid import order_columns
 
 
@@ -53,8 +53,9 @@ def fill_median(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     targets = numeric_columns(df, _targets(df, cols))
     if not targets:
         return df
-    med = quantiles(df, targets, [0.5], exact=exact)
-    nulls = df.agg(*[F.count_if(qcol(c).isNull()).alias(f"z{i}") for i, c in enumerate(targets)]).first()
+    nulls = df.agg(*[F.count_if(qcol(c).isNull()).alias(f"z{i}") for i, c in enumerate(targets)],
+                   *(sketches(targets, [0.5]) if exact else [])).first()
+    med = from_sketches(df, nulls, targets, [0.5]) if exact else quantiles(df, targets, [0.5], exact=False)
     return _fill_with_stats(df, {c: med[c][0] for c in targets},
                             {c: nulls[f"z{i}"] for i, c in enumerate(targets)})
 

@@ -1,9 +1,9 @@
 """Profiling and quality scores.
 
-* ``profile_dataset``: rows, columns and missing cells in one keyless
-  aggregate; duplicate rows through the two-phase row-hash plan.
-* ``profile_columns``: one wide aggregate for counts and moments, one
-  unpivoted distinct count, one quantile computation for medians.
+All figures of a table come from two scans (``statistics``): one keyless aggregate
+for counts, moments and the medians' sketches, and one pass over unpivoted cells
+(``plans.cells``) that counts distinct values, repeated rows and the values
+near the medians.  ``profile_dataset`` alone needs one.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import qcol, user_columns
-from ..plans.distinct import distinct_counts
-from ..plans.duplicates import duplicate_rows
-from ..plans.quantile import quantiles
+from ..plans.cells import keys, unpivoted
+from ..plans.distinct import count_keys, distinct_counts, repeated_rows, row_key
+from ..plans.quantile import from_sketches, quantiles, region, sketches
+from ..session import scratch_tables, stored_table
 
 # ---------------------------------------------------------------------------
 # Placeholder sub-scores, band limits and recommendation texts.
@@ -40,17 +41,26 @@ _STAT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
 def profile_dataset(df: DataFrame) -> DataFrame:
     """One row: total_rows, total_columns, missing_cells, duplicate_rows.
 
-    Rows and missing cells are one keyless aggregate; duplicate rows come
-    from the two-phase hash plan, which shuffles only an 8-byte hash per row
-    plus the few rows whose hash repeats."""
+    One scan: rows are grouped by two 64-bit hashes, of which only the first is
+    a shuffle key, with their counts of rows and of missing cells."""
     cols = user_columns(df)
-    dups = duplicate_rows(df, cols)
-    nulls = functools.reduce(operator.add, [qcol(c).isNull().cast("long") for c in cols], F.lit(0).cast("long"))
-    return df.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_rows"),
-        F.lit(len(cols)).cast("bigint").alias("total_columns"),
-        F.coalesce(F.sum(nulls), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.lit(dups).cast("bigint").alias("duplicate_rows"))
+    a, b = row_key(df, cols)
+    rows = df.select(a.alias("a"), b.alias("b"), _missing(cols).alias("z"))
+    grouped = rows.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n"),
+                                    F.sum("z").alias("z"))
+    with scratch_tables(df.sparkSession):
+        grouped = stored_table(grouped, "row-keys")
+        row = grouped.agg(F.sum("n").alias("n"), F.sum("z").alias("z")).first()
+        return _dataset(df, row["n"] or 0, len(cols), row["z"] or 0, repeated_rows(df, cols, grouped))
+
+
+def _missing(cols):
+    return functools.reduce(operator.add, [qcol(c).isNull().cast("long") for c in cols], F.lit(0).cast("long"))
+
+
+def _dataset(df: DataFrame, *values) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [values], "total_rows bigint, total_columns bigint, missing_cells bigint, duplicate_rows bigint")
 
 
 def score_band(score) -> "F.Column":
@@ -109,68 +119,94 @@ def _stat_columns(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(df.schema[c].dataType, _STAT_TYPES)]
 
 
-def profile_columns(df: DataFrame, approx_distinct: bool = False, exact_median: bool = True) -> DataFrame:
-    """One row per column: position, column, dtype, unique_count, null_count,
-    null_pct (2 dp), and for numeric columns min, max, mean, std, median."""
+def statistics(df: DataFrame, probs=(0.5,), approx_distinct: bool = False, exact: bool = True, rows: bool = False):
+    """The figures of every column, and of whole rows if asked: ``(facts, distinct, quantiles, repeated)``.
+
+    ``facts`` is the row of the first scan: __rows and by column number z (missing), mn, mx, av, sd.
+    """
     cols = user_columns(df)
     num = _stat_columns(df, cols)
-    med = quantiles(df, num, [0.5], exact=exact_median) if num else {}
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs = [F.count("*").alias("__rows")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(qcol(c).isNull()).alias(f"z{i}"))
         if c in num:
             x = qcol(c).cast("double")
             aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                      F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}")]
-    wide = df.agg(*aggs)
-    none = F.lit(None).cast("double")
+    facts = df.agg(*aggs, *(sketches(num, probs) if exact else [])).first()
+    if approx_distinct:
+        distinct = {r["column"]: r["unique_count"] for r in distinct_counts(df, cols, approx=True).collect()}
+        return facts, distinct, quantiles(df, num, probs, exact), None
+    with scratch_tables(df.sparkSession):
+        made = [dict(zip("ab", keys(df, c)), v=(qcol(c) if c in num else F.lit(None)).cast("double")) for c in cols]
+        if rows:
+            made.append(dict(zip("ab", row_key(df, cols)), v=F.lit(None).cast("double")))
+        found = unpivoted(df, made).where("a IS NOT NULL").groupBy("slot", "a").agg(
+            F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n"), F.max("v").alias("v"))
+        found = stored_table(found, "cells")
+        of_columns = found.where(F.col("slot") < len(cols))
+        counts = count_keys(df, cols, of_columns)
+        repeated = repeated_rows(df, cols, found.where(F.col("slot") == len(cols))) if rows else None
+
+        def counted(_, of):
+            part = F.lit(None).cast("int")
+            where = F.lit(None).cast("int")
+            for s, (c, b) in enumerate(of.items()):
+                here = F.col("slot") == cols.index(c)
+                part, where = F.when(here, s).otherwise(part), F.when(here, region(F.col("v"), b)).otherwise(where)
+            rows = of_columns.select(part.alias("slot"), where.alias("region"), "v", "n").where("slot IS NOT NULL")
+            return rows.groupBy("slot", "region", F.expr("IF(region % 2 = 1, v, NULL)").alias("v")).agg(F.sum("n").alias("__n"))
+
+        middle = from_sketches(df, facts, num, probs, counted) if exact else quantiles(df, num, probs, False)
+    return facts, {c: counts.get(i, 0) for i, c in enumerate(cols)}, middle, repeated
+
+
+_COLUMNS = """position int, column string, dtype string, unique_count bigint, null_count bigint, null_pct double,
+  min double, max double, mean double, std double, median double"""
+
+
+def profile_columns(df: DataFrame, approx_distinct: bool = False, exact_median: bool = True) -> DataFrame:
+    """One row per column: position, column, dtype, unique_count, null_count,
+    null_pct (2 dp), and for numeric columns min, max, mean, std, median."""
+    return _columns(df, *statistics(df, [0.5], approx_distinct, exact_median)[:3])
+
+
+def _columns(df: DataFrame, facts, distinct: dict, middle: dict) -> DataFrame:
     rows = []
-    for i, c in enumerate(cols):
-        isnum = c in num
-        m = med.get(c, [None])[0] if isnum else None
-        rows.append(F.struct(
-            F.lit(i).cast("int").alias("position"), F.lit(c).alias("column"),
-            F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            F.col(f"z{i}").cast("bigint").alias("null_count"),
-            F.round(F.try_divide(F.col(f"z{i}") * 100.0, F.col("__n")), 2).alias("null_pct"),
-            (F.col(f"mn{i}") if isnum else none).alias("min"),
-            (F.col(f"mx{i}") if isnum else none).alias("max"),
-            (F.col(f"av{i}") if isnum else none).alias("mean"),
-            (F.col(f"sd{i}") if isnum else none).alias("std"),
-            (F.lit(m).cast("double") if m is not None else none).alias("median")))
-    long = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    dist = distinct_counts(df, cols, approx=approx_distinct)
-    out = long.join(dist, "column", "left").withColumn(
-        "unique_count", F.coalesce(F.col("unique_count"), F.lit(0).cast("bigint")))
-    return out.select("position", "column", "dtype", "unique_count", "null_count", "null_pct",
-                      "min", "max", "mean", "std", "median").orderBy("position")
+    for i, c in enumerate(user_columns(df)):
+        own = [facts[f"{k}{i}"] for k in ("mn", "mx", "av", "sd")] + middle[c] if c in middle else [None] * 5
+        rows.append((i, c, df.schema[c].dataType.simpleString(), distinct.get(c, 0), facts[f"z{i}"], None, *own))
+    made = df.sparkSession.createDataFrame(rows, _COLUMNS)
+    percent = F.round(F.try_divide(F.col("null_count") * 100.0, F.lit(facts["__rows"])), 2)
+    return made.withColumn("null_pct", percent).orderBy("position")
 
 
 def numeric_stats(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """Per numeric column: count, min, q25, median, q75, max, mean, std."""
     num = _stat_columns(df, list(cols) if cols else user_columns(df))
-    qs = quantiles(df, num, [0.25, 0.5, 0.75], exact=exact)
-    aggs = []
+    probs = [0.25, 0.5, 0.75]
+    aggs = sketches(num, probs) if exact else []
     for i, c in enumerate(num):
         x = qcol(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}")]
-    wide = df.agg(*aggs)
-
-    def lit(v):
-        return F.lit(v).cast("double")
-    return wide.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"n{i}").cast("bigint").alias("count"),
-        F.col(f"mn{i}").alias("min"), lit(qs[c][0]).alias("q25"), lit(qs[c][1]).alias("median"),
-        lit(qs[c][2]).alias("q75"), F.col(f"mx{i}").alias("max"), F.col(f"av{i}").alias("mean"),
-        F.col(f"sd{i}").alias("std")) for i, c in enumerate(num)])).alias("s")).select("s.*")
+    schema = "column string, count bigint, min double, q25 double, median double, q75 double, max double, mean double, std double"
+    if not num:
+        return df.sparkSession.createDataFrame([], schema)
+    row = df.agg(*aggs).first()
+    qs = from_sketches(df, row, num, probs) if exact else quantiles(df, num, probs, False)
+    return df.sparkSession.createDataFrame(
+        [(c, row[f"n{i}"], row[f"mn{i}"], *qs[c], row[f"mx{i}"], row[f"av{i}"], row[f"sd{i}"]) for i, c in enumerate(num)],
+        schema)
 
 
 def profile(df: DataFrame, pii_sample_size: int = 100):
     """The full profile: (dataset row, column rows, quality row, recommendations row, pii rows)."""
     from .pii import pii_sample
-    ds = profile_dataset(df)
-    cols = profile_columns(df)
+    facts, distinct, middle, repeated = statistics(df, [0.5], rows=True)
+    names = user_columns(df)
+    ds = _dataset(df, facts["__rows"], len(names), sum(facts[f"z{i}"] for i, _ in enumerate(names)), repeated)
+    cols = _columns(df, facts, distinct, middle)
     scores = quality_score(df, ds)
     pii = pii_sample(df, n=pii_sample_size)
     detected = pii.agg((F.count(F.lit(1)) > 0).alias("d")).first()["d"]

@@ -22,6 +22,25 @@ from ..functions.types import all_present, qcol
 from ..session import stored_table
 
 
+def ranged(counts: DataFrame, order: list[str]) -> DataFrame:
+    """``counts`` range-partitioned by ``order`` and stored with the number of its partition in ``__part``."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored_table(counts.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "value-counts")
+
+
+def with_ends(counts: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """``counts`` (of ranged(); rows __n) with ``__end``, the rows of its group up to and with it in
+    ``order``, and ``__all``, the rows of its group."""
+    totals = counts.groupBy(*group, "__part").agg(F.sum("__n").alias("__in"))
+    parts = Window.partitionBy(*group)
+    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "__part", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before"),
+                           F.sum("__in").over(parts).alias("__all"))
+    inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (counts.withColumn("__end", F.sum("__n").over(inside)).join(totals, [*group, "__part"])
+            .withColumn("__end", F.col("__end") + F.col("__before")))
+
+
 def group_quantiles(df: DataFrame, keys: list[str], columns: dict[str, str], p: float = 0.5) -> DataFrame:
     """(keys..., one column per name in ``columns``): the exact p-quantile of each column per group.
     Groups whose values are all NULL get NULL; rows with a NULL key are dropped."""
@@ -30,21 +49,9 @@ def group_quantiles(df: DataFrame, keys: list[str], columns: dict[str, str], p:
                                 for i, c in enumerate(columns)])).alias("cell")
     rows = (df.where(all_present(keys)).select(*[qcol(c).alias(a) for c, a in zip(keys, k)], cells)
             .select(*k, F.col("cell.c").alias("__c"), F.col("cell.v").alias("__v")))
-    counts = rows.groupBy(*k, "__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = stored_table(counts.repartitionByRange(n, *k, "__c", "__v").withColumn("__part", F.spark_partition_id()),
-                          "quantile-counts")
-
+    counts = ranged(rows.groupBy(*k, "__c", "__v").agg(F.count(F.lit(1)).alias("__n")), [*k, "__c", "__v"])
     group = [*k, "__c"]
-    present = counts.where(F.col("__v").isNotNull())
-    totals = present.groupBy(*group, "__part").agg(F.sum("__n").alias("__in"))
-    parts = Window.partitionBy(*group)
-    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*group, "__part", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before"),
-                           F.sum("__in").over(parts).alias("__all"))
-    inside = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (present.withColumn("__end", F.sum("__n").over(inside)).join(totals, [*group, "__part"])
-              .withColumn("__end", F.col("__end") + F.col("__before")))
+    ranked = with_ends(counts.where(F.col("__v").isNotNull()), group, "__v")
     at = F.lit(p) * (F.col("__all") - 1)
     start = F.col("__end") - F.col("__n")
     value_at = lambda rank: F.max(F.when((start <= rank) & (rank < F.col("__end")), F.col("__v")))

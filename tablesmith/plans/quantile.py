@@ -1,219 +1,147 @@
 """Exact quantiles (linear interpolation, as pandas ``quantile`` and DuckDB
-``quantile_cont``) with bounded memory at any scale.
+``quantile_cont``) of any number of columns in two scans.
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of the
-column in the final reducer's buffer.  Instead, each needed rank is
-*bracketed* and then read exactly:
-
-1. One aggregate over all columns: non-NULL count and ``percentile_approx``
-   (a mergeable sketch with partial aggregation) just below and just above
-   each target percentage.  The sketch's rank error is at most n/accuracy,
-   so the true value lies between the two approximate values.
-2. One job (a union of per-column branches, each reading only its column)
-   returns, per column, the number of values below the bracket and the
-   value histogram inside it (``groupBy(value).count()``: partial
-   aggregation, so a hot value collapses to one row per task).
-3. The driver walks the small histogram to the exact ranks and
-   interpolates.
-
-The bracket holds about 6·n/accuracy rows.  When that would exceed
-``FINISH_ROWS`` (very large n), the bracket is first narrowed by repeating
-step 1 inside it, each round shrinking it by ~accuracy/6, before step 2.
-A bracket that fails its check (never expected) is widened and retried.
+column in the final reducer's buffer.  Instead, ranks are selected in Spark:
+
+1. One aggregate over all columns: the count of values and ``percentile_approx`` (a
+   mergeable sketch with partial aggregation) just below and just above each target
+   percentage.  The sketch's rank error is at most n/accuracy, so the
+   true value lies between the two approximate ones: its bracket.
+2. One pass counts (column, region, value): values inside a bracket are
+   counted one by one, values between brackets only as a number.  Partial
+   aggregation collapses hot values and everything outside the brackets.
+3. The counts are range-partitioned by (column, region, value); totals of the
+   partitions before plus running counts inside a partition give every count
+   its ranks, and the few rows that hold a wanted rank are picked by a join.
+
+What reaches the driver is one row per wanted rank, whatever the brackets hold.
+A rank that falls outside its bracket (never expected) is looked for once more
+with one bracket over all values.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import qcol
+from ..session import scratch_tables
+from .cells import unpivoted
+from .group_quantile import ranged, with_ends
 
 ACCURACY = 10_000
-MARGIN = 3.0 / ACCURACY
-# Bracket half-widths offered by pass 1; each column uses the narrowest one
+# Half-widths of the brackets offered by pass 1; each column uses the narrowest one
 # that is safely wider than the sketch's rank error plus rank rounding (3/n).
-HALF_WIDTHS = (MARGIN, 3e-3, 3e-2, 0.3)
-FINISH_ROWS = 200_000
+HALF_WIDTHS = (3.0 / ACCURACY, 3e-3, 3e-2, 0.3)
 
 
-def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
-    lower, higher = math.floor(pos), math.ceil(pos)
-    if lower == higher:
-        return float(lo_val)
-    return (higher - pos) * float(lo_val) + (pos - lower) * float(hi_val)
+def sketches(cols: list[str], probs: list[float]) -> list:
+    """The aggregates of pass 1, for an aggregate that may hold others as well."""
+    grid = _grid(probs)
+    return [a for i, c in enumerate(cols) for a in (
+        F.count(qcol(c)).alias(f"__n{i}"), F.percentile_approx(qcol(c).cast("double"), grid, ACCURACY).alias(f"__g{i}"))]
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              **_ignored) -> dict[str, list[float | None]]:
-    """Return ``{col: [q(p) for p in probs]}`` (None for an all-NULL column)."""
-    if not cols:
-        return {}
-    if not exact:
-        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(probs), ACCURACY)
-                       .alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
-    # Pass 1: counts and a sketch bracket around every percentage, all columns at once.
-    grid = sorted({min(1.0, max(0.0, p + s * h)) for p in probs for h in HALF_WIDTHS for s in (-1, 1)})
-    first = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(qcol(c).cast("double"), grid, ACCURACY).alias(f"g{i}")
-                     for i, c in enumerate(cols)]).first()
-    n_by_col = {c: first[f"n{i}"] for i, c in enumerate(cols) if first[f"n{i}"]}
-    brackets = []
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        if not n:
-            continue
-        sk = dict(zip(grid, first[f"g{i}"]))
-        h = next((w for w in HALF_WIDTHS if w >= 3.0 / n + 1.0 / ACCURACY), 1.0)
-        for p in probs:
-            lo = sk.get(min(1.0, max(0.0, p - h))) if h < 1.0 else None
-            hi = sk.get(min(1.0, max(0.0, p + h))) if h < 1.0 else None
-            for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                brackets.append(_Bracket(c, r, lo, hi, None, None))
-    picked: dict[str, dict[int, float]] = {c: {} for c in n_by_col}
-    small = [b for b in brackets if 8 * n_by_col[b.col] / ACCURACY <= FINISH_ROWS or b.lo is None]
-    large = [b for b in brackets if not (8 * n_by_col[b.col] / ACCURACY <= FINISH_ROWS or b.lo is None)]
-    # Pass 2 (moderate n): one job reads the brackets and the counts below them.
-    failed = _finish(df, small, picked) if small else []
-    retry: dict[str, list[int]] = {}
-    for b in failed + large:
-        retry.setdefault(b.col, []).append(b.r)
-    if retry:
-        more = select_ranks(df, {c: n_by_col[c] for c in retry}, retry)
-        for c, vals in more.items():
-            picked[c].update(vals)
+def _grid(probs) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + s * h)) for p in probs for h in HALF_WIDTHS for s in (-1, 1)})
+
+
+def brackets(row, cols: list[str], probs: list[float]) -> dict[str, list[tuple]]:
+    """Disjoint brackets (low, high) of every column with values, from the row of sketches(); None is open."""
     out = {}
     for i, c in enumerate(cols):
-        n = first[f"n{i}"]
+        n = row[f"__n{i}"]
         if not n:
-            out[c] = [None] * len(probs)
             continue
-        out[c] = [_interpolate(picked[c][math.floor(p * (n - 1))], picked[c][math.ceil(p * (n - 1))],
-                               p * (n - 1)) for p in probs]
+        width = next((w for w in HALF_WIDTHS if w >= 3.0 / n + 1.0 / ACCURACY), None)
+        if width is None:
+            out[c] = [(None, None)]
+            continue
+        at = dict(zip(_grid(probs), row[f"__g{i}"]))
+        out[c] = []
+        for low, high in sorted({(at[max(0.0, p - width)], at[min(1.0, p + width)]) for p in probs}):
+            if out[c] and low <= out[c][-1][1]:
+                low, high = out[c][-1][0], max(high, out[c].pop()[1])
+            out[c].append((low, high))
     return out
 
 
-class _Bracket:
-    """Value range [lo, hi] (None = open) known to contain rank ``r``;
-    ``below`` rows precede it and ``size`` rows fall inside it."""
+def region(value, of: list[tuple]):
+    """Odd numbers for the brackets, even ones for what lies between them, in the values' order."""
+    if of == [(None, None)]:
+        return F.lit(1)
+    out = F.lit(2 * len(of))
+    for k, (low, high) in reversed(list(enumerate(of))):
+        out = F.when(value < F.lit(low), 2 * k).when(value <= F.lit(high), 2 * k + 1).otherwise(out)
+    return out
 
-    def __init__(self, col, r, lo, hi, below, size, margin=MARGIN):
-        self.col, self.r, self.lo, self.hi = col, r, lo, hi
-        self.below, self.size, self.margin = below, size, margin
 
-    def inside(self, v):
-        cond = v.isNotNull()
-        if self.lo is not None:
-            cond = cond & (v >= F.lit(self.lo))
-        if self.hi is not None:
-            cond = cond & (v <= F.lit(self.hi))
-        return cond
+def pick(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[int, dict[int, float | None]]:
+    """Values at 0-based ``ranks`` by slot; ``counts``: slot, region, v, __n.  None: not in a bracket."""
+    wanted = F.explode(F.from_json(F.lit(str([{"slot": s, "rank": r} for s, rs in ranks.items() for r in rs])
+                                         .replace("'", '"')), "array<struct<slot:int,rank:bigint>>"))
+    wanted = counts.sparkSession.range(1).select(wanted.alias("w")).select("w.*")
+    ends = with_ends(ranged(counts, ["slot", "region", "v"]), ["slot"], "region", "v")
+    hit = (F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("__n"))
+    found = ends.join(F.broadcast(wanted), "slot").where(hit).select("slot", "rank", "v", "region")
+    out: dict[int, dict[int, float | None]] = {s: {} for s in ranks}
+    for r in found.collect():  # one row for each wanted rank
+        out[r["slot"]][r["rank"]] = r["v"] if r["region"] % 2 else None
+    return out
 
 
-def select_ranks(df: DataFrame, n_by_col: dict[str, int], ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    """Exact values at 0-based ``ranks`` of each column's sorted non-NULL values."""
-    result: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    pending = [_Bracket(c, r, None, None, 0, n_by_col[c]) for c, rs in ranks.items() for r in rs]
-    while pending:
-        big = [b for b in pending if b.size > FINISH_ROWS]
-        if big:
-            pending = [b for b in pending if b.size <= FINISH_ROWS] + _narrow(df, big)
-            continue
-        failed = _finish(df, pending, result)
-        if failed:  # pragma: no cover - bracket invariant violated
-            raise RuntimeError(f"ranks not inside their brackets: {[(b.col, b.r) for b in failed]}")
-        pending = []
-    return result
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    """One sketch pass + one counting pass; returns tighter brackets."""
-    aggs = []
-    for j, b in enumerate(brackets):
-        v = qcol(b.col).cast("double")
-        q = (b.r - b.below + 0.5) / b.size
-        grid = [min(1.0, max(0.0, q - b.margin)), min(1.0, max(0.0, q + b.margin))]
-        aggs.append(F.percentile_approx(F.when(b.inside(v), v), grid, ACCURACY).alias(f"g{j}"))
-    sketch = df.agg(*aggs).first()
-    cand = []
-    for j, b in enumerate(brackets):
-        lo, hi = sketch[f"g{j}"]
-        cand.append((lo, hi))
-    count_aggs = []
-    for j, b in enumerate(brackets):
-        v = qcol(b.col).cast("double")
-        lo, hi = cand[j]
-        count_aggs.append(F.count_if(b.inside(v) & (v < F.lit(lo))).alias(f"b{j}"))
-        count_aggs.append(F.count_if(b.inside(v) & (v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"s{j}"))
-    counted = df.agg(*count_aggs).first()
-    out = []
-    for j, b in enumerate(brackets):
-        lo, hi = cand[j]
-        below, size = b.below + counted[f"b{j}"], counted[f"s{j}"]
-        if lo == hi and below <= b.r < below + size:
-            # one value holds the rank, however many rows it has: its histogram is one row
-            out.append(_Bracket(b.col, b.r, lo, hi, below, min(size, FINISH_ROWS)))
-        elif below <= b.r < below + size and size < b.size:
-            out.append(_Bracket(b.col, b.r, lo, hi, below, size))
-        elif b.margin >= 0.5:
-            # cannot narrow further (e.g. one value fills the range): read it as is
-            out.append(_Bracket(b.col, b.r, b.lo, b.hi, b.below, min(b.size, FINISH_ROWS)))
-        else:
-            out.append(_Bracket(b.col, b.r, b.lo, b.hi, b.below, b.size, b.margin * 4))
+def _counted(df: DataFrame, of: dict[str, list[tuple]]) -> DataFrame:
+    """slot, region, v, __n of the columns ``of`` (brackets by column)."""
+    made = []
+    for c, b in of.items():
+        v = qcol(c).cast("double")
+        r = region(v, b)
+        made.append({"region": F.when(v.isNotNull(), r), "v": F.when(r % 2 == 1, v)})
+    found = unpivoted(df, made).where("region IS NOT NULL")
+    return found.groupBy("slot", "region", "v").agg(F.count("*").alias("__n"))
+
+
+def _ranks(n: int, probs) -> list[int]:
+    return sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+
+
+def from_sketches(df: DataFrame, row, cols: list[str], probs: list[float], counted=_counted) -> dict:
+    """``{col: [q(p) for p in probs]}`` by one more scan, after the ``row`` of sketches()."""
+    n = {c: row[f"__n{i}"] for i, c in enumerate(cols)}
+    of = brackets(row, cols, probs)
+    values: dict[str, dict] = {c: {} for c in of}
+    with scratch_tables(df.sparkSession):
+        while of:
+            names = list(of)
+            ranks = {s: [r for r in _ranks(n[c], probs) if r not in values[c]] for s, c in enumerate(names)}
+            found = pick(counted(df, of), ranks)
+            for s, c in enumerate(names):
+                values[c].update({r: v for r, v in found[s].items() if v is not None})
+            of = {c: [(None, None)] for c in names if len(values[c]) < len(_ranks(n[c], probs))}
+    out = {}
+    for c in cols:
+        at = [p * (n[c] - 1) for p in probs] if n[c] else []
+        out[c] = [_interpolate(values[c][math.floor(x)], values[c][math.ceil(x)], x) for x in at] or [None] * len(probs)
     return out
 
 
-def _finish(df: DataFrame, brackets: list[_Bracket], result) -> list[_Bracket]:
-    """Read the brackets in one job: per column, one histogram of the values
-    inside any of its brackets and one aggregate of the counts below each
-    bracket whose count below is unknown.  Returns brackets that failed."""
-    by_col: dict[str, list[int]] = {}
-    for j, b in enumerate(brackets):
-        by_col.setdefault(b.col, []).append(j)
-    parts = []
-    for ci, (c, js) in enumerate(by_col.items()):
-        v = qcol(c).cast("double")
-        inside = functools.reduce(lambda x, y: x | y, [brackets[j].inside(v) for j in js])
-        parts.append(df.select(v.alias("v")).where(inside).groupBy("v").count()
-                     .select(F.lit(ci).alias("part"), F.lit(-1).alias("j"), "v", "count"))
-        unknown = [j for j in js if brackets[j].below is None and brackets[j].lo is not None]
-        if unknown:
-            counts = df.agg(*[F.count_if(v < F.lit(brackets[j].lo)).alias(f"b{j}") for j in unknown])
-            parts.append(counts.select(F.explode(F.array(*[
-                F.struct(F.lit(j).alias("j"), F.col(f"b{j}").alias("count")) for j in unknown])).alias("s"))
-                .select(F.lit(ci).alias("part"), F.col("s.j").alias("j"), F.lit(None).cast("double").alias("v"),
-                        F.col("s.count").alias("count")))
-    rows = functools.reduce(DataFrame.unionByName, parts).collect()
-    hist: dict[str, list] = {}
-    below_of: dict[int, int] = {}
-    names = list(by_col)
-    for row in rows:
-        if row["j"] >= 0:
-            below_of[row["j"]] = row["count"]
-        else:
-            hist.setdefault(names[row["part"]], []).append((row["v"], row["count"]))
-    for c in hist:
-        hist[c].sort()
-    failed = []
-    for j, b in enumerate(brackets):
-        acc = b.below if b.below is not None else below_of.get(j, 0)
-        if acc > b.r:               # the rank lies below the bracket
-            failed.append(b)
-            continue
-        found = False
-        for value, cnt in hist.get(b.col, []):
-            if not ((b.lo is None or value >= b.lo) and (b.hi is None or value <= b.hi)):
-                continue
-            acc += cnt
-            if acc > b.r:
-                result[b.col][b.r] = value
-                found = True
-                break
-        if not found:
-            failed.append(b)
-    return failed
+def _interpolate(lo_val: float, hi_val: float, pos: float) -> float:
+    lower, higher = math.floor(pos), math.ceil(pos)
+    if lower == higher:
+        return float(lo_val)
+    return (higher - pos) * float(lo_val) + (pos - lower) * float(hi_val)
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> dict[str, list[float | None]]:
+    """Return ``{col: [q(p) for p in probs]}`` (None for an all-NULL column)."""
+    if not cols:
+        return {}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(probs), ACCURACY)
+                       .alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    return from_sketches(df, df.agg(*sketches(cols, probs)).first(), cols, probs)
