@@ -287,16 +287,20 @@ def q_sort_view(spark, sf):
 @query("page_orders", _with(DIRTY_ORDERS_SQL) + f"""SELECT {DIRTY_ORDERS_COLS_SQL} FROM dirty_orders
 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100""")
 def q_page(spark, sf):
-    view = preview.sort_view(dirty_orders(spark, sf), "o_totalprice", "desc")
-    return _dirty_orders_out(preview.page(view, 3, 50))
+    return _dirty_orders_out(preview.page(dirty_orders(spark, sf), 3, 50, "o_totalprice", "desc"))
 
 
 @query("page_orders_deep", _with(DIRTY_ORDERS_SQL) + f"""SELECT {DIRTY_ORDERS_COLS_SQL} FROM dirty_orders
 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 12450""")
 def q_page_deep(spark, sf):
-    # the deep-page plan (range sort, checkpoint, per-partition counts), forced
-    view = preview.sort_view(dirty_orders(spark, sf), "o_totalprice", "desc")
-    return _dirty_orders_out(preview.page(view, 250, 50, topk_max_rows=0))
+    return _dirty_orders_out(preview.page(dirty_orders(spark, sf), 250, 50, "o_totalprice", "desc"))
+
+
+@query("range_filter", """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE l_extendedprice BETWEEN 20000 AND 20500.5""")
+def q_range_filter(spark, sf):
+    rows = readers.load(spark, f"{sf}/lineitem.parquet")
+    return preview.range_filter(rows, "l_extendedprice", 20000, 20500.5).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("preview_orders", _with(DIRTY_ORDERS_SQL) + f"""SELECT o_orderkey AS original_index,
@@ -704,7 +708,7 @@ def q_sort_multi(spark, sf):
 ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50""")
 def q_sort_top(spark, sf):
     o = _table(spark, sf, "orders", "o_orderkey")
-    return _orders_out(preview.page(reshape.sort(o, ["o_orderstatus", "o_totalprice"], ascending=False), 1, 50))
+    return _orders_out(reshape.sort(o, ["o_orderstatus", "o_totalprice"], ascending=False).limit(50))
 
 
 GROUP_KEYS = ["o_orderstatus", "o_orderpriority"]

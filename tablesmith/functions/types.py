@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +56,6 @@ def text_columns(df: DataFrame, cols: list[str] | None = None) -> list[str]:
             and (wanted is None or f.name in wanted)]
 
 
-def dtype_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def require_columns(df: DataFrame, cols) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
@@ -68,19 +67,52 @@ def qcol(name: str):
     return F.col(f"`{name}`") if not name.startswith("`") else F.col(name)
 
 
-def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Decision D1: NaN becomes NULL in floating columns, so there is one missing value."""
-    targets = [f.name for f in df.schema.fields
-               if is_fractional_type(f.dataType) and (cols is None or f.name in cols)]
-    if not targets:
-        return df
-    return df.withColumns({c: F.when(~F.isnan(qcol(c)), qcol(c)) for c in targets})
+# Decision D1: NaN and NULL are one missing value.  Loaded float columns keep their stored values, so that
+# filters on them reach the file, and carry this mark in their metadata; operators that
+# compute with values make the mark good first (settled), filters split it off (present).
+NAN_IS_MISSING = "nan_is_missing"
+
+
+def mark_nan(df: DataFrame) -> DataFrame:
+    """Mark the float columns of a loaded table: their NaN is a missing value."""
+    return df.select(*[qcol(f.name).alias(f.name, metadata={**f.metadata, NAN_IS_MISSING: True})
+                       if is_fractional_type(f.dataType) else qcol(f.name) for f in df.schema.fields])
+
+
+def marked_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.metadata.get(NAN_IS_MISSING) and is_fractional_type(f.dataType)]
+
+
+def value(df: DataFrame, name: str):
+    """The column with NaN as NULL if it is marked."""
+    f = df.schema[name]
+    marked = f.metadata.get(NAN_IS_MISSING) and is_fractional_type(f.dataType)
+    return F.when(~F.isnan(qcol(name)), qcol(name)) if marked else qcol(name)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as NULL in its marked columns, which lose the mark."""
+    marked = marked_columns(df)
+    return df.withColumns({c: value(df, c) for c in marked}) if marked else df
+
+
+def settles(fn):
+    """For operators whose first argument is a table: settle it first."""
+    @functools.wraps(fn)
+    def run(df, *args, **kw):
+        return fn(settled(df) if isinstance(df, DataFrame) else df, *args, **kw)
+    return run
+
+
+def present(df: DataFrame, cols):
+    """AND of ``IsNotNull`` per column: unlike ``na.drop`` (``atleastnnonnulls``) these predicates
+    are pushed down to the Parquet scan; marked columns add a NaN test of their own."""
+    conds = [qcol(c).isNotNull() for c in cols] + [~F.isnan(qcol(c)) for c in marked_columns(df) if c in cols]
+    return functools.reduce(operator.and_, conds) if conds else F.lit(True)
 
 
 def all_present(cols):
     """AND of ``IsNotNull`` per column: unlike ``na.drop`` (``atleastnnonnulls``)
     these predicates are pushed down to the Parquet scan."""
-    import functools
-    import operator
     conds = [qcol(c).isNotNull() for c in cols]
     return functools.reduce(operator.and_, conds) if conds else F.lit(True)

@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import ROW_ID, qcol, require_columns, user_columns
+from ..functions.types import ROW_ID, qcol, require_columns, settles, user_columns
 from ..plans.duplicates import HASH, candidate_hashes, duplicate_rows
 
 
+@settles
 def drop_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """Keep the first row (in ``order_by``, default row label) of each duplicate set.
     Missing equals missing.  ``subset`` None or empty = all columns.
@@ -60,6 +61,7 @@ def _drop_duplicates_direct(df: DataFrame, subset=None, order_by=None) -> DataFr
                            for c in df.columns])
 
 
+@settles
 def count_duplicates(df: DataFrame, subset=None) -> DataFrame:
     """One row: rows minus distinct rows (``duplicated().sum()``).
 

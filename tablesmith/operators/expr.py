@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import register_sql_functions
-from ..functions.types import is_fractional_type
+from ..functions.types import is_fractional_type, settles
 
 
+@settles
 def calculated_column(df: DataFrame, name: str, expression) -> DataFrame:
     """Add or overwrite column ``name`` with ``expression`` (SQL text or Column)."""
     if not name or expression is None or (isinstance(expression, str) and not expression.strip()):

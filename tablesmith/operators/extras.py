@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import qcol, require_columns
+from ..functions.types import qcol, require_columns, settles
 
 
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -15,12 +15,14 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(mapping)
 
 
+@settles
 def convert_types(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Cast columns to Spark SQL types; values that do not convert become NULL."""
     require_columns(df, list(mapping))
     return df.withColumns({c: qcol(c).try_cast(t) for c, t in mapping.items()})
 
 
+@settles
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """Frequency of each value, most frequent first (ties by value)."""
     base = df.where(qcol(col).isNotNull()) if dropna else df
@@ -28,6 +30,7 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
             .orderBy(F.desc("count"), F.asc_nulls_last(col)))
 
 
+@settles
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram over [min, max]: bin, lower, upper, count.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import all_present, is_integral_type, numeric_columns, qcol, user_columns
+from ..functions.types import is_integral_type, numeric_columns, present, qcol, settles, user_columns
 from ..plans import fill as fill_plan
 from ..plans.quantile import from_sketches, quantiles, sketches
 from .rowid import order_columns
@@ -22,7 +22,7 @@ def _targets(df: DataFrame, cols) -> list[str]:
 
 def drop_missing(df: DataFrame, cols=None) -> DataFrame:
     """Drop a row if any target column is missing.  Stream-safe."""
-    return df.where(all_present(_targets(df, cols)))
+    return df.where(present(df, _targets(df, cols)))
 
 
 def _fill_with_stats(df: DataFrame, stats: dict, nulls: dict) -> DataFrame:
@@ -37,6 +37,7 @@ def _fill_with_stats(df: DataFrame, stats: dict, nulls: dict) -> DataFrame:
     return df.withColumns(updates) if updates else df
 
 
+@settles
 def fill_mean(df: DataFrame, cols=None) -> DataFrame:
     """Numeric targets only; mean ignores missing.  One aggregate job."""
     targets = numeric_columns(df, _targets(df, cols))
@@ -48,6 +49,7 @@ def fill_mean(df: DataFrame, cols=None) -> DataFrame:
                             {c: row[f"z{i}"] for i, c in enumerate(targets)})
 
 
+@settles
 def fill_median(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """Numeric targets only; linear-interpolated median (exact, bounded memory)."""
     targets = numeric_columns(df, _targets(df, cols))
@@ -60,6 +62,7 @@ def fill_median(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
                             {c: nulls[f"z{i}"] for i, c in enumerate(targets)})
 
 
+@settles
 def fill_value(df: DataFrame, value, cols=None) -> DataFrame:
     """Constant into all targets, cast to each column's type (D4); a column
     the value cannot be cast to is left alone.  ``None`` is a no-op."""
@@ -70,6 +73,7 @@ def fill_value(df: DataFrame, value, cols=None) -> DataFrame:
     return df.withColumns(updates)
 
 
+@settles
 def forward_fill(df: DataFrame, cols=None, order_by=None, partition_by=None,
                  rows_per_block: int = fill_plan.DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """Last non-missing value above in row order (leading gap stays)."""
@@ -77,6 +81,7 @@ def forward_fill(df: DataFrame, cols=None, order_by=None, partition_by=None,
                           backward=False, rows_per_block=rows_per_block)
 
 
+@settles
 def backward_fill(df: DataFrame, cols=None, order_by=None, partition_by=None,
                   rows_per_block: int = fill_plan.DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """Next non-missing value below in row order (trailing gap stays)."""
@@ -100,6 +105,7 @@ def handle_missing(df: DataFrame, method: str = "remove", cols=None, fill_value_
     return methods[method]()
 
 
+@settles
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
     """Most frequent non-missing value per column, ties -> smallest.
 
@@ -124,6 +130,7 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict:
     return {c: found.get(c) for c in cols}
 
 
+@settles
 def fill_mode(df: DataFrame, cols=None) -> DataFrame:
     targets = _targets(df, cols)
     modes = mode_values(df, targets)
@@ -141,6 +148,7 @@ def fill_mode(df: DataFrame, cols=None) -> DataFrame:
     return df.withColumns(updates)
 
 
+@settles
 def drop_missing_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Drop columns whose missing fraction exceeds ``threshold`` (0..1).  One job."""
     cols = user_columns(df)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import ROW_ID, is_integral_type, numeric_columns, qcol
+from ..functions.types import ROW_ID, is_integral_type, numeric_columns, qcol, settles
 from ..plans.quantile import quantiles
 
 # ---------------------------------------------------------------------------
@@ -20,6 +20,7 @@ ZSCORE_LIMIT = 3.0
 # ---------------------------------------------------------------------------
 
 
+@settles
 def iqr_bounds(df: DataFrame, cols=None, exact: bool = True) -> dict[str, tuple]:
     """``{col: (q1, q3, lower, upper)}`` with Q1 - 1.5 IQR and Q3 + 1.5 IQR."""
     targets = numeric_columns(df, cols)
@@ -35,6 +36,7 @@ def iqr_bounds(df: DataFrame, cols=None, exact: bool = True) -> dict[str, tuple]
     return out
 
 
+@settles
 def iqr_bounds_frame(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """Bounds as a DataFrame: one row per column (derived from ``df``)."""
     b = iqr_bounds(df, cols, exact)
@@ -49,6 +51,7 @@ def _mask(c: str, lo, hi):
     return (x < F.lit(lo)) | (x > F.lit(hi))
 
 
+@settles
 def outliers_remove(df: DataFrame, cols=None, exact: bool = True, with_count: bool = False):
     """Remove rows outside the bounds, column by column; each column's
     quartiles are taken after the previous columns' rows were removed
@@ -68,6 +71,7 @@ def outliers_remove(df: DataFrame, cols=None, exact: bool = True, with_count: bo
     return (cur, affected) if with_count else cur
 
 
+@settles
 def outlier_counts(df: DataFrame, bounds: dict) -> dict[str, tuple[int, int]]:
     """``{col: (below, above)}`` in one aggregate."""
     live = {c: b for c, b in bounds.items() if b[2] is not None}
@@ -82,6 +86,7 @@ def outlier_counts(df: DataFrame, bounds: dict) -> dict[str, tuple[int, int]]:
     return out
 
 
+@settles
 def outliers_nullify(df: DataFrame, cols=None, exact: bool = True, bounds: dict | None = None) -> DataFrame:
     """Outlier cells become NULL; columns are independent (one bounds computation)."""
     bounds = bounds if bounds is not None else iqr_bounds(df, cols, exact)
@@ -90,6 +95,7 @@ def outliers_nullify(df: DataFrame, cols=None, exact: bool = True, bounds: dict
     return df.withColumns(updates) if updates else df
 
 
+@settles
 def outliers_cap(df: DataFrame, cols=None, exact: bool = True, bounds: dict | None = None,
                  counts: dict | None = None) -> DataFrame:
     """Winsorise to the bounds.  An integer column stays integer unless a
@@ -114,6 +120,7 @@ def outliers_cap(df: DataFrame, cols=None, exact: bool = True, bounds: dict | No
     return df.withColumns(updates) if updates else df
 
 
+@settles
 def handle_outliers(df: DataFrame, method: str = "remove", cols=None, exact: bool = True):
     """Dispatcher; returns ``(DataFrame, outliers_affected)``.  Unknown method raises (D5)."""
     if method == "remove":
@@ -128,6 +135,7 @@ def handle_outliers(df: DataFrame, method: str = "remove", cols=None, exact: boo
     return out, affected
 
 
+@settles
 def iqr_outliers(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """Rows outside the IQR bounds: row label, value, bounds."""
     q1, q3, lo, hi = iqr_bounds(df, [col], exact)[col]
@@ -140,6 +148,7 @@ def iqr_outliers(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
         F.lit(float(lo)).alias("lower_bound"), F.lit(float(hi)).alias("upper_bound"))
 
 
+@settles
 def zscore_outliers(df: DataFrame, col: str, limit: float = ZSCORE_LIMIT) -> DataFrame:
     """Rows with ``|x - mean| / std > limit`` (sample std); a constant column has none."""
     st = df.agg(F.avg(qcol(col)).alias("m"), F.stddev_samp(qcol(col)).alias("s")).first()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pii import (HIGH_RISK_TYPES, PII_REC_ANONYMIZE, PII_REC_COMPLIANCE, PII_REC_DETECTED,
                              PII_REC_HIGH_RISK, PII_SAMPLE_SIZE, PII_THRESHOLD_PCT, PII_TYPES, pii_match)
-from ..functions.types import ROW_ID, qcol, text_columns
+from ..functions.types import ROW_ID, qcol, settles, text_columns
 
 
 def _type_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -40,6 +40,7 @@ def _detected(counts: DataFrame, threshold: float) -> DataFrame:
             .select("column", "pii_type", "match_count", F.round(conf, 2).alias("confidence")))
 
 
+@settles
 def pii_scan(df: DataFrame, cols=None, threshold: float = PII_THRESHOLD_PCT) -> DataFrame:
     """Detected (column, pii_type, match_count, confidence %) over all rows."""
     cols = text_columns(df, cols)
@@ -48,6 +49,7 @@ def pii_scan(df: DataFrame, cols=None, threshold: float = PII_THRESHOLD_PCT) ->
     return _detected(_type_counts(df, cols), threshold)
 
 
+@settles
 def pii_sample(df: DataFrame, cols=None, n: int = PII_SAMPLE_SIZE, order_by: str = ROW_ID,
                threshold: float = PII_THRESHOLD_PCT) -> DataFrame:
     """As ``pii_scan`` but over the first ``n`` non-missing values of each column."""
@@ -66,6 +68,7 @@ def pii_sample(df: DataFrame, cols=None, n: int = PII_SAMPLE_SIZE, order_by: str
     return _detected(long, threshold)
 
 
+@settles
 def pii_summary(df: DataFrame, cols=None, threshold: float = PII_THRESHOLD_PCT) -> DataFrame:
     """Per column with PII: types, overall confidence (mean of kept types), high-risk flag."""
     found = pii_scan(df, cols, threshold)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import qcol, user_columns
+from ..functions.types import qcol, settles, user_columns
 from ..plans.cells import keys, unpivoted
 from ..plans.distinct import count_keys, distinct_counts, repeated_rows, row_key
 from ..plans.quantile import from_sketches, quantiles, region, sketches
@@ -38,6 +38,7 @@ _STAT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DecimalType)
 
 
+@settles
 def profile_dataset(df: DataFrame) -> DataFrame:
     """One row: total_rows, total_columns, missing_cells, duplicate_rows.
 
@@ -71,6 +72,7 @@ def score_band(score) -> "F.Column":
     return expr.otherwise(F.lit(LOWEST_BAND))
 
 
+@settles
 def quality_score(df: DataFrame, dataset: DataFrame | None = None) -> DataFrame:
     """One row: completeness, uniqueness, consistency, validity, overall (2 dp) and band."""
     ds = dataset if dataset is not None else profile_dataset(df)
@@ -119,6 +121,7 @@ def _stat_columns(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(df.schema[c].dataType, _STAT_TYPES)]
 
 
+@settles
 def statistics(df: DataFrame, probs=(0.5,), approx_distinct: bool = False, exact: bool = True, rows: bool = False):
     """The figures of every column, and of whole rows if asked: ``(facts, distinct, quantiles, repeated)``.
 
@@ -165,6 +168,7 @@ _COLUMNS = """position int, column string, dtype string, unique_count bigint, nu
   min double, max double, mean double, std double, median double"""
 
 
+@settles
 def profile_columns(df: DataFrame, approx_distinct: bool = False, exact_median: bool = True) -> DataFrame:
     """One row per column: position, column, dtype, unique_count, null_count,
     null_pct (2 dp), and for numeric columns min, max, mean, std, median."""
@@ -181,6 +185,7 @@ def _columns(df: DataFrame, facts, distinct: dict, middle: dict) -> DataFrame:
     return made.withColumn("null_pct", percent).orderBy("position")
 
 
+@settles
 def numeric_stats(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """Per numeric column: count, min, q25, median, q75, max, mean, std."""
     num = _stat_columns(df, list(cols) if cols else user_columns(df))
@@ -200,6 +205,7 @@ def numeric_stats(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
         schema)
 
 
+@settles
 def profile(df: DataFrame, pii_sample_size: int = 100):
     """The full profile: (dataset row, column rows, quality row, recommendations row, pii rows)."""
     from .pii import pii_sample

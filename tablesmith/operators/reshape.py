@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import ROW_ID, all_present, numeric_columns, qcol, require_columns
+from ..functions.types import ROW_ID, all_present, numeric_columns, qcol, require_columns, settles
 from ..plans.group_quantile import group_quantiles
 
 
+@settles
 def sort(df: DataFrame, cols, ascending: bool | list[bool] = True) -> DataFrame:
     """Multi-key sort, NULLs last in both directions.
 
@@ -117,6 +118,7 @@ AGG_FUNCTIONS = ["sum", "mean", "min", "max", "count", "median", "std", "var", "
                  "approx_median"]
 
 
+@settles
 def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str | list[str] = "sum") -> DataFrame:
     """Group on ``keys`` (rows with a NULL key are dropped), aggregate, order by keys.
 
@@ -147,10 +149,12 @@ def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str | list[str
     return out.orderBy(*[qcol(k).asc() for k in keys])
 
 
+@settles
 def group_by_all_numeric(df: DataFrame, keys, fn: str = "sum") -> DataFrame:
     return group_by(df, keys, None, fn)
 
 
+@settles
 def pivot_values(df: DataFrame, columns: str, max_values: int | None = None) -> list:
     """Sorted distinct pivot values (one job): they become the result's columns, so their number is
     the width of every row.  ``max_values`` refuses wider results; there is no limit by default."""
@@ -161,6 +165,7 @@ def pivot_values(df: DataFrame, columns: str, max_values: int | None = None) ->
     return [r[0] for r in vals]
 
 
+@settles
 def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
           pivot_vals: list | None = None, max_values: int | None = None) -> DataFrame:
     """pandas ``pivot_table(..., fill_value=0)``: NULL index/column rows dropped,

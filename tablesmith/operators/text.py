@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
-from ..functions.types import ROW_ID, qcol, text_columns
+from ..functions.types import ROW_ID, qcol, settles, text_columns
 
 STRING_OPS = {
     "trim": tf.strip_whitespace,
@@ -23,6 +23,7 @@ def _text_targets(df: DataFrame, cols) -> list[str]:
     return text_columns(df, cols) if cols else text_columns(df)
 
 
+@settles
 def string_op(df: DataFrame, op: str, cols=None) -> DataFrame:
     """trim / lower / upper / title over text columns (default: all). Unknown op raises (D5)."""
     if op not in STRING_OPS:
@@ -32,22 +33,27 @@ def string_op(df: DataFrame, op: str, cols=None) -> DataFrame:
     return df.withColumns({c: fn(qcol(c)) for c in targets}) if targets else df
 
 
+@settles
 def trim(df, cols=None):
     return string_op(df, "trim", cols)
 
 
+@settles
 def lower(df, cols=None):
     return string_op(df, "lower", cols)
 
 
+@settles
 def upper(df, cols=None):
     return string_op(df, "upper", cols)
 
 
+@settles
 def title_case(df, cols=None):
     return string_op(df, "title", cols)
 
 
+@settles
 def find_replace(df: DataFrame, find: str, replace: str = "", cols=None,
                  match_case: bool = False, use_regex: bool = False) -> DataFrame:
     """Literal (default, case-insensitive) or Python-style regex replace.
@@ -59,6 +65,7 @@ def find_replace(df: DataFrame, find: str, replace: str = "", cols=None,
     return df.withColumns({c: fn(qcol(c), find, replace, match_case) for c in targets}) if targets else df
 
 
+@settles
 def validate_emails(df: DataFrame, cols, action: str = "clear") -> DataFrame:
     """``clear``: invalid non-missing cells -> NULL; ``remove_row``: drop rows
     with any invalid target.  ``cols`` is required (D6)."""
@@ -73,6 +80,7 @@ def validate_emails(df: DataFrame, cols, action: str = "clear") -> DataFrame:
     raise ValueError(f"unknown email action {action!r}")
 
 
+@settles
 def count_invalid_emails(df: DataFrame, cols) -> DataFrame:
     """One row: invalid non-missing cells over ``cols``."""
     cols = [cols] if isinstance(cols, str) else list(cols)
@@ -81,16 +89,19 @@ def count_invalid_emails(df: DataFrame, cols) -> DataFrame:
     return df.agg(total.cast("bigint").alias("invalid_cells"))
 
 
+@settles
 def format_phones(df: DataFrame, cols) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
     return df.withColumns({c: tf.format_phone(qcol(c)) for c in cols})
 
 
+@settles
 def strip_markdown(df: DataFrame, cols) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
     return df.withColumns({c: tf.strip_markdown(qcol(c)) for c in cols})
 
 
+@settles
 def split_segments(df: DataFrame, col: str, keys=None) -> DataFrame:
     """One row per clean segment: ``keys..., segment_no, segment``."""
     keys = [keys] if isinstance(keys, str) else list(keys or ([ROW_ID] if ROW_ID in df.columns else []))

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.types import nan_to_null, qcol
+from ..functions.types import mark_nan, qcol
 from ..operators.rowid import with_row_id
 
 # ---------------------------------------------------------------------------
@@ -85,7 +85,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bo
               .option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
               .option("mode", "PERMISSIVE"))
     if schema is not None:
-        return nan_to_null(reader.schema(schema).csv(path))
+        return mark_nan(reader.schema(schema).csv(path))
     raw = reader.csv(path)
     return _infer_and_cast(raw) if infer else raw
 
@@ -105,15 +105,15 @@ def read_txt(spark: SparkSession, path: str, sep: str = ",", **kw) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
     """One JSON object per line; Spark's types are kept (``"1"`` stays text, D9)."""
     df = spark.read.option("mode", "PERMISSIVE").json(path)
-    return nan_to_null(df) if nan_as_null else df
+    return mark_nan(df) if nan_as_null else df
 
 
 def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
-    """Parquet as is.  ``nan_as_null`` (D1) turns float NaN into NULL; it wraps
-    float columns in a CASE, so filters on those columns are no longer pushed
-    to the scan - pass False for NaN-free data to keep their pushdown."""
+    """Parquet as is.  ``nan_as_null`` (D1) marks the float columns: every operator takes
+    their NaN for missing, while filters on them still reach the scan.  Before Spark
+    expressions of your own that must see NULL, call ``functions.types.settled``."""
     df = spark.read.parquet(path)
-    return nan_to_null(df) if nan_as_null else df
+    return mark_nan(df) if nan_as_null else df
 
 
 def _suffix(path: str) -> str:
@@ -156,11 +156,10 @@ def _loaded(spark: SparkSession, path: str, fmt: str | None, row_id_key: str | N
     if kind not in readers:
         raise ValueError(f"cannot tell how to read {path!r}: format {kind!r} is not one of {sorted(readers)}")
     if kind == "parquet":
-        # label the raw scan (its hidden file metadata gives a deterministic
-        # row position), then apply the NaN rule
+        # label the raw scan: its hidden file metadata gives a deterministic row position
         nan_as_null = kw.pop("nan_as_null", True)
         df = with_row_id(spark.read.parquet(path), key=row_id_key, parquet_scan=True)
-        return nan_to_null(df) if nan_as_null else df
+        return mark_nan(df) if nan_as_null else df
     return with_row_id(readers[kind](spark, path, **kw), key=row_id_key)
 
 

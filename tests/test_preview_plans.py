@@ -16,9 +16,10 @@ def orders(spark):
 
 
 def test_page_is_top_k(spark):
-    p = preview.page(preview.sort_view(orders(spark), "o_totalprice", "desc"), 3, 50)
-    assert "TakeOrderedAndProject" in plan_of(p)
-    assert p.count() == 50
+    for page_no in (1, 3, 250):
+        p = preview.page(orders(spark), page_no, 50, "o_totalprice", "desc")
+        assert "TakeOrderedAndProject(limit=50" in plan_of(p)
+        assert p.count() == 50
 
 
 def test_preview_pipeline(spark):
@@ -114,12 +115,37 @@ def test_keyless_parquet_load_keeps_pushdown_and_labels(spark, tmpdir_path):
     assert again == {r.o_orderkey: r._row_id for r in m.select("o_orderkey", "_row_id").collect()}
 
 
-@pytest.mark.parametrize("page_no", [1, 3, 7, 300, 301])
-def test_deep_page_equals_top_k(spark, page_no):
-    view = preview.sort_view(orders(spark), "o_totalprice", "desc")
-    a = [r.o_orderkey for r in preview.page(view, page_no, 50).collect()]
-    b = [r.o_orderkey for r in preview.page(view, page_no, 50, topk_max_rows=0).collect()]
-    assert a == b and len(a) == (50 if page_no <= 300 else 0)
+@pytest.mark.parametrize("page_no", [1, 2, 7, 300, 301])
+@pytest.mark.parametrize("sort_by", ["o_totalprice", "o_orderdate", "o_orderstatus", ["o_orderstatus", "o_totalprice"], None])
+def test_any_page_equals_offset(spark, page_no, sort_by):
+    o = orders(spark).withColumn("o_totalprice", F.expr("IF(o_orderkey % 5 = 0, NULL, o_totalprice)"))
+    for order in ("asc", "desc"):
+        by = [F.col(c).asc_nulls_last() if order == "asc" else F.col(c).desc_nulls_last()
+              for c in ([sort_by] if isinstance(sort_by, str) else sort_by or [])]
+        want = [r.o_orderkey for r in o.orderBy(*by, "_row_id").offset((page_no - 1) * 50).limit(50).collect()]
+        got = [r.o_orderkey for r in preview.page(o, page_no, 50, sort_by, order).collect()]
+        assert got == want and len(got) == (50 if page_no <= 300 else 0)
+
+
+def test_a_deep_page_reads_its_range_and_writes_keys(spark, monkeypatch):
+    written = []
+    honest = preview.stored_table
+    monkeypatch.setattr(preview, "stored_table", lambda df, name: written.append(df.columns) or honest(df, name))
+    plan = plan_of(preview.page(orders(spark), 200, 50, "o_totalprice"))
+    assert written == [["__k0", "__label", "__part"]]
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(o_totalprice" in pushed and "LessThanOrEqual(o_totalpric" in pushed
+
+
+def test_pages_of_odd_keys(spark):
+    rows = [(k, [None, float("nan"), 1.5, float("inf"), -0.0][k % 5], bytes([k % 3]), [k % 2]) for k in range(100)]
+    df = with_row_id(spark.createDataFrame(rows, "id int, d double, b binary, a array<int>"), key="id")
+    for key in ("d", "b", "a"):
+        want = [r.id for r in preview.sort_view(df, key, "desc").collect()]
+        got = [r.id for p in range(1, 12) for r in preview.page(df, p, 10, key, "desc").collect()]
+        assert got == want
+    assert preview.page(df.where("false"), 2, 10, "d").collect() == []
+    assert preview.page(df, 2, 10, "nope").first().id == 10
 
 
 def test_row_labels_through_listing_join(spark, tmpdir_path):

@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from tablesmith.operators import preview, text
+from tablesmith.functions.types import settled
+from tablesmith.operators import dedup, missing, outliers, preview, profile, reshape, text
 from tablesmith.sources import readers
 
 
@@ -47,3 +48,36 @@ def test_row_order_is_kept(spark):
     ids = list(range(1000))
     assert [r.doc_id for r in text.string_op(d, "trim", ["text"]).select("doc_id").collect()] == ids
     assert [r.doc_id for r in preview.global_filter(d, ".", ["text"]).select("doc_id").collect()] == ids
+
+
+def test_floats_are_filtered_in_the_file_and_their_nan_is_missing(spark, tmpdir_path):
+    nan = float("nan")
+    path = os.path.join(tmpdir_path, "f.parquet")
+    rows = [(1, 5.0), (2, nan), (3, None), (4, -1.0), (5, nan), (6, 7.5), (7, 5.0)]
+    spark.createDataFrame(rows, "id int, `a.x` double").coalesce(1).write.parquet(path)
+    df = readers.load(spark, path)
+
+    def pushed(d):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters"):plan.index("ReadSchema")]
+
+    assert "GreaterThan(`a.x`,4.0)" in pushed(df.where("`a.x` > 4"))
+    ids = lambda d: [r.id for r in d.orderBy("id").collect()]
+    big = preview.range_filter(df, "a.x", low=0)
+    assert ids(big) == [1, 6, 7] and "GreaterThanOrEqual(`a.x`" in pushed(big)
+    kept = missing.drop_missing(df, ["a.x"])
+    assert ids(kept) == [1, 4, 6, 7] and "IsNotNull(`a.x`)" in pushed(kept)
+    assert ids(missing.drop_missing(reshape.sort(df, ["id"]))) == [1, 4, 6, 7]
+    # every operator takes NaN for missing, and so does what follows it
+    assert [r.id for r in reshape.sort(df, ["a.x"]).collect()] == [4, 1, 7, 6, 2, 3, 5]
+    assert [r.id for p in (1, 2, 3) for r in preview.page(df, p, 3, "a.x", "desc").collect()] == [6, 1, 7, 4, 2, 3, 5]
+    assert missing.fill_value(df, 0.0, ["a.x"]).where("`a.x` = 0").count() == 3
+    assert missing.fill_median(df, ["a.x"]).where("isnan(`a.x`)").count() == 0
+    stats = profile.profile_columns(df).where("column = 'a.x'").first()
+    assert (stats.null_count, stats.unique_count, stats.median, stats["max"]) == (3, 3, 5.0, 7.5)
+    assert outliers.iqr_bounds(df, ["a.x"])["a.x"][:2] == (3.5, 5.625)
+    assert dedup.drop_duplicates(df, ["a.x"]).count() == 4
+    assert ids(preview.global_filter(df, "nan", ["a.x"])) == []
+    assert settled(df).where("isnan(`a.x`)").count() == 0
+    with pytest.raises(ValueError, match="nope"):
+        preview.range_filter(df, "nope", 1)
