@@ -36,8 +36,6 @@ GRAM = 8
 SLICE_BYTES = 2 << 20
 RUN = "minimizer long, h1 long, h2 long, doc long, place long, n long"
 
-_SECOND = hashing.mix(hashing.BYTE ^ hashing.ORDER[7])  # the byte values of the second hash
-
 
 class _Words:
     """The words of a batch of texts and hashes of their sequences."""
@@ -46,9 +44,11 @@ class _Words:
         data, offsets = hashing.texts(column)
         self.starts, self.ends, self.bounds = hashing.words(data, offsets)
         self.sums = []
-        for table, order in ((hashing.BYTE, 20), (_SECOND, 24)):
-            word = hashing.mix(hashing.Prefix(data, table).spans(self.starts, self.ends))
-            self.sums.append((hashing.Prefix(word, _Same()), hashing.ORDER[order]))
+        whole = hashing.Prefix(data).spans(self.starts, self.ends)
+        quick = hashing.Rolling(data).spans(self.starts, self.ends)
+        for base, order, word in ((0, 20, whole), (1, 24, whole ^ hashing.mix(quick))):
+            word = hashing.mix(word)
+            self.sums.append((hashing.Prefix(word, None, base), hashing.ORDER[order]))
 
     def hashes(self, starts, ends):
         """Two hashes of the words from ``starts`` to ``ends``."""
@@ -56,13 +56,6 @@ class _Words:
         return [hashing.mix(p.spans(starts, ends) + length * o).view(np.int64) for p, o in self.sums]
 
 
-class _Same:
-    """Stands for a table of values that are hashes already."""
-
-    def __getitem__(self, values):
-        return values
-
-
 def _runs(docs: DataFrame) -> DataFrame:
     rows = repeats.identified(docs).select("doc", "mark", "text")
 

@@ -6,27 +6,50 @@ import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _U = np.uint64
-BASE = _U(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = _U(pow(int(BASE), -1, 1 << 64))
-
-# one random value per byte; the second table takes A-Z as a-z
-BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+# Polynomial hashes count modulo a prime, where no words of two letters (such as Thue-Morse words
+# and their complements, which collide modulo 2**64) cancel out for every base.
+PRIME = (1 << 61) - 1
+_P, _LOW = _U(PRIME), _U(0xFFFFFFFF)
+BASES = tuple(int(b) for b in _RNG.integers(1 << 40, PRIME, 2, dtype=np.uint64))
+
+# one small value per byte; the second table takes A-Z as a-z
+BYTE = np.arange(1, 257, dtype=np.uint64)
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
+RANDOM = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+RANDOM_LOWER = RANDOM.copy()
+RANDOM_LOWER[65:91] = RANDOM[97:123]
+_ODD = 0x9E3779B97F4A7C15
 ORDER = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)  # weights of the members of a sequence
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _POWERS: dict = {}
+_PART = 1 << 15  # positions summed at once: they stay in the processor's cache
 
 
-def powers(n: int, base=BASE):
-    """base**0 .. base**n modulo 2**64."""
-    have = _POWERS.get(int(base))
+def _mod(x):
+    x = (x & _P) + (x >> _U(61))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps to a large number
+
+
+def _times(a, b):
+    """a * b modulo the prime (both below it), by halves of 32 bits."""
+    ah, al, bh, bl = a >> _U(32), a & _LOW, b >> _U(32), b & _LOW
+    middle, low = ah * bl + al * bh, al * bl
+    # 2**64 is 8 and 2**61 is 1 here
+    return _mod(((ah * bh) << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) +
+                (low & _P) + (low >> _U(61)))
+
+
+def powers(n: int, base: int):
+    """base**0 .. base**n modulo the prime."""
+    have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        full = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        full[0] = 1
-        have = _POWERS[int(base)] = np.cumprod(full, dtype=np.uint64)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n + 1, 1 << 16):
+            have = np.concatenate([have, _times(have, _U(pow(base, len(have), PRIME)))])
+        _POWERS[base] = have
     return have[:n + 1]
 
 
@@ -38,18 +61,62 @@ def mix(x):
 
 
 class Prefix:
-    """Prefix polynomial hashes of a byte array: equal spans have equal hashes, wherever they stand."""
+    """Prefix polynomial hashes of a byte array: equal spans have equal hashes, wherever they stand.
+
+    Without a ``table`` the data are 64-bit values of their own.  ``base`` picks one of two independent hashes.
+    """
+
+    def __init__(self, data, table=BYTE, base: int = 0):
+        n, base = len(data), BASES[base]
+        self.sums = np.zeros(n + 1, np.uint64)
+        weights, carry = powers(n, base), _U(0)
+        for start in range(0, n, _PART):
+            part = slice(start, min(start + _PART, n))
+            weight = weights[part]
+            if table is None:
+                terms = _times(_mod(data[part]), weight)
+                low, high = terms & _LOW, terms >> _U(32)
+            else:
+                value = table[data[part]]
+                low, high = value * (weight & _LOW), value * (weight >> _U(32))
+            low, high = _mod(np.cumsum(low)), _mod(np.cumsum(high))
+            # 2**32 * high: bits beyond the 61st start anew
+            high = ((high << _U(32)) & _P) + (high >> _U(29))
+            self.sums[start + 1:part.stop + 1] = sums = _mod(low + high + carry)
+            carry = sums[-1]
+        self.back = powers(n, pow(base, -1, PRIME))
 
-    def __init__(self, data, table=BYTE):
+    def spans(self, starts, ends):
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), _PART):
+            s, e = starts[at:at + _PART], ends[at:at + _PART]
+            out[at:at + _PART] = _times(_mod(self.sums[e] + (_P - self.sums[s])), self.back[s])
+        return out
+
+
+class Rolling:
+    """As Prefix, but modulo 2**64: cheap, and right for spans of up to some 100 bytes, or where others verify."""
+
+    def __init__(self, data, table=RANDOM):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * powers(n)[:n], out=self.sums[1:])
-        self.back = powers(n, BASE_INVERSE)
+        np.cumsum(table[data] * _wrapped(n, _ODD)[:n], out=self.sums[1:])
+        self.back = _wrapped(n, pow(_ODD, -1, 1 << 64))
 
     def spans(self, starts, ends):
         return (self.sums[ends] - self.sums[starts]) * self.back[starts]
 
 
+def _wrapped(n: int, base: int):
+    """base**0 .. base**n modulo 2**64."""
+    have = _POWERS.get((base, 64))
+    if have is None or len(have) <= n:
+        full = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        full[0] = 1
+        have = _POWERS[base, 64] = np.cumprod(full, dtype=np.uint64)
+    return have[:n + 1]
+
+
 def texts(column):
     """Bytes and offsets of an Arrow string or binary array without nulls."""
     import pyarrow as pa

@@ -39,46 +39,53 @@ def char_shingles(data, offsets, size: int = CHARS):
     group = np.repeat(np.arange(len(counts)), per)
     first = np.arange(out[-1]) - out[group] + bounds[group]
     chars = np.append(chars, len(data))
-    prefix = hashing.Prefix(data, hashing.BYTE_LOWER)
+    prefix = hashing.Rolling(data, hashing.RANDOM_LOWER)
     return hashing.mix(prefix.spans(chars[first], chars[np.minimum(first + size, bounds[group + 1])])), out
 
 
-def line_identity(data, offsets):
-    """16 bytes per line by its lower-cased bytes and length."""
-    whole = hashing.Prefix(data, hashing.BYTE_LOWER).spans(offsets[:-1], offsets[1:])
-    length = np.diff(offsets).astype(np.uint64)
-    return np.stack([hashing.mix(whole + length * hashing.ORDER[k]) ^ hashing.mix(whole ^ hashing.ORDER[k + 1])
-                     for k in (50, 52)], axis=1)
-
-
-PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, identity=line_identity)
+PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """id (doc_id, text_hash, line) and text of every line of at least CHARS characters."""
+    """id (doc_id, text_hash, line) and compared text of every line of at least CHARS characters."""
     lines = _documents(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return lines.select(F.struct("doc_id", "text_hash", "line").alias("id"), F.trim("text").alias("text")).where(
-        F.length("text") >= CHARS)
+    return lines.select(F.struct("doc_id", "text_hash", "line").alias("id"),
+                        F.translate(F.trim("text"), UPPER, LOWER).alias("text")).where(F.length("text") >= CHARS)
+
+
+def _key():
+    """128 bits that tell lines apart."""
+    return F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.length("text"), "text").alias("h2")).alias("key")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Stored doc_id, text_hash, removed (sorted line numbers) of every document that loses lines.
 
-    ``docs`` (doc_id, text) is read several times.
+    ``docs`` (doc_id, text) is read twice: equal lines become one class before anything is hashed, then every line
+    of a class with several lines or links finds its class's first line.
     """
     lines = _lines(docs)
     with scratch(docs.sparkSession):
-        groups = similar.grouped(similar.features(lines, PLAN), lines, PLAN)
-        slim = stored(similar.features(lines, PLAN, full=False).select("id", "set_hash"), "lines", large=True)
+        classes = lines.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "text", "id", "n"), "line-classes",
+                         large=True)
+        found = stored(similar.signatures(classes, PLAN), "signatures")
+        comps = similar.linked_classes(found, PLAN, lambda nodes: stored(
+            classes.select("node", "text").join(nodes, "node", "left_semi"), "texts", large=True))
         # lines that stand alone need no decision: only classes of several lines or with links count
-        sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
-        several = groups.join(sizes, "set_hash").where("shared OR __n > 1").drop("shared")
+        mine = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = mine.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("n").alias("total"))
+        several = mine.join(first, "component").where("total > 1").select(_key(), "component_id", F.col("n").alias("__n"))
         several = stored(several, "several")
-        gone = join_by_key(slim, several, "set_hash", slim.count()).where("id <> component_id")
+        total = classes.agg(F.sum("n")).first()[0] or 0
+        gone = join_by_key(lines.select("id", _key()), several, "key", total).where("id <> component_id")
         return stored(gone.groupBy("id.doc_id", "id.text_hash").agg(
             F.array_sort(F.collect_set("id.line")).alias("removed")), "removed", keep=True)
 

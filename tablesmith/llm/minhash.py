@@ -41,29 +41,48 @@ def word_shingles(data, offsets):
 PLAN = similar.Plan(word_shingles, bands=32, rows=4, percent=PERCENT)
 
 
+def _grouped(items: DataFrame) -> DataFrame:
+    """id, n_shingles, set_hash and component_id of ``items`` (id, text)."""
+    rows = stored(similar.features(items, PLAN), "features")
+    slim = rows.select("id", "n_shingles", "set_hash")
+    sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
+    groups = stored(similar.grouped(rows, items, PLAN).drop("shared").join(sizes, "set_hash"), "sized")
+    found = join_by_key(slim, groups, "set_hash", slim.count())
+    return found.unionByName(slim.where("set_hash IS NULL").withColumn("component_id", F.col("id")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of ``docs`` (doc_id, text)."""
-    items = docs.select(F.col("doc_id").alias("id"), "text")
     with scratch(docs.sparkSession):
-        rows = stored(similar.features(items, PLAN), "features")
-        slim = rows.select("id", "n_shingles", "set_hash")
-        sizes = slim.groupBy("set_hash").agg(F.count("*").alias("__n"))
-        groups = stored(similar.grouped(rows, items, PLAN).drop("shared").join(sizes, "set_hash"), "sized")
-        found = join_by_key(slim, groups, "set_hash", slim.count())
-        alone = slim.where("set_hash IS NULL").withColumn("component_id", F.col("id"))
-        return stored(found.unionByName(alone).select(
+        found = _grouped(docs.select(F.col("doc_id").alias("id"), "text"))
+        return stored(found.select(
             F.col("id").alias("doc_id"), "n_shingles", "component_id",
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near", keep=True)
 
 
+def _document(doc_id, text):
+    """A document's identity: rows that repeat a doc_id with another text are documents of their own."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.length(text), text).alias("h2"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the input's columns (of repeated rows of it, one)."""
-    found = near_duplicates(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept"))
-    repeated = kept.groupBy("__kept").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__kept").alias("__again"))
-    rest = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    if repeated.isEmpty():
-        return rest
-    same = F.col("doc_id").eqNullSafe(F.col("__again"))
-    return rest.join(repeated, same, "left_anti").unionByName(
-        rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    """The first document of each component (smallest doc_id, null last, then by its text's hash), with the
+    input's columns; rows that repeat a document in full come once."""
+    items = docs.select(_document(F.col("doc_id"), F.col("text")).alias("id"), "text")
+    # null ids last: a struct with a null first field would be the smallest
+    items = items.select(F.struct(F.col("id.doc_id").isNull().alias("none"), "id.doc_id", "id.h1", "id.h2").alias("id"), "text")
+    with scratch(docs.sparkSession):
+        found = _grouped(items)
+        kept = stored(found.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("n")),
+                      "kept", keep=True)
+    again = kept.where("n > 1").select("id").withColumn("__again", F.lit(True))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       _document(F.col("doc_id"), F.col("text")).alias("own"))
+    rows = rows.select("row", F.struct(F.col("own.doc_id").isNull().alias("none"), "own.doc_id", "own.h1", "own.h2").alias("id"))
+    rows = rows.join(kept.select("id"), "id", "left_semi")
+    if not again.isEmpty():
+        rows = rows.join(again, "id", "left")
+        rows = rows.where("__again IS NULL").drop("__again").unionByName(
+            rows.where("__again").drop("__again").dropDuplicates(["id"]))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_INDEX_BITS = np.uint64(28)
+_INDEX_BITS = np.uint64(31)  # a Spark row holds no longer text
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ The steps work on *classes* of identical shingle sets, one representative each:
 2. Pairs whose b-bit estimate can still reach the threshold are verified on
    full sets and united into components.
 3. Buckets that still hold two or more components are looked at again, member
-   against member across components, with long one-bit sketches inside the
-   tasks; buckets of any size are cut into block pairs of bounded size.  Only pairs
-   whose sketches can reach the threshold leave the task, to be verified.
+   against member across components, inside the tasks: first by b-bit estimates,
+   then short texts by their exact sets, long ones by long one-bit sketches; buckets
+   of any size are cut into block pairs of bounded size.  Only pairs
+   that link (or whose sketches can reach the threshold, to be verified) leave the task.
+
+Bands are taken ``BANDS_AT_ONCE`` at a time, so that no shuffle holds all keys.
 
 So a component costs about one pair per member and bucket, and pairs inside
 a component are never listed.
@@ -19,6 +22,7 @@ a component are never listed.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,6 +38,8 @@ from .components import components, join_by_key
 BITS = 4  # retained bits of each mixed minimum
 SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
+BANDS_AT_ONCE = 8
+PAIRS_AT_ONCE = 1 << 17  # of the second look
 
 
 @dataclass(frozen=True)
@@ -44,21 +50,12 @@ class Plan:
     rows: int
     percent: int  # link when 100 * intersection >= percent * union
     seed: int = 1
-    identity: Callable | None = None  # 16 bytes that tell texts apart (data, offsets); None: their sets'
-
-    def sets(self, data, offsets, distinct: bool = True):
-        """A batch's sets, their bounds, 16 bytes that identify each, and which have members.
-
-        Without ``distinct`` members may repeat, where the identity does not need the sets.
-        """
-        values, bounds = self.shingle(data, offsets)
-        if distinct or self.identity is None:
-            values, bounds = distinct_sorted(values, bounds)
-        if self.identity is None:
-            hashes = set_hash(values, bounds)
-        else:
-            hashes = self.identity(data, offsets)
-        return values, bounds, hashes, np.flatnonzero(np.diff(bounds))
+    short: bool = False  # texts short enough to travel with every bucket they are in
+
+    def sets(self, data, offsets):
+        """A batch's distinct sets, their bounds, 16 bytes that identify each, and which have members."""
+        values, bounds = distinct_sorted(*self.shingle(data, offsets))
+        return values, bounds, set_hash(values, bounds), np.flatnonzero(np.diff(bounds))
 
     @property
     def minima(self):
@@ -118,18 +115,26 @@ def _longs(rows):
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), flat)
 
 
-SLIM = "n_shingles long, set_hash binary"
-FULL = SLIM + ", keys array<bigint>, bits array<bigint>"
+def _signed(values, bounds, has, hasher, plan: Plan):
+    """Band keys and packed b-bit minima of the groups ``has``; zeros for the others."""
+    keys = np.zeros((len(bounds) - 1, plan.bands), np.uint64)
+    bits = np.zeros((len(bounds) - 1, -(-plan.minima * BITS // 64)), np.uint64)
+    if len(has):
+        minima = hasher.minima(values, np.append(bounds[:-1][has], len(values)))
+        keys[has] = hashing.band_keys(minima, plan.rows).T
+        bits[has] = _pack(minima)
+    return [_longs(keys), _longs(bits)]
 
 
-def features(items: DataFrame, plan: Plan, full: bool = True) -> DataFrame:
-    """``items`` (id, text) as id, n_shingles, set_hash and, if ``full``, band keys and b-bit signature.
+def features(items: DataFrame, plan: Plan) -> DataFrame:
+    """``items`` (id, text) as id, n_shingles, set_hash, band keys and b-bit signature.
 
     Texts without shingles have a null set_hash.
     """
-    schema = StructType(items.select("id").schema.fields + StructType.fromDDL(FULL if full else SLIM).fields)
+    schema = StructType(items.select("id").schema.fields + StructType.fromDDL(
+        "n_shingles long, set_hash binary, keys array<bigint>, bits array<bigint>").fields)
     items = items.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    minhash = hashing.MinHasher(plan.minima, plan.seed)
+    hasher = hashing.MinHasher(plan.minima, plan.seed)
 
     def run(batches):
         import pyarrow as pa
@@ -137,26 +142,36 @@ def features(items: DataFrame, plan: Plan, full: bool = True) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 data, offsets = hashing.texts(part.column(1))
-                values, bounds, hashes, has = plan.sets(data, offsets, distinct=False)
+                values, bounds, hashes, has = plan.sets(data, offsets)
                 empty = np.ones(len(hashes), bool)
                 empty[has] = False
                 null = pa.array(empty)
-                columns = [part.column(0), pa.array(np.diff(bounds)),
-                           pa.compute.if_else(null, pa.scalar(None, pa.binary()), _binary(hashes))]
-                if full:
-                    keys = np.zeros((len(hashes), plan.bands), np.uint64)
-                    bits = np.zeros((len(hashes), -(-plan.minima * BITS // 64)), np.uint64)
-                    if len(has):
-                        minima = minhash.minima(values, np.append(bounds[:-1][has], len(values)))
-                        keys[has] = hashing.band_keys(minima, plan.rows).T
-                        bits[has] = _pack(minima)
-                    columns += [_longs(keys), _longs(bits)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(bounds)),
+                     pa.compute.if_else(null, pa.scalar(None, pa.binary()), _binary(hashes)),
+                     *_signed(values, bounds, has, hasher, plan)], names=schema.names)
 
     import pyarrow.compute  # noqa: F401  (loaded before the function travels)
     return items.mapInArrow(run, schema)
 
 
+def signatures(texts: DataFrame, plan: Plan) -> DataFrame:
+    """Band keys and b-bit signature of every text of ``texts`` (node, text), each with a shingle at least."""
+    hasher = hashing.MinHasher(plan.minima, plan.seed)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                values, bounds = plan.shingle(*hashing.texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *_signed(values, bounds, np.arange(part.num_rows), hasher, plan)],
+                    names=["node", "keys", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, keys array<bigint>, bits array<bigint>")
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """One stored row per distinct set: node, set_hash, its smallest id, n_shingles, keys, bits."""
     found = (rows.where("set_hash IS NOT NULL").groupBy("set_hash")
@@ -168,12 +183,18 @@ def classes(rows: DataFrame) -> DataFrame:
 BUCKET_PAIRS = "key long, a long, b long, edge boolean"
 
 
-def buckets(found: DataFrame) -> DataFrame:
-    """Stored (key, a, b, edge): b meets the first member a of its part of the bucket ``key``.
+def buckets(found: DataFrame, bands: int) -> DataFrame:
+    """Stored (key, a, b, edge): b meets the first member a of its part of the bucket ``key``."""
+    parts = [_buckets(found, at) for at in range(1, bands + 1, BANDS_AT_ONCE)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _buckets(found: DataFrame, band: int) -> DataFrame:
+    """The buckets of the bands from ``band`` (1 is the first) on.
 
     Rows with ``edge`` name the first member of a bucket's part at a partition's bound (b is null).
     """
-    rows = (found.select(F.explode("keys").alias("key"), "node")
+    rows = (found.select(F.explode(F.slice("keys", band, BANDS_AT_ONCE)).alias("key"), "node")
             .repartitionByRange(partitions(found.sparkSession), "key", "node").sortWithinPartitions("key", "node"))
 
     def stream(batches):
@@ -237,7 +258,7 @@ def node_texts(items: DataFrame, found: DataFrame, nodes: DataFrame, plan: Plan)
         # an id that is repeated brings other texts as well: only those of the class stay
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
-                hashes = plan.sets(*hashing.texts(part.column(2)), distinct=False)[2]
+                hashes = plan.sets(*hashing.texts(part.column(2)))[2]
                 yield part.filter(pc.equal(_binary(hashes), part.column(1))).select([0, 2])
 
     import pyarrow.compute as pc
@@ -257,7 +278,7 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
                 keep = np.zeros(part.num_rows, bool)
-                (va, ba), (vb, bb) = (plan.sets(*hashing.texts(part.column(c)))[:2] for c in (2, 3))
+                (va, ba), (vb, bb) = (distinct_sorted(*plan.shingle(*hashing.texts(part.column(c)))) for c in (2, 3))
                 for i in range(part.num_rows):
                     x, y = va[ba[i]:ba[i + 1]], vb[bb[i]:bb[i + 1]]
                     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -271,12 +292,12 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs across components inside buckets, by one-bit sketches, at the sketch's slack."""
+def _active(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """Stored (key, i, j, block, node, comp): members of buckets with several components, by pairs of blocks."""
     members = met.select("key", F.col("a").alias("node")).unionByName(met.select("key", F.col("b").alias("node")))
     members = (members.distinct().join(comps.withColumnRenamed("component", "comp"), "node", "left")
                .withColumn("comp", F.coalesce("comp", "node")))
-    members = stored(members, "members")
+    members = stored(members, "members", large=True)
     active = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__n"))
     active = stored(active.where("lo <> hi").select("key", "__n"), "active")
     total = members.count()
@@ -287,61 +308,152 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                        "block", "node", "comp")
-    rows = stored(rows, "rows")
+    return stored(rows, "rows", large=True)
+
+
+def _sketches(texts: DataFrame, rows: DataFrame, plan: Plan) -> DataFrame:
+    """Stored (node, made): the long one-bit sketches of the nodes of ``rows``."""
     hasher = hashing.MinHasher(SKETCH, plan.seed + 1)
 
-    def sketch(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                values, bounds = plan.sets(*hashing.texts(part.column(1)), distinct=False)[:2]
-                yield pa.RecordBatch.from_arrays([part.column(0), _binary(_sketch(hasher.minima(values, bounds)))],
-                                                 names=["node", "made"])
+                minima = hasher.minima(*plan.shingle(*hashing.texts(part.column(1))))
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(_sketch(minima))], names=["node", "made"])
 
     members = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sketches = stored(members.mapInArrow(sketch, "node long, made binary"), "sketches")
-    rows = rows.join(sketches.join(found.select("node", "keys"), "node"), "node")
+    return stored(members.mapInArrow(run, "node long, made binary"), "sketches")
+
+
+def _pairs(group, block, i, j):
+    """Pairs (p, q) of positions to be compared, some PAIRS_AT_ONCE at a time.
+
+    Rows come by group and block: inside a block all pairs, else those of block i with block j.
+    """
+    n = len(group)
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    end = np.repeat(edge[1:], np.diff(edge))
+    right = np.minimum.reduceat(np.where(block == j, np.arange(n), n), edge[:-1])
+    inside = i == j
+    start = np.where(inside, np.arange(n) + 1, np.repeat(right, np.diff(edge)))
+    count = np.where(inside | (block == i), end - start, 0)
+    upto = np.cumsum(count)
+    at = 0
+    while at < n:
+        before = upto[at] - count[at]
+        stop = max(at + 1, int(np.searchsorted(upto, before + PAIRS_AT_ONCE, "right")))
+        c = count[at:stop]
+        p = np.repeat(np.arange(at, stop), c)
+        yield p, np.repeat(start[at:stop], c) + np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c)
+        at = stop
+
+
+def _near(bits, p, q, minima: int, least: float):
+    """Whether the corrected b-bit estimates of the pairs reach ``least``."""
+    differ = bits[p] ^ bits[q]
+    fold = differ.copy()
+    for k in range(1, BITS):
+        fold |= differ >> np.uint64(k)
+    ones = np.uint64(sum(1 << BITS * k for k in range(64 // BITS)))
+    agree = minima - np.bitwise_count(fold & ones).sum(axis=1, dtype=np.int64)
+    chance = 2.0 ** -BITS
+    return (agree / minima - chance) / (1 - chance) >= least
+
+
+def _link(values, bounds, p, q, percent: int):
+    """Whether the sets of the pairs, sorted by p, reach the threshold."""
+    ids, index = np.unique(values, return_inverse=True)
+    size, mark = np.diff(bounds), np.zeros(len(ids), bool)
+    out = np.zeros(len(p), bool)
+    edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]])) if len(p) else [0]
+    for a, b in zip(edge[:-1], edge[1:]):
+        mine = index[bounds[p[a]]:bounds[p[a] + 1]]
+        mark[mine] = True
+        its = q[a:b]
+        n = size[its]
+        at = np.arange(n.sum()) + np.repeat(bounds[its] - (np.cumsum(n) - n), n)
+        common = np.add.reduceat(mark[index[at]].astype(np.int64), np.cumsum(n) - n)
+        out[a:b] = 100 * common >= percent * (len(mine) + n - common)
+        mark[mine] = False
+    return out
+
+
+def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs across components inside buckets: links of short texts, else pairs at the sketch's slack."""
+    rows = _active(met, comps)
+    extra = texts.select("node", F.col("text").alias("made")) if plan.short else _sketches(texts, rows, plan)
+    rows = rows.join(extra.join(found.select("node", "keys", "bits"), "node"), "node").select(
+        "key", "i", "j", "block", "node", "comp", "keys", "bits", "made")
+    rows = rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
     least_agree = int(np.ceil(SKETCH * (1 + plan.slack(SKETCH, 1)) / 2))
+    least = plan.slack(plan.minima, BITS)
 
-    def compare(group):
+    def compared(table):
         import pyarrow as pa
 
-        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-        keys = np.array(group.column("keys").combine_chunks().flatten()).reshape(group.num_rows, -1)
-        node, comp, block = (group.column(c).to_numpy() for c in ("node", "comp", "block"))
-        made = group.column("made").combine_chunks()
-        bits = np.frombuffer(b"".join(made.to_pylist()), np.uint64).reshape(len(node), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        table = table.combine_chunks()
+        key, i, j, block, node, comp = (table.column(c).to_numpy() for c in range(6))
+        keys, bits = (np.array(table.column(c).combine_chunks().flatten()).reshape(len(key), -1) for c in (6, 7))
+        bits = bits.view(np.uint64)
+        made = table.column(8).combine_chunks()
+        if plan.short:
+            values, bounds = distinct_sorted(*plan.shingle(*hashing.texts(made)))
+        else:
+            sketch = np.frombuffer(b"".join(made.to_pylist()), np.uint64).reshape(len(key), -1)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out = []
-        for at in range(0, len(left), 16):
-            x = left[at:at + 16]
-            differ = np.bitwise_count(bits[x][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            close = (SKETCH - differ >= least_agree) & (comp[x][:, None] != comp[right][None, :])
-            if i == j:
-                close &= node[x][:, None] < node[right][None, :]
-            p, q = np.nonzero(close)
-            p, q = x[p], right[q]
-            # a pair that shares several bands counts in the first
-            first = (keys[p] == keys[q]).argmax(axis=1)
-            here = keys[p, first] == key
-            out.append(np.stack([node[p[here]], node[q[here]]]))
+        for p, q in _pairs(group, block, i, j):
+            for test in (lambda: comp[p] != comp[q], lambda: _near(bits, p, q, plan.minima, least),
+                         # a pair that shares several bands counts in the first
+                         lambda: keys[p, (keys[p] == keys[q]).argmax(axis=1)] == key[p]):
+                keep = test()
+                p, q = p[keep], q[keep]
+            if plan.short:
+                keep = _link(values, bounds, p, q, plan.percent)
+            else:
+                differ = np.concatenate([np.zeros(0, np.int64)] + [
+                    np.bitwise_count(sketch[p[k:k + 4096]] ^ sketch[q[k:k + 4096]]).sum(axis=1, dtype=np.int64)
+                    for k in range(0, len(p), 4096)])
+                keep = SKETCH - differ >= least_agree
+            out.append(np.stack([node[p[keep]], node[q[keep]]]))
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
+    def run(batches):
+        import pyarrow as pa
 
-def linked_classes(items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """(node, component) of every class linked to another; ``items`` (id, text), ``found`` of classes()."""
-    with scratch(items.sparkSession):
-        met = buckets(found)
-        nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-        texts = node_texts(items, found, nodes, plan)
-        pairs = stored(estimated(met.select("a", "b").distinct(), found, plan), "pairs")
+        rest = None  # the last group so far
+        for batch in batches:
+            for part in slices(batch, 8, 4 << 20):
+                table = pa.Table.from_batches([part])
+                if rest is not None:
+                    table = pa.concat_tables([rest, table])
+                ends = [table.column(c).to_numpy() for c in range(3)]
+                other = np.flatnonzero((ends[0] != ends[0][-1]) | (ends[1] != ends[1][-1]) | (ends[2] != ends[2][-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                rest = table.slice(cut)
+                if cut:
+                    yield compared(table.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield compared(rest)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_classes(found: DataFrame, plan: Plan, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of every class linked to another; ``found`` (stored: node, keys, bits);
+    ``texts_of`` gives the stored (node, text) of a table of nodes."""
+    with scratch(found.sparkSession):
+        met = buckets(found, plan.bands)
+        pairs = stored(met.select("a", "b").distinct(), "met-pairs", large=True)
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = texts_of(nodes)
+        pairs = stored(estimated(pairs, found, plan), "pairs")
         comps = components(verified(pairs, texts, plan))
-        more = stored(_second_look(met, comps, texts, found, plan), "pairs")
-        new = verified(more, texts, plan)
+        more = stored(_second_look(met, comps, texts, found, plan), "pairs", large=True)
+        new = more if plan.short else verified(more, texts, plan)
         # the components so far are stars already; the new links join some of them
         return stored(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
                                  .unionByName(new)), "components", keep=True)
@@ -350,11 +462,11 @@ def linked_classes(items: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
 def grouped(rows: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
     """Stored (set_hash, component_id, shared): each class's smallest linked id, and whether other classes share it.
 
-    ``rows`` are features() with keys; ``items`` gives texts again for the classes to be verified.
+    ``rows`` are features(); ``items`` gives texts again for the classes to be verified.
     """
     with scratch(items.sparkSession):
         found = classes(rows)
-        comps = linked_classes(items, found, plan)
+        comps = linked_classes(found, plan, lambda nodes: node_texts(items, found, nodes, plan))
         mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
         mine = mine.withColumn("component", F.coalesce("component", "node"))
         smallest = mine.where("component IS NOT NULL").groupBy("component").agg(

@@ -40,8 +40,6 @@ SORTED_RUNS = 4096  # their windows (at most 283,000) and what sorts them take a
 SLICE_BYTES = 1 << 20
 RUN = "minimizer long, h1 long, h2 long, doc long, place long, n int, lead int"
 
-_SECOND = hashing.mix(hashing.BYTE ^ hashing.ORDER[9])  # the byte values of the second hash
-
 
 def _hashes(prefixes, starts, ends):
     """Two hashes of the spans, with their lengths."""
@@ -59,7 +57,7 @@ def _runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, SLICE_BYTES):
                 data, bounds = hashing.texts(part.column(2))
-                prefixes = hashing.Prefix(data), hashing.Prefix(data, _SECOND)
+                prefixes = hashing.Rolling(data), hashing.Prefix(data)
                 first = np.arange(len(data))
                 grams = hashing.mix(prefixes[0].spans(first, np.minimum(first + GRAM, len(data))))
                 inside = first + GRAM <= np.repeat(bounds[1:], np.diff(bounds))
@@ -196,7 +194,7 @@ def later_spans(minimizer, doc, place, n, lead, data, bounds):
     alone[:-1] &= ~same
     order, segment = order[~alone], segment[~alone]
     suffixes = bounds[run[order]] + k[order]
-    prefix = hashing.Prefix(data)
+    prefix = hashing.Rolling(data)  # of 100 bytes at most, and verified
     sorted_ = sort_suffixes(prefix, data, suffixes, segment)
     order, suffixes, segment = order[sorted_], suffixes[sorted_], segment[sorted_]
     near = np.flatnonzero(segment[1:] == segment[:-1])
@@ -256,7 +254,7 @@ def _cut_again(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, SLICE_BYTES):
                 data, bounds = hashing.texts(part.column(2))
-                prefixes = hashing.Prefix(data), hashing.Prefix(data, _SECOND)
+                prefixes = hashing.Rolling(data), hashing.Prefix(data)
                 first = np.arange(len(data))
                 grams = hashing.mix(prefixes[0].spans(first, np.minimum(first + LONG_GRAM, len(data))))
                 inside = first + LONG_GRAM <= np.repeat(bounds[1:], np.diff(bounds))
@@ -290,7 +288,7 @@ def _windows(runs: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = bounds[row] + k
-                h1, h2 = _hashes((hashing.Prefix(data), hashing.Prefix(data, _SECOND)), start, start + BYTES)
+                h1, h2 = _hashes((hashing.Rolling(data), hashing.Prefix(data)), start, start + BYTES)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, doc[row], place[row] + k)],
                                                  names=["h1", "h2", "doc", "place"])
 
