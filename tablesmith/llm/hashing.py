@@ -169,10 +169,11 @@ def windows(values, bounds, size: int):
 class MinHasher:
     """Minima of ``count`` hash functions over groups of 64-bit values, as 32-bit numbers."""
 
-    def __init__(self, count: int, seed: int):
+    def __init__(self, count: int, seed: int, part: slice = slice(None)):
+        """``part`` picks some of the functions."""
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.xor = rng.integers(0, 1 << 32, count, dtype=np.uint32)
-        self.times = rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1)
+        self.xor = rng.integers(0, 1 << 32, count, dtype=np.uint32)[part]
+        self.times = rng.integers(0, 1 << 32, count, dtype=np.uint32)[part] | np.uint32(1)
 
     def minima(self, values, bounds):
         """One row per function, one column per group (groups must not be empty)."""
@@ -193,12 +194,12 @@ def mix32(x):
     return x ^ (x >> np.uint32(16))
 
 
-def band_keys(minima, rows: int):
-    """64-bit bucket keys, one row per band of ``rows`` minima."""
+def band_keys(minima, rows: int, first: int = 0):
+    """64-bit bucket keys, one row per band of ``rows`` minima; the first band has the number ``first``."""
     bands = len(minima) // rows
     out = np.empty((bands, minima.shape[1]), np.uint64)
     for b in range(bands):
-        total = np.full(minima.shape[1], b + 1, np.uint64) * ORDER[-2]
+        total = np.full(minima.shape[1], first + b + 1, np.uint64) * ORDER[-2]
         for k in range(rows):
             total += (minima[b * rows + k].astype(np.uint64) + _U(1)) * ORDER[k]
         out[b] = mix(total)

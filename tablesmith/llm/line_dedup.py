@@ -76,9 +76,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         classes = lines.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "text", "id", "n"), "line-classes",
                          large=True)
-        found = stored(similar.signatures(classes, PLAN), "signatures")
-        comps = similar.linked_classes(found, PLAN, lambda nodes: stored(
-            classes.select("node", "text").join(nodes, "node", "left_semi"), "texts", large=True))
+        # the keys of all lines would take as much room as the lines: every pass over the bands makes its own
+        comps = similar.linked_classes(
+            PLAN, lambda band: stored(similar.band_rows(classes, PLAN, band), "bands"),
+            lambda nodes: stored(classes.select("node", "text").join(nodes, "node", "left_semi"), "texts", large=True),
+            lambda texts: stored(similar.signatures(texts, PLAN), "signatures"))
         # lines that stand alone need no decision: only classes of several lines or with links count
         mine = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = mine.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("n").alias("total"))

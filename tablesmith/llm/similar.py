@@ -27,7 +27,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -183,18 +183,45 @@ def classes(rows: DataFrame) -> DataFrame:
 BUCKET_PAIRS = "key long, a long, b long, edge boolean"
 
 
-def buckets(found: DataFrame, bands: int) -> DataFrame:
+def band_rows(texts: DataFrame, plan: Plan, band: int) -> DataFrame:
+    """(key, node) of the bands from ``band`` (0 is the first) on, hashed anew from ``texts`` (node, text)."""
+    part = slice(band * plan.rows, (band + BANDS_AT_ONCE) * plan.rows)
+    hasher = hashing.MinHasher(plan.minima, plan.seed, part)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                minima = hasher.minima(*plan.shingle(*hashing.texts(part.column(1))))
+                keys = hashing.band_keys(minima, plan.rows, band)
+                node = np.tile(part.column(0).to_numpy(), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)],
+                                                 names=["key", "node"])
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long")
+
+
+def stored_bands(found: DataFrame, band: int) -> DataFrame:
+    """As band_rows(), from the keys of ``found``."""
+    return found.select(F.explode(F.slice("keys", band + 1, BANDS_AT_ONCE)).alias("key"), "node")
+
+
+def buckets(rows_of: Callable[[int], DataFrame], bands: int) -> DataFrame:
     """Stored (key, a, b, edge): b meets the first member a of its part of the bucket ``key``."""
-    parts = [_buckets(found, at) for at in range(1, bands + 1, BANDS_AT_ONCE)]
+    parts = []
+    for at in range(0, bands, BANDS_AT_ONCE):
+        with scratch(SparkSession.getActiveSession()):
+            parts.append(_buckets(rows_of(at)))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _buckets(found: DataFrame, band: int) -> DataFrame:
-    """The buckets of the bands from ``band`` (1 is the first) on.
+def _buckets(found: DataFrame) -> DataFrame:
+    """The buckets of some bands (key, node).
 
     Rows with ``edge`` name the first member of a bucket's part at a partition's bound (b is null).
     """
-    rows = (found.select(F.explode(F.slice("keys", band, BANDS_AT_ONCE)).alias("key"), "node")
+    rows = (found
             .repartitionByRange(partitions(found.sparkSession), "key", "node").sortWithinPartitions("key", "node"))
 
     def stream(batches):
@@ -222,7 +249,7 @@ def _buckets(found: DataFrame, band: int) -> DataFrame:
                                               pa.array([None], pa.int64()), pa.array([True])],
                                              names=["key", "a", "b", "edge"])
 
-    met = stored(rows.mapInArrow(stream, BUCKET_PAIRS), "buckets", large=True)
+    met = stored(rows.mapInArrow(stream, BUCKET_PAIRS), "buckets", keep=True, large=True)
     # parts of one bucket in neighbouring partitions: at most two edges a partition
     edges = met.where("edge")
     first = edges.groupBy("key").agg(F.min("a").alias("p"))
@@ -442,14 +469,19 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_classes(found: DataFrame, plan: Plan, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of every class linked to another; ``found`` (stored: node, keys, bits);
-    ``texts_of`` gives the stored (node, text) of a table of nodes."""
-    with scratch(found.sparkSession):
-        met = buckets(found, plan.bands)
+def linked_classes(plan: Plan, rows_of: Callable[[int], DataFrame], texts_of: Callable[[DataFrame], DataFrame],
+                   found_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of every class linked to another.
+
+    ``rows_of`` gives (key, node) of some bands, ``texts_of`` the stored (node, text) of a table of nodes, and
+    ``found_of`` the stored (node, keys, bits) of such texts.
+    """
+    with scratch(SparkSession.getActiveSession()):
+        met = buckets(rows_of, plan.bands)
         pairs = stored(met.select("a", "b").distinct(), "met-pairs", large=True)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         texts = texts_of(nodes)
+        found = found_of(texts)
         pairs = stored(estimated(pairs, found, plan), "pairs")
         comps = components(verified(pairs, texts, plan))
         more = stored(_second_look(met, comps, texts, found, plan), "pairs", large=True)
@@ -466,7 +498,8 @@ def grouped(rows: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
     """
     with scratch(items.sparkSession):
         found = classes(rows)
-        comps = linked_classes(found, plan, lambda nodes: node_texts(items, found, nodes, plan))
+        comps = linked_classes(plan, lambda band: stored_bands(found, band),
+                               lambda nodes: node_texts(items, found, nodes, plan), lambda texts: found)
         mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
         mine = mine.withColumn("component", F.coalesce("component", "node"))
         smallest = mine.where("component IS NOT NULL").groupBy("component").agg(
