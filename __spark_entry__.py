@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions import math as fm
+from tablesmith.functions import pii as pii_fn
 from tablesmith.functions import text as tf
 from tablesmith.functions.pii import PII_PATTERNS
 from tablesmith.functions.types import ROW_ID
@@ -192,6 +193,16 @@ def q_read_csv(spark, sf):
     return _customer_out(readers.read_csv(spark, path))
 
 
+@query("read_csv_quoted_newlines", """SELECT conv_id, turn, role, 'first "line"' || chr(10) || ', ' || turn || chr(10) AS note
+FROM conversations""")
+def q_read_csv_quoted(spark, sf):
+    path = scratch_path(spark, "csv") + "/notes.csv"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", F.concat(
+        F.lit('first "line"\n, '), F.col("turn").cast("string"), F.lit("\n")).alias("note"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv(spark, path).select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "note")
+
+
 @query("read_tsv_roundtrip", _with(DIRTY_ORDERS_SQL) + """SELECT o_orderkey, o_custkey, o_totalprice,
   o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate FROM dirty_orders""")
 def q_read_tsv(spark, sf):
@@ -220,7 +231,7 @@ def q_read_json(spark, sf):
     return readers.read_json_lines(spark, path).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-PHONE_RE2 = r"\b(?:\+?1?[-.\s]?)?\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4})\b"
+PHONE_RE2 = tf.PHONE_PATTERN.removeprefix("(?U)")  # RE2 has no such flag
 
 
 @query("export_csv_phone", _with(DIRTY_CUSTOMER_SQL) + f"""SELECT c_custkey, c_name, email,
@@ -330,6 +341,21 @@ def q_apply_edits(spark, sf):
     return _orders_out(preview.apply_edits(o, edits))
 
 
+@query("apply_cell_edits", f"""SELECT o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN o_orderkey % 10 = 3 THEN 1.5 ELSE o_totalprice END AS o_totalprice, {_ts_sql('o_orderdate')},
+  CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 10 = 3 THEN 'SECOND' ELSE o_orderpriority END AS o_orderpriority
+FROM orders""")
+def q_apply_cell_edits(spark, sf):
+    o = _table(spark, sf, "orders", "o_orderkey")
+    third = o.where(F.col("o_orderkey") % 10 == 3).select(ROW_ID, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(v).alias("value"), F.lit(n).alias("edit_no"))
+        for n, (c, v) in enumerate([("o_orderpriority", "FIRST"), ("o_orderpriority", "SECOND"), ("o_totalprice", "1.5")])
+    ])).alias("e")).select(ROW_ID, "e.*")
+    emptied = o.where("o_orderstatus = 'P'").select(ROW_ID, F.lit("o_orderpriority").alias("column"),
+                                                    F.lit(None).cast("string").alias("value"), F.lit(9).alias("edit_no"))
+    return _orders_out(preview.apply_cell_edits(o, third.unionByName(emptied)))
+
+
 @query("title_labels", """SELECT c_custkey AS "C Custkey", c_name AS "C Name",
   CAST(c_nationkey AS BIGINT) AS "C Nationkey", c_acctbal AS "C Acctbal", c_mktsegment AS "C Mktsegment"
 FROM customer""")
@@ -682,7 +708,25 @@ def q_strip_markdown(spark, sf):
     return text.strip_markdown(c, ["text"]).select("conv_id", "turn", "role", "text")
 
 
-@query("split_segments")
+def _segments_sql() -> str:
+    mark, digits = "chr(1)", r"\\d+[.)]"
+    t = f"regexp_replace(t, '\\n+', {mark}, 'g')"
+    # a mark stands where the split cuts: after a sentence's end before a capital, after : and ;, before numbered items
+    t = f"regexp_replace({t}, '\\.\\s+([A-Z(])', '.' || {mark} || '\\1', 'g')"
+    t = f"regexp_replace({t}, '([:;])\\s+', '\\1' || {mark}, 'g')"
+    t = f"regexp_replace({t}, '\\s+({digits}\\s)', {mark} || '\\1', 'g')"
+    strip = f"' ' || chr(10) || chr(9) || '{tf.SEGMENT_STRIP_CHARS[3:]}'"
+    return f"""
+WITH c AS (SELECT conv_id, turn, {_strip_md_sql('text')} AS t FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT conv_id, turn, t, list_filter(string_split({t}, {mark}), lambda x: trim(x, {strip}) <> '' OR trim(x) <> '') AS parts FROM c),
+s AS (SELECT conv_id, turn, t, list_filter(list_transform(list_transform(parts, lambda x: trim(x, {strip})),
+    lambda x: regexp_replace(regexp_replace(x, '^\\s*\\(?\\d+[.)]\\s*', ''), '^\\s+|\\s+$', '', 'g')),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^[.;:,()\\[\\]{{}}]+$')) AS parts FROM p),
+f AS (SELECT conv_id, turn, CASE WHEN len(parts) > 0 THEN parts ELSE [t] END AS parts FROM s)
+SELECT conv_id, turn, CAST(unnest(range(len(parts))) AS INTEGER) AS segment_no, unnest(parts) AS segment FROM f"""
+
+
+@query("split_segments", _segments_sql())
 def q_split_segments(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     return text.split_segments(c, "text", keys=["conv_id", "turn"])
@@ -936,6 +980,24 @@ def q_calc_math(spark, sf):
                      _r("ab", 8), _big("fl"), _big("cl"), _r("at2", 8), _r("ex", 8), _r("sn", 8), _r("th", 8))
 
 
+MORE_MATH = {  # numpy's name: argument, its SQL
+    "expm1": ("l_discount", "exp(l_discount) - 1"), "log1p": ("l_discount", "ln(1 + l_discount)"),
+    "cos": ("l_quantity", "cos(l_quantity)"), "tan": ("l_discount", "tan(l_discount)"),
+    "arcsin": ("l_discount", "asin(l_discount)"), "arctan": ("l_quantity", "atan(l_quantity)"),
+    "sinh": ("l_discount", "sinh(l_discount)"), "cosh": ("l_discount", "cosh(l_discount)"),
+    "arcsinh": ("l_quantity", "asinh(l_quantity)"), "arccosh": ("l_quantity", "acosh(l_quantity)"),
+    "arctanh": ("l_discount", "atanh(l_discount)"), "log": ("l_quantity", "ln(l_quantity)"),
+}
+
+
+@query("calc_math_more", f"SELECT {LI_KEY_SQL}, " + ", ".join(
+    f"round({sql}, 8) AS {name}" for name, (_, sql) in MORE_MATH.items()) + " FROM lineitem")
+def q_calc_math_more(spark, sf):
+    li = _table(spark, sf, "lineitem").withColumns({f"m_{n}": fm.math_fn(n, c) for n, (c, _) in MORE_MATH.items()})
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", _big("l_linenumber"),
+                     *[F.round(f"m_{n}", 8).alias(n) for n in MORE_MATH])
+
+
 @query("calc_math_domain", """SELECT o_orderkey,
   CASE WHEN o_totalprice / 100000 - 2 < 0 THEN NULL ELSE round(sqrt(o_totalprice / 100000 - 2), 8) END AS sq,
   CASE WHEN abs(o_totalprice / 200000) > 1 THEN NULL ELSE round(acos(o_totalprice / 200000), 8) END AS ac
@@ -1045,9 +1107,9 @@ def q_score_band(spark, sf):
         "band", profile.score_band("score"))
 
 
-@query("recommendations", QUALITY_SQL + """SELECT array_to_string(list_filter([
-  CASE WHEN c < 80 THEN 'Consider handling missing values' END,
-  CASE WHEN u < 90 THEN 'Remove duplicate rows to improve data quality' END,
+@query("recommendations", QUALITY_SQL + f"""SELECT array_to_string(list_filter([
+  CASE WHEN c < 80 THEN '{profile.REC_MISSING}' END,
+  CASE WHEN u < 90 THEN '{profile.REC_DUPLICATES}' END,
   NULL], lambda x: x IS NOT NULL), '; ') AS recommendations FROM s""")
 def q_recommendations(spark, sf):
     d = dirty_orders(spark, sf)
@@ -1144,15 +1206,15 @@ def q_pii_summary(spark, sf):
 
 def _pii_recs_sql() -> str:
     scan = _pii_scan_sql("documents", ["text"], PII_TYPES_RE2_SAFE, threshold=2.0)
-    return f"WITH found AS ({scan}), " + """cols AS (SELECT "column", bool_or(pii_type IN ('ssn', 'credit_card')) AS hr
+    return f"""WITH found AS ({scan}), cols AS (SELECT "column", bool_or(pii_type IN ('ssn', 'credit_card')) AS hr
   FROM found GROUP BY "column")
 SELECT count(*) > 0 AS pii_detected, CAST(count(*) AS BIGINT) AS total_pii_columns,
   array_to_string(list_filter([
-    CASE WHEN count(*) > 0 THEN 'PII data detected in your dataset' END,
-    CASE WHEN count(*) FILTER (WHERE hr) > 0 THEN 'High-risk PII detected in columns: '
+    CASE WHEN count(*) > 0 THEN '{pii_fn.PII_REC_DETECTED}' END,
+    CASE WHEN count(*) FILTER (WHERE hr) > 0 THEN '{pii_fn.PII_REC_HIGH_RISK}'
          || array_to_string(list_sort(list("column") FILTER (WHERE hr)), ', ') END,
-    CASE WHEN count(*) FILTER (WHERE hr) > 0 THEN 'Consider anonymizing or removing these columns' END,
-    'Review data privacy compliance requirements'], lambda x: x IS NOT NULL), '; ') AS recommendations FROM cols"""
+    CASE WHEN count(*) FILTER (WHERE hr) > 0 THEN '{pii_fn.PII_REC_ANONYMIZE}' END,
+    '{pii_fn.PII_REC_COMPLIANCE}'], lambda x: x IS NOT NULL), '; ') AS recommendations FROM cols"""
 
 
 @query("pii_recommendations", _pii_recs_sql())
@@ -1204,6 +1266,20 @@ def q_session_load_history(spark, sf):
     return _orders_out(h.snapshot(1))
 
 
+@query("history_delta_revert", f"""SELECT o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS o_totalprice, {_ts_sql('o_orderdate')}, o_orderpriority
+FROM orders WHERE o_orderkey % 7 <> 0""")
+def q_history_delta(spark, sf):
+    h = store.History(spark, scratch_path(spark, "history"))
+    o = _table(spark, sf, "orders", "o_orderkey")
+    first = h.log("Load", "orders", o)
+    # a row-wise step is kept as its changed rows and dropped labels
+    step = o.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.expr("IF(o_orderstatus = 'P', 0D, o_totalprice)"))
+    second = h.log("Clean", "rows dropped, prices emptied", step, since=first)
+    h.log("Drop", "everything", step.where("false"), since=second)
+    return _orders_out(h.revert(second))
+
+
 @query("history_list", """SELECT CAST(version AS BIGINT) AS version, action, has_snapshot, rows FROM (VALUES
   (1, 'Load', true, (SELECT count(*) FROM orders)), (2, 'Note', false, NULL),
   (3, 'Clean', true, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')),
@@ -1293,10 +1369,10 @@ def q_histogram(spark, sf):
 
 # --- more coverage: row labels, paging arithmetic, heads, predicates ---------------------
 
-@query("with_row_id_key", f"SELECT o_orderkey AS _row_id, {ORDERS_COLS_SQL} FROM orders")
+@query("with_row_id_key", "SELECT o_orderkey AS _row_id, o_custkey, o_totalprice FROM orders")
 def q_with_row_id(spark, sf):
     o = with_row_id(spark.read.parquet(f"{sf}/orders.parquet"), key="o_orderkey")
-    return _orders_out(o).withColumn(ROW_ID, F.col("o_orderkey"))
+    return o.select(ROW_ID, "o_custkey", "o_totalprice")
 
 
 @query("table_head", f"SELECT {ORDERS_COLS_SQL} FROM orders ORDER BY o_orderkey LIMIT 5")

@@ -22,7 +22,7 @@ from ..functions.types import is_fractional_type, settles
 def calculated_column(df: DataFrame, name: str, expression) -> DataFrame:
     """Add or overwrite column ``name`` with ``expression`` (SQL text or Column)."""
     if not name or expression is None or (isinstance(expression, str) and not expression.strip()):
-        raise ValueError("Column name and expression are required.")
+        raise ValueError(f"calculated_column: name={name!r} with expression={expression!r} defines no column")
     if not isinstance(expression, Column):
         register_sql_functions(df.sparkSession)
     col = expression if isinstance(expression, Column) else F.expr(expression)

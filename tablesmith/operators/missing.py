@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import is_integral_type, numeric_columns, present, qcol, settles, user_columns
 from ..plans import fill as fill_plan
+from ..plans.cells import unpivoted
 from ..plans.quantile import from_sketches, quantiles, sketches
 from .rowid import order_columns
 
@@ -101,51 +102,80 @@ def handle_missing(df: DataFrame, method: str = "remove", cols=None, fill_value_
         "fill_mode": lambda: fill_mode(df, cols),
     }
     if method not in methods:
-        raise ValueError("Invalid method specified.")
+        raise ValueError(f"handle_missing: method {method!r} is not one of {sorted(methods)}")
     return methods[method]()
 
 
+# Typed slots of a mode's cells: how a type's values become a slot's, in order, and come back.
+_SLOTS = [
+    ((T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType), "l", lambda c: c.cast("long"), lambda v, dt: v.cast(dt)),
+    ((T.DateType,), "l", lambda c: F.unix_date(c).cast("long"), lambda v, dt: F.date_from_unix_date(v.cast("int"))),
+    ((T.TimestampType,), "l", F.unix_micros, lambda v, dt: F.timestamp_micros(v)),
+    ((T.FloatType, T.DoubleType), "d", lambda c: c.cast("double"), lambda v, dt: v.cast(dt)),
+    ((T.DecimalType,), "n", lambda c: c.cast("decimal(38,18)"), lambda v, dt: v.cast(dt)),
+    ((T.StringType, T.VarcharType, T.CharType, T.TimestampNTZType), "s", lambda c: c.cast("string"), lambda v, dt: v.cast(dt)),
+    ((T.BinaryType,), "b", lambda c: c, lambda v, dt: v),
+]
+_SLOT_TYPES = {"l": "bigint", "d": "double", "n": "decimal(38,18)", "s": "string", "b": "binary"}
+
+
+def _slot(dt):
+    if isinstance(dt, T.DecimalType) and (dt.scale > 18 or dt.precision - dt.scale > 20):
+        return None
+    return next((x[1:] for x in _SLOTS if isinstance(dt, x[0])), None)
+
+
+def _modes(df: DataFrame, cols: list[str]) -> dict:
+    """The most frequent non-missing value of each column as a Column (none for columns without values).
+
+    One scan and one shuffle for all columns of plain types: a cell is a column number and five typed slots, of
+    which one is set, however many columns there are.  Equal cells are counted with partial
+    aggregation; the greatest count, then the smallest value, is a partial aggregate too.  Nested columns are
+    counted one by one; maps, which have no order, have no mode."""
+    plain = [c for c in cols if _slot(df.schema[c].dataType)]
+    out = {}
+    if plain:
+        made = []
+        for c in plain:
+            name, to, _ = _slot(df.schema[c].dataType)
+            made.append({k: to(qcol(c)) if k == name else F.lit(None).cast(t) for k, t in _SLOT_TYPES.items()})
+        counts = (unpivoted(df, made).where(functools.reduce(operator.or_, [F.col(k).isNotNull() for k in _SLOT_TYPES]))
+                  .groupBy("slot", *_SLOT_TYPES).agg((-F.count("*")).alias("less")))
+        top = counts.groupBy("slot").agg(F.min(F.struct("less", *_SLOT_TYPES)).alias("top"))
+        for r in top.collect():  # one row a column
+            c = plain[r["slot"]]
+            name, _, back = _slot(df.schema[c].dataType)
+            out[c] = back(F.lit(r["top"][name]).cast(_SLOT_TYPES[name]), df.schema[c].dataType)
+    for c in cols:
+        dt = df.schema[c].dataType
+        if c in plain or "map<" in dt.simpleString():
+            continue
+        top = (df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("v")).agg((-F.count("*")).alias("n"))
+               .agg(F.min(F.struct("n", "v")).alias("top")).select(F.to_json(F.struct(F.col("top.v").alias("v")),
+                                                                   {"ignoreNullFields": "false"}).alias("j"),
+                                                                   F.col("top").isNotNull().alias("any")).first())
+        if top["any"]:
+            out[c] = F.from_json(F.lit(top["j"]), T.StructType([T.StructField("v", dt)])).getField("v")
+    return out
+
+
 @settles
 def mode_values(df: DataFrame, cols: list[str]) -> dict:
-    """Most frequent non-missing value per column, ties -> smallest.
-
-    One scan and one shuffle for all columns: the columns are unpivoted into a
-    typed struct with one field set, counted by (column, value) with partial
-    aggregation, and the greatest (count, then smallest value) of each column
-    is a partial aggregate too.  Values keep their types; maps, which
-    have no order, have no mode."""
+    """Most frequent non-missing value per column, ties -> smallest; None without values."""
     cols = [c for c in cols if "map<" not in df.schema[c].dataType.simpleString()]
-    if not cols:
-        return {}
-    none = {c: F.lit(None).cast(df.schema[c].dataType) for c in cols}
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.struct(*[(qcol(x) if x == c else none[x]).alias(f"v{j}")
-                                                 for j, x in enumerate(cols)]).alias("v"))
-        for i, c in enumerate(cols)])).alias("cell")
-    present = functools.reduce(operator.or_, [F.col(f"v.v{j}").isNotNull() for j, _ in enumerate(cols)])
-    counts = (df.select(cells).select("cell.*").where(present).groupBy("c", "v")
-              .agg((-F.count(F.lit(1))).alias("n")))
-    rows = counts.groupBy("c").agg(F.min(F.struct("n", "v")).alias("top")).collect()
-    found = {cols[r["c"]]: r["top"]["v"][r["c"]] for r in rows}
-    return {c: found.get(c) for c in cols}
+    found = _modes(df, cols)
+    if not found:
+        return dict.fromkeys(cols)
+    row = df.sparkSession.range(1).select(*[v.alias(f"v{i}") for i, v in enumerate(found.values())]).first()
+    values = dict(zip(found, row))
+    return {c: values.get(c) for c in cols}
 
 
 @settles
 def fill_mode(df: DataFrame, cols=None) -> DataFrame:
-    targets = _targets(df, cols)
-    modes = mode_values(df, targets)
-    values = {c: v for c, v in modes.items() if v is not None}
-    if not values:
-        return df
-    # one literal row of the columns' own types (arrays and structs have no literal of their own)
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in values])
-    row = df.sparkSession.createDataFrame([tuple(values.values())], schema).select(
-        F.to_json(F.struct(*[qcol(c) for c in values]), {"ignoreNullFields": "false"})).first()[0]
-    complex_ = (T.ArrayType, T.StructType)
-    typed = F.from_json(F.lit(row), schema)
-    updates = {c: F.coalesce(qcol(c), typed.getField(c) if isinstance(df.schema[c].dataType, complex_)
-                             else F.lit(v).cast(df.schema[c].dataType)) for c, v in values.items()}
-    return df.withColumns(updates)
+    """Missing cells become their column's most frequent value (see _modes())."""
+    modes = _modes(df, _targets(df, cols))
+    return df.withColumns({c: F.coalesce(qcol(c), v) for c, v in modes.items()}) if modes else df
 
 
 @settles

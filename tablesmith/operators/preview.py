@@ -233,22 +233,42 @@ def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
     """Batch edits: ``edits`` has ``_row_id``, the columns to overwrite (NULL =
     keep) and optionally ``edit_no``.  Several edits of one label become one
     row first: per column the last non-NULL value by ``edit_no`` (without it,
-    the greatest value), so no row is multiplied."""
+    in the order of the rows), so no row is multiplied.  To empty cells, see apply_cell_edits()."""
     cols = [c for c in edits.columns if c not in (ROW_ID, EDIT_ORDER)]
     for c in cols:
         if c not in df.columns:
             raise ValueError(f"unknown column {c!r}")
     typed = edits.select(F.col(ROW_ID).alias("__eid"),
-                         (F.col(EDIT_ORDER) if EDIT_ORDER in edits.columns else F.lit(0)).alias("__no"),
+                         (F.col(EDIT_ORDER) if EDIT_ORDER in edits.columns else F.monotonically_increasing_id()).alias("__no"),
                          *[qcol(c).try_cast(df.schema[c].dataType).alias(f"__e_{i}") for i, c in enumerate(cols)])
     e = typed.groupBy("__eid").agg(*[
-        F.max(F.when(F.col(f"__e_{i}").isNotNull(), F.struct("__no", F.col(f"__e_{i}").alias("v")))).getField("v")
-        .alias(f"__e_{i}") for i, _ in enumerate(cols)])
+        F.max_by(f"__e_{i}", F.when(F.col(f"__e_{i}").isNotNull(), F.col("__no"))).alias(f"__e_{i}")
+        for i, _ in enumerate(cols)])
     joined = df.join(e, F.col(ROW_ID) == F.col("__eid"), "left")
     out = joined.withColumns({c: F.coalesce(F.col(f"__e_{i}"), qcol(c)) for i, c in enumerate(cols)})
     return out.select(*[qcol(c) for c in df.columns])
 
 
+@settles
+def apply_cell_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """Batch edits cell by cell: ``edits`` has ``_row_id``, ``column``, ``value`` (text, cast to the column's type as
+    in edit_cell(); NULL empties the cell) and optionally ``edit_no``.  The last edit of a cell by ``edit_no``
+    counts (without it, in the order of the rows); unknown labels change nothing, an unknown column raises."""
+    asked = [r[0] for r in edits.select("column").distinct().limit(len(df.columns) + 1).collect()]
+    unknown = [c for c in asked if c not in df.columns]
+    if unknown:
+        raise ValueError(f"apply_cell_edits: no column {unknown[0]!r}")
+    number = F.col(EDIT_ORDER) if EDIT_ORDER in edits.columns else F.monotonically_increasing_id()
+    rows = edits.select(F.col(ROW_ID).alias("__eid"), F.col("column").alias("__column"), number.alias("__no"),
+                        F.struct(F.col("value").cast("string").alias("v")).alias("__value"))
+    last = rows.groupBy("__eid").agg(*[
+        F.max_by("__value", F.when(F.col("__column") == c, F.col("__no"))).alias(f"__e_{i}") for i, c in enumerate(asked)])
+    joined = df.join(last, F.col(ROW_ID) == F.col("__eid"), "left")
+    out = joined.withColumns({c: F.when(F.col(f"__e_{i}").isNotNull(), F.col(f"__e_{i}.v").try_cast(df.schema[c].dataType))
+                              .otherwise(qcol(c)) for i, c in enumerate(asked)})
+    return out.select(*[qcol(c) for c in df.columns])
+
+
 def title_label(name: str) -> str:
     """snake_case -> Title Case header label: underscores become spaces and
     the first character of every word is upper-cased (the rest is kept)."""

@@ -32,7 +32,7 @@ def sort(df: DataFrame, cols, ascending: bool | list[bool] = True) -> DataFrame:
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     if not cols:
-        raise ValueError("No columns specified for sorting.")
+        raise ValueError(f"sort: cols names no column (got {cols!r})")
     require_columns(df, cols)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
     keys = [qcol(c).asc_nulls_last() if a else qcol(c).desc_nulls_last() for c, a in zip(cols, asc)]
@@ -125,7 +125,7 @@ def group_by(df: DataFrame, keys, agg_col: str | None = None, fn: str | list[str
     A list of functions gives one column per target and function, ``<target>_<function>``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
-        raise ValueError("No group columns specified.")
+        raise ValueError(f"group_by: keys names no column (got {keys!r})")
     require_columns(df, keys)
     if agg_col:
         targets = [agg_col]
@@ -171,8 +171,9 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, fn: str = "sum",
     """pandas ``pivot_table(..., fill_value=0)``: NULL index/column rows dropped,
     holes filled with 0, index sorted; for aggregates other than sum/count/size
     an index whose every cell is missing disappears."""
-    if not all([index, columns, values]):
-        raise ValueError("Missing required pivot parameters.")
+    empty = [k for k, v in {"index": index, "columns": columns, "values": values}.items() if not v]
+    if empty:
+        raise ValueError(f"pivot: no column given for {' and '.join(empty)}")
     base = df.where(all_present([index, columns]))
     if pivot_vals is None:
         pivot_vals = pivot_values(base, columns, max_values)

@@ -59,7 +59,7 @@ def find_replace(df: DataFrame, find: str, replace: str = "", cols=None,
     """Literal (default, case-insensitive) or Python-style regex replace.
     NULL stays NULL (D11); a literal replacement is taken literally (D12)."""
     if not find:
-        raise ValueError("'Find' value cannot be empty.")
+        raise ValueError(f"find_replace: find={find!r} matches nothing")
     fn = tf.replace_regex if use_regex else tf.replace_literal
     targets = _text_targets(df, cols)
     return df.withColumns({c: fn(qcol(c), find, replace, match_case) for c in targets}) if targets else df

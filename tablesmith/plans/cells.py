@@ -48,8 +48,8 @@ def keys(df: DataFrame, name: str) -> tuple[Column, Column]:
 def unpivoted(rows: DataFrame, cells: list[dict[str, Column]]) -> DataFrame:
     """One row (slot, *names) for each of ``cells`` and row; all cells name the same columns."""
     names = list(cells[0])
-    flat = rows.select(*[c.alias(f"{n}{i}") for i, cell in enumerate(cells) for n, c in [("s", F.lit(i)), *cell.items()]])
-    sets = ", ".join(f"({', '.join(f'`{n}{i}`' for n in ['s', *names])}) AS `{i}`" for i in range(len(cells)))
+    flat = rows.select(*[c.alias(f"__{n}_{i}") for i, cell in enumerate(cells) for n, c in [("slot", F.lit(i)), *cell.items()]])
+    sets = ", ".join(f"({', '.join(f'`__{n}_{i}`' for n in ['slot', *names])}) AS `{i}`" for i in range(len(cells)))
     listed = ", ".join(f"`{n}`" for n in names)
     return rows.sparkSession.sql(f"SELECT slot, {listed} FROM {{flat}} UNPIVOT INCLUDE NULLS "
                                  f"((slot, {listed}) FOR __name IN ({sets}))", flat=flat)

@@ -16,9 +16,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.types import mark_nan, qcol
+from ..functions.types import ROW_ID, mark_nan, qcol
 from ..operators.rowid import with_row_id
+from . import quoted
 
 # ---------------------------------------------------------------------------
 # Text read as missing in delimited files (pandas defaults).
@@ -36,11 +38,11 @@ SUPPORTED_SUFFIXES = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".parquet")
 # ---------------------------------------------------------------------------
 
 
-def _infer_and_cast(df: DataFrame) -> DataFrame:
-    cols = df.columns
+def _infer_and_cast(df: DataFrame, keep=()) -> DataFrame:
+    cols = [c for c in df.columns if c not in keep]
     if not cols:
         return df
-    nulled = df.select(*[F.when(~qcol(c).isin(NA_TOKENS), qcol(c)).alias(c) for c in cols])
+    nulled = df.select(*[F.when(~qcol(c).isin(NA_TOKENS), qcol(c)).alias(c) for c in cols], *map(qcol, keep))
     bool_tokens = TRUE_TOKENS + FALSE_TOKENS
     checks = []
     for i, c in enumerate(cols):
@@ -67,27 +69,54 @@ def _infer_and_cast(df: DataFrame) -> DataFrame:
         else:
             out.append(v.alias(c))
     # NaN text is an NA token, so no NaN can come out of the casts.
-    return nulled.select(*out)
+    return nulled.select(*out, *map(qcol, keep))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None,
-                   infer: bool = True, schema=None) -> DataFrame:
+                   infer: bool = True, schema=None, row_ids: bool = False) -> DataFrame:
     """Header + RFC-4180 quoting (``""`` inside quotes).
 
-    Newlines inside quotes (``multiline=True``) cost one task per file, so by
-    default a distributed look at the lines tells whether there are any: a line
-    with an odd number of quotes.  Without, files are split at line ends.  With a
-    ``schema`` the text is parsed once, without the inference pass."""
-    if multiline is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    Files are split at line ends.  One look at the text (a row per split) tells whether quoted fields hold
+    line ends; if so, records are put together across lines and splits by quote parity (see
+    ``sources.quoted``), which moves the text once.  ``multiline=False`` says there are none and saves the look;
+    ``True`` says there are.  With a ``schema`` the text is parsed once, without the inference pass.
+    ``row_ids`` adds row labels in the order of the records."""
+    text = quoted.lines(spark, path)
+    facts = [] if multiline is False else quoted.split_facts(text)
+    if any(r["n_odd"] for r in facts):
+        return _read_records(spark, text, facts, sep, infer, schema, row_ids)
     reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-              .option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
-              .option("mode", "PERMISSIVE"))
+              .option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE"))
     if schema is not None:
-        return mark_nan(reader.schema(schema).csv(path))
-    raw = reader.csv(path)
-    return _infer_and_cast(raw) if infer else raw
+        df = mark_nan(reader.schema(schema).csv(path))
+    else:
+        raw = reader.csv(path)
+        df = _infer_and_cast(raw) if infer else raw
+    return with_row_id(df) if row_ids else df
+
+
+def _read_records(spark: SparkSession, text: DataFrame, facts: list, sep: str, infer: bool, schema, row_ids: bool):
+    """As read_delimited(), of a text whose quoted fields hold line ends."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    rows = quoted.records(text, facts)
+    first = rows.where("top").select("value").first()["value"]  # every file starts with the header record
+    rows = rows.where(~F.col("top") & (F.length(F.trim("value")) > 0))
+    plain = spark.range(1).select(F.from_csv(F.lit(first), F.lit(_text_schema(first.count(sep) + 1)), options).alias("r"))
+    header = [v for v in plain.first()["r"] if v is not None]
+    names = header if schema is None else T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+    wanted = _text_schema(len(names)) if schema is None else (schema if isinstance(schema, str) else schema.simpleString()[7:-1])
+    parsed = rows.select(F.from_csv("value", F.lit(wanted), options).alias("r"), "at")
+    fields = [f.name for f in parsed.schema["r"].dataType.fields]
+    df = parsed.select(*[F.col("r").getField(f).alias(n) for f, n in zip(fields, names)], F.col("at").alias(ROW_ID))
+    if schema is not None:
+        df = mark_nan(df)
+    elif infer:
+        df = _infer_and_cast(df, keep=[ROW_ID])
+    return df if row_ids else df.drop(ROW_ID)
+
+
+def _text_schema(n: int) -> str:
+    return ", ".join(f"c{i} STRING" for i in range(n))
 
 
 def read_csv(spark: SparkSession, path: str, **kw) -> DataFrame:
@@ -160,6 +189,8 @@ def _loaded(spark: SparkSession, path: str, fmt: str | None, row_id_key: str | N
         nan_as_null = kw.pop("nan_as_null", True)
         df = with_row_id(spark.read.parquet(path), key=row_id_key, parquet_scan=True)
         return mark_nan(df) if nan_as_null else df
+    if kind in ("csv", "tsv", "txt") and row_id_key is None:
+        return readers[kind](spark, path, row_ids=True, **kw)
     return with_row_id(readers[kind](spark, path, **kw), key=row_id_key)
 
 

@@ -63,7 +63,7 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
     """Format phone columns, drop the row label, write; returns the normalised path."""
     fmt = fmt.lower()
     if fmt not in WRITERS:
-        raise ValueError(f"Unsupported format: {fmt}")
+        raise ValueError(f"export: fmt={fmt!r} is not one of {sorted(WRITERS)}")
     if not path.endswith(f".{fmt}"):
         path = f"{os.path.splitext(path)[0]}.{fmt}"
     out = format_phone_columns(df)
@@ -71,9 +71,3 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
         out = out.drop(ROW_ID)
     WRITERS[fmt](out, path, mode=mode)
     return path
-
-
-def to_iso_strings(df: DataFrame) -> DataFrame:
-    """Timestamps rendered like the preview's ISO dates."""
-    ts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz")]
-    return df.withColumns({c: F.date_format(qcol(c), ISO_MILLIS) for c in ts}) if ts else df

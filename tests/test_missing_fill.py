@@ -121,3 +121,28 @@ def test_fill_mode_typed_columns(spark):
     df = frame(spark, rows, "id int, d double, t timestamp")
     got = missing.fill_mode(df, ["d", "t"]).orderBy("id").collect()
     assert got[3].d == 0.1 + 0.2 and got[3].t == t1
+
+
+def test_modes_of_two_hundred_columns_in_one_job(spark):
+    df = spark.range(300).selectExpr("id", *[f"IF(id % 3 = 0, NULL, (id * {k}) % 7) AS c{k}" for k in range(1, 201)])
+    plan = missing._modes(df, df.columns[1:])
+    assert len(plan) == 200
+    pdf = df.toPandas()
+    modes = missing.mode_values(df, df.columns[1:])
+    assert modes == {c: int(pdf[c].mode().iloc[0]) for c in df.columns[1:]}
+
+
+def test_modes_of_every_type(spark):
+    import datetime
+    import decimal
+    at = datetime.datetime(2024, 5, 1, 12)
+    rows = [(1, 1.5, "x", decimal.Decimal("2.50"), True, at, at.date(), bytearray(b"q"), [1, 2], (1, "a")),
+            (2, -2.5, "y", decimal.Decimal("-1.00"), False, at.replace(year=2023), at.date().replace(year=2020), bytearray(b"p"), [1], (0, "z")),
+            (None,) * 10]
+    df = spark.createDataFrame(rows, "i int, d double, s string, n decimal(10,2), b boolean, t timestamp, y date, x binary, "
+                                     "a array<int>, r struct<k:int,v:string>")
+    modes = missing.mode_values(df, df.columns)
+    assert modes == {"i": 1, "d": -2.5, "s": "x", "n": decimal.Decimal("-1.00"), "b": False, "t": at.replace(year=2023),
+                     "y": at.date().replace(year=2020), "x": bytearray(b"p"), "a": [1], "r": (0, "z")}
+    filled = missing.fill_mode(df)
+    assert filled.dtypes == df.dtypes and filled.where("i IS NULL OR r IS NULL OR t IS NULL").count() == 0

@@ -164,3 +164,17 @@ def test_title_label_rule():
     cases = {"order_id": "Order Id", "a-b": "A-B", "ship_mode_2x": "Ship Mode 2x", "é_x": "é X",
              "already Title": "Already Title", "__x": "  X"}
     assert {k: preview.title_label(k) for k in cases} == cases
+
+
+def test_cell_edits_empty_cells_and_keep_the_last(spark):
+    df = with_row_id(spark.createDataFrame([(1, "a", 1.5), (2, "b", 2.5), (3, "c", 3.5)], "id int, s string, v double"), key="id")
+    edits = spark.createDataFrame([(1, "s", None, 2), (1, "s", "x", 1), (2, "v", "7", 1), (2, "v", "bad", 2), (9, "s", "y", 1),
+                                   (3, "s", "late", 5), (3, "s", None, 4)], "_row_id long, column string, value string, edit_no int")
+    got = {r.id: (r.s, r.v) for r in preview.apply_cell_edits(df, edits).collect()}
+    assert got == {1: (None, 1.5), 2: ("b", None), 3: ("late", 3.5)}
+    by_order = edits.drop("edit_no").coalesce(1)
+    assert {r.id: r.s for r in preview.apply_cell_edits(df, by_order).collect()} == {1: "x", 2: "b", 3: None}
+    last = spark.createDataFrame([(1, "z"), (1, "b")], "_row_id long, s string").coalesce(1)
+    assert preview.apply_edits(df, last).where("id = 1").first().s == "b"
+    with pytest.raises(ValueError, match="nope"):
+        preview.apply_cell_edits(df, spark.createDataFrame([(1, "nope", "1")], "_row_id long, column string, value string"))

@@ -102,3 +102,43 @@ def test_csv_type_inference_matches_pandas(spark, tmpdir_path):
     # Spark keeps NULLs in bigint / boolean columns
     exp.update({"c": "bigint", "e": "bigint", "f": "boolean"})
     assert got == exp
+
+
+def test_two_writers_keep_both_entries(spark, tmpdir_path):
+    from concurrent.futures import ThreadPoolExecutor
+    base = os.path.join(tmpdir_path, "shared")
+    first = store.History(spark, base)
+    first.log("Load", "start")
+    late = store.History(spark, base)
+    late._next_version = lambda: 1            # reads the entries before the other one writes
+    assert late.log("Clean", "late") == 2
+    with ThreadPoolExecutor(4) as pool:
+        taken = list(pool.map(lambda k: store.History(spark, base).log("Step", str(k)), range(4)))
+    versions = [r.version for r in first.entries().collect()]
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6] and sorted(taken) == [3, 4, 5, 6]
+
+
+def test_snapshots_as_changes(spark, tmpdir_path):
+    from tablesmith.operators.rowid import with_row_id
+    h = store.History(spark, os.path.join(tmpdir_path, "delta"))
+    h.FULL_EVERY = 3
+    df = with_row_id(spark.range(1000).selectExpr("id", "CAST(id AS string) AS s", "map('k', id) AS m"), key="id")
+    versions, states, last = [], [], None
+    for k in range(6):
+        if k:
+            df = df.where(F.col("id") != k).withColumn("s", F.expr(f"IF(id = {100 + k}, NULL, s)"))
+            df = df.unionByName(with_row_id(spark.range(5000 + k, 5001 + k).selectExpr("id", "'new' AS s", "map('k', id) AS m"), key="id"))
+        last = h.log("Step", str(k), df, since=last)
+        versions.append(last)
+        states.append(sorted((r.id, r.s, r.m["k"]) for r in df.collect()))
+    held = {r.version: r.since for r in h.entries().collect()}
+    assert [held[v] for v in versions] == [None, 1, 2, None, 4, 5]
+    changed = spark.read.parquet(f"{h.base}/snapshots/v=2/changed")
+    assert sorted(r.id for r in changed.collect()) == [101, 5001]          # bytes follow the change
+    for v, want in zip(versions, states):
+        assert sorted((r.id, r.s, r.m["k"]) for r in h.snapshot(v).collect()) == want
+    back = h.revert(2)
+    assert sorted((r.id, r.s, r.m["k"]) for r in back.collect()) == states[1]
+    assert h.snapshot(7).count() == back.count() and h.snapshot(99) is None
+    other = h.log("Columns", "other columns", df.drop("m"), since=6)
+    assert h.entries().where(F.col("version") == other).first().since is None
