@@ -7,6 +7,12 @@ small labelled table below, says which blocks are the article's; they are joined
 one space, white space inside a block turned into one space, character
 references decoded.
 
+A name is furniture (menus, notices, comments) if all its words are furniture's or say what
+part it is of; a name of which only some words are (``share-price-report``, ``letter-reply``) leaves
+the decision to the tree, beside length and links.  An article inside an article is a
+reader's comment, if the outer one has text of its own.  A page of which the tree
+leaves nothing keeps its blocks outside of furniture that are not mostly links.
+
 Defined cases: a null page is an empty one and gives an empty text; markup
 that never closes (comments, scripts, tags) runs to the page's end, but for
 drawings, menus and players; options end at the next tag; pages
@@ -58,7 +64,7 @@ LAYOUT_NAME = re.compile(r"(?:^|-)(?:has|have|no|not|with|without)-.*|.*-(?:enab
 # what stands beside furniture words in an id; other words make it the id of a heading's text
 PART_WORDS = set(
     "list box wrap wrapper container section area block bar row column col panel group holder inner outer top bottom left "
-    "right main site page global primary secondary tertiary content form item items unit slot banner text title button "
+    "right main site page global primary secondary tertiary content form item items unit slot banner title button "
     "buttons icon icons links link posts post articles article stories story count meta info the".split())
 ARTICLE_WORDS = set("article content post entry story main articlebody".split())
 
@@ -79,8 +85,10 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 # --- the labelled table ----------------------------------------------------------------------
 
+# furniture of an uncertain name
+DOUBT = 0.5
 FEATURES = ("furniture", "article", "heading", "words", "links", "prev_words", "prev_links", "next_words", "next_links")
-# furniture: 1 inside page furniture; article: 1 inside the article, -1 outside of it, 0 on a page that marks none;
+# furniture: 1 inside page furniture, 0.5 inside elements of uncertain names; article: 1 inside the article, -1 outside of it, 0 on a page that marks none;
 # heading: 1 for headings; links: percent of the block's words inside links; label: 1 for main text
 LABELLED = """
 1 -1 0   6  90    0   0   1 100  0
@@ -173,6 +181,29 @@ LABELLED = """
 0  0 0  10   0   20 100   3 100  0
 0  0 1   2   0    3   0   2 100  0
 0  0 1   2   0    2 100   4   0  0
+0.5 0 0  60   0    0   0   0   0  1
+0.5 0 0 300   2    0   0   5   0  1
+0.5 0 0  40   0   20   0  30   0  1
+0.5 0 0  25   0    4 100  40   0  1
+0.5 0 0  80   5    9   0   8 100  1
+0.5 0 1   3   0    0   0  60   0  1
+0.5 1 0  60   0    8   0  40   0  1
+0.5 1 0   5   0   30   0  30   0  1
+0.5 1 0  30   0    5 100   5 100  1
+0.5 0 0   3 100    3 100   3 100  0
+0.5 0 0   2   0    4 100   1 100  0
+0.5 0 0  12  90   40   0   0   0  0
+0.5 -1 0  8   0   30   0   6   0  0
+0.5 -1 0 45   0    9   0  10   0  0
+0.5 0 0   6   0   60   0   2   0  0
+0  1 0  25   0    5 100   5 100  1
+0  1 0  40   0    6 100   4 100  1
+0  1 0  12   0    4 100   5 100  1
+0  1 0   8   0    3 100   6 100  1
+0  1 0  25   0    5 100   0   0  1
+0  1 0   4   0    6 100   6 100  1
+0  1 1   5 100   25   0  25   0  1
+0  1 1   4 100    0   0  30   0  1
 """
 
 
@@ -215,10 +246,10 @@ def train():
 
 
 def _marks(name: str, attributes: str):
-    """Whether an element is furniture, whether it is hidden, and whether its names say that it holds the article."""
+    """How far an element is furniture, whether it is hidden, and whether its names say that it holds the article."""
     if not attributes.strip(" /"):
-        return name in FURNITURE, False, False
-    words, hidden, marked = set(), False, False
+        return float(name in FURNITURE), False, False
+    words, hidden, marked = set(), False, 0.0
     for k, v in NAMED.findall(attributes):
         k = k.lower()
         if k == "style":
@@ -233,20 +264,25 @@ def _marks(name: str, attributes: str):
                 own = set(re.split(r"[^a-z]+", part)) - {""}
                 words |= own
                 mine = {w for w in own if w in FURNITURE_WORDS or w.startswith(FURNITURE_STARTS) and w not in CONTENT_WORDS}
-                marked |= bool(mine) and (k != "id" or own - mine <= PART_WORDS)
-    furniture = name in FURNITURE or hidden or marked
+                if mine:
+                    # an alert is announced, not always a notice; the id of a heading's text says nothing
+                    sure = own - mine <= PART_WORDS and not (k == "role" and mine == {"alert"})
+                    marked = max(marked, 1.0 if sure else 0.0 if k == "id" else DOUBT)
+    furniture = 1.0 if name in FURNITURE or hidden else marked
     return furniture, hidden, bool(words & ARTICLE_WORDS) and not furniture
 
 
 def blocks(html: str):
-    """(text, words, words in links, heading, furniture, article kind, furniture around the article) of each block.
+    """(text, words, words in links, heading, furniture, article kind, furniture around the article, article in an
+    article) of each block.
 
     Blocks are in page order. Furniture around the article counts the furniture elements that hold the
     article element (0: none, or the block is furniture by elements inside or hidden ones). The article kind is 3 inside <article>, 2 inside <main>, 1 inside an element named like one, 0 elsewhere.
     """
     out, open_, parts = [], [], []
     links = linked = at = 0
-    state = (False, 0, False, 0, 0, False)  # furniture, article kind, inside the head, furniture so far, around the article, hidden
+    # furniture, article kind, inside the head, furniture so far, around the article, hidden, articles around
+    start = state = (0.0, 0, False, 0, 0, False, 0)
     heading = False
 
     def flush():
@@ -255,7 +291,7 @@ def blocks(html: str):
             text = " ".join(unescape("".join(parts)).split())
             if text and not state[2]:
                 around = state[4] if state[3] == state[4] and not state[5] else 0
-                out.append((text, text.count(" ") + 1, linked, heading, state[0], state[1], around))
+                out.append((text, text.count(" ") + 1, linked, heading, state[0], state[1], around, state[6] > 1))
             parts.clear()
         linked = 0
 
@@ -291,13 +327,13 @@ def blocks(html: str):
                 continue
         if not closing:
             furniture, hidden, named = _marks(name, m["attributes"] or m["attributes2"] or "")
-            if name == "span" and not furniture:
+            if name == "span" and furniture < 1:
                 open_.append((name, state, heading))
                 continue
             if name not in INLINE:
                 flush()
                 links = 0
-            elif furniture:
+            elif furniture == 1:
                 flush()
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS):
                 # these end an open one of their kind
@@ -305,16 +341,17 @@ def blocks(html: str):
                     _, state, heading = open_.pop()
             open_.append((name, state, heading))
             kind = {"article": 3, "main": 2}.get(name, 1 if named else 0)
-            own = furniture and name in ("article", "main")
+            own = furniture == 1 and name in ("article", "main")
             if name in ("html", "body", "article", "main"):
-                furniture = False
+                furniture = 0.0
             if name == "body":
-                state = (False, 0, False, 0, 0, False)
+                state = start
             if name == "header" and state[1] >= 2:  # the article's own header: its headings count
-                furniture = False
-            marks = state[3] + (furniture or own)
-            state = (state[0] or furniture, max(state[1], kind), state[2] or name == "head", marks,
-                     marks if kind and not state[1] and not own else state[4], state[5] or hidden)
+                furniture = 0.0
+            marks = state[3] + (furniture == 1 or bool(own))
+            state = (max(state[0], furniture), max(state[1], kind), state[2] or name == "head", marks,
+                     marks if kind and not state[1] and not own else state[4], state[5] or hidden,
+                     state[6] + (name == "article"))
             heading = heading or name in HEADINGS
         else:
             if name not in INLINE:
@@ -335,28 +372,41 @@ def blocks(html: str):
 
 def _reset(page):
     """``page`` without the furniture around its article, if the article is more than all outside of furniture."""
-    if any(b[5] and not b[4] for b in page) or not (least := min((b[6] for b in page if b[5] and b[6]), default=0)):
+    if any(b[5] and b[4] < 1 for b in page) or not (least := min((b[6] for b in page if b[5] and b[6]), default=0)):
+        return page
+    inside = [b[4] == 1 and b[5] > 0 and b[6] == least for b in page]
+    if sum(b[1] - b[2] for b, x in zip(page, inside) if x) <= sum(b[1] - b[2] for b in page if b[4] < 1):
         return page
-    inside = [b[4] and b[5] > 0 and b[6] == least for b in page]
-    if sum(b[1] - b[2] for b, x in zip(page, inside) if x) <= sum(b[1] - b[2] for b in page if not b[4]):
+    return [(*b[:4], 0.0 if x else b[4], *b[5:]) for b, x in zip(page, inside)]
+
+
+def _without_comments(page):
+    """``page`` with articles inside an article as furniture, if the outer ones have paragraphs of their own."""
+    if not any(b[7] for b in page) or not any(b[5] == 3 and b[4] < 1 and not b[7] and not b[3] for b in page):
         return page
-    return [(*b[:4], b[4] and not x, *b[5:]) for b, x in zip(page, inside)]
+    return [(*b[:4], 1.0 if b[7] else b[4], *b[5:]) for b in page]
 
 
 def main_texts(pages: list[str], tree) -> list[str]:
     """The main text of each page of a batch."""
-    found = [_reset(blocks(p)) for p in pages]
+    found = [_without_comments(_reset(blocks(p))) for p in pages]
     rows = []
     for page in found:
-        best = max((b[5] for b in page if not b[4]), default=0)
+        best = max((b[5] for b in page if b[4] < 1), default=0)
         words = [0] + [b[1] for b in page] + [0]
         links = [0] + [100 * b[2] / b[1] for b in page] + [0]
-        for k, (_, _, _, heading, furniture, kind, _) in enumerate(page, 1):
+        for k, (_, _, _, heading, furniture, kind, *_) in enumerate(page, 1):
             article = 0 if not best else 1 if kind >= best else -1
             rows.append((furniture, article, heading, words[k], links[k], words[k - 1], links[k - 1], words[k + 1],
                          links[k + 1]))
     keep = iter(judge(tree, np.array(rows, float).reshape(-1, len(FEATURES))).tolist())
-    return [" ".join(b[0] for b in page if next(keep)) for page in found]
+    out = []
+    for page in found:
+        kept = [next(keep) for _ in page]
+        if not any(kept):
+            kept = [b[4] < 1 and 2 * b[2] < b[1] and any(map(str.isalnum, b[0])) for b in page]
+        out.append(" ".join(b[0] for b, k in zip(page, kept) if k))
+    return out
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -143,3 +143,33 @@ def test_rows(spark):
 def test_no_markup_left():
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
     assert not any(re.search(r"</?(p|b|div|article|h1)>", t) for t in html_text.main_texts(pages, TREE))
+
+
+def test_names_that_only_partly_are_of_furniture():
+    text = LONG.strip()
+    for name in ("share-price-report", "letter-reply", "skip-bin-hire", "legal-text", "social-studies", "ad-hoc"):
+        for tag in ("div", "section", "p"):
+            assert one(f"<body><nav>Menu</nav><{tag} class='{name}'>{LONG}</{tag}></body>") == text, name
+        assert one(f"<body><div class='{name}'><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div></body>") == f"Title {text} {text}"
+    assert one(f"<body><div role=alert><p>{LONG}</p></div></body>") == text
+    assert one(f"<body><main><div class='social-history'><p>{LONG}</p></div></main></body>") == text
+    assert one(f"<body><p>{LONG}</p><p>{LONG}</p><div class='share-buttons'><p>{LONG}</p></div><div class='cookie-notice'>{LONG}</div>"
+               f"<div class='comments-area'><p>{LONG}</p></div></body>") == f"{text} {text}"
+
+
+def test_pages_of_a_few_words():
+    assert one("<p>Short note.</p>") == "Short note." and one("plain text") == "plain text"
+    assert one("<p>Hi there.</p><p>Ok.</p>") == "Hi there. Ok."
+    assert one("<body><nav><a href='/'>Home</a></nav><p>Hi there.</p></body>") == "Hi there."
+    assert one("<nav><a href='/'>Home</a></nav><footer>us</footer>") == ""
+
+
+def test_teasers_and_comments_that_are_articles():
+    text = LONG.strip()
+    teasers = "".join(f"<article><h2><a href='/{k}'>Title of story {k}</a></h2><p>{LONG}</p></article>" for k in range(4))
+    assert one(f"<body><nav><a href='/'>Home</a></nav>{teasers}</body>") == " ".join(f"Title of story {k} {text}" for k in range(4))
+    short = "".join(f"<article><h2><a href='/{k}'>Story {k}</a></h2><p>What it is about in ten words or so, in short.</p></article>" for k in range(3))
+    assert one(short) == " ".join(f"Story {k} What it is about in ten words or so, in short." for k in range(3))
+    comment = f"<article><p>I liked it a lot. {LONG}</p></article>"
+    assert one(f"<article><h1>T</h1><p>{LONG}</p>{comment}{comment}</article>") == f"T {text}"
+    assert one(f"<article><h1>T</h1><article><p>{LONG}</p></article></article>") == f"T {text}"  # a wrapper is no article
