@@ -1,6 +1,7 @@
 """Distributed union-find: connected components of a table of links.
 
-Large-star and small-star steps (each node's larger or smaller neighbours
+Every partition first contracts its links to a forest (a bounded number at a time);
+then large-star and small-star steps (each node's larger or smaller neighbours
 move to its smallest one) until nothing changes.  A node's links are never
 gathered: its smallest neighbour is a partial aggregate, joined back to the
 links; the few nodes that hold more than a thousandth of all links each get it
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored
 
-ONE_TASK = 1 << 20  # links (16 MB) that one task may unite
+AT_ONCE = 1 << 19  # links (8 MB) that a task unites before it passes their forest on
 HOT_SHARE = 1000  # a key is hot beyond total/HOT_SHARE rows, so there are at most HOT_SHARE hot keys
 
 
@@ -65,29 +66,37 @@ def unite(roots, p, q):
             roots = roots[roots]
 
 
-def _forest(batches):
-    """Each node of a bounded table of links with its component."""
+def _forest(parts):
+    """Links (a, b), a > b, of every node of some links to the smallest one of its part of them."""
     import pyarrow as pa
 
-    parts = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
-    if parts:
-        nodes, index = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
-        a, b = index.reshape(2, -1)
-        roots = unite(np.arange(len(nodes)), a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "component"])
+    nodes, index = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = index.reshape(2, -1)
+    roots = unite(np.arange(len(nodes)), a, b)
+    moved = roots != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[roots[moved]])], names=["a", "b"])
+
+
+def _contracted(batches):
+    parts, held = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            parts.append(np.stack([c.to_numpy() for c in batch.slice(at, AT_ONCE).columns]))
+            held += parts[-1].shape[1]
+            if held >= AT_ONCE:
+                yield _forest(parts)
+                parts, held = [], 0
+    if held:
+        yield _forest(parts)
 
 
 def components(links: DataFrame) -> DataFrame:
     """Stored (node, component) for every node of ``links`` (longs a, b), its component's smallest node.
-
-    Links that fit ONE_TASK are united by one task; any more go through star steps.
     """
     with scratch(links.sparkSession):
         links = (links.where("a <> b")
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        links = stored(links, "links")
-        if links.count() <= ONE_TASK:
-            return stored(links.coalesce(1).mapInArrow(_forest, "node long, component long"), "components", keep=True)
+        links = stored(links.mapInArrow(_contracted, "a long, b long").distinct(), "links")
         state = _state(links)
         while True:
             links = stored(_star(links, 2 * state[0], large=True), "links")

@@ -68,23 +68,16 @@ RULES = (
     Rule("ellipsis lines", "n_ellipsis_lines", "n_lines", high=30),
 )
 
-# Sorted longs carry the triple's hash in the high bits and its word index in the low ones;
-# an array of 2**26 words is beyond what one Spark row can hold.
-_INDEX_BITS = 26
-_INDEX_MASK = (1 << _INDEX_BITS) - 1
-
 _TRIPLES = "CASE WHEN size(__w) > 2 THEN transform(sequence(0, size(__w) - 3), " \
            "i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])) ELSE array() END"
 
-# Of texts with a repeated triple: sort hash and index packed in one long, keep the indexes whose
+# Of texts with a repeated triple: sort hashes with their word index, keep the indexes whose
 # neighbour has the same hash and the same words.
-_SORTED = f"sort_array(transform(__h, (h, i) -> (h & ~{_INDEX_MASK}L) | CAST(i AS BIGINT)))"
-_SAME = f"shiftright({{a}}, {_INDEX_BITS}) = shiftright({{b}}, {_INDEX_BITS}) " \
-        f"AND slice(__w, CAST({{a}} & {_INDEX_MASK}L AS INT) + 1, 3) = slice(__w, CAST({{b}} & {_INDEX_MASK}L AS INT) + 1, 3)"
+_SORTED = "sort_array(transform(__h, (h, i) -> struct(h AS h, i AS i)))"
+_SAME = "{a}.h = {b}.h AND slice(__w, {a}.i + 1, 3) = slice(__w, {b}.i + 1, 3)"
 _REPEATED = ("sort_array(transform(filter(__s, (x, k) -> "
              f"(k > 0 AND {_SAME.format(a='x', b='__s[k - 1]')}) OR "
-             f"(k < size(__s) - 1 AND {_SAME.format(a='x', b='__s[k + 1]')})), "
-             f"x -> CAST(x & {_INDEX_MASK}L AS INT)))")
+             f"(k < size(__s) - 1 AND {_SAME.format(a='x', b='__s[k + 1]')})), x -> x.i))")
 # Words covered by the kept triples: each adds three, less what the next one covers too.
 _COVERED = ("aggregate(transform(__p, (x, k) -> IF(k < size(__p) - 1, least(3, __p[k + 1] - x), 3)), "
             "0L, (s, x) -> s + x)")

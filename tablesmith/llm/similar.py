@@ -39,7 +39,8 @@ BITS = 4  # retained bits of each mixed minimum
 SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
 BANDS_AT_ONCE = 8
-PAIRS_AT_ONCE = 1 << 17  # of the second look
+PAIRS_AT_ONCE = 1 << 16  # of the second look
+SHORT_SLICE = 1 << 19  # bytes of short texts hashed at once: some ten arrays of eight bytes a byte
 
 
 @dataclass(frozen=True)
@@ -163,7 +164,7 @@ def signatures(texts: DataFrame, plan: Plan) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, SHORT_SLICE):
                 values, bounds = plan.shingle(*hashing.texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *_signed(values, bounds, np.arange(part.num_rows), hasher, plan)],
@@ -192,7 +193,7 @@ def band_rows(texts: DataFrame, plan: Plan, band: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, SHORT_SLICE):
                 minima = hasher.minima(*plan.shingle(*hashing.texts(part.column(1))))
                 keys = hashing.band_keys(minima, plan.rows, band)
                 node = np.tile(part.column(0).to_numpy(), len(keys))
@@ -453,7 +454,7 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
 
         rest = None  # the last group so far
         for batch in batches:
-            for part in slices(batch, 8, 4 << 20):
+            for part in slices(batch, 8, 1 << 20):
                 table = pa.Table.from_batches([part])
                 if rest is not None:
                     table = pa.concat_tables([rest, table])

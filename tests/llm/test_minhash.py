@@ -140,9 +140,9 @@ def test_estimate_follows_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-@pytest.mark.parametrize("seed,one_task", [(0, 0), (1, 0), (2, 1 << 20)])
-def test_components(spark, monkeypatch, seed, one_task):
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+@pytest.mark.parametrize("seed,at_once", [(0, 1), (1, 7), (2, components.AT_ONCE)])
+def test_components(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = random.Random(seed)
     n = 120
     pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)] + [
@@ -161,3 +161,32 @@ def test_words_and_windows():
     assert found == [w for t in texts for w in t.split()] and list(np.diff(bounds)) == [len(t.split()) for t in texts]
     same = hashing.Prefix(data, hashing.BYTE_LOWER).spans(starts, ends)
     assert same[4] == same[5] and len(set(same.tolist())) == len(same) - 1
+
+
+def thue_morse():
+    """Two words of 1,024 letters that collide modulo 2**64 under every odd base."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    a, b = thue_morse()
+    data, offsets = hashing.texts(pa.array([a, b, a]))
+    whole = hashing.Prefix(data).spans(offsets[:-1], offsets[1:])
+    assert whole[0] == whole[2] != whole[1]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(
+        spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_documents_that_share_an_id(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(7, words, 1), (7, other, 2), (3, " ".join(f"u{k}" for k in range(60)), 3), (9, " ".join(f"u{k}" for k in range(60)), 4),
+            (9, " ".join(f"t{k}" for k in range(60)), 5), (9, words + " more", 6), (None, other + " tail", 7), (8, "", 8), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    left = minhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(r["row"] for r in left.collect()) == [1, 2, 3, 5, 8]

@@ -120,3 +120,21 @@ def test_suffix_sort_is_a_sort():
     found = suffix_dedup.common_extension(prefix, x, y)
     for a, b, n in zip(x.tolist(), y.tolist(), found.tolist()):
         assert bytes(data[a:a + n]) == bytes(data[b:b + n]) and (n == 100 or data[a + n] != data[b + n])
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    from .test_minhash import thue_morse
+    a, b = thue_morse()
+    words = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{words} {a}"), (2, f"{words} {b}"), (3, f"{words} {a}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in debruijn.without_repeats(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    # every 100 bytes of one word also stand in the other: what decides is the bytes themselves
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.without_repeats(
+        spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
+    seen, want = {a[i:i + 100] for i in range(len(a) - 99)}, set()
+    own = set(a[i:i + 100] for i in range(0))
+    for i in range(len(b) - 99):
+        if b[i:i + 100] in seen | own:
+            want |= set(range(i, i + 100))
+        own.add(b[i:i + 100])
+    assert got[2] == len(want)
