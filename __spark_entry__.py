@@ -546,6 +546,24 @@ def q_iqr_bounds(spark, sf):
     return b.select("column", _r("q1", 6), _r("q3", 6), _r("lower_bound", 6), _r("upper_bound", 6))
 
 
+OUTLIER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _outliers_remove_sql(table: str, cols: list[str]) -> str:
+    """Column after column, each with the quartiles of what the ones before have left."""
+    ctes = [f"s0 AS (SELECT * FROM {table})"]
+    for k, c in enumerate(cols):
+        ctes.append(f"""b{k} AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM s{k}),
+s{k + 1} AS (SELECT s{k}.* FROM s{k}, b{k} WHERE {c} IS NULL OR {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""")
+    return f"WITH {', '.join(ctes)} SELECT l_orderkey, l_linenumber, l_extendedprice FROM s{len(cols)}"
+
+
+@query("outliers_remove_four", _outliers_remove_sql("lineitem", OUTLIER_COLUMNS))
+def q_outliers_remove_four(spark, sf):
+    li = readers.load(spark, f"{sf}/lineitem.parquet")
+    return outliers.outliers_remove(li, OUTLIER_COLUMNS).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("outliers_remove", """WITH s1 AS (SELECT * FROM events),
 b1 AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s1),
 s2 AS (SELECT s1.* FROM s1, b1 WHERE NOT (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) OR value IS NULL),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import ROW_ID, is_integral_type, numeric_columns, qcol, settles
 from ..plans.quantile import quantiles
+from ..session import scratch_tables, stored_table
 
 # ---------------------------------------------------------------------------
 # IQR fence factor and z-score limit.
@@ -55,20 +56,27 @@ def _mask(c: str, lo, hi):
 def outliers_remove(df: DataFrame, cols=None, exact: bool = True, with_count: bool = False):
     """Remove rows outside the bounds, column by column; each column's
     quartiles are taken after the previous columns' rows were removed
-    (reference semantics).  k columns = k small quantile jobs; the plan
-    itself stays one chain of filters."""
-    targets = numeric_columns(df, cols)
-    affected = 0
-    cur = df
-    for c in targets:
-        q1, q3, lo, hi = iqr_bounds(cur, [c], exact)[c]
-        if lo is None:
-            continue
-        m = _mask(c, lo, hi)
-        if with_count:
-            affected += cur.where(m).count()
-        cur = cur.where(~m | qcol(c).isNull())
-    return (cur, affected) if with_count else cur
+    (reference semantics).
+
+    The target columns are stored once; all quartiles and counts come from
+    that narrow table, two passes a column, and the table itself is read for it once.  The
+    result is one chain of filters on ``df``."""
+    targets, affected, bounds = numeric_columns(df, cols), 0, {}
+    with scratch_tables(df.sparkSession):
+        left = df.select(*[qcol(c) for c in targets])
+        if len(targets) > 1:
+            left = stored_table(left, "outlier-columns")
+        for c in targets:
+            lo, hi = iqr_bounds(left, [c], exact)[c][2:]
+            if lo is None:
+                continue
+            out = _mask(c, lo, hi)
+            if with_count:
+                affected += left.where(out).count()
+            left, bounds[c] = left.where(~out | qcol(c).isNull()), (lo, hi)
+    for c, (lo, hi) in bounds.items():
+        df = df.where(~_mask(c, lo, hi) | qcol(c).isNull())
+    return (df, affected) if with_count else df
 
 
 @settles

@@ -141,3 +141,26 @@ def test_handle_outliers_dispatch_counts(spark):
     assert n_cap == n_null == n_rem == expected
     assert sorted(r.v for r in capped.collect() if r.v is not None) == sorted(s.dropna().clip(lo, hi))
     assert removed.count() == len(vals) - expected
+
+
+def test_outliers_of_four_columns_read_the_table_once(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: rng.standard_t(2, 2000) * k for k, c in enumerate("abcd", 1)})
+    reads = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        reads.add(1)
+        yield from batches
+
+    df = spark.createDataFrame(pdf).coalesce(1)
+    noted = df.mapInArrow(note, df.schema)
+    got, affected = outliers.outliers_remove(noted, with_count=True)
+    assert reads.value == 1
+    left = pdf
+    for c in "abcd":
+        q1, q3 = left[c].quantile(0.25), left[c].quantile(0.75)
+        left = left[(left[c] >= q1 - 1.5 * (q3 - q1)) & (left[c] <= q3 + 1.5 * (q3 - q1))]
+    assert affected == len(pdf) - len(left) > 100
+    assert sorted(got.toPandas()["a"]) == sorted(left["a"])
