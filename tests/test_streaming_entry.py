@@ -37,7 +37,7 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 100
     no_oracle = sorted(set(qs) - set(sql))
     # the optional subpackage's queries are tested in its own folder
-    assert [n for n in no_oracle if not n.startswith("op") and n != "pipeline"] == ["split_segments"]
+    assert [n for n in no_oracle if not n.startswith("op") and n != "pipeline"] == []
 
 
 @pytest.mark.parametrize("name", ["group_by_median", "forward_fill_blocks", "pivot_sum", "dedup_subset_first"])
