@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import partitions, stored
 
@@ -59,30 +60,35 @@ def minimizer_runs(grams, valid_grams, bounds, size: int, gram: int):
     return window[first], np.diff(np.append(first, len(window))), grams[at[first]], at[first], group[first]
 
 
-def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataFrame:
+def _streamed(rows: DataFrame, order: list[str], outer: int, same: int, sources: bool = False) -> DataFrame:
     """Range-partition and sort ``rows`` by ``order`` and stream them; see the two users below.
 
     The first ``outer`` columns of the order name a group, the first ``same`` a content.  Groups spread
     over as many tasks as their rows need.  Given are the rows with an earlier equal one in their task
     (``later``), firsts of contents whose group has other contents, and firsts at a partition's bounds
-    (``edge``), as those may go on beyond it.
+    (``edge``), as those may go on beyond it.  With ``sources`` every row also has the place of its content's
+    first row in the task (``first_doc``, ``first_place``).
     """
     spread = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
     names = rows.columns
     at = [names.index(c) for c in order]
+    places = [names.index(c) for c in ("doc", "place")] if sources else []
+    added = ["later", "edge"] + ["first_doc", "first_place"] * sources
+    schema = StructType([*rows.schema, *(StructField(c, LongType() if "_" in c else BooleanType()) for c in added)])
 
     def run(batches):
         import pyarrow as pa
 
-        def out(batch, later, edge):
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(later), pa.array(edge)],
-                                              names=[*names, "later", "edge"])
+        def out(batch, later, edge, first):
+            more = [pa.array(later), pa.array(edge), *map(pa.array, first)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *added])
 
         def alone(batch, i):
-            return out(batch.slice(i, 1), [False], [True])
+            return out(batch.slice(i, 1), [False], [True], [f[i:i + 1] for f in first])
 
         before = None  # the keys of the row before
         waiting = None  # the last first, while its company or its end is not known
+        first = []  # for every row, the place of its content's first one
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -101,6 +107,10 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
             new_content = differs[:same].any(axis=0)
             new_group = differs[:outer].any(axis=0) if outer else np.zeros(n, bool)
             firsts = np.flatnonzero(new_content)
+            begun = np.cumsum(new_content)  # contents that began in this batch
+            place = [batch.column(i).to_numpy() for i in places]
+            first = [np.append(f[-1:], x[firsts])[begun + len(f[-1:]) - 1]
+                     for f, x in zip(first or [np.zeros(0, np.int64)] * 2, place)]
             take, edge = ~new_content, np.zeros(n, bool)
             if outer:
                 joins = ~new_group[firsts]  # a first that follows another content of its group
@@ -116,26 +126,31 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int) -> DataF
                     waiting = None
             kept = np.flatnonzero(take)
             if len(kept):
-                yield out(batch.take(pa.array(kept)), ~new_content[kept], edge[kept])
+                yield out(batch.take(pa.array(kept)), ~new_content[kept], edge[kept], [f[kept] for f in first])
         if waiting is not None:
             yield waiting
 
-    return spread.mapInArrow(run, rows.schema.add("later", "boolean").add("edge", "boolean"))
+    return spread.mapInArrow(run, schema)
 
 
-def compared_runs(runs: DataFrame) -> DataFrame:
+def compared_runs(runs: DataFrame, sources: bool = False) -> DataFrame:
     """Runs (minimizer, h1, h2, doc, place, ...): ``later`` ones repeat an earlier run as a whole; the others
-    are the first of each content where a minimizer has (or may have) several contents."""
-    return _streamed(runs, ["minimizer", "h1", "h2", "doc", "place"], 1, 3)
+    are the first of each content where a minimizer has (or may have) several contents.  With ``sources``
+    a later one has the place of an earlier equal one."""
+    return _streamed(runs, ["minimizer", "h1", "h2", "doc", "place"], 1, 3, sources)
 
 
-def later_windows(windows: DataFrame) -> DataFrame:
-    """(doc, place) of the windows (h1, h2, doc, place) that an equal one precedes."""
-    found = stored(_streamed(windows, ["h1", "h2", "doc", "place"], 0, 2), "windows", large=True)
+def later_windows(windows: DataFrame, sources: bool = False) -> DataFrame:
+    """(doc, place) of the windows (h1, h2, doc, place) that an equal one precedes; with ``sources`` all
+    their columns and the place of an earlier equal one (first_doc, first_place)."""
+    found = stored(_streamed(windows, ["h1", "h2", "doc", "place"], 0, 2, sources), "windows", large=True)
     edges = found.where("edge")  # at most two a partition
     least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
     over = edges.join(F.broadcast(least), ["h1", "h2"]).where(F.struct("doc", "place") != F.col("first"))
-    return found.where("later").select("doc", "place").unionByName(over.select("doc", "place")).distinct()
+    if sources:
+        over = over.withColumns({"first_doc": F.col("first.doc"), "first_place": F.col("first.place")})
+    names = [*windows.columns, "first_doc", "first_place"] if sources else ["doc", "place"]
+    return found.where("later").select(*names).unionByName(over.select(*names)).distinct()
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, identity: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesmith.llm import debruijn, hashing, suffix_dedup
 
@@ -138,3 +139,35 @@ def test_long_words_that_polynomials_confuse(spark):
             want |= set(range(i, i + 100))
         own.add(b[i:i + 100])
     assert got[2] == len(want)
+
+
+def test_paths_without_branches_are_compacted(spark):
+    """A path over several sources, two passages that share a middle, and cycles."""
+    names = "arc long, head long, tail long, n long, doc long, place long"
+    chain = [(i, i, i + 1, 2, 100 + i // 7, 2 * i) for i in range(40)]  # a path over several documents
+    fork = [(50, 200, 201, 1, 1, 0), (51, 202, 201, 1, 2, 0), (52, 201, 203, 3, 1, 1), (53, 203, 204, 1, 1, 4),
+            (54, 204, 205, 1, 1, 5), (55, 204, 206, 1, 2, 5)]
+    cycle = [(60, 300, 301, 1, 3, 0), (61, 301, 302, 1, 4, 0), (62, 302, 300, 1, 5, 0), (70, 400, 400, 1, 6, 0)]
+    got = {r["arc"]: (r["path"], r["at"]) for r in
+           debruijn.compacted(spark.createDataFrame(chain + fork + cycle, names)).collect()}
+    assert len(got) == 50
+    assert [got[i] for i in range(40)] == [(0, 2 * i) for i in range(40)]
+    assert [got[i] for i in (50, 51, 52, 53, 54, 55)] == [(50, 0), (51, 0), (52, 0), (52, 3), (54, 0), (55, 0)]
+    assert [got[i][1] for i in (60, 61, 62, 70)] == [0, 0, 0, 0]
+
+
+def test_spans_are_long_and_verified(spark, monkeypatch):
+    """A copied passage is one span; a span whose words differ at its source stays."""
+    passage = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x"] * 5 + passage + ["y"])), (3, " ".join(passage[50:250]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = (1 << 32) - 1
+    spans = [(r["doc"], r["place"] & mark, r["length"]) for r in debruijn.repeated_spans(docs.where("doc_id < 3")).collect()]
+    assert spans == [(2, 5, 300)]
+    spans = [r["doc"] for r in debruijn.repeated_spans(docs).collect()]
+    assert spans.count(2) <= 3 and spans.count(3) <= 3  # arcs cut elsewhere in the third document are branches
+    monkeypatch.setattr(debruijn, "SPANS_AT_ONCE", 1)  # a row of text for nearly every span
+    same(words(docs), brute_words(rows))
+    wrong = debruijn._long_spans(debruijn._later_arcs(docs)).withColumn("length", F.col("length") + 1)
+    kept = {tuple(r) for r in debruijn._verified(docs, wrong).select("doc", "length").collect()}
+    assert (2, 301) not in kept
