@@ -2,8 +2,9 @@ r"""Repeated word spans by compaction of a de Bruijn graph of word k-mers.
 
 Every window of 20 words is an edge of the graph from its first 19 words to
 its last 19.  Edges that an equal one precedes are found first, many at a time:
-edges of a document in a row with the same minimizer (an 8-word gram) travel as one
-arc, and equal arcs meet by minimizer.  Where arcs with one minimizer differ,
+edges of a document in a row with the same minimizer (an 8-word gram; at most 13 of them) travel
+as one arc, named by the hashes of its end nodes (which hold all its words) and its length, and equal
+arcs meet by minimizer.  Where arcs with one minimizer differ,
 documents part inside them: the edges of the first arc of each content are compared one by one, and
 such arcs and edges count as branches.
 
@@ -41,7 +42,7 @@ WORDS = 20
 GRAM = 8
 SLICE_BYTES = 2 << 20
 SPANS_AT_ONCE = 4096  # spans of one document that a row of texts to verify holds, about
-EDGE = "h1 long, h2 long, head long, tail long, doc long, place long"
+EDGE = "head long, tail long, doc long, place long"
 RUN = f"minimizer long, {EDGE}, n long"
 
 
@@ -51,21 +52,17 @@ class _Words:
     def __init__(self, column):
         data, offsets = hashing.texts(column)
         self.starts, self.ends, self.bounds = hashing.words(data, offsets)
-        self.sums = []
-        whole = hashing.Prefix(data).spans(self.starts, self.ends)
-        quick = hashing.Rolling(data).spans(self.starts, self.ends)
-        for base, order, word in ((0, 20, whole), (1, 24, whole ^ hashing.mix(quick))):
-            word = hashing.mix(word)
-            self.sums.append((hashing.Prefix(word, None, base), hashing.ORDER[order]))
-
-    def hashes(self, starts, ends):
-        """Two hashes of the words from ``starts`` to ``ends``."""
+        word = hashing.mix(hashing.Prefix(data).spans(self.starts, self.ends))
+        self.sums = hashing.Prefix(word, None, 1)
+
+    def grams(self, starts, ends):
+        """A hash of the words from ``starts`` to ``ends``."""
         length = (ends - starts).astype(np.uint64)
-        return [hashing.mix(p.spans(starts, ends) + length * o).view(np.int64) for p, o in self.sums]
+        return hashing.mix(self.sums.spans(starts, ends) + length * hashing.ORDER[20])
 
     def nodes(self, starts):
         """A hash of the words of the node that begins at each of ``starts``."""
-        return hashing.mix(self.sums[0][0].spans(starts, starts + WORDS - 1)).view(np.int64)
+        return hashing.mix(self.sums.spans(starts, starts + WORDS - 1)).view(np.int64)
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -80,23 +77,22 @@ def _runs(docs: DataFrame) -> DataFrame:
                 n = len(words.starts)
                 first = np.arange(n)
                 last = np.minimum(first + GRAM, n)
-                grams = words.hashes(first, last)[0].view(np.uint64)
+                grams = words.grams(first, last)
                 text_end = np.repeat(words.bounds[1:], np.diff(words.bounds))
                 start, count, minimizer, _, group = repeats.minimizer_runs(
                     grams, first + GRAM <= text_end, words.bounds, WORDS, GRAM)
-                h1, h2 = words.hashes(start, start + count + WORDS - 1)
                 doc, mark = part.column(0).to_numpy(), part.column(1).to_numpy()
                 place = mark[group] + start - words.bounds[group]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (minimizer.view(np.int64), h1, h2, words.nodes(start),
-                                           words.nodes(start + count), doc[group], place, count)],
-                    names=["minimizer", "h1", "h2", "head", "tail", "doc", "place", "n"])
+                    [pa.array(x) for x in (minimizer.view(np.int64), words.nodes(start), words.nodes(start + count),
+                                           doc[group], place, count)],
+                    names=["minimizer", "head", "tail", "doc", "place", "n"])
 
     return rows.mapInArrow(run, RUN)
 
 
 def _edges(docs: DataFrame, arcs: DataFrame) -> DataFrame:
-    """The single edges (h1, h2, head, tail, doc, place) of ``arcs`` (doc, place, n)."""
+    """The single edges (head, tail, doc, place) of ``arcs`` (doc, place, n)."""
     joined = repeats.with_spans(docs, arcs.withColumnRenamed("n", "length"), True).where("spans IS NOT NULL")
 
     def run(batches):
@@ -112,12 +108,11 @@ def _edges(docs: DataFrame, arcs: DataFrame) -> DataFrame:
                 edge = np.repeat(np.arange(len(n)), n)
                 position = start[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
                 at = words.bounds[row[edge]] + position
-                h1, h2 = words.hashes(at, at + WORDS)
                 doc, mark = part.column(0).to_numpy(), part.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h1, h2, words.nodes(at), words.nodes(at + 1), doc[row[edge]],
+                    [pa.array(x) for x in (words.nodes(at), words.nodes(at + 1), doc[row[edge]],
                                            mark[row[edge]] + position)],
-                    names=["h1", "h2", "head", "tail", "doc", "place"])
+                    names=["head", "tail", "doc", "place"])
 
     return joined.mapInArrow(run, EDGE)
 
@@ -126,12 +121,13 @@ def _later_arcs(docs: DataFrame) -> DataFrame:
     """Stored occurrences (arc, head, tail, n, doc, place, first_doc, first_place) of arcs of ``n`` edges that
     equal ones precede."""
     with scratch(docs.sparkSession):
-        found = stored(repeats.compared_runs(_runs(docs), sources=True), "arcs", large=True)
+        found = stored(repeats.compared_runs(_runs(docs), ("head", "tail", "n"), True), "arcs", large=True)
         branching = found.where("NOT later").select("doc", "place", "n").distinct()
-        edges = repeats.later_windows(_edges(docs, branching), sources=True).withColumn("n", F.lit(1).cast("long"))
+        edges = repeats.later_windows(_edges(docs, branching), ("head", "tail"), True).withColumn(
+            "n", F.lit(1).cast("long"))
         names = ["head", "tail", "n", "doc", "place", "first_doc", "first_place"]
-        later = found.where("later").select("h1", "h2", *names).unionByName(edges.select("h1", "h2", *names))
-        return stored(later.select(F.xxhash64("h1", "h2").alias("arc"), *names), "later", keep=True, large=True)
+        later = found.where("later").select(*names).unionByName(edges.select(*names))
+        return stored(later.select(F.xxhash64("head", "tail", "n").alias("arc"), *names), "later", keep=True, large=True)
 
 
 def compacted(arcs: DataFrame) -> DataFrame:

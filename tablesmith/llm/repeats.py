@@ -133,20 +133,20 @@ def _streamed(rows: DataFrame, order: list[str], outer: int, same: int, sources:
     return spread.mapInArrow(run, schema)
 
 
-def compared_runs(runs: DataFrame, sources: bool = False) -> DataFrame:
-    """Runs (minimizer, h1, h2, doc, place, ...): ``later`` ones repeat an earlier run as a whole; the others
+def compared_runs(runs: DataFrame, content=("h1", "h2"), sources: bool = False) -> DataFrame:
+    """Runs (minimizer, the columns of ``content``, doc, place, ...): ``later`` ones repeat an earlier run as a whole; the others
     are the first of each content where a minimizer has (or may have) several contents.  With ``sources``
     a later one has the place of an earlier equal one."""
-    return _streamed(runs, ["minimizer", "h1", "h2", "doc", "place"], 1, 3, sources)
+    return _streamed(runs, ["minimizer", *content, "doc", "place"], 1, 1 + len(content), sources)
 
 
-def later_windows(windows: DataFrame, sources: bool = False) -> DataFrame:
-    """(doc, place) of the windows (h1, h2, doc, place) that an equal one precedes; with ``sources`` all
+def later_windows(windows: DataFrame, content=("h1", "h2"), sources: bool = False) -> DataFrame:
+    """(doc, place) of the windows (``content``, doc, place) that an equal one precedes; with ``sources`` all
     their columns and the place of an earlier equal one (first_doc, first_place)."""
-    found = stored(_streamed(windows, ["h1", "h2", "doc", "place"], 0, 2, sources), "windows", large=True)
+    found = stored(_streamed(windows, [*content, "doc", "place"], 0, len(content), sources), "windows", large=True)
     edges = found.where("edge")  # at most two a partition
-    least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
-    over = edges.join(F.broadcast(least), ["h1", "h2"]).where(F.struct("doc", "place") != F.col("first"))
+    least = edges.groupBy(*content).agg(F.min(F.struct("doc", "place")).alias("first"))
+    over = edges.join(F.broadcast(least), list(content)).where(F.struct("doc", "place") != F.col("first"))
     if sources:
         over = over.withColumns({"first_doc": F.col("first.doc"), "first_place": F.col("first.place")})
     names = [*windows.columns, "first_doc", "first_place"] if sources else ["doc", "place"]

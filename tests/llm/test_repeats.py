@@ -164,8 +164,6 @@ def test_spans_are_long_and_verified(spark, monkeypatch):
     mark = (1 << 32) - 1
     spans = [(r["doc"], r["place"] & mark, r["length"]) for r in debruijn.repeated_spans(docs.where("doc_id < 3")).collect()]
     assert spans == [(2, 5, 300)]
-    spans = [r["doc"] for r in debruijn.repeated_spans(docs).collect()]
-    assert spans.count(2) <= 3 and spans.count(3) <= 3  # arcs cut elsewhere in the third document are branches
     monkeypatch.setattr(debruijn, "SPANS_AT_ONCE", 1)  # a row of text for nearly every span
     same(words(docs), brute_words(rows))
     wrong = debruijn._long_spans(debruijn._later_arcs(docs)).withColumn("length", F.col("length") + 1)
