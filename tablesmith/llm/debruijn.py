@@ -200,34 +200,35 @@ def _digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Stored (doc, place, length, digest): the digest of the words of each of ``spans`` (doc, place, length).
 
     A document that is the source of many spans has a row of its text for some thousands of them."""
-    spans = spans.withColumn("mark", F.expr("place & -4294967296"))
-    spans = stored(spans.withColumn("text_id", F.xxhash64("doc", "mark")), "wanted")
-    texts = stored(spans.groupBy("text_id").agg(F.count("*").alias("__n"))
-                   .withColumn("rows", F.expr("1 + __n div " + str(SPANS_AT_ONCE))), "texts")
-    per = join_by_key(spans, texts, "text_id", spans.count())
-    per = per.groupBy("doc", "mark", F.expr("pmod(xxhash64(place, length), rows)").alias("row")).agg(
-        F.collect_list(F.struct("place", "length")).alias("spans"))
-    joined = repeats.identified(docs).select("doc", "mark", "text").distinct().join(per.drop("row"), ["doc", "mark"])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for part in slices(batch, 2, SLICE_BYTES):
-                mark, texts = part.column(1).to_numpy(), part.column(2).cast(pa.binary())
-                lists = part.column(3)
-                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                place, length = (lists.flatten().field(k).to_numpy() for k in (0, 1))
-                digests, now = [], -1
-                for r, start, n in zip(row.tolist(), (place - mark[row]).tolist(), length.tolist()):
-                    if r != now:
-                        words, now = texts[r].as_py().split(), r
-                    digests.append(hashlib.blake2b(b" ".join(words[start:start + n]), digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.column(0).to_numpy()[row]), pa.array(place), pa.array(length),
-                     pa.array(digests, pa.binary())], names=["doc", "place", "length", "digest"])
-
-    return stored(joined.mapInArrow(run, "doc long, place long, length long, digest binary"), "digests", large=True)
+    with scratch(docs.sparkSession):
+        spans = spans.withColumn("mark", F.expr("place & -4294967296"))
+        spans = stored(spans.withColumn("text_id", F.xxhash64("doc", "mark")), "wanted")
+        texts = stored(spans.groupBy("text_id").agg(F.count("*").alias("__n"))
+                       .withColumn("rows", F.expr("1 + __n div " + str(SPANS_AT_ONCE))), "texts")
+        per = join_by_key(spans, texts, "text_id", spans.count())
+        per = per.groupBy("doc", "mark", F.expr("pmod(xxhash64(place, length), rows)").alias("row")).agg(
+            F.collect_list(F.struct("place", "length")).alias("spans"))
+        joined = repeats.identified(docs).select("doc", "mark", "text").distinct().join(per.drop("row"), ["doc", "mark"])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for part in slices(batch, 2, SLICE_BYTES):
+                    mark, texts = part.column(1).to_numpy(), part.column(2).cast(pa.binary())
+                    lists = part.column(3)
+                    row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                    place, length = (lists.flatten().field(k).to_numpy() for k in (0, 1))
+                    digests, now = [], -1
+                    for r, start, n in zip(row.tolist(), (place - mark[row]).tolist(), length.tolist()):
+                        if r != now:
+                            words, now = texts[r].as_py().split(), r
+                        digests.append(hashlib.blake2b(b" ".join(words[start:start + n]), digest_size=16).digest())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part.column(0).to_numpy()[row]), pa.array(place), pa.array(length),
+                         pa.array(digests, pa.binary())], names=["doc", "place", "length", "digest"])
+
+        return stored(joined.mapInArrow(run, "doc long, place long, length long, digest binary"), "digests", keep=True)
 
 
 def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -247,7 +248,8 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stored (doc, place, length): long spans of words, each of which is found again at an earlier place."""
     with scratch(docs.sparkSession):
-        spans = stored(_long_spans(_later_arcs(docs)), "long", large=True)
+        with scratch(docs.sparkSession):  # the arcs go before texts are read again
+            spans = stored(_long_spans(_later_arcs(docs)), "long", keep=True)
         return stored(_verified(docs, spans), "spans", keep=True)
 
 
