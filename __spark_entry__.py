@@ -125,8 +125,8 @@ ORDERS_COLS_SQL = ("o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
                    + _ts_sql("o_orderdate") + ", o_orderpriority")
 
 
-def _orders_out(df: DataFrame) -> DataFrame:
-    return df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", _ts("o_orderdate"),
+def _orders_out(df: DataFrame, *first: str) -> DataFrame:
+    return df.select(*first, "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", _ts("o_orderdate"),
                      "o_orderpriority")
 
 
@@ -1387,10 +1387,10 @@ def q_histogram(spark, sf):
 
 # --- more coverage: row labels, paging arithmetic, heads, predicates ---------------------
 
-@query("with_row_id_key", "SELECT o_orderkey AS _row_id, o_custkey, o_totalprice FROM orders")
+@query("with_row_id_key", f"SELECT o_orderkey AS _row_id, {ORDERS_COLS_SQL} FROM orders")
 def q_with_row_id(spark, sf):
     o = with_row_id(spark.read.parquet(f"{sf}/orders.parquet"), key="o_orderkey")
-    return o.select(ROW_ID, "o_custkey", "o_totalprice")
+    return _orders_out(o, ROW_ID)
 
 
 @query("table_head", f"SELECT {ORDERS_COLS_SQL} FROM orders ORDER BY o_orderkey LIMIT 5")

@@ -70,3 +70,17 @@ def test_stream_safe_text_operators_match_batch(spark, tmpdir_path):
     for fn, kw in steps:
         batch = fn(batch, **kw)
     assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
+
+
+def test_row_id_key_query_returns_whole_orders(spark, tmpdir_path):
+    import __spark_entry__ as E
+    rows = [(7, 1, "O", 2.5, "1-URGENT"), (None, 2, "F", None, None), (3, None, "P", 1.0, "5-LOW")]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+                                         "o_totalprice double, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.expr("TIMESTAMP_NTZ '2024-05-06 07:08:09'")).write.parquet(
+        os.path.join(tmpdir_path, "orders.parquet"))
+    got = E.queries()["with_row_id_key"](spark, tmpdir_path)
+    assert got.columns == ["_row_id", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                           "o_orderpriority"]
+    at = "2024-05-06 07:08:09.000000"
+    assert set(map(tuple, got.collect())) == {(k, k, c, s, t, at, p) for k, c, s, t, p in rows}
