@@ -146,3 +146,16 @@ def test_modes_of_every_type(spark):
                      "y": at.date().replace(year=2020), "x": bytearray(b"p"), "a": [1], "r": (0, "z")}
     filled = missing.fill_mode(df)
     assert filled.dtypes == df.dtypes and filled.where("i IS NULL OR r IS NULL OR t IS NULL").count() == 0
+
+
+def test_small_blocks_share_tasks(spark):
+    from tablesmith.plans import fill
+    df = spark.range(2000).repartition(5).selectExpr("id", "IF(id % 300 = 0, id, NULL) AS v")
+    tmp = fill.in_blocks(df, ["id"], 4)
+    assert len(tmp.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))   # not one a block
+    rows = tmp.orderBy("id").select(fill.BLOCK, fill.PLACE).collect()
+    assert rows == sorted(rows)
+    sizes = tmp.groupBy(fill.BLOCK).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 4 and sizes.count() >= 500
+    got = missing.backward_fill(df, ["v"], order_by="id", rows_per_block=4).orderBy("id").collect()
+    assert [r.v for r in got] == [-(-i // 300) * 300 if i <= 1800 else None for i in range(2000)]
