@@ -159,3 +159,11 @@ def test_small_blocks_share_tasks(spark):
     assert sizes.agg(F.max("count")).first()[0] <= 4 and sizes.count() >= 500
     got = missing.backward_fill(df, ["v"], order_by="id", rows_per_block=4).orderBy("id").collect()
     assert [r.v for r in got] == [-(-i // 300) * 300 if i <= 1800 else None for i in range(2000)]
+
+
+def test_small_blocks_null_and_repeated_keys(spark):
+    rows = [(None, 7.0)] * 9 + [(k, None if k % 5 else float(k)) for k in range(60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    got = missing.forward_fill(df, ["v"], order_by="k", rows_per_block=2)
+    assert sorted((-1 if r.k is None else r.k, r.v) for r in got.collect()) == sorted(
+        (-1 if k is None else k, 7.0 if k is None else float(k - k % 5)) for k, _ in rows)
