@@ -62,14 +62,15 @@ def fill(df: DataFrame, cols: list[str], order_by: list[str], partition_by: list
     tmp = in_blocks(df, order_by, rows_per_block)
 
     groups = [qcol(p) for p in partition_by]
-    pick, edge_fn = (F.first, F.min_by) if backward else (F.last, F.max_by)
+    edge_fn = F.min_by if backward else F.max_by
 
     def running(parts, order, start, columns):
-        """Each of ``columns``: the nearest non-NULL value, from ``start`` rows away (0: the row itself) on."""
-        w = Window.partitionBy(*parts).orderBy(order)
-        w = (w.rowsBetween(start, Window.unboundedFollowing) if backward
-             else w.rowsBetween(Window.unboundedPreceding, -start))
-        return [pick(c, ignorenulls=True).over(w) for c in columns]
+        """Each of ``columns``: the nearest non-NULL value, from ``start`` rows away (0: the row itself) on.
+
+        Backward fill turns the order: a frame that ends at the last row would be read anew for every row."""
+        w = Window.partitionBy(*parts).orderBy(F.col(order).desc() if backward else F.col(order))
+        w = w.rowsBetween(Window.unboundedPreceding, -start)
+        return [F.last(c, ignorenulls=True).over(w) for c in columns]
 
     def edges_of(rows, parts, order, columns):
         """Edge value of each part: last (forward) / first (backward) non-NULL in order."""

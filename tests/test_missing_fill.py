@@ -167,3 +167,9 @@ def test_small_blocks_null_and_repeated_keys(spark):
     got = missing.forward_fill(df, ["v"], order_by="k", rows_per_block=2)
     assert sorted((-1 if r.k is None else r.k, r.v) for r in got.collect()) == sorted(
         (-1 if k is None else k, 7.0 if k is None else float(k - k % 5)) for k, _ in rows)
+
+
+def test_backward_fill_reads_no_frame_anew_for_every_row(spark):
+    df = spark.range(100).selectExpr("id", "IF(id % 7 = 0, id, NULL) AS v")
+    plan = missing.backward_fill(df, ["v"], order_by="id")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
