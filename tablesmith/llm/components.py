@@ -1,6 +1,7 @@
 """Distributed union-find: connected components of a table of links.
 
-Every partition first contracts its links to a forest (a bounded number at a time);
+The links are stored, then read in no more partitions than cores or AT_ONCE links each
+need, and each contracts its own to a forest (a bounded number at a time);
 then large-star and small-star steps (each node's larger or smaller neighbours
 move to its smallest one) until nothing changes.  A node's links are never
 gathered: its smallest neighbour is a partial aggregate, joined back to the
@@ -33,6 +34,14 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, total: int, count
     return by_broadcast.unionByName(by_shuffle).drop(count)
 
 
+def _dealt(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (some ``total``) in as few partitions as keep every core at work and hold AT_ONCE rows each.
+
+    A session's shuffle partitions are for its large tables: a step on links would mostly start tasks.
+    """
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // AT_ONCE)))
+
+
 def _star(links: DataFrame, total: int, large: bool) -> DataFrame:
     """One star step on links (a, b), a > b."""
     if large:
@@ -41,14 +50,14 @@ def _star(links: DataFrame, total: int, large: bool) -> DataFrame:
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__n"))
-    least = stored(least, "star")
+    least = stored(_dealt(least, total), "star")
     moved = join_by_key(near, least, "u", total)
     if large:
         out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.distinct()
+    return _dealt(out.distinct(), total)
 
 
 def _state(links: DataFrame):
@@ -94,9 +103,9 @@ def components(links: DataFrame) -> DataFrame:
     """Stored (node, component) for every node of ``links`` (longs a, b), its component's smallest node.
     """
     with scratch(links.sparkSession):
-        links = (links.where("a <> b")
-                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        links = stored(links.mapInArrow(_contracted, "a long, b long").distinct(), "links")
+        links = stored(links.where("a <> b")
+                       .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        links = stored(_dealt(links, links.count()).mapInArrow(_contracted, "a long, b long"), "links")
         state = _state(links)
         while True:
             links = stored(_star(links, 2 * state[0], large=True), "links")
@@ -105,5 +114,6 @@ def components(links: DataFrame) -> DataFrame:
             if new == state:
                 break
             state = new
-        return stored(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-            links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components", keep=True)
+        found = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        return stored(_dealt(found, 2 * state[0]), "components", keep=True)

@@ -43,7 +43,7 @@ def char_shingles(data, offsets, size: int = CHARS):
     return hashing.mix(prefix.spans(chars[first], chars[np.minimum(first + size, bounds[group + 1])])), out
 
 
-PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True)
+PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True, at_once=8)
 
 
 def _documents(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ The steps work on *classes* of identical shingle sets, one representative each:
    of any size are cut into block pairs of bounded size.  Only pairs
    that link (or whose sketches can reach the threshold, to be verified) leave the task.
 
-Bands are taken ``BANDS_AT_ONCE`` at a time, so that no shuffle holds all keys.
+Bands are taken ``at_once`` at a time, so that of short texts no shuffle holds all keys.
 
 So a component costs about one pair per member and bucket, and pairs inside
 a component are never listed.
@@ -38,7 +38,6 @@ from .components import components, join_by_key
 BITS = 4  # retained bits of each mixed minimum
 SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
-BANDS_AT_ONCE = 8
 PAIRS_AT_ONCE = 1 << 16  # of the second look
 SHORT_SLICE = 1 << 19  # bytes of short texts hashed at once: some ten arrays of eight bytes a byte
 
@@ -52,6 +51,7 @@ class Plan:
     percent: int  # link when 100 * intersection >= percent * union
     seed: int = 1
     short: bool = False  # texts short enough to travel with every bucket they are in
+    at_once: int = 32  # bands in a pass; fewer where the keys of a text outweigh it
 
     def sets(self, data, offsets):
         """A batch's distinct sets, their bounds, 16 bytes that identify each, and which have members."""
@@ -186,7 +186,7 @@ BUCKET_PAIRS = "key long, a long, b long, edge boolean"
 
 def band_rows(texts: DataFrame, plan: Plan, band: int) -> DataFrame:
     """(key, node) of the bands from ``band`` (0 is the first) on, hashed anew from ``texts`` (node, text)."""
-    part = slice(band * plan.rows, (band + BANDS_AT_ONCE) * plan.rows)
+    part = slice(band * plan.rows, (band + plan.at_once) * plan.rows)
     hasher = hashing.MinHasher(plan.minima, plan.seed, part)
 
     def run(batches):
@@ -203,15 +203,15 @@ def band_rows(texts: DataFrame, plan: Plan, band: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "key long, node long")
 
 
-def stored_bands(found: DataFrame, band: int) -> DataFrame:
+def stored_bands(found: DataFrame, plan: Plan, band: int) -> DataFrame:
     """As band_rows(), from the keys of ``found``."""
-    return found.select(F.explode(F.slice("keys", band + 1, BANDS_AT_ONCE)).alias("key"), "node")
+    return found.select(F.explode(F.slice("keys", band + 1, plan.at_once)).alias("key"), "node")
 
 
-def buckets(rows_of: Callable[[int], DataFrame], bands: int) -> DataFrame:
+def buckets(rows_of: Callable[[int], DataFrame], plan: Plan) -> DataFrame:
     """Stored (key, a, b, edge): b meets the first member a of its part of the bucket ``key``."""
     parts = []
-    for at in range(0, bands, BANDS_AT_ONCE):
+    for at in range(0, plan.bands, plan.at_once):
         with scratch(SparkSession.getActiveSession()):
             parts.append(_buckets(rows_of(at)))
     return functools.reduce(DataFrame.unionByName, parts)
@@ -478,7 +478,7 @@ def linked_classes(plan: Plan, rows_of: Callable[[int], DataFrame], texts_of: Ca
     ``found_of`` the stored (node, keys, bits) of such texts.
     """
     with scratch(SparkSession.getActiveSession()):
-        met = buckets(rows_of, plan.bands)
+        met = buckets(rows_of, plan)
         pairs = stored(met.select("a", "b").distinct(), "met-pairs", large=True)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         texts = texts_of(nodes)
@@ -499,7 +499,7 @@ def grouped(rows: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
     """
     with scratch(items.sparkSession):
         found = classes(rows)
-        comps = linked_classes(plan, lambda band: stored_bands(found, band),
+        comps = linked_classes(plan, lambda band: stored_bands(found, plan, band),
                                lambda nodes: node_texts(items, found, nodes, plan), lambda texts: found)
         mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
         mine = mine.withColumn("component", F.coalesce("component", "node"))

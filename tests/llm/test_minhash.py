@@ -153,6 +153,38 @@ def test_components(spark, monkeypatch, seed, at_once):
         k: v for k, v in union_find(pairs, {x for p in pairs for x in p}).items() if k in nodes}
 
 
+def test_steps_on_few_links_start_few_tasks(spark, monkeypatch):
+    kept, files = components.stored, []
+
+    def stored(df, name, **kw):
+        out = kept(df, name, **kw)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stored", stored)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    pairs = [(i, i + 1) for i in range(300) if i % 10 != 9] + [(5, 5), (3, 2)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(3))
+        assert {r.node: r.component for r in found.collect()} == {i: i - i % 10 for i in range(300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 4 and max(files) <= spark.sparkContext.defaultParallelism < 40
+
+
+def test_bands_of_documents_take_one_pass(spark, monkeypatch):
+    passes, one = [], similar._buckets
+    monkeypatch.setattr(similar, "_buckets", lambda found: passes.append(1) or one(found))
+    rows = [(1, " ".join(map(str, range(30)))), (2, " ".join(map(str, range(31)))), (3, "other words"), (4, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert len(passes) == 1
+
+
 def test_words_and_windows():
     texts = ["a  b\tc", "", " x ", "Ab aB", "é ü"]
     data, offsets = hashing.texts(pa.array(["skip", *texts]).slice(1))
