@@ -179,8 +179,11 @@ class MinHasher:
         """One row per function, one column per group (groups must not be empty)."""
         x = (values >> _U(32)).astype(np.uint32)
         out = np.empty((len(self.xor), len(bounds) - 1), np.uint32)
+        y = np.empty_like(x)
         for k, (r, a) in enumerate(zip(self.xor, self.times)):
-            np.minimum.reduceat((x ^ r) * a, bounds[:-1], out=out[k])
+            np.bitwise_xor(x, r, out=y)
+            np.multiply(y, a, out=y)
+            np.minimum.reduceat(y, bounds[:-1], out=out[k])
         return out
 
 

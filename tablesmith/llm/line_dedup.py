@@ -36,6 +36,8 @@ def char_shingles(data, offsets, size: int = CHARS):
     counts = np.diff(bounds)
     per = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     out = np.concatenate([[0], np.cumsum(per)])
+    if len(counts) and counts.min() >= size:
+        return hashing.mix(_whole_windows(data, chars, bounds, size)), out
     group = np.repeat(np.arange(len(counts)), per)
     first = np.arange(out[-1]) - out[group] + bounds[group]
     chars = np.append(chars, len(data))
@@ -43,6 +45,21 @@ def char_shingles(data, offsets, size: int = CHARS):
     return hashing.mix(prefix.spans(chars[first], chars[np.minimum(first + size, bounds[group + 1])])), out
 
 
+def _whole_windows(data, chars, bounds, size: int):
+    """Rolling hashes of ``size`` characters (they start at ``chars``) of lines that all have as many.
+
+    Windows are taken over the whole batch, side by side; those that run over a line's end go.
+    """
+    prefix = hashing.Rolling(data, hashing.RANDOM_LOWER)
+    sums, back = prefix.sums, prefix.back
+    if len(chars) < len(data):
+        sums, back = sums[np.append(chars, len(data))], back[chars]
+    inside = np.ones(len(chars) - size + 1, bool)
+    for k in range(1, size):
+        inside[bounds[1:-1] - k] = False
+    return ((sums[size:] - sums[:-size]) * back[:len(inside)])[inside]
+
+
 PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True, at_once=8)
 
 
@@ -56,8 +73,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _lines(docs: DataFrame) -> DataFrame:
     """id (doc_id, text_hash, line) and compared text of every line of at least CHARS characters."""
     lines = _documents(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return lines.select(F.struct("doc_id", "text_hash", "line").alias("id"),
-                        F.translate(F.trim("text"), UPPER, LOWER).alias("text")).where(F.length("text") >= CHARS)
+    # the length is asked of the line as it stands: a filter on the lowered one would lower every line twice
+    lines = lines.select(F.struct("doc_id", "text_hash", "line").alias("id"), F.trim("text").alias("text"))
+    return lines.where(F.length("text") >= CHARS).select("id", _lowered("text").alias("text"))
+
+
+def _lowered(name: str):
+    """A-Z lower-cased: lower() does just this to plain ASCII, at a fraction of the cost of translate()."""
+    text = F.col(name)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _key():
@@ -87,7 +111,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         several = mine.join(first, "component").where("total > 1").select(_key(), "component_id", F.col("n").alias("__n"))
         several = stored(several, "several")
         total = classes.agg(F.sum("n")).first()[0] or 0
-        gone = join_by_key(lines.select("id", _key()), several, "key", total).where("id <> component_id")
+        keys = stored(lines.select("id", _key()), "line-keys")  # read twice: lines are cut out of the texts once
+        gone = join_by_key(keys, several, "key", total).where("id <> component_id")
         return stored(gone.groupBy("id.doc_id", "id.text_hash").agg(
             F.array_sort(F.collect_set("id.line")).alias("removed")), "removed", keep=True)
 

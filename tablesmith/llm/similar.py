@@ -39,7 +39,7 @@ BITS = 4  # retained bits of each mixed minimum
 SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0.75
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
 PAIRS_AT_ONCE = 1 << 16  # of the second look
-SHORT_SLICE = 1 << 19  # bytes of short texts hashed at once: some ten arrays of eight bytes a byte
+SHORT_SLICE = 1 << 17  # bytes of short texts hashed at once: arrays of eight bytes a byte stay in the cache
 
 
 @dataclass(frozen=True)
@@ -408,6 +408,17 @@ def _link(values, bounds, p, q, percent: int):
     return out
 
 
+def _linked_texts(texts, p, q, plan: Plan):
+    """As _link(), of the ``texts`` at the pairs' positions; only theirs are hashed."""
+    import pyarrow as pa
+
+    if not len(p):
+        return np.zeros(0, bool)
+    own, index = np.unique(np.concatenate([p, q]), return_inverse=True)
+    sets = distinct_sorted(*plan.shingle(*hashing.texts(texts.take(pa.array(own)))))
+    return _link(*sets, *index.reshape(2, -1), plan.percent)
+
+
 def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     """Pairs across components inside buckets: links of short texts, else pairs at the sketch's slack."""
     rows = _active(met, comps)
@@ -426,27 +437,28 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
         keys, bits = (np.array(table.column(c).combine_chunks().flatten()).reshape(len(key), -1) for c in (6, 7))
         bits = bits.view(np.uint64)
         made = table.column(8).combine_chunks()
-        if plan.short:
-            values, bounds = distinct_sorted(*plan.shingle(*hashing.texts(made)))
-        else:
+        if not plan.short:
             sketch = np.frombuffer(b"".join(made.to_pylist()), np.uint64).reshape(len(key), -1)
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        out = []
+        near = [np.zeros((2, 0), np.int64)]
         for p, q in _pairs(group, block, i, j):
             for test in (lambda: comp[p] != comp[q], lambda: _near(bits, p, q, plan.minima, least),
                          # a pair that shares several bands counts in the first
                          lambda: keys[p, (keys[p] == keys[q]).argmax(axis=1)] == key[p]):
                 keep = test()
                 p, q = p[keep], q[keep]
-            if plan.short:
-                keep = _link(values, bounds, p, q, plan.percent)
-            else:
+            if not plan.short:
                 differ = np.concatenate([np.zeros(0, np.int64)] + [
                     np.bitwise_count(sketch[p[k:k + 4096]] ^ sketch[q[k:k + 4096]]).sum(axis=1, dtype=np.int64)
                     for k in range(0, len(p), 4096)])
                 keep = SKETCH - differ >= least_agree
-            out.append(np.stack([node[p[keep]], node[q[keep]]]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                p, q = p[keep], q[keep]
+            near.append(np.stack([p, q]))
+        p, q = np.concatenate(near, axis=1)
+        if plan.short:
+            keep = _linked_texts(made, p, q, plan)
+            p, q = p[keep], q[keep]
+        a, b = node[p], node[q]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     def run(batches):

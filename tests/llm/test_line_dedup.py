@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from tablesmith.llm import hashing, line_dedup
+from tablesmith.llm import hashing, line_dedup, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +94,41 @@ def test_pairs_at_the_threshold_share_a_band():
     minima = hashing.MinHasher(plan.minima, plan.seed).minima(np.concatenate(sets), np.arange(4001) * 35)
     keys = hashing.band_keys(minima, plan.rows)
     assert (keys[:, ::2] == keys[:, 1::2]).any(axis=0).all()
+
+
+def test_lines_are_lowered_once_and_plain_ascii_cheaply(spark):
+    rows = [(1, "  ABC Éé ÀZ lines \nPLAIN ascii [@`{ LINE\nshort\nİSTANBUL Straße K", None), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    lines = line_dedup._lines(docs)
+    assert sorted((r["id"]["doc_id"], r["id"]["line"], r["text"]) for r in lines.collect()) == [
+        (1, 0, "abc Éé Àz lines"), (1, 1, "plain ascii [@`{ line"), (1, 3, "İstanbul straße k")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "lower(" in plan
+
+
+def test_texts_of_the_second_look_are_hashed_for_its_pairs_only():
+    hashed = []
+
+    def shingle(data, offsets):
+        hashed.append(len(offsets) - 1)
+        return line_dedup.char_shingles(data, offsets)
+
+    plan = similar.Plan(shingle, bands=32, rows=4, percent=75, short=True)
+    texts = pa.array([f"{i % 3} some line of text, one of three kinds, here" for i in range(900)])
+    p, q = np.array([0, 0, 5]), np.array([1, 3, 8])
+    assert similar._linked_texts(texts, p, q, plan).tolist() == [True, True, True] and hashed == [5]
+    assert similar._linked_texts(texts, p[:0], q[:0], plan).tolist() == [] and hashed == [5]
+    far = pa.array(["a line of its own, unlike the other", "something else that shares nothing"])
+    assert similar._linked_texts(far, p[:1], q[:1], plan).tolist() == [False]
+
+
+def test_character_windows_of_whole_lines_and_short_ones():
+    lines = ["exactly8", "ééééé and ÀÀÀ more", "plain ascii line", "ééééééééé", "日本語の長い行です。もっと", "x" * 300]
+    each = [line_dedup.char_shingles(*hashing.texts(pa.array([x]))) for x in lines]
+    for more in ([], ["short"]):
+        values, bounds = line_dedup.char_shingles(*hashing.texts(pa.array(lines + more)))
+        for k, line in enumerate(lines):
+            mine = values[bounds[k]:bounds[k + 1]]
+            assert (mine == each[k][0]).all() and len(mine) == len(line) - 7
+            again = [line_dedup.char_shingles(*hashing.texts(pa.array([line[i:i + 8]])))[0][0] for i in range(len(mine))]
+            assert mine.tolist() == again
