@@ -26,6 +26,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _POWERS: dict = {}
 _PART = 1 << 15  # positions summed at once: they stay in the processor's cache
+_EMPTY = 1 << 12  # empty bins filled at once
 
 
 def _mod(x):
@@ -187,6 +188,46 @@ class MinHasher:
         return out
 
 
+class BinnedMinHasher:
+    """As MinHasher, with ``rows`` functions that give ``bands`` minima each instead of one.
+
+    A function deals a group's values to ``bands`` bins and gives the least of each bin; a bin without a value takes the
+    group's least under a function of its own.  So each minimum of two groups agrees with a probability of their Jaccard
+    similarity, as in MinHasher.  A band takes one bin of every function, hence independent minima; minima of one
+    function are drawn without replacement, so bands are negatively associated, and a pair misses all of them no more
+    often than independent ones.
+    """
+
+    def __init__(self, bands: int, rows: int, seed: int):
+        if bands & (bands - 1):
+            raise ValueError("bands must be a power of two")
+        self.bands, self.rows, self.bits = bands, rows, bands.bit_length() - 1
+        self.dealt, self.own = MinHasher(rows, seed), MinHasher(bands * rows, seed + 1)
+
+    def minima(self, values, bounds):
+        """One row per minimum (those of a band side by side), one column per group (groups must not be empty)."""
+        x = (values >> _U(32)).astype(np.uint32)
+        groups, counts = len(bounds) - 1, np.diff(bounds)
+        out = np.empty((self.bands, self.rows, groups), np.uint32)
+        base = np.repeat(np.arange(groups, dtype=np.int64) << self.bits, counts)
+        for row, (r, a) in enumerate(zip(self.dealt.xor, self.dealt.times)):
+            y = (x ^ r) * a
+            least = np.full(groups << self.bits, 0xFFFFFFFF, np.uint32)
+            # the bin is in the highest bits; one bit is given up to tell empty bins from full ones
+            np.minimum.at(least, base + (y >> np.uint32(32 - self.bits)), y >> np.uint32(1))
+            at = np.flatnonzero(least == 0xFFFFFFFF)
+            for start in range(0, len(at), _EMPTY):
+                group, bin = at[start:start + _EMPTY] >> self.bits, at[start:start + _EMPTY] & (self.bands - 1)
+                n, function = counts[group], bin * self.rows + row
+                ends = np.cumsum(n)
+                member = np.arange(ends[-1]) + np.repeat(bounds[group] - (ends - n), n)
+                y = (x[member] ^ np.repeat(self.own.xor[function], n)) * np.repeat(self.own.times[function], n)
+                # never equal to a bin's own: those have a highest bit of 0
+                least[at[start:start + _EMPTY]] = np.minimum.reduceat(y, ends - n) | np.uint32(1 << 31)
+            out[:, row] = least.reshape(groups, -1).T
+        return out.reshape(self.bands * self.rows, groups)
+
+
 def mix32(x):
     """Finalizer of murmur3 on 32-bit numbers: every input bit moves every output bit.
 

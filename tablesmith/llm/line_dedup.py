@@ -17,12 +17,15 @@ empty result.  A document all of whose lines go keeps an empty text.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import hashing, similar
-from .common import scratch, stored
+from .common import scratch, slices, stored
 from .components import join_by_key
 
 CHARS = 8
@@ -60,7 +63,7 @@ def _whole_windows(data, chars, bounds, size: int):
     return ((sums[size:] - sums[:-size]) * back[:len(inside)])[inside]
 
 
-PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True, at_once=8)
+PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id (doc_id, text_hash, line) and compared text of every line of at least CHARS characters."""
+    """id (doc_id, text_hash, line) and compared text of every line of at least CHARS characters, as _cut() finds them."""
     lines = _documents(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     # the length is asked of the line as it stands: a filter on the lowered one would lower every line twice
     lines = lines.select(F.struct("doc_id", "text_hash", "line").alias("id"), F.trim("text").alias("text"))
@@ -84,35 +87,128 @@ def _lowered(name: str):
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _key():
-    """128 bits that tell lines apart."""
-    return F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.length("text"), "text").alias("h2")).alias("key")
+def _cut(texts):
+    """The lines of at least CHARS characters of an Arrow array of texts, without outer spaces.
+
+    Gives, for some SHORT_SLICE bytes of lines at a time, each line's text (its position), line number, first byte and
+    size in the text, and the lines' bytes and offsets.
+    """
+    data, offsets = hashing.texts(texts)
+    ends = np.flatnonzero(data == 10)
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(ends, offsets)) + 1)
+    start = np.sort(np.concatenate([offsets[:-1], ends + 1]))
+    end = np.sort(np.concatenate([ends, offsets[1:]]))
+    line = np.arange(len(text)) - np.searchsorted(text, text)
+    full = np.flatnonzero(end > start)
+    text, line, start, end = text[full], line[full], start[full], end[full]
+    if (data[start] == 32).any() or (data[end - 1] == 32).any():
+        solid = np.append(np.flatnonzero(data != 32), len(data))
+        start = np.minimum(solid[np.searchsorted(solid, start)], end)
+        before = np.searchsorted(solid, end) - 1
+        end = np.maximum(np.where(before < 0, 0, solid[before] + 1), start)
+    size = end - start
+    chars = size
+    if len(data) and data.max() > 127:
+        upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        chars = upto[end] - upto[start]
+    long = np.flatnonzero(chars >= CHARS)
+    text, line, start, size = text[long], line[long], start[long], size[long]
+    bounds, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + similar.SHORT_SLICE, "right")) - 1)
+        own, part = bounds[at:stop + 1] - bounds[at], slice(at, stop)
+        yield (text[part], line[part], start[part] - offsets[text[part]], size[part],
+               data[np.arange(own[-1]) + np.repeat(start[part] - own[:-1], size[part])], own)
+        at = stop
+
+
+def _named(values, bounds, seed: int, k: int):
+    """64 bits that tell lines apart by their shingles in order; another number ``k`` or ``seed`` gives others."""
+    at = np.arange(1, len(values) + 1, dtype=np.uint64) - np.repeat(bounds[:-1].astype(np.uint64), np.diff(bounds))
+    at *= hashing.ORDER[k]
+    at += np.uint64(seed)
+    return np.add.reduceat(hashing.mix(values ^ hashing.mix(at)), bounds[:-1]).view(np.int64)
+
+
+def _line_table(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, text_hash, line, first byte, size, node (64 bits of the compared line) and check (64 others) of all lines."""
+    rows = _documents(docs).where("text IS NOT NULL")
+    schema = StructType(rows.select("doc_id", "text_hash").schema.fields + StructType.fromDDL(
+        "line int, start int, size int, node long, check long").fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 2, 2 << 20):
+                found = []
+                for text, line, start, size, data, bounds in _cut(part.column(2)):
+                    shingles = char_shingles(data, bounds)
+                    found.append((text, line, start, size, _named(*shingles, seed, 0), _named(*shingles, seed, 1)))
+                if found:
+                    text, line, start, size, node, check = (np.concatenate(c) for c in zip(*found))
+                    ids = part.select([0, 1]).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays(
+                        [*ids.columns, *(pa.array(c.astype(np.int32)) for c in (line, start, size)),
+                         pa.array(node), pa.array(check)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _met(docs: DataFrame, lines: int, seed: int) -> DataFrame:
+    """Stored meetings (key, a, b) of the nodes of all ``lines`` lines in the bands' buckets."""
+    def hashed(batch):
+        for part in slices(batch, 0, 2 << 20):
+            for *_, data, bounds in _cut(part.column(0)):
+                shingles = char_shingles(data, bounds)
+                yield _named(*shingles, seed, 0), *shingles
+
+    return similar.packed_buckets(docs.select("text").where("text IS NOT NULL"), hashed, lines, PLAN)
+
+
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored (node, text) of the lines ``nodes`` (node), each cut out of the first document that has it."""
+    first = lines.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_hash", "start", "size")).alias("id"))
+    first = first.select("node", F.col("id.doc_id").alias("__doc"), F.col("id.text_hash").alias("__hash"), "id.start", "id.size")
+    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))
+    found = _documents(docs).join(first, on).select("node", F.substring(
+        F.col("text").cast("binary"), F.col("start") + 1, F.col("size")).cast("string").alias("text"))
+    return stored(found.dropDuplicates(["node"]), "texts", large=True)
+
+
+def _told_apart(docs: DataFrame):
+    """The stored line table, the stored (node, n) of nodes with several lines, and the seed of the nodes.
+
+    Equal lines get equal nodes.  Should two others get one, their checks tell, and the nodes are made anew.
+    """
+    for seed in itertools.count(PLAN.seed):
+        lines = stored(_line_table(docs, seed), "lines")
+        copies = stored(lines.groupBy("node").agg(
+            F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")).where("n > 1"), "copies")
+        if copies.where("low <> high").isEmpty():
+            return lines.drop("check"), copies.select("node", "n"), seed
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Stored doc_id, text_hash, removed (sorted line numbers) of every document that loses lines.
 
-    ``docs`` (doc_id, text) is read twice: equal lines become one class before anything is hashed, then every line
-    of a class with several lines or links finds its class's first line.
+    ``docs`` (doc_id, text) is read three times: for the names of all lines, for the keys of their bands, and for the
+    texts of lines that meet others.  Then every line with copies or links finds the first line of its component.
     """
-    lines = _lines(docs)
     with scratch(docs.sparkSession):
-        classes = lines.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "text", "id", "n"), "line-classes",
-                         large=True)
-        # the keys of all lines would take as much room as the lines: every pass over the bands makes its own
+        lines, copies, seed = _told_apart(docs)
+        total = lines.count()
         comps = similar.linked_classes(
-            PLAN, lambda band: stored(similar.band_rows(classes, PLAN, band), "bands"),
-            lambda nodes: stored(classes.select("node", "text").join(nodes, "node", "left_semi"), "texts", large=True),
+            PLAN, lambda: _met(docs, total, seed), lambda nodes: _texts(docs, lines, nodes),
             lambda texts: stored(similar.signatures(texts, PLAN), "signatures"))
-        # lines that stand alone need no decision: only classes of several lines or with links count
-        mine = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = mine.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("n").alias("total"))
-        several = mine.join(first, "component").where("total > 1").select(_key(), "component_id", F.col("n").alias("__n"))
-        several = stored(several, "several")
-        total = classes.agg(F.sum("n")).first()[0] or 0
-        keys = stored(lines.select("id", _key()), "line-keys")  # read twice: lines are cut out of the texts once
-        gone = join_by_key(keys, several, "key", total).where("id <> component_id")
+        # lines that stand alone need no decision: only those with copies or links count
+        several = stored(copies.join(comps, "node", "full").select(
+            "node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).alias("__n")), "several")
+        mine = join_by_key(lines.select("node", F.struct("doc_id", "text_hash", "line").alias("id")), several, "node", total)
+        mine = stored(mine.select("id", "component"), "several-lines")
+        first = stored(mine.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("__n")), "first")
+        gone = join_by_key(mine, first, "component", total).where("id <> component_id")
         return stored(gone.groupBy("id.doc_id", "id.text_hash").agg(
             F.array_sort(F.collect_set("id.line")).alias("removed")), "removed", keep=True)
 

@@ -14,7 +14,8 @@ The steps work on *classes* of identical shingle sets, one representative each:
    of any size are cut into block pairs of bounded size.  Only pairs
    that link (or whose sketches can reach the threshold, to be verified) leave the task.
 
-Bands are taken ``at_once`` at a time, so that of short texts no shuffle holds all keys.
+Bands are taken ``at_once`` at a time.  Keys of short texts, which outweigh them, travel packed
+instead (``packed_buckets``).
 
 So a component costs about one pair per member and bucket, and pairs inside
 a component are never listed.
@@ -40,6 +41,8 @@ SKETCH = 4096  # one-bit minima of the second look: 0.01 standard deviation at 0
 SKETCH_BLOCK = 2000  # members of a block of a large bucket
 PAIRS_AT_ONCE = 1 << 16  # of the second look
 SHORT_SLICE = 1 << 17  # bytes of short texts hashed at once: arrays of eight bytes a byte stay in the cache
+PACKED = 1 << 15  # short texts whose keys are packed at once (16 MB with 32 bands)
+PART_BYTES = 1 << 22  # of packed keys and nodes in a range of keys
 
 
 @dataclass(frozen=True)
@@ -157,8 +160,11 @@ def features(items: DataFrame, plan: Plan) -> DataFrame:
 
 
 def signatures(texts: DataFrame, plan: Plan) -> DataFrame:
-    """Band keys and b-bit signature of every text of ``texts`` (node, text), each with a shingle at least."""
-    hasher = hashing.MinHasher(plan.minima, plan.seed)
+    """Band keys and b-bit signature of every text of ``texts`` (node, text), each with a shingle at least.
+
+    Keys are those of packed_buckets().
+    """
+    hasher = hashing.BinnedMinHasher(plan.bands, plan.rows, plan.seed)
 
     def run(batches):
         import pyarrow as pa
@@ -184,25 +190,6 @@ def classes(rows: DataFrame) -> DataFrame:
 BUCKET_PAIRS = "key long, a long, b long, edge boolean"
 
 
-def band_rows(texts: DataFrame, plan: Plan, band: int) -> DataFrame:
-    """(key, node) of the bands from ``band`` (0 is the first) on, hashed anew from ``texts`` (node, text)."""
-    part = slice(band * plan.rows, (band + plan.at_once) * plan.rows)
-    hasher = hashing.MinHasher(plan.minima, plan.seed, part)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for part in slices(batch, 1, SHORT_SLICE):
-                minima = hasher.minima(*plan.shingle(*hashing.texts(part.column(1))))
-                keys = hashing.band_keys(minima, plan.rows, band)
-                node = np.tile(part.column(0).to_numpy(), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)],
-                                                 names=["key", "node"])
-
-    return texts.select("node", "text").mapInArrow(run, "key long, node long")
-
-
 def stored_bands(found: DataFrame, plan: Plan, band: int) -> DataFrame:
     """As band_rows(), from the keys of ``found``."""
     return found.select(F.explode(F.slice("keys", band + 1, plan.at_once)).alias("key"), "node")
@@ -259,6 +246,79 @@ def _buckets(found: DataFrame) -> DataFrame:
     return met.where("NOT edge").unionByName(stitched)
 
 
+def packed_buckets(rows: DataFrame, hashed: Callable, texts: int, plan: Plan) -> DataFrame:
+    """Stored (key, a, b): b meets a in the bucket ``key``, over all bands of some ``texts`` short texts.
+
+    ``hashed`` turns a batch of ``rows`` into (node, shingles, bounds) of its texts, some at a time; equal texts have
+    equal nodes.  Keys travel packed, by ranges of keys of some PART_BYTES each: a row holds those of PACKED texts in one
+    range.  Members of a bucket that meet before need not travel with its key, so a hot bucket brings a range no more
+    than one member per PACKED texts.
+    """
+    parts = max(partitions(rows.sparkSession), -(-texts * plan.bands * 16 // PART_BYTES))
+    hasher = hashing.BinnedMinHasher(plan.bands, plan.rows, plan.seed)
+
+    def pack(batches):
+        held, count = [], 0
+        for batch in batches:
+            for node, values, bounds in hashed(batch):
+                held.append((node, hashing.band_keys(hasher.minima(values, bounds), plan.rows)))
+                count += len(node)
+                if count >= PACKED:
+                    yield _packed(held, parts)
+                    held, count = [], 0
+        if count:
+            yield _packed(held, parts)
+
+    packed = rows.mapInArrow(pack, "part int, key binary, a binary, b binary")
+    return stored(packed.groupBy("part").applyInArrow(_unpacked, "key long, a long, b long"), "buckets", large=True)
+
+
+def _meetings(key, node):
+    """Keys in order with their least nodes, and the meetings (key, a, b) of these with other nodes."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    several = np.flatnonzero(~(new & np.append(new[1:], True)[:len(key)]))
+    node[several] = node[several][np.lexsort((node[several], key[several]))]
+    least = node[new][np.cumsum(new) - 1]
+    meets = ~new & (node != least) & np.concatenate([[True], node[1:] != node[:-1]])[:len(key)]
+    return (key[new], node[new]), (key[meets], least[meets], node[meets])
+
+
+def _packed(held, parts: int):
+    """Rows of packed_buckets() of some (node, keys): one per range of keys, and one per 4096 meetings (with b)."""
+    import pyarrow as pa
+
+    node, at = np.unique(np.concatenate([n for n, _ in held]), return_index=True)
+    keys = np.concatenate([k for _, k in held], axis=1)[:, at]
+    (key, first), met = _meetings(keys.reshape(-1), np.tile(node, len(keys)))
+    edges = np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)
+    cuts = np.concatenate([[0], np.searchsorted(key, edges.astype(np.uint64)), [len(key)]])
+    steps = np.append(np.arange(0, len(met[0]), 4096), len(met[0]))
+    more = len(steps) - 1
+    offsets = np.concatenate([cuts, steps[1:] + len(key)]).astype(np.int32) * np.int32(8)
+    both = [np.concatenate(c) for c in zip((key, first), met)]
+    columns = [pa.Array.from_buffers(pa.binary(), parts + more, [None, pa.py_buffer(offsets), pa.py_buffer(c)]) for c in both]
+    b = [None] * parts + [met[2][i:j].tobytes() for i, j in zip(steps[:-1], steps[1:])]
+    part = np.concatenate([np.arange(parts), (np.arange(more) + int(node[0]) % parts) % parts]).astype(np.int32)
+    rows = pa.RecordBatch.from_arrays([pa.array(part), *columns, pa.array(b, pa.binary())], names=["part", "key", "a", "b"])
+    return rows.filter(pa.array(np.diff(offsets) > 0))
+
+
+def _unpacked(table):
+    """Meetings of one range of keys."""
+    import pyarrow as pa
+
+    met = np.array(table.column(3).is_valid())
+
+    def joined(column, rows, kind=np.int64):
+        return np.frombuffer(b"".join(table.column(column).filter(pa.array(rows)).to_pylist()), kind)
+
+    here = _meetings(joined(1, ~met, np.uint64), joined(2, ~met))[1]
+    before = joined(1, met, np.uint64), joined(2, met), joined(3, met)
+    return pa.table([pa.array(np.concatenate(c).view(np.int64)) for c in zip(here, before)], names=["key", "a", "b"])
+
+
 def _agreeing(a: str, b: str, minima: int) -> F.Column:
     """Minima whose retained bits agree, counted on packed words."""
     ones = sum(1 << BITS * k for k in range(64 // BITS))  # the lowest bit of each retained group
@@ -482,15 +542,15 @@ def _second_look(met: DataFrame, comps: DataFrame, texts: DataFrame, found: Data
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_classes(plan: Plan, rows_of: Callable[[int], DataFrame], texts_of: Callable[[DataFrame], DataFrame],
+def linked_classes(plan: Plan, met_of: Callable[[], DataFrame], texts_of: Callable[[DataFrame], DataFrame],
                    found_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of every class linked to another.
 
-    ``rows_of`` gives (key, node) of some bands, ``texts_of`` the stored (node, text) of a table of nodes, and
-    ``found_of`` the stored (node, keys, bits) of such texts.
+    ``met_of`` gives the stored meetings (key, a, b) in buckets, ``texts_of`` the stored (node, text) of a table of
+    nodes, and ``found_of`` the stored (node, keys, bits) of such texts.
     """
     with scratch(SparkSession.getActiveSession()):
-        met = buckets(rows_of, plan)
+        met = met_of()
         pairs = stored(met.select("a", "b").distinct(), "met-pairs", large=True)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         texts = texts_of(nodes)
@@ -511,7 +571,7 @@ def grouped(rows: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
     """
     with scratch(items.sparkSession):
         found = classes(rows)
-        comps = linked_classes(plan, lambda band: stored_bands(found, plan, band),
+        comps = linked_classes(plan, lambda: buckets(lambda band: stored_bands(found, plan, band), plan),
                                lambda nodes: node_texts(items, found, nodes, plan), lambda texts: found)
         mine = found.select("node", "set_hash", "id").join(comps, "node", "left")
         mine = mine.withColumn("component", F.coalesce("component", "node"))

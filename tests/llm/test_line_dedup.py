@@ -132,3 +132,81 @@ def test_character_windows_of_whole_lines_and_short_ones():
             assert (mine == each[k][0]).all() and len(mine) == len(line) - 7
             again = [line_dedup.char_shingles(*hashing.texts(pa.array([line[i:i + 8]])))[0][0] for i in range(len(mine))]
             assert mine.tolist() == again
+
+
+def test_binned_minima_agree_like_independent_ones():
+    rng, plan = np.random.default_rng(4), line_dedup.PLAN
+    for common, mine, its in ((3, 1, 0), (6, 1, 1), (9, 1, 2), (30, 5, 5), (75, 0, 25), (300, 50, 50)):
+        count = 4000 if common < 100 else 800
+        x = rng.integers(1, 1 << 63, (count, common + mine + its), dtype=np.uint64) * np.uint64(2)
+        a, b = x[:, :common + mine], np.delete(x, slice(common, common + mine), axis=1)
+        hasher = hashing.BinnedMinHasher(plan.bands, plan.rows, plan.seed)
+        m, n = (hasher.minima(y.reshape(-1), np.arange(count + 1) * y.shape[1]) for y in (a, b))
+        per_row = (m == n).mean(axis=1)
+        assert abs(per_row.mean() - 0.75) < 0.01 and per_row.min() > 0.68 and per_row.max() < 0.82
+        ma, mb = (hashing.band_keys(y, plan.rows) for y in (m, n))
+        assert (ma == mb).any(axis=0).all() and abs((ma == mb).mean() - 0.75 ** 4) < 0.02
+        # no wider than independent minima, or estimates would need more slack
+        assert (m == n).mean(axis=0).std() < 1.05 * (0.75 * 0.25 / plan.minima) ** 0.5
+    far = rng.integers(1, 1 << 63, (2, 20_000), dtype=np.uint64)
+    m, n = (hasher.minima(y, np.arange(0, 20_001, 8)) for y in far)
+    assert not (hashing.band_keys(m, plan.rows) == hashing.band_keys(n, plan.rows)).any()
+
+
+def test_lines_are_cut_as_by_columns(spark):
+    texts = ["", " ", "\n", "  \n  an indented line  \n\nshort\n", "ééééé ÀÀÀ\n       8\n  日本語の長い行です。もっと ", "x" * 200_000 + "\nthe end of it",
+             "trailing spaces      ", "tab\tis no space\t \r", "exactly8", "\n\n last line of all"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
+    want = sorted((r["id"]["doc_id"], r["id"]["line"], r["text"]) for r in line_dedup._lines(docs).collect())
+    got = []
+    for text, line, start, size, data, bounds in line_dedup._cut(pa.array(texts)):
+        for k in range(len(text)):
+            own = data[bounds[k]:bounds[k + 1]].tobytes()
+            assert own == texts[text[k]].encode()[start[k]:start[k] + size[k]]
+            got.append((int(text[k]), int(line[k]), own.decode().translate({i: i + 32 for i in range(65, 91)})))
+    assert sorted(got) == want
+
+
+def test_keys_travel_packed_and_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PACKED", 50)
+    rows = [(i, f"{'one line that many documents have' if i % 3 else 'another line of a text'}, nearly {i % 90:03d}\nown {i * 7919:09d}")
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hasher = hashing.BinnedMinHasher(32, 4, line_dedup.PLAN.seed)
+    node, key = [], []
+    for *_, data, bounds in line_dedup._cut(pa.array([t for _, t in rows])):
+        shingles = line_dedup.char_shingles(data, bounds)
+        node.append(line_dedup._named(*shingles, 1, 0))
+        key.append(hashing.band_keys(hasher.minima(*shingles), 4))
+    node, key = np.concatenate(node), np.concatenate(key, axis=1)
+    packed = similar._packed([(node, key)], 7)
+    assert packed.num_rows < 7 + 32 * 300 // 1000 + 1  # not a row per key
+    members = {}
+    for k in range(32):
+        for n, v in zip(node.tolist(), key[k].view(np.int64).tolist()):
+            members.setdefault(v, set()).add(n)
+    want = {k: m for k, m in members.items() if len(m) > 1}
+    met = line_dedup._met(docs.repartition(5), 600, 1).collect()
+    got = {}
+    for r in met:
+        got.setdefault(r["key"], set()).update((r["a"], r["b"]))
+    assert got == want
+    for k, m in want.items():  # every member is tied to the others by meetings
+        links, seen = [(r["a"], r["b"]) for r in met if r["key"] == k], {min(m)}
+        for _ in m:
+            seen |= {x for link in links if seen & set(link) for x in link}
+        assert seen == m
+
+
+def test_lines_that_share_a_name_are_told_apart(spark, monkeypatch):
+    rows = [(1, "the first line\nthe second line"), (2, "a third one here\nthe first line"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds, table = [], line_dedup._line_table
+
+    def clashing(docs, seed):
+        seeds.append(seed)
+        made = table(docs, seed)
+        return made if len(seeds) > 1 else made.selectExpr("doc_id", "text_hash", "line", "start", "size", "7L AS node", "check")
+
+    monkeypatch.setattr(line_dedup, "_line_table", clashing)
+    assert got(docs) == brute(rows) and len(seeds) == 2
