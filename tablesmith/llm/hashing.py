@@ -16,6 +16,7 @@ BASES = tuple(int(b) for b in _RNG.integers(1 << 40, PRIME, 2, dtype=np.uint64))
 BYTE = np.arange(1, 257, dtype=np.uint64)
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
+LOWER = (BYTE_LOWER - _U(1)).astype(np.uint8)
 RANDOM = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 RANDOM_LOWER = RANDOM.copy()
 RANDOM_LOWER[65:91] = RANDOM[97:123]
@@ -26,7 +27,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _POWERS: dict = {}
 _PART = 1 << 15  # positions summed at once: they stay in the processor's cache
-_EMPTY = 1 << 12  # empty bins filled at once
+_EMPTY = 1 << 9  # empty bins filled at once
 
 
 def _mod(x):
@@ -56,8 +57,11 @@ def powers(n: int, base: int):
 
 def mix(x):
     """Finalizer of splitmix64: every input bit moves every output bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        y = x >> _U(shift)
+        y ^= x
+        y *= _U(times)
+        x = y
     return x ^ (x >> _U(31))
 
 
@@ -101,7 +105,7 @@ class Rolling:
     def __init__(self, data, table=RANDOM):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * _wrapped(n, _ODD)[:n], out=self.sums[1:])
+        np.cumsum(np.take(table, data) * _wrapped(n, _ODD)[:n], out=self.sums[1:])
         self.back = _wrapped(n, pow(_ODD, -1, 1 << 64))
 
     def spans(self, starts, ends):
@@ -213,8 +217,7 @@ class BinnedMinHasher:
         for row, (r, a) in enumerate(zip(self.dealt.xor, self.dealt.times)):
             y = (x ^ r) * a
             least = np.full(groups << self.bits, 0xFFFFFFFF, np.uint32)
-            # the bin is in the highest bits; one bit is given up to tell empty bins from full ones
-            np.minimum.at(least, base + (y >> np.uint32(32 - self.bits)), y >> np.uint32(1))
+            np.minimum.at(least, base + (y >> np.uint32(32 - self.bits)), y)  # the bin is in the highest bits
             at = np.flatnonzero(least == 0xFFFFFFFF)
             for start in range(0, len(at), _EMPTY):
                 group, bin = at[start:start + _EMPTY] >> self.bits, at[start:start + _EMPTY] & (self.bands - 1)
@@ -222,8 +225,7 @@ class BinnedMinHasher:
                 ends = np.cumsum(n)
                 member = np.arange(ends[-1]) + np.repeat(bounds[group] - (ends - n), n)
                 y = (x[member] ^ np.repeat(self.own.xor[function], n)) * np.repeat(self.own.times[function], n)
-                # never equal to a bin's own: those have a highest bit of 0
-                least[at[start:start + _EMPTY]] = np.minimum.reduceat(y, ends - n) | np.uint32(1 << 31)
+                least[at[start:start + _EMPTY]] = np.minimum.reduceat(y, ends - n)
             out[:, row] = least.reshape(groups, -1).T
         return out.reshape(self.bands * self.rows, groups)
 
@@ -241,10 +243,7 @@ def mix32(x):
 def band_keys(minima, rows: int, first: int = 0):
     """64-bit bucket keys, one row per band of ``rows`` minima; the first band has the number ``first``."""
     bands = len(minima) // rows
-    out = np.empty((bands, minima.shape[1]), np.uint64)
-    for b in range(bands):
-        total = np.full(minima.shape[1], first + b + 1, np.uint64) * ORDER[-2]
-        for k in range(rows):
-            total += (minima[b * rows + k].astype(np.uint64) + _U(1)) * ORDER[k]
-        out[b] = mix(total)
-    return out
+    out = (np.arange(first + 1, first + bands + 1, dtype=np.uint64) * ORDER[-2])[:, None]
+    for k in range(rows):
+        out = out + (minima[k:bands * rows:rows].astype(np.uint64) + _U(1)) * ORDER[k]
+    return mix(out)

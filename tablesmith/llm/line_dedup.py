@@ -33,34 +33,49 @@ PERCENT = 75
 
 
 def char_shingles(data, offsets, size: int = CHARS):
-    """Hashed shingles of ``size`` characters of a batch of lines; a shorter line is one shingle."""
+    """Hashed shingles of ``size`` characters of a batch of lines; a shorter line is one shingle.
+
+    A shingle of eight bytes is mixed as it stands, others by a rolling hash of their bytes.
+    """
+    data = np.take(hashing.LOWER, data)
     chars = np.flatnonzero((data & 0xC0) != 0x80)
-    bounds = np.searchsorted(chars, offsets)
+    bounds = np.searchsorted(chars, offsets) if len(chars) < len(data) else np.asarray(offsets)
     counts = np.diff(bounds)
     per = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     out = np.concatenate([[0], np.cumsum(per)])
     if len(counts) and counts.min() >= size:
-        return hashing.mix(_whole_windows(data, chars, bounds, size)), out
-    group = np.repeat(np.arange(len(counts)), per)
-    first = np.arange(out[-1]) - out[group] + bounds[group]
+        # windows are taken over the whole batch, side by side; those that run over a line's end go
+        inside = np.ones(len(chars) - size + 1, bool)
+        for k in range(1, size):
+            inside[bounds[1:-1] - k] = False
+        if len(chars) == len(data) and size == 8:
+            return hashing.mix(_words(data)[inside]), out
+        first = np.flatnonzero(inside)
+        last = first + size
+    else:
+        group = np.repeat(np.arange(len(counts)), per)
+        first = np.arange(out[-1]) - out[group] + bounds[group]
+        last = np.minimum(first + size, bounds[group + 1])
     chars = np.append(chars, len(data))
-    prefix = hashing.Rolling(data, hashing.RANDOM_LOWER)
-    return hashing.mix(prefix.spans(chars[first], chars[np.minimum(first + size, bounds[group + 1])])), out
-
-
-def _whole_windows(data, chars, bounds, size: int):
-    """Rolling hashes of ``size`` characters (they start at ``chars``) of lines that all have as many.
-
-    Windows are taken over the whole batch, side by side; those that run over a line's end go.
-    """
-    prefix = hashing.Rolling(data, hashing.RANDOM_LOWER)
-    sums, back = prefix.sums, prefix.back
-    if len(chars) < len(data):
-        sums, back = sums[np.append(chars, len(data))], back[chars]
-    inside = np.ones(len(chars) - size + 1, bool)
-    for k in range(1, size):
-        inside[bounds[1:-1] - k] = False
-    return ((sums[size:] - sums[:-size]) * back[:len(inside)])[inside]
+    starts, ends = chars[first], chars[last]
+    values = _words(np.append(data, np.zeros(8, np.uint8)))[starts]
+    odd = np.flatnonzero(ends - starts != 8)
+    if len(odd):
+        # only the bytes of their lines are summed up
+        line, index = np.unique(np.searchsorted(out, odd, "right") - 1, return_inverse=True)
+        sizes = np.diff(offsets)[line]
+        moved = np.cumsum(sizes) - sizes - offsets[line]
+        own = data[np.arange(sizes.sum()) - np.repeat(moved, sizes)]
+        values[odd] = hashing.Rolling(own).spans(starts[odd] + moved[index], ends[odd] + moved[index])
+    return hashing.mix(values), out
+
+
+def _words(data):
+    """The eight bytes from every position on, as one number."""
+    for kind, step in ((np.uint16, 1), (np.uint32, 2), (np.uint64, 4)):
+        data = data.astype(kind)
+        data = data[:-step] | (data[step:] << kind(8 * step))
+    return data
 
 
 PLAN = similar.Plan(char_shingles, bands=32, rows=4, percent=PERCENT, short=True)
@@ -71,6 +86,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_CONTINUED = bytes(range(0x80, 0xC0))  # bytes inside a character
+_PAD = [bytes(n) for n in range(8)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -88,12 +106,13 @@ def _lowered(name: str):
 
 
 def _cut(texts):
-    """The lines of at least CHARS characters of an Arrow array of texts, without outer spaces.
+    """The lines of at least CHARS characters of an Arrow array of texts, lower-cased, without outer spaces.
 
     Gives, for some SHORT_SLICE bytes of lines at a time, each line's text (its position), line number, first byte and
-    size in the text, and the lines' bytes and offsets.
+    size in the text, and the lines themselves.
     """
     data, offsets = hashing.texts(texts)
+    raw = data.tobytes().translate(_LOWERED)
     ends = np.flatnonzero(data == 10)
     text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(ends, offsets)) + 1)
     start = np.sort(np.concatenate([offsets[:-1], ends + 1]))
@@ -101,33 +120,41 @@ def _cut(texts):
     line = np.arange(len(text)) - np.searchsorted(text, text)
     full = np.flatnonzero(end > start)
     text, line, start, end = text[full], line[full], start[full], end[full]
-    if (data[start] == 32).any() or (data[end - 1] == 32).any():
-        solid = np.append(np.flatnonzero(data != 32), len(data))
-        start = np.minimum(solid[np.searchsorted(solid, start)], end)
-        before = np.searchsorted(solid, end) - 1
-        end = np.maximum(np.where(before < 0, 0, solid[before] + 1), start)
+    for k in np.flatnonzero((data[start] == 32) | (data[end - 1] == 32)).tolist():
+        own = raw[start[k]:end[k]].rstrip(b" ")
+        end[k] = start[k] + len(own)
+        start[k] = end[k] - len(own.lstrip(b" "))
     size = end - start
-    chars = size
-    if len(data) and data.max() > 127:
-        upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        chars = upto[end] - upto[start]
-    long = np.flatnonzero(chars >= CHARS)
+    # fewer characters than bytes matter where these are few
+    for k in np.flatnonzero((size >= CHARS) & (size < 4 * CHARS)).tolist() if not raw.isascii() else ():
+        if len(raw[start[k]:end[k]].translate(None, _CONTINUED)) < CHARS:
+            size[k] = 0
+    long = np.flatnonzero(size >= CHARS)
     text, line, start, size = text[long], line[long], start[long], size[long]
     bounds, at = np.concatenate([[0], np.cumsum(size)]), 0
     while at < len(size):
         stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + similar.SHORT_SLICE, "right")) - 1)
-        own, part = bounds[at:stop + 1] - bounds[at], slice(at, stop)
+        part = slice(at, stop)
+        first = start[part].tolist()
         yield (text[part], line[part], start[part] - offsets[text[part]], size[part],
-               data[np.arange(own[-1]) + np.repeat(start[part] - own[:-1], size[part])], own)
+               [raw[i:i + n] for i, n in zip(first, size[part].tolist())])
         at = stop
 
 
-def _named(values, bounds, seed: int, k: int):
-    """64 bits that tell lines apart by their shingles in order; another number ``k`` or ``seed`` gives others."""
-    at = np.arange(1, len(values) + 1, dtype=np.uint64) - np.repeat(bounds[:-1].astype(np.uint64), np.diff(bounds))
-    at *= hashing.ORDER[k]
-    at += np.uint64(seed)
-    return np.add.reduceat(hashing.mix(values ^ hashing.mix(at)), bounds[:-1]).view(np.int64)
+def _shingles(lines, size):
+    return char_shingles(np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], np.cumsum(size)]))
+
+
+def _named(lines, size, seed: int, count: int):
+    """``count`` times 64 bits that tell lines (bytes of some ``size``) apart; another ``seed`` gives others."""
+    words = np.frombuffer(b"".join([x + _PAD[n] for x, n in zip(lines, (-size & 7).tolist())]), np.uint64)
+    counts = (size + 7) >> 3
+    starts = np.cumsum(counts) - counts
+    at = (np.arange(len(words)) - np.repeat(starts, counts)).astype(np.uint64)
+    words = words ^ hashing.mix(at * hashing.ORDER[0] + np.uint64(seed))
+    size = size.astype(np.uint64)
+    return [(np.add.reduceat(hashing.mix(words ^ hashing.ORDER[40 + k]), starts) + hashing.mix(size ^ hashing.ORDER[42 + k]))
+            .view(np.int64) for k in range(count)]
 
 
 def _line_table(docs: DataFrame, seed: int) -> DataFrame:
@@ -142,9 +169,8 @@ def _line_table(docs: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
                 found = []
-                for text, line, start, size, data, bounds in _cut(part.column(2)):
-                    shingles = char_shingles(data, bounds)
-                    found.append((text, line, start, size, _named(*shingles, seed, 0), _named(*shingles, seed, 1)))
+                for text, line, start, size, lines in _cut(part.column(2)):
+                    found.append((text, line, start, size, *_named(lines, size, seed, 2)))
                 if found:
                     text, line, start, size, node, check = (np.concatenate(c) for c in zip(*found))
                     ids = part.select([0, 1]).take(pa.array(text))
@@ -159,9 +185,8 @@ def _met(docs: DataFrame, lines: int, seed: int) -> DataFrame:
     """Stored meetings (key, a, b) of the nodes of all ``lines`` lines in the bands' buckets."""
     def hashed(batch):
         for part in slices(batch, 0, 2 << 20):
-            for *_, data, bounds in _cut(part.column(0)):
-                shingles = char_shingles(data, bounds)
-                yield _named(*shingles, seed, 0), *shingles
+            for *_, size, lines in _cut(part.column(0)):
+                yield *_named(lines, size, seed, 1), *_shingles(lines, size)
 
     return similar.packed_buckets(docs.select("text").where("text IS NOT NULL"), hashed, lines, PLAN)
 
@@ -216,7 +241,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (from 0) of every document."""
     gone = removed_lines(docs)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1)
     own = _documents(docs).select("doc_id", "text_hash", n.cast("long").alias("n_lines"))
     joined = _with_removed(own, gone)
     return joined.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

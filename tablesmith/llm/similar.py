@@ -74,9 +74,13 @@ class Plan:
 
 def distinct_sorted(values, bounds):
     """Each group's distinct values in order, with their bounds."""
-    parts = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(counts)])
+    values, edges = values.copy(), bounds.tolist()
+    for a, b in zip(edges[:-1], edges[1:]):
+        values[a:b].sort()
+    new = np.ones(len(values) + 1, bool)
+    new[1:-1] = values[1:] != values[:-1]
+    new[bounds] = True
+    return values[new[:-1]], np.concatenate([[0], np.cumsum(new[:-1])])[bounds]
 
 
 def set_hash(values, bounds):
@@ -366,15 +370,14 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
                 keep = np.zeros(part.num_rows, bool)
-                (va, ba), (vb, bb) = (distinct_sorted(*plan.shingle(*hashing.texts(part.column(c)))) for c in (2, 3))
-                for i in range(part.num_rows):
-                    x, y = va[ba[i]:ba[i + 1]], vb[bb[i]:bb[i + 1]]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = 100 * common >= percent * (len(both) - common)
+                # rows come by a: its set is made once for all of them
+                a = part.column(0).to_numpy()
+                new = np.concatenate([[True], a[1:] != a[:-1]])
+                (va, ba), (vb, bb) = (distinct_sorted(*plan.shingle(*hashing.texts(c)))
+                                      for c in (part.column(2).filter(pa.array(new)), part.column(3)))
+                for i, k in enumerate((np.cumsum(new) - 1).tolist()):
+                    x, y = va[ba[k]:ba[k + 1]], vb[bb[i]:bb[i + 1]]
+                    keep[i] = _reach(x, y, percent)
                 yield part.select([0, 1]).filter(pa.array(keep))
 
     return joined.mapInArrow(run, "a long, b long")
@@ -452,8 +455,9 @@ def _near(bits, p, q, minima: int, least: float):
 
 def _link(values, bounds, p, q, percent: int):
     """Whether the sets of the pairs, sorted by p, reach the threshold."""
-    ids, index = np.unique(values, return_inverse=True)
-    size, mark = np.diff(bounds), np.zeros(len(ids), bool)
+    # members are marked by 16 bits, which count no less than there are in common; who passes is counted in full
+    index = (values & np.uint64(0xFFFF)).astype(np.int64)
+    size, mark = np.diff(bounds), np.zeros(1 << 16, bool)
     out = np.zeros(len(p), bool)
     edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]])) if len(p) else [0]
     for a, b in zip(edge[:-1], edge[1:]):
@@ -462,12 +466,25 @@ def _link(values, bounds, p, q, percent: int):
         its = q[a:b]
         n = size[its]
         at = np.arange(n.sum()) + np.repeat(bounds[its] - (np.cumsum(n) - n), n)
-        common = np.add.reduceat(mark[index[at]].astype(np.int64), np.cumsum(n) - n)
+        common = np.minimum(np.add.reduceat(mark[index[at]].astype(np.int64), np.cumsum(n) - n), np.minimum(n, len(mine)))
         out[a:b] = 100 * common >= percent * (len(mine) + n - common)
         mark[mine] = False
+    for k in np.flatnonzero(out).tolist():
+        x, y = (values[bounds[i]:bounds[i + 1]] for i in (p[k], q[k]))
+        out[k] = _reach(x, y, percent)
     return out
 
 
+def _reach(x, y, percent: int) -> bool:
+    """Whether two sets (distinct values in order) reach the threshold."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _linked_texts(texts, p, q, plan: Plan):
     """As _link(), of the ``texts`` at the pairs' positions; only theirs are hashed."""
     import pyarrow as pa

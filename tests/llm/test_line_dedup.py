@@ -159,11 +159,11 @@ def test_lines_are_cut_as_by_columns(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
     want = sorted((r["id"]["doc_id"], r["id"]["line"], r["text"]) for r in line_dedup._lines(docs).collect())
     got = []
-    for text, line, start, size, data, bounds in line_dedup._cut(pa.array(texts)):
-        for k in range(len(text)):
-            own = data[bounds[k]:bounds[k + 1]].tobytes()
-            assert own == texts[text[k]].encode()[start[k]:start[k] + size[k]]
-            got.append((int(text[k]), int(line[k]), own.decode().translate({i: i + 32 for i in range(65, 91)})))
+    for text, line, start, size, lines in line_dedup._cut(pa.array(texts)):
+        for k, own in enumerate(lines):
+            lower = {i: i + 32 for i in range(65, 91)}
+            assert own.decode() == texts[text[k]].encode()[start[k]:start[k] + size[k]].decode().translate(lower)
+            got.append((int(text[k]), int(line[k]), own.decode()))
     assert sorted(got) == want
 
 
@@ -174,10 +174,9 @@ def test_keys_travel_packed_and_meet(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     hasher = hashing.BinnedMinHasher(32, 4, line_dedup.PLAN.seed)
     node, key = [], []
-    for *_, data, bounds in line_dedup._cut(pa.array([t for _, t in rows])):
-        shingles = line_dedup.char_shingles(data, bounds)
-        node.append(line_dedup._named(*shingles, 1, 0))
-        key.append(hashing.band_keys(hasher.minima(*shingles), 4))
+    for *_, size, lines in line_dedup._cut(pa.array([t for _, t in rows])):
+        node += line_dedup._named(lines, size, 1, 1)
+        key.append(hashing.band_keys(hasher.minima(*line_dedup._shingles(lines, size)), 4))
     node, key = np.concatenate(node), np.concatenate(key, axis=1)
     packed = similar._packed([(node, key)], 7)
     assert packed.num_rows < 7 + 32 * 300 // 1000 + 1  # not a row per key
@@ -210,3 +209,35 @@ def test_lines_that_share_a_name_are_told_apart(spark, monkeypatch):
 
     monkeypatch.setattr(line_dedup, "_line_table", clashing)
     assert got(docs) == brute(rows) and len(seeds) == 2
+
+
+def test_names_of_lines():
+    lines = [b"exactly8", b"exactly9!", b"exactly9!\0", b"exactly8exactly9", b"exactly9exactly8", b"12345678", b"exactly8", b"exactly8" * 2]
+    size = np.array([len(x) for x in lines])
+    for seed in (1, 2):
+        names = line_dedup._named(lines, size, seed, 2)
+        for k in range(2):
+            assert len(set(names[k].tolist())) == 7 and names[k][0] == names[k][6]
+            assert names[k].tolist() == [int(line_dedup._named([x], np.array([len(x)]), seed, 2)[k][0]) for x in lines]
+        assert not set(names[0].tolist()) & set(names[1].tolist())
+    assert line_dedup._named(lines, size, 1, 1)[0][0] != line_dedup._named(lines, size, 2, 1)[0][0]
+
+
+def test_sets_in_order():
+    rng = np.random.default_rng(8)
+    bounds = np.array([0, 0, 5, 5, 40, 41, 300, 300])
+    values = rng.integers(0, 60, 300, dtype=np.uint64)
+    kept = values.copy()
+    own, edges = similar.distinct_sorted(values, bounds)
+    assert (values == kept).all()
+    for k in range(len(bounds) - 1):
+        assert own[edges[k]:edges[k + 1]].tolist() == np.unique(values[bounds[k]:bounds[k + 1]]).tolist()
+    assert [len(x) for x in similar.distinct_sorted(values[:0], np.zeros(1, int))] == [0, 1]
+
+
+def test_links_are_counted_in_full():
+    # all members share the 16 bits that are marked first
+    sets = [np.arange(a, b, dtype=np.uint64) << np.uint64(16) for a, b in ((0, 8), (0, 6), (2, 8), (8, 16), (1, 8), (0, 8))]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    p, q = np.array([0, 0, 0, 0, 0, 1, 3]), np.array([1, 2, 3, 4, 5, 2, 4])
+    assert similar._link(np.concatenate(sets), bounds, p, q, 75).tolist() == [True, True, False, True, True, False, False]
