@@ -130,6 +130,10 @@ def _cut(texts):
         if len(raw[start[k]:end[k]].translate(None, _CONTINUED)) < CHARS:
             size[k] = 0
     long = np.flatnonzero(size >= CHARS)
+    if not raw.isascii():
+        # plain lines first: slices of these alone are hashed faster
+        plain = [raw[i:j].isascii() for i, j in zip(start[long].tolist(), end[long].tolist())]
+        long = long[np.argsort(~np.array(plain, bool), kind="stable")]
     text, line, start, size = text[long], line[long], start[long], size[long]
     bounds, at = np.concatenate([[0], np.cumsum(size)]), 0
     while at < len(size):
